@@ -115,3 +115,30 @@ def file_order(df: DataFrame) -> DataFrame:
 
 
 FILE_ORDER = ("_file", "_block", "_row")
+
+
+def with_group_pos(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
+                   pos_col: str = "gpos", global_col: str = "_gp") -> DataFrame:
+    """Dense 0-based position inside each group (keeps the global position in
+    ``global_col``).  One global range sort, then each group's first position
+    (one row per group) is subtracted: a hot group is split like any range."""
+    g = list(group)
+    numbered = with_pos(df, [*g, *order], global_col)
+    firsts = numbered.groupBy(*g).agg(F.min(global_col).alias("_g0"))
+    return numbered.join(firsts, g).withColumn(pos_col, F.col(global_col) - F.col("_g0")).drop("_g0")
+
+
+def rolling(df: DataFrame, group: Sequence[str], gpos_col: str, value: str, n: int, out_col: str,
+            fn=F.avg, shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
+    """``fn`` over the last ``n`` rows (current included) of each group, by the
+    dense group position ``gpos_col``.  Rows are cut into shards of
+    ``shard_rows``; the last ``n - 1`` rows of a shard are copied into the next
+    shard as halo, so every frame is local and every task bounded."""
+    g = list(group)
+    shard = F.floor(F.col(gpos_col) / F.lit(shard_rows)).cast("long")
+    own = df.withColumn("_sh", shard).withColumn("_own", F.lit(True))
+    halo = (own.where(F.pmod(F.col(gpos_col), F.lit(shard_rows)) >= shard_rows - (n - 1))
+            .withColumn("_sh", F.col("_sh") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*g, "_sh").orderBy(gpos_col).rowsBetween(-(n - 1), 0)
+    return (own.unionByName(halo).withColumn(out_col, fn(value).over(w))
+            .where(F.col("_own")).drop("_sh", "_own"))
