@@ -168,14 +168,15 @@ def compute_only(spark: SparkSession, sf: str):
 
 # --- evaluation ---------------------------------------------------------------------------------
 def _batches(spark, sf):
+    # losses summed exactly (values carry two decimals), then one double division
     e = table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("batch_id")).agg(
-        F.sum(F.col("value") / 100).alias("loss_sum"),
+        (F.sum(F.col("value").cast("decimal(20,2)")).cast("double") / 100).alias("loss_sum"),
         F.count(F.when(F.col("event_type") == "purchase", 1)).alias("n_tokens"))
 
 
 _SQL_BATCHES = """
-b AS (SELECT user_id AS batch_id, sum(value / 100) AS loss_sum,
+b AS (SELECT user_id AS batch_id, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) / 100 AS loss_sum,
              count(*) FILTER (WHERE event_type = 'purchase') AS n_tokens FROM events GROUP BY user_id)"""
 
 
@@ -191,9 +192,10 @@ def weighted_loss(spark: SparkSession, sf: str):
 
 @query("batch_losses", f"""
 WITH {_SQL_BATCHES}
-SELECT batch_id, round(CASE WHEN n_tokens > 0 THEN loss_sum / n_tokens ELSE 0 END, 6) AS batch_loss FROM b""")
+SELECT batch_id, CASE WHEN n_tokens > 0 THEN loss_sum / n_tokens ELSE 0 END AS batch_loss FROM b""")
 def batch_losses(spark: SparkSession, sf: str):
-    return _batches(spark, sf).select("batch_id", _r(rl.batch_losses(_batches(spark, sf)), "batch_loss"))
+    b = _batches(spark, sf)
+    return b.select("batch_id", rl.batch_losses(b).alias("batch_loss"))
 
 
 @query("mean_finite_loss", """
@@ -233,7 +235,7 @@ res AS (SELECT g.prompt_idx * 2 + g.sample_idx + 1 AS inference_num, CAST(g.prom
                coalesce(r.text, '[Generation failed: no reply]') AS generated_text,
                CAST(CASE WHEN r.text IS NULL THEN 0 ELSE len(regexp_extract_all(r.text, '""" + \
     SQL_PRETOK.split("'")[1] + """')) END AS INTEGER) AS token_count,
-               g.turn * 0.5 + g.sample_idx * 0.25 AS generation_time
+               g.turn * 0.5::DOUBLE + g.sample_idx * 0.25::DOUBLE AS generation_time
         FROM grid g LEFT JOIN conversations r ON r.conv_id = g.conv_id AND r.turn = g.turn + 1)"""
 
 _SQL_INF = f"""
