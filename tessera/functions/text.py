@@ -55,7 +55,14 @@ def pretokenize(c: str | Column, kind: str = "whitespace") -> Column:
     raise ConfigError(f"Unknown pre-tokenizer {kind!r}; choose one of {', '.join(PRE_TOKENIZERS)}")
 
 
+_COUNT_PATTERNS = {"whitespace": PATTERN_WHITESPACE, "digits": PATTERN_DIGITS,
+                   "whitespace_digits": PATTERN_WHITESPACE_DIGITS}
+
+
 def pretoken_count(c: str | Column, kind: str = "whitespace") -> Column:
+    """Number of pre-tokens, counted without building the array."""
+    if kind in _COUNT_PATTERNS:
+        return F.regexp_count(_col(c), F.lit(_COUNT_PATTERNS[kind]))
     return F.size(pretokenize(c, kind))
 
 

@@ -58,7 +58,23 @@ def append_eos(ids: str | Column, eos_id: int) -> Column:
     return F.concat(c, F.array(F.lit(int(eos_id))))
 
 
+def _unigram_encoder(model: SubwordModel):
+    from .vocab import _viterbi
+    ids = {t: i for i, t in enumerate(model.tokens)}
+    logp = {t: s for t, s in zip(model.tokens, model.scores) if t not in model.special_tokens}
+
+    def encode_word(word: str) -> list[int]:
+        seg, _ = _viterbi(word, logp, model.max_piece_len)
+        if seg is None:  # characters outside the vocabulary are dropped
+            seg, _ = _viterbi("".join(ch for ch in word if ch in logp), logp, model.max_piece_len)
+        return [ids[p] for p in (seg or [])]
+
+    return encode_word
+
+
 def _subword_encoder(model: SubwordModel):
+    if model.kind == "unigram":
+        return _unigram_encoder(model)
     tokens = model.tokens
     ids = {t: i for i, t in enumerate(tokens)}
     ranks = {pair: r for r, pair in enumerate(model.merges)}

@@ -15,6 +15,10 @@ def load_all() -> None:
         from . import traces  # noqa: F401
     except ImportError:
         pass
+    try:
+        from . import build  # noqa: F401
+    except ImportError:
+        pass
     try:
         from . import streams  # noqa: F401
     except ImportError:

@@ -12,7 +12,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Scan-parallelism guard: a scan with fewer splits than the cluster has
+    cores (a single row group) is spread round-robin before per-row work; a
+    normally split scan is left alone (no shuffle)."""
+    n = df.rdd.getNumPartitions()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if n < par else df
 
 
 def docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -475,6 +475,18 @@ def train_wordpiece(spark: SparkSession, sf: str):
     return _bpe(spark, sf, "wordpiece").vocab_df(spark)
 
 
+@query("train_unigram")
+def train_unigram_q(spark: SparkSession, sf: str):
+    from ..operators.vocab import train_unigram
+    key = (sf, "unigram", BPE_VOCAB)
+    if key not in _MODELS:
+        _MODELS[key] = train_unigram(word_counts(table(spark, sf, "documents"), normalizer="nfc"), BPE_VOCAB,
+                                     special_tokens=SPECIALS)
+    m = _MODELS[key]
+    return spark.createDataFrame(list(zip(m.tokens, range(len(m.tokens)), [float(x) for x in m.scores])),
+                                 "token string, id long, score double")
+
+
 @query("encode_corpus")
 def encode_corpus(spark: SparkSession, sf: str):
     model = _bpe(spark, sf)
