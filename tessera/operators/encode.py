@@ -114,6 +114,13 @@ def _subword_encoder(model: SubwordModel):
     return encode_word
 
 
+def is_single_token(model: SubwordModel, text: str) -> bool:
+    """Special-token probe: ``text`` counts as a token only if it encodes to exactly one id."""
+    if text in model.special_tokens:
+        return True
+    return len(_subword_encoder(model)(text)) == 1
+
+
 def encode_subword(docs: DataFrame, model: SubwordModel, key: Sequence[str] = ("doc_id",),
                    text_col: str = "text", pre_tokenizer: str = "whitespace",
                    eos_id: int | None = None, cache_size: int = 200_000) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import running_sum, with_pos
+from .order import prev_in_group, running_sum, with_pos
 
 TOP_N = 20
 MIB = 1024 * 1024
@@ -102,9 +102,7 @@ def large_allocations(trace: DataFrame, top: int = TOP_N) -> tuple[DataFrame, Da
     """(20 largest allocations, total of positive sizes)."""
     name = F.coalesce("name", F.lit(""))
     has_key = F.array_contains(F.map_keys("args"), "Addr") | F.array_contains(F.map_keys("args"), "Device Id")
-    size = F.coalesce(F.try_to_number(_arg("Bytes"), F.lit("9999999999999999999")).cast("double")
-                      if False else _arg("Bytes").try_cast("double"),
-                      _arg("bytes").try_cast("double"), F.lit(0.0))
+    size = F.coalesce(_arg("Bytes").try_cast("double"), _arg("bytes").try_cast("double"), F.lit(0.0))
     allocs = (trace.where(_is_alloc_named(name) & F.coalesce(has_key, F.lit(False)))
               .select("event_index", "name", size.alias("size"),
                       F.coalesce(_arg("Device Id"), _arg("device"), F.lit("N/A")).alias("device"))
@@ -141,9 +139,10 @@ def memory_deltas(trace: DataFrame) -> DataFrame:
     mem = (trace.where(is_alloc | is_free)
            .select("event_index", "ts", "name", "addr", "bytes", "device",
                    F.when(is_alloc, "alloc").otherwise("free").alias("kind")))
-    w = Window.partitionBy("addr").orderBy("event_index")
-    mem = (mem.withColumn("_pk", F.lag("kind").over(w)).withColumn("_pb", F.lag("bytes").over(w))
-           .withColumn("_pd", F.lag("device").over(w)))
+    # previous memory event of the same address (a hot address is sharded)
+    mem = prev_in_group(mem, ["addr"], "event_index", ["kind", "bytes", "device"], prefix="_p")
+    mem = (mem.withColumnRenamed("_pkind", "_pk").withColumnRenamed("_pbytes", "_pb")
+           .withColumnRenamed("_pdevice", "_pd"))
     matched_free = (F.col("kind") == "free") & (F.col("_pk") == "alloc")
     return (mem.where((F.col("kind") == "alloc") | matched_free)
             .select("event_index", "ts", "name", "addr", "kind",
@@ -197,6 +196,17 @@ def counter_rows(trace: DataFrame) -> DataFrame:
         "seq", "ts", F.lit("C").alias("ph"), "c.name", "c.arg", "c.value", "c.k")
 
 
+def with_counters(trace: DataFrame) -> DataFrame:
+    """The trace with its generated counter events appended (two per allocation),
+    numbered after the original events."""
+    n = trace.agg(F.max("event_index")).first()[0]
+    c = counter_rows(trace)
+    extra = c.select((F.lit((n or 0) + 1) + F.col("seq") * 2 + F.col("k")).alias("event_index"), "ts",
+                     F.lit(None).cast("double").alias("dur"), "name", F.lit("memory").alias("cat"), "ph",
+                     F.create_map(F.col("arg"), F.col("value").cast("string")).alias("args"))
+    return trace.unionByName(extra, allowMissingColumns=True)
+
+
 # --- interval join ------------------------------------------------------------------
 def active_ops(points: DataFrame, ops: DataFrame, min_dur: float, bucket: float | None = None) -> DataFrame:
     """Pairs (point, op) with ``start <= t <= end`` and ``end - start > min_dur``.

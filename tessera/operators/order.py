@@ -150,3 +150,23 @@ def rolling(df: DataFrame, group: Sequence[str], gpos_col: str, value: str, n: i
     w = Window.partitionBy(*g, "_sh").orderBy(gpos_col).rowsBetween(-(n - 1), 0)
     return (own.unionByName(halo).withColumn(out_col, fn(value).over(w))
             .where(F.col("_own")).drop("_sh", "_own"))
+
+
+def prev_in_group(df: DataFrame, group: Sequence[str], pos_col: str, cols: Sequence[str],
+                  prefix: str = "prev_", shard_rows: int = DEFAULT_SHARD_ROWS) -> DataFrame:
+    """``lag`` of ``cols`` inside each group in ``pos_col`` order (a dense
+    position), computed per (group, shard): a hot group is cut into bounded
+    tasks, and each shard's last row is handed to the next shard of its group
+    through a table of one row per (group, shard)."""
+    g = list(group)
+    base = df.withColumn("_sh", F.floor(F.col(pos_col) / F.lit(shard_rows)).cast("long"))
+    w = Window.partitionBy(*g, "_sh").orderBy(pos_col)
+    lagged = base.withColumn("_first", F.row_number().over(w) == 1)
+    for c in cols:
+        lagged = lagged.withColumn(prefix + c, F.lag(c).over(w))
+    last = base.groupBy(*g, "_sh").agg(F.max_by(F.struct(*cols), F.col(pos_col)).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*g).orderBy("_sh")))
+    out = lagged.join(carry.select(*g, "_sh", "_carry"), [*g, "_sh"], "left")
+    for c in cols:
+        out = out.withColumn(prefix + c, F.when(F.col("_first"), F.col("_carry")[c]).otherwise(F.col(prefix + c)))
+    return out.drop("_sh", "_first", "_carry")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import hash_key
+from .order import hash_key, running_sum, with_group_pos
 
 WINDOW_SIZE = 1000  # points kept per series by the windowed history
 TIMING_WINDOW = 100  # non-zero durations averaged per timing category
@@ -71,14 +71,6 @@ def metric_stats(points: DataFrame, series: Sequence[str], value: str, order: Se
     return full.join(avgs, list(series), "left")
 
 
-def rolling_mean(events: DataFrame, category: str, order: Sequence[str], value: str,
-                 n: int = TIMING_WINDOW) -> DataFrame:
-    """Per category, mean of the last ``n`` strictly positive values at every point."""
-    pos = events.where(F.col(value) > 0)
-    w = Window.partitionBy(category).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return pos.withColumn("rolling", F.avg(value).over(w))
-
-
 def weighted_loss(batches: DataFrame, loss_sum: str = "loss_sum", n_tokens: str = "n_tokens") -> DataFrame:
     """Token-weighted loss, perplexity; batch loss is 0 when a batch has no tokens."""
     return batches.agg(
@@ -133,16 +125,22 @@ def topk_ties(scored: DataFrame, group: str, score: str, k: int) -> DataFrame:
 def share_cut(scored: DataFrame, group: str, item: str, score: str, p: float,
               temperature: float = 1.0) -> DataFrame:
     """Keep the highest-scoring items until the inclusive softmax share passes
-    ``p``; the item crossing it is dropped, the first item always kept."""
+    ``p``; the item crossing it is dropped, the first item always kept.
+
+    Group maxima and totals are aggregates; the cumulative share is a sharded
+    running sum over the dense in-group rank, so a hot group is not sorted in
+    one task.
+    """
     s = F.col(score) / F.lit(float(temperature))
-    g = Window.partitionBy(group)
-    ordered = g.orderBy(F.col(score).desc(), F.col(item)).rowsBetween(Window.unboundedPreceding, 0)
-    x = scored.withColumn("_s", s).withColumn("_m", F.max("_s").over(g))
+    x = scored.withColumn("_s", s)
+    x = x.join(x.groupBy(group).agg(F.max("_s").alias("_m")), group)
     x = x.withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
-    x = x.withColumn("share", F.col("_e") / F.sum("_e").over(g))
-    x = x.withColumn("cum_share", F.sum("share").over(ordered))
-    x = x.withColumn("_first", F.row_number().over(g.orderBy(F.col(score).desc(), F.col(item))) == 1)
-    return x.where(F.col("_first") | (F.col("cum_share") <= F.lit(float(p)))).drop("_s", "_m", "_e", "_first")
+    x = x.join(x.groupBy(group).agg(F.sum("_e").alias("_t")), group)
+    x = x.withColumn("share", F.col("_e") / F.col("_t"))
+    x = with_group_pos(x, [group], [F.col(score).desc(), F.col(item)], "_r", "_gp")
+    x = running_sum(x, "share", "cum_share", pos_col="_gp", partition_by=[group])
+    return (x.where((F.col("_r") == 0) | (F.col("cum_share") <= F.lit(float(p))))
+            .drop("_s", "_m", "_e", "_t", "_r", "_gp"))
 
 
 def seen_penalty(scored: DataFrame, seen: DataFrame, keys: Sequence[str], score: str,

@@ -94,6 +94,39 @@ class SubwordModel:
         return spark.createDataFrame([(r, self.tokens[a], self.tokens[b]) for r, (a, b) in enumerate(self.merges)],
                                      "rank long, left string, right string")
 
+    @classmethod
+    def from_json(cls, art: dict) -> "SubwordModel":
+        """Load an artefact written by ``to_json`` (the public library layout)."""
+        m = art["model"]
+        specials = [a["content"] for a in sorted(art.get("added_tokens", []), key=lambda a: a["id"])]
+        if m["type"] == "Unigram":
+            return cls("unigram", [t for t, _ in m["vocab"]], special_tokens=specials,
+                       scores=[float(x) for _, x in m["vocab"]])
+        vocab = sorted(m["vocab"].items(), key=lambda kv: kv[1])
+        tokens = [t for t, _ in vocab]
+        ids = {t: i for t, i in vocab}
+        merges = [(ids[a], ids[b]) for a, b in m.get("merges", [])]
+        kind = "bpe" if m["type"] == "BPE" else "wordpiece"
+        return cls(kind, tokens, merges, specials, m.get("continuing_subword_prefix") or "")
+
+    def save(self, spark: SparkSession, path: str, training_config: dict | None = None) -> None:
+        """Vocabulary (+ merges) as Parquet, the JSON artefact and training metadata as one-row JSON."""
+        import json
+        self.vocab_df(spark).write.mode("overwrite").parquet(f"{path}/vocab")
+        if self.merges:
+            self.merges_df(spark).write.mode("overwrite").parquet(f"{path}/merges")
+        meta = {"tokenizer_type": self.kind, "vocab_size": len(self.tokens),
+                "special_tokens": len(self.special_tokens), "merges": len(self.merges),
+                "artefact": json.dumps(self.to_json(), ensure_ascii=False),
+                "training_config": json.dumps(training_config or {}, ensure_ascii=False)}
+        spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SubwordModel":
+        import json
+        row = spark.read.json(f"{path}/metadata").select("artefact").first()
+        return cls.from_json(json.loads(row["artefact"]))
+
     def to_json(self) -> dict:
         """Artefact in the public tokenizer-library JSON layout (model part)."""
         vocab = {t: i for i, t in enumerate(self.tokens)}

@@ -62,7 +62,7 @@ def build_corpus(spark: SparkSession, cfg: DatasetConfig, out_dir: str, mirror_r
     stats_df = spark.createDataFrame([stats])
     stats_df.coalesce(1).write.mode("overwrite").json(f"{target}/_stats")
     return stats_df.select("dataset_name", "dataset_key", "total_records", "train_records", "validation_records",
-                           "train_split", "validation_split", "num_slices")
+                           "train_split", "validation_split", F.col("num_slices").cast("int"))
 
 
 def pretokenize(spark: SparkSession, corpus_dir: str, out_dir: str, encode_fn, vocab_size: int,
@@ -93,6 +93,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, samples: int = 5):
+    """Tokenizer recipe -> trained vocabulary, artefact, statistics and sample report.
+
+    Inputs: ``files`` (JSONL / JSON read with the text-field fallback, anything
+    else as text lines, chosen per file) or ``dataset``/``split`` of a built corpus.
+    Returns ``(model, stats_df, samples_df)``.
+    """
+    from ..functions.text import normalize, preview
+    from ..operators.vocab import train_subword, train_unigram, vocab_stats, word_counts
+    from ..sources.readers import read_text, text_fallback
+    frames = []
+    for path in cfg.inputs():
+        name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+        if name.endswith((".jsonl", ".json")) or "." not in name:
+            df = read_any(spark, path) if "." in name else read_jsonl(spark, path)
+            df = text_fallback(df, (cfg.text_field, "content", "body"))
+        else:
+            df = read_text(spark, path).withColumnRenamed("value", "text")
+        frames.append(df.select(F.col("text").alias("text")))
+    texts = frames[0]
+    for f in frames[1:]:
+        texts = texts.unionByName(f)
+    counts = word_counts(texts.select(normalize("text", cfg.normalizer).alias("text")),
+                         pre_tokenizer=cfg.pre_tokenizer)
+    if cfg.type == "unigram":
+        model = train_unigram(counts, cfg.vocab_size, cfg.special_tokens)
+    else:
+        model = train_subword(counts, cfg.vocab_size, cfg.min_frequency, cfg.special_tokens, kind=cfg.type)
+    if out_dir:
+        model.save(spark, f"{out_dir.rstrip('/')}/{cfg.name}", training_config=cfg.__dict__)
+    stats = vocab_stats(model.vocab_df(spark), cfg.special_tokens)
+    first = texts.where(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") != "").limit(samples)
+    first = first.withColumn("row_id", F.monotonically_increasing_id())
+    enc_df = enc.encode_subword(first, model, ["row_id"], pre_tokenizer=cfg.pre_tokenizer)
+    report = enc_df.join(first, "row_id").select(preview("text", 100).alias("text"), "n_tokens",
+                                                 F.slice("ids", 1, 20).alias("first_ids"))
+    return model, stats, report
+
+
 # --- registered queries ---------------------------------------------------------------------
 DOCS_LIMIT, CONV_LIMIT = 600, 300
 

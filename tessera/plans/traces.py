@@ -308,6 +308,16 @@ def device_stats(spark: SparkSession, sf: str):
     return d.select("device", "peak_mb", _r("avg_mb", "avg_mb"), "samples")
 
 
+@query("trace_with_counters", _w(_SQL_TRACE) + """
+, a AS (SELECT count(*) AS n FROM tr WHERE contains(name, '[memory]') AND addr <> 0 AND bytes <> 0)
+SELECT ph, count(*) AS events FROM (SELECT ph FROM tr UNION ALL
+  SELECT 'C' FROM tr, (SELECT unnest([1, 2])) t(x) WHERE contains(name, '[memory]') AND addr <> 0 AND bytes <> 0)
+GROUP BY ph""")
+def trace_with_counters(spark: SparkSession, sf: str):
+    t = ev.with_counters(events_trace(spark, sf))
+    return t.groupBy("ph").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query("latest_file")
 def latest_file_q(spark: SparkSession, sf: str):
     """Newest trace among several written ones (derived ``_with_memory`` names excluded)."""
