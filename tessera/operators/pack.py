@@ -141,12 +141,12 @@ def pack_windows(docs: DataFrame, context_length: int = 512, overhead: int = 0,
     spark = docs.sparkSession
     groups = list(group_cols)
 
-    ne = (docs.where(F.col("n_tokens") > 0)
-          .select(*groups, F.col("doc_pos").cast("long"), F.col("n_tokens").cast("long"))
+    # narrow (two longs per document), kept before filtering: the lengths are
+    # computed once from the text (not again by the pushed-down filter, the
+    # range sort's sampling pass and its shuffle)
+    lengths = reuse(docs.select(*groups, F.col("doc_pos").cast("long"), F.col("n_tokens").cast("long")))
+    ne = (lengths.where(F.col("n_tokens") > 0)
           .withColumn("eff", F.col("n_tokens") + F.lit(int(overhead))))
-    # narrow (three longs per document): kept so the range sort's sampling pass
-    # and its shuffle do not both recompute the lengths from the text
-    ne = reuse(ne)
     # dense document index per group: global dense position minus the group's first
     ne = with_pos(ne, [*groups, "doc_pos"], "gpos")
     if groups:
