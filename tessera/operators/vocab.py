@@ -161,14 +161,22 @@ def _sym(i: int) -> str:
 
 def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
                   special_tokens: Sequence[str] = (), kind: str = "bpe",
-                  checkpoint_every: int = 50) -> SubwordModel:
+                  checkpoint_every: int = 50, batch_candidates: int = 64) -> SubwordModel:
     """Train BPE (``kind='bpe'``) or a WordPiece vocabulary by BPE-style merges
     with the ``##`` continuation prefix (``kind='wordpiece'``).
 
-    One Spark job per merge: pairs of adjacent symbols of every word are
-    counted (partial aggregation, so frequent pairs combine map-side) and the
-    best by (count desc, left id, right id) is merged into every word.
+    Each round counts the pairs of adjacent symbols of every word (partial
+    aggregation, so frequent pairs combine map-side) and merges the best by
+    (count desc, left id, right id) into every word.  Exact batching: the
+    round also applies the following candidates while each shares no symbol
+    with the merges already taken and its count is strictly above every pair
+    those merges can create (a pair (x, ab) occurs at most min(count(a, b),
+    max count of a pair ending in a) times; (ab, y) likewise with pairs
+    starting in b).  Pairs that a taken merge can only lower rank above the
+    first conflicting candidate, where the batch stops, so the merge order is
+    the sequential one.
     """
+    rounds = 0
     if kind not in ("bpe", "wordpiece"):
         raise ConfigError(f"Unknown trainer {kind!r}")
     spark = counts.sparkSession
@@ -191,27 +199,59 @@ def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
     words = stable(words.where(F.length("s") > 1).repartition(parts, "s"))
     merges: list[tuple[int, int]] = []
     floor = max(1, min_frequency)
-    while len(tokens) < vocab_size:
+    done = False
+    while len(tokens) < vocab_size and not done:
         pos = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
         pairs = (words.where(F.length("s") > 1).select("s", "count", pos)
                  .select(F.expr("substring(s, i, 2)").alias("pair"), "count")
                  .groupBy("pair").agg(F.sum("count").alias("c")))
-        best = pairs.orderBy(F.col("c").desc(), "pair").limit(1).collect()
-        if not best or best[0]["c"] < floor:
+        # one action: the best candidates plus, per symbol, the largest count of a
+        # pair ending / starting with it (rows bounded by K + 2 x symbols)
+        top_df = (pairs.orderBy(F.col("c").desc(), "pair").limit(batch_candidates)
+                  .select(F.lit("t").alias("side"), F.col("pair").alias("key"), "c"))
+        parts = [top_df]
+        if batch_candidates > 1:
+            for side, pos_ in (("r", 2), ("l", 1)):
+                parts.append(pairs.groupBy(F.substring("pair", pos_, 1).alias("key"))
+                             .agg(F.max("c").alias("c")).select(F.lit(side).alias("side"), "key", "c"))
+        got = parts[0]
+        for extra in parts[1:]:
+            got = got.unionByName(extra)
+        rows = got.collect()
+        top = sorted(({"pair": r["key"], "c": r["c"]} for r in rows if r["side"] == "t"),
+                     key=lambda r: (-r["c"], r["pair"]))
+        bounds = {(r["side"], r["key"]): r["c"] for r in rows if r["side"] != "t"}
+        if not top or top[0]["c"] < floor:
             break
-        pair = best[0]["pair"]
-        a, b = ord(pair[0]) - _SYM_BASE, ord(pair[1]) - _SYM_BASE
-        new_tok = tokens[a] + (tokens[b][len(prefix):] if prefix else tokens[b])
-        if new_tok in ids:  # the same string reached by another merge path: reuse its id
-            c = ids[new_tok]
-        else:
-            c = len(tokens)
-            tokens.append(new_tok)
-            ids[new_tok] = c
-        merges.append((a, b))
-        # a pure projection: no filter in the chain, so the plan grows linearly
-        words = words.withColumn("s", F.replace("s", F.lit(pair), F.lit(_sym(c))))
-        if len(merges) % checkpoint_every == 0:
+        # exact batch: a prefix of the candidates whose merges cannot interact
+        used: set[str] = set()
+        ub = None
+        accepted = []
+        for r in top:
+            pair, cnt = r["pair"], r["c"]
+            if cnt < floor or len(tokens) + len(accepted) >= vocab_size:
+                done = cnt < floor
+                break
+            if accepted and (pair[0] in used or pair[1] in used or not cnt > ub):
+                break
+            accepted.append(pair)
+            used.update(pair)
+            new_bound = min(cnt, max(bounds.get(("r", pair[0]), 0), bounds.get(("l", pair[1]), 0)))
+            ub = new_bound if ub is None else max(ub, new_bound)
+        for pair in accepted:
+            a, b = ord(pair[0]) - _SYM_BASE, ord(pair[1]) - _SYM_BASE
+            new_tok = tokens[a] + (tokens[b][len(prefix):] if prefix else tokens[b])
+            if new_tok in ids:  # the same string reached by another merge path: reuse its id
+                c = ids[new_tok]
+            else:
+                c = len(tokens)
+                tokens.append(new_tok)
+                ids[new_tok] = c
+            merges.append((a, b))
+            # a pure projection: no filter in the chain, so the plan grows linearly
+            words = words.withColumn("s", F.replace("s", F.lit(pair), F.lit(_sym(c))))
+        rounds += 1
+        if rounds % checkpoint_every == 0:
             words = stable(words)  # cut lineage in the shared checkpoint directory
     return SubwordModel(kind=kind, tokens=tokens, merges=merges, special_tokens=list(special_tokens),
                         prefix=prefix)
