@@ -19,8 +19,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Scan-parallelism guard: a scan with fewer splits than the cluster has
     cores (a single row group) is spread round-robin before per-row work; a
     normally split scan is left alone (no shuffle)."""
-    n = df.rdd.getNumPartitions()
-    par = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # sessions without RDD access: leave the scan as it is
+        return df
     return df.repartition(par) if n < par else df
 
 
