@@ -3,9 +3,6 @@ and pretokenize (corpus -> token store + metadata), plus their registered querie
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,4 +198,3 @@ def pretokenize_corpus(spark: SparkSession, sf: str):
     return meta
 
 
-__all__ = ["build_corpus", "load_slice", "pretokenize", "json", "os"]

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.text import PATTERN_WHITESPACE, preview
 from ..operators import encode as enc
 from ..operators import samples as smp
-from ..operators.order import with_pos
 from ..operators.pack import pack_stats, pack_windows
 from ..operators.slices import split_shuffled
-from ..operators.vocab import (EOS_CANDIDATES, find_eos, offset_dtype, rank_vocab, token_dtype, train_subword,
-                               vocab_stats, word_counts)
+from ..operators.vocab import (EOS_CANDIDATES, find_eos, rank_vocab, token_dtype, train_subword, vocab_stats,
+                               word_counts)
 from ..session import scratch_path
 from .common import sql_hash, table
 from .registry import query
@@ -509,4 +508,3 @@ def token_samples(spark: SparkSession, sf: str):
             .select("doc_id", "text", "n_tokens", F.slice("ids", 1, 20).alias("first_ids"), "first_tokens"))
 
 
-__all__ = ["pack_report", "with_pos"]
