@@ -107,7 +107,8 @@ class Words:
     ``first[i]:first[i + 1]`` are the words of the i-th row of the range.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, heads: int = 0):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray,
+                 heads: tuple[int, ...] = ()):
         self.data, self.bounds = data, bounds
         n = len(data)
         inside = is_word[data]
@@ -121,11 +122,11 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.start, bounds, "left")
         self.row = np.repeat(np.arange(len(bounds) - 1), np.diff(self.first))
-        self.hash, self.head = self._hashes(heads)
+        self.hash, self.heads = self._hashes(heads)
 
-    def _hashes(self, heads: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word and of its first ``heads`` bytes (whole code points)."""
-        full, head = np.empty(len(self.start), _U), np.empty(len(self.start) if heads else 0, _U)
+    def _hashes(self, heads: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hash of every word, and of its first ``h`` bytes (whole code points) for each h of ``heads``."""
+        full, head = np.empty(len(self.start), _U), [np.empty(len(self.start), _U) for _ in heads]
         i = 0
         while i < len(self.start):
             base = int(self.start[i])
@@ -136,12 +137,11 @@ class Words:
             np.cumsum(_BYTE[self.data[base:base + size]] * up[:size], out=total[1:])
             s, e = self.start[i:j] - base, self.end[i:j] - base
             full[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U) * _U(0xA24BAED4963EE407))
-            if heads:
-                stop = np.minimum(e, s + heads)
+            for out, h in zip(head, heads, strict=True):
+                stop = np.minimum(e, s + h)
                 for _ in range(3):  # never cut inside a code point
-                    inner = (stop < e) & ((self.data[base + np.minimum(stop, size - 1)] & 0xC0) == 0x80)
-                    stop = stop + inner
-                head[i:j] = mix((total[stop] - total[s]) * down[s] + _U(0x51ED270B27D4EB4F))
+                    stop = stop + ((stop < e) & ((self.data[base + np.minimum(stop, size - 1)] & 0xC0) == 0x80))
+                out[i:j] = mix((total[stop] - total[s]) * down[s] + _U(h * 0x51ED270B27D4EB4F % 2**64))
             i = j
         return full, head
 
@@ -162,3 +162,26 @@ def signed(x: np.ndarray) -> np.ndarray:
 def row_key(*columns: str):
     """A key that equal rows share: for joining back what is a function of the row."""
     return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def training_sample(labels: DataFrame, label_col: str, key_col: str, per_class: int) -> DataFrame:
+    """(key, y): about ``per_class`` labelled keys of each class at most, by a hash of the key.
+
+    Keys whose crc32 leaves 0 modulo 5 are held out.  Rows without key or
+    label do not count; a key with several labels takes the largest.  The
+    result has some 2 * per_class rows whatever the input.
+    """
+    known = (labels.select(F.col(key_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("y"))
+             .where("key is not null and y in (0, 1)").where(~held_out("key")).groupBy("key").agg(F.max("y").alias("y")))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    buckets = 1 << 20
+    keep = F.lit(False)
+    for y, n in counts.items():
+        share = min(buckets, int(buckets * per_class / n))
+        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("key"), F.lit(buckets)) < share))
+    return known.where(keep)
+
+
+def held_out(key_col: str):
+    """Whether a row belongs to the test fold; rows without a key do not."""
+    return F.coalesce(F.crc32(F.col(key_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
-from .common import read_table
+from . import bpe, decontaminate, toxicity
+from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",")
+    return toxicity.tag(docs, model).select(
+        F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 @_query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_file())
