@@ -4,6 +4,23 @@ ORACLES: dict[str, str] = {}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ORACLES["op1_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (
+  SELECT uid, source, pos, trim(parts[pos], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT uid, source, parts, unnest(generate_series(1, len(parts))) AS pos FROM d)),
+bad AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+m AS (SELECT uid, pos, l.line, bad.line IS NOT NULL AS cut FROM l LEFT JOIN bad ON l.line = bad.line),
+s AS (SELECT uid, coalesce(2 * sum(length(line)) FILTER (WHERE cut), 0) <= sum(length(line)) AS mild FROM m GROUP BY uid),
+k AS (
+  SELECT uid, string_agg(parts[pos], chr(10) ORDER BY pos) FILTER (WHERE NOT (cut AND mild)) AS kept,
+         count(*) FILTER (WHERE cut AND mild) AS n_removed
+  FROM m JOIN s USING (uid) JOIN d USING (uid) GROUP BY uid)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text,
+       CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN k USING (uid)
+"""
+
 ORACLES["op10_decontaminate"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS uid, doc_id,

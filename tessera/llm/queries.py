@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, toxicity
+from . import bpe, decontaminate, lines, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -26,6 +26,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_boilerplate(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_lines", "n_removed")
+
+
 @_query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
