@@ -2,17 +2,16 @@
 
 1. Documents are packed into blocks (whole rows, ``BLOCK_BYTES`` of text at
    most unless one row is longer), each one row with a compressed batch.
-2. Spark splits every block into the tokenizer's words and keeps the distinct
-   ones; one aggregation over all blocks leaves each distinct word once, with
-   the blocks that hold it.
-3. Each distinct word is encoded once by the tokenizer.
-4. (block, word, ids) and the id-to-piece table, repeated for each block, meet
-   the block again: ids go back to the words' positions, and the ids' pieces,
-   joined in order, are the decoded text.
-
-Only words cross the network, not word occurrences, and a task holds one block
-and the words of that block.  A word cannot be split between merges (BPE never
-merges across words), so this equals encoding whole texts.
+2. Every block is split into the tokenizer's words, and its distinct words are
+   dealt by hash into buckets; a bucket meets the same word of all blocks and
+   encodes each distinct word once.
+3. The words with their ids return to their blocks, where the ids go back to
+   the words' positions.  The id-to-piece table comes to each block the same
+   way, and the joined pieces of the ids are the decoded text.
+
+Only distinct words of blocks cross the network, not word occurrences, packed
+as compressed batches.  A task holds one block and its words, or one bucket.
+BPE never merges across words, so this equals encoding whole texts.
 
 The tokenizer file is a parameter; its JSON travels with the tasks (its size
 is bounded by the vocabulary).  Supported: byte-level BPE without a normaliser
@@ -27,14 +26,15 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 WORD_BATCH = 20_000
 #: The tokenizer's word pattern (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,15 +91,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def piece_table(spark: SparkSession, tokenizer_json: str) -> DataFrame:
-    """``id``, ``piece`` (bytes): one row per vocabulary entry and added token."""
+def piece_batch(tokenizer_json: str) -> pa.RecordBatch:
+    """``id``, ``piece`` (bytes), by id: one row per vocabulary entry and added token."""
     spec = json.loads(tokenizer_json)
     letters = byte_letters()
     ids = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    rows = [(i, bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode())
-            for t, i in ids.items()]
-    return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()),
-                                           "piece": pa.array([r[1] for r in rows], pa.binary())}))
+    rows = sorted((i, bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode())
+                  for t, i in ids.items())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                       pa.array([r[1] for r in rows], pa.binary())], ["id", "piece"])
+
+
+def _packed(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(rows.as_buffer()) as stream:
+        yield from stream
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,78 +121,109 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, held, size = TaskContext.get().partitionId() << 24, [], 0
 
     def out() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            for b in held:
-                w.write_batch(b)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()])],
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(held)], pa.binary())],
                                           ["block", "rows"])
     for batch in batches:
-        if held and size + batch.nbytes > BLOCK_BYTES:
-            yield out()
-            block, held, size = block + 1, [], 0
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
+        at = 0
+        while at < batch.num_rows:
+            room = max(1, batch.num_rows * max(0, BLOCK_BYTES - size) // max(1, batch.nbytes))
+            part = batch.slice(at, room)
+            held.append(part)
+            size += part.nbytes
+            at += part.num_rows
+            if size >= BLOCK_BYTES * 9 // 10:
+                yield out()
+                block, held, size = block + 1, [], 0
     if held:
         yield out()
 
 
-def _unpacked(rows: bytes) -> Iterator[pa.RecordBatch]:
-    with pa.ipc.open_stream(rows) as stream:
-        yield from stream
-
-
-def _distinct_words(tokenizer_json: str):
+def _distinct_words(tokenizer_json: str, buckets: int):
+    """Blocks -> (bucket, block, distinct words of the block that fall into the bucket)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = word_splitter(tokenizer_json)
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen: set[str] = set()
-                for b in _unpacked(rows.as_buffer()):
-                    for text in b.column(1).to_pylist():
-                        if text:
-                            seen.update(split(text))
-                words = list(seen)
-                for i in range(0, len(words), WORD_BATCH):
-                    part = words[i:i + WORD_BATCH]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.string())],
-                                                     ["block", "word"])
+                for b in _unpacked(rows):
+                    for text in b.column(1):
+                        seen.update(split(text.as_py() or ""))
+                dealt: list[list[str]] = [[] for _ in range(buckets)]
+                for word in sorted(seen):
+                    dealt[zlib.crc32(word.encode()) % buckets].append(word)
+                del seen
+                full = [i for i in range(buckets) if dealt[i]]
+                for i in range(0, len(full), 64):
+                    part = full[i:i + 64]
+                    data = [_packed([pa.RecordBatch.from_arrays([pa.array(dealt[k], pa.string())], ["word"])])
+                            for k in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part, pa.int32()), pa.array(np.full(len(part), block)), pa.array(data, pa.binary())],
+                        ["bucket", "block", "words"])
     return run
 
 
-def _encode_words(tokenizer_json: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_bucket(tokenizer_json: str):
+    """All words of a bucket -> per block, its words with their ids; a word is encoded once."""
+    def run(group: pa.Table) -> pa.Table:
         tok = loaded(tokenizer_json)
-        for batch in batches:
-            for i in range(0, batch.num_rows, WORD_BATCH):
-                part = batch.slice(i, WORD_BATCH)
-                found = tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
-                ids = [np.asarray(e.ids, "<u4").tobytes() for e in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), part.column(1)],
-                                                 ["word", "ids", "blocks"])
+        index: dict[str, int] = {}
+        uses = []
+        for rows in group["words"]:
+            for b in _unpacked(rows):
+                uses.append(np.array([index.setdefault(w, len(index)) for w in b.column(0).to_pylist()], np.int64))
+        words, values, sizes = list(index), [], []
+        for i in range(0, len(words), WORD_BATCH):
+            for e in tok.encode_batch_fast(words[i:i + WORD_BATCH], add_special_tokens=False):
+                values.append(np.asarray(e.ids, np.uint32))
+                sizes.append(len(e.ids))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+        texts = pa.array(words, pa.string())
+        data = [_packed([pa.RecordBatch.from_arrays([texts.take(pa.array(u)), ids.take(pa.array(u))], ["word", "ids"])])
+                for u in uses]
+        return pa.table({"block": group["block"], "kind": pa.array(["words"] * len(data)),
+                         "data": pa.array(data, pa.binary())})
     return run
 
 
+def _gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Concatenation of the pieces ``flat[offsets[i]:offsets[i + 1]]`` for i of ``which``."""
+    size = offsets[which + 1] - offsets[which]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(offsets[which] - (ends - size), size)]
+
+
 def _place(tokenizer_json: str, decode: bool):
-    """Block + its words and pieces -> key, ids (little-endian unsigned 32-bit), decoded."""
+    """Block + its words and the pieces -> key, ids (little-endian unsigned 32-bit), decoded."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         split = word_splitter(tokenizer_json)
-        known = right.filter(pa.compute.is_valid(right["word"]))
-        ids = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True))
-        texts: dict[str, bytes] = {}
-        if decode:
-            piece = dict(zip(*(c.to_pylist() for c in right.filter(pa.compute.is_valid(right["id"])).select(
-                ["id", "piece"]).columns), strict=True))
-            texts = {w: b"".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for w, b in ids.items()}
+        index: dict[str, int] = {}
+        flats, sizes, piece_flat, piece_off = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], None, None
+        for kind, data in zip(right["kind"].to_pylist(), right["data"], strict=True):
+            for b in _unpacked(data):
+                if kind == "words":
+                    for w in b.column(0).to_pylist():
+                        index[w] = len(index)
+                    flats.append(b.column(1).flatten().to_numpy())
+                    sizes.append(np.diff(b.column(1).offsets.to_numpy()))
+                else:
+                    piece_flat = np.frombuffer(b.column(1).buffers()[2], np.uint8)
+                    piece_off = np.frombuffer(b.column(1).buffers()[1], np.int32)[:b.num_rows + 1].astype(np.int64)
+                    if (b.column(0).to_numpy() != np.arange(b.num_rows)).any():
+                        raise ValueError("ids of the vocabulary are not 0, 1, 2, ...")
+        flat, offsets = np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         keys, out, back = [], [], []
         for rows in left["rows"]:
-            for b in _unpacked(rows.as_buffer()):
+            for b in _unpacked(rows):
                 keys.append(b.column(0))
-                for text in b.column(1).to_pylist():
-                    words = split(text) if text else []
-                    out.append(b"".join([ids[w] for w in words]))
-                    back.append(b"".join([texts[w] for w in words]).decode("utf-8", "replace") if decode else None)
+                for text in b.column(1):
+                    words = split(text.as_py() or "")
+                    ids = _gather(flat, offsets, np.array([index[w] for w in words], np.int64))
+                    out.append(ids.astype("<u4").tobytes())
+                    back.append(_gather(piece_flat, piece_off, ids.astype(np.int64)).tobytes().decode("utf-8", "replace")
+                                if decode else None)
         key = pa.chunked_array(keys, keys[0].type) if keys else pa.chunked_array([], pa.int64())
         return pa.table({"key": key, "ids": pa.array(out, pa.binary()), "decoded": pa.array(back, pa.string())})
     return run
@@ -194,18 +238,11 @@ def encode(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_c
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = (docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
               .mapInArrow(_pack, "block long, rows binary").repartition(parts, "block"))
-    words = (blocks.mapInArrow(_distinct_words(spec), "block long, word string")
-             .groupBy("word").agg(F.collect_set("block").alias("blocks"))
-             .mapInArrow(_encode_words(spec), "word string, ids binary, blocks array<long>")
-             .select(F.explode("blocks").alias("block"), "word", "ids",
-                     F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("piece")))
+    words = (blocks.mapInArrow(_distinct_words(spec, parts), "bucket int, block long, words binary")
+             .groupBy("bucket").applyInArrow(_encode_bucket(spec), "block long, kind string, data binary"))
     if decode:
-        held = blocks.groupBy(F.lit(1)).agg(F.collect_set("block").alias("blocks"))
-        pieces = (piece_table(spark, spec).withColumn("one", F.lit(1))
-                  .join(F.broadcast(held.toDF("one", "blocks")), "one")
-                  .select(F.explode("blocks").alias("block"), F.lit(None).cast("string").alias("word"),
-                          F.lit(None).cast("binary").alias("ids"), "id", "piece"))
-        words = words.unionByName(pieces)
+        words = words.unionByName(blocks.select("block", F.lit("pieces").alias("kind"),
+                                                F.lit(_packed([piece_batch(spec)])).alias("data")))
     return (blocks.groupBy("block").cogroup(words.groupBy("block"))
             .applyInArrow(_place(spec, decode), "key long, ids binary, decoded string"))
 
@@ -217,7 +254,8 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, key_col: str = "key", id
     must be unique; an unknown id raises.
     """
     spark = encoded.sparkSession
-    pieces = piece_table(spark, read_tokenizer(tokenizer_path)).withColumn("piece", F.hex("piece"))
+    pieces = spark.createDataFrame(pa.Table.from_batches([piece_batch(read_tokenizer(tokenizer_path))])).withColumn(
+        "piece", F.hex("piece"))
     placed = (encoded.select(F.col(key_col).alias("key"), F.posexplode_outer(ids_col).alias("pos", "id"))
               .join(F.broadcast(pieces), "id", "left")
               .withColumn("piece", F.when(F.col("id").isNotNull() & F.col("piece").isNull(),

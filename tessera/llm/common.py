@@ -185,3 +185,28 @@ def training_sample(labels: DataFrame, label_col: str, key_col: str, per_class:
 def held_out(key_col: str):
     """Whether a row belongs to the test fold; rows without a key do not."""
     return F.coalesce(F.crc32(F.col(key_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+BITS = 1 << 24
+
+
+def bit_table(df: DataFrame, column: str) -> bytes:
+    """A table of ``BITS`` bits in which the values of a long column are set.
+
+    At most BITS / 64 rows reach the driver, whatever the input.  A test
+    against it (:func:`maybe_in`) can say yes wrongly, never no.
+    """
+    slot = F.pmod(F.col(column), F.lit(BITS))
+    rows = df.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits")
+    ).collect()
+    table = np.zeros(BITS // 64, np.int64)
+    for r in rows:
+        table[r["word"]] = r["bits"]
+    return table.tobytes()
+
+
+def maybe_in(table: bytes, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit ``values`` may be among those of :func:`bit_table`."""
+    slot = values & _U(BITS - 1)
+    return (np.frombuffer(table, _U)[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) > 0

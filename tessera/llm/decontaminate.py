@@ -12,7 +12,7 @@ of ``window`` words or more is found, without exception.  Items of m < window
 words use the hash of their whole m words, against all m-word runs.
 
 *Join.*  Benchmark fingerprints set bits in a table of fixed size
-(``BITS`` = 2**22, 512 KB), the only thing sent to the tasks.  It can let too
+(2**24 bits), the only thing sent to the tasks.  It can let too
 much pass, never too little.  Document windows whose fingerprint may occur
 become rows, and an equi-join on (fingerprint, window words) with the
 benchmark's distinct windows confirms them word for word.  The hits extend to
@@ -32,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, byte_class, ngram_hashes, row_groups, saved, signed, text_buffer
+from .common import ASCII_LOWER, Words, bit_table, byte_class, maybe_in, ngram_hashes, row_groups, saved, signed, text_buffer
 
 WINDOW = 10
 K = 5
-BITS = 1 << 22
 IS_WORD = byte_class(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 
 _FOUND = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("start", pa.int32()),
@@ -65,16 +64,15 @@ def _texts(words: Words, starts: np.ndarray, m: int) -> list[str]:
             for s in starts.tolist()]
 
 
-def _scan(lengths: list[int], bits: bytes | None, window: int):
+def _scan(lengths: list[int], table: bytes | None, window: int):
     """Task: rows (key, text) -> one row per text, then its candidate windows.
 
-    Without ``bits`` every window of the text's own length class is kept
-    (the benchmark side); with ``bits`` those that may occur there.
+    Without ``table`` every window of the text's own length class is kept
+    (the benchmark side); with ``table`` those that may occur there.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         uid = (TaskContext.get().partitionId()) << 36
-        table = None if bits is None else np.frombuffer(bits, np.uint8)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             keys = batch.column(0)
@@ -93,8 +91,7 @@ def _scan(lengths: list[int], bits: bytes | None, window: int):
                     if table is None:
                         keep = count[w.row[start]] >= window if m == window else count[w.row[start]] == m
                     else:
-                        slot = fp % np.uint64(BITS)
-                        keep = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        keep = maybe_in(table, fp)
                     start, fp = start[keep], fp[keep]
                     for c in range(0, len(start), 20_000):
                         s, r = start[c:c + 20_000], w.row[start[c:c + 20_000]]
@@ -116,17 +113,6 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return rows.where("fp is not null").groupBy("len", "fp", "win").agg(F.collect_set("key").alias("items"))
 
 
-def _bit_table(windows: DataFrame) -> bytes:
-    """Bits of all fingerprints; at most BITS / 8 rows reach the driver, whatever the benchmark."""
-    slot = F.pmod(F.col("fp"), F.lit(BITS))  # BITS divides 2**64: signed and unsigned agree
-    rows = windows.groupBy(F.shiftright(slot, 3).alias("byte")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(slot, F.lit(8)).cast("int"))).alias("bits")).collect()
-    table = np.zeros(BITS // 8, np.uint8)
-    for r in rows:
-        table[r["byte"]] = r["bits"]
-    return table.tobytes()
-
-
 def covered(spans: str) -> Column:
     """Number of positions inside the union of ``array<struct<start, stop>>``."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("stop"))
@@ -145,7 +131,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key_col: str = "do
     wanted; here all confirmed windows as start/stop) and ``items`` (ids found)."""
     items = saved(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     lengths = [r[0] for r in items.select("len").distinct().collect()]  # at most `window` values
-    scan = _scan(sorted(lengths), _bit_table(items), window)
+    scan = _scan(sorted(lengths), bit_table(items, "fp"), window)
     rows = saved(docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         scan, _FOUND_SQL), "candidates")
     hits = (rows.where("fp is not null").join(items, ["fp", "win", "len"])

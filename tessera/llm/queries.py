@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, toxicity
+from . import bpe, decontaminate, jaccard, lines, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -42,6 +42,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(read_table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+        F.col("component").alias("component_id"))
+
+
 @_query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_file())
