@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lines, repeats, toxicity
+from . import bpe, decontaminate, jaccard, lines, pii, quality, repeats, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -42,6 +42,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+@_query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of the plain detectors; ``n_disguised`` counts the spans that deobfuscation adds."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+              for c in ("plain", "spans")}
+
+    def count(kind: str):
+        return F.size(F.filter("plain", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("key").alias("doc_id"), *[count(k) for k in pii.KINDS],
+                        F.sha2(joined["plain"], 256).alias("base_sha256"), joined["spans"].alias("spans"),
+                        (F.size("spans") - F.size("plain")).cast("long").alias("n_disguised"))
+
+
 @_query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(read_table(spark, sf_dir, "documents")).select(
@@ -58,6 +72,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @_query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
