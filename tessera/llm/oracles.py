@@ -21,6 +21,39 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS t
 FROM d LEFT JOIN k USING (uid)
 """
 
+ORACLES["op8_preferences"] = r"""
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn,
+         replace(replace(coalesce(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS role,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i,
+         '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body
+  FROM t),
+n AS (
+  SELECT pair_id, count(*) FILTER (WHERE side = 0) AS n_chosen, count(*) FILTER (WHERE side = 1) AS n_rejected
+  FROM r GROUP BY pair_id),
+d AS (
+  SELECT a.pair_id, min(a.i) AS first_other FROM r a JOIN r b
+    ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1
+  WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),
+c AS (
+  SELECT n.*, coalesce(first_other - 1, least(n_chosen, n_rejected)) AS n_common FROM n LEFT JOIN d USING (pair_id)),
+x AS (
+  SELECT r.*, n_common, head || body || chr(10) AS shown,
+         length(head) || ':0,' || length(body) || ':' || CAST(role = 'assistant' AS INT) || ',1:0' AS mask
+  FROM r JOIN c USING (pair_id))
+SELECT c.pair_id, CAST(c.n_common AS BIGINT) AS n_common, CAST(n_chosen AS BIGINT) AS n_chosen,
+       CAST(n_rejected AS BIGINT) AS n_rejected,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 0 AND i <= x.n_common), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 0 AND i > x.n_common), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE side = 1 AND i > x.n_common), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE side = 0 AND i > x.n_common), '') AS chosen_mask,
+       coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE side = 1 AND i > x.n_common), '') AS rejected_mask
+FROM c JOIN x USING (pair_id) GROUP BY c.pair_id, c.n_common, n_chosen, n_rejected
+"""
+
 ORACLES["op10_decontaminate"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS uid, doc_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lines, pii, quality, repeats, toxicity
+from . import ann, bpe, chat, decontaminate, jaccard, lines, pii, quality, repeats, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -81,6 +81,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@_query
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(rows, 5), rows.where("vec_id % 50 = 0"), 5)
+
+
+@_query
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are pair n; the even one is the chosen."""
+    turns = read_table(spark, sf_dir, "conversations")
+    pair = F.shiftright("conv_id", 1)
+    pairs = turns.where("conv_id is not null").select(pair.alias("pair_id")).distinct().select(
+        "pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+
+    def text(c: str):
+        return F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["length"], r["trained"].cast("int"))), ",").alias(c)
+    return chat.format_preferences(turns, pairs).select(
+        "pair_id", "n_common", "n_chosen", "n_rejected", "prompt", "chosen", "rejected", text("chosen_mask"),
+        text("rejected_mask"))
+
+
 @_query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
