@@ -99,7 +99,7 @@ _HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухѵԁԛ
     zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιναρκ", "ABEZHIKMNOPTYXoivapk"))
 #: Letters that stand for a digit between two digits (fixed values).
 _BETWEEN_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1", "З": "3"}
-_BETWEEN = re.compile("(?<=[0-9])[OoIlЗ](?=[0-9])")
+_BETWEEN = re.compile("(?<=[0-9])[OoIlЗ](?=-?[0-9])")
 _INVISIBLE = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 
 

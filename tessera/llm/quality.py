@@ -161,23 +161,26 @@ def _shallow_tree(g: np.ndarray, h: np.ndarray, leaves: int = 4) -> np.ndarray:
 
 
 def _grid_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
-    """Tree over a grid: one cut of either axis, then the best cut of the other axis in each half."""
+    """Tree over a grid: the cut of either axis that, with the best cut of the other axis in each half, gains most."""
     best, out = -1.0, np.zeros(g.shape)
     for axis in (0, 1):
         gs, hs = (g, h) if axis == 0 else (g.T, h.T)
-        _, k = _best_cut(gs.sum(1), hs.sum(1))
-        if k < 0:
+        # Sums of [first rows or last rows] x [first columns], for every pair of cuts.
+        gq, hq = np.cumsum(np.cumsum(gs, 0), 1), np.cumsum(np.cumsum(hs, 0), 1)
+        halves = [(gq[:-1], hq[:-1]), (gq[-1] - gq[:-1], hq[-1] - hq[:-1])]
+        if not len(halves[0][0]):
             continue
-        table, total = np.zeros(gs.shape), 0.0
-        for half in (slice(0, k + 1), slice(k + 1, None)):
-            a, b = gs[half].sum(0), hs[half].sum(0)
-            _, c = _best_cut(a, b)
-            for part in ([slice(0, c + 1), slice(c + 1, None)] if c >= 0 else [slice(None)]):
-                s, t = a[part].sum(), b[part].sum()
-                table[half, part] = -s / (t + 1)
-                total += s**2 / (t + 1)
-        if total > best:
-            best, out = total, table if axis == 0 else table.T
+        gains = [a[:, :-1]**2 / (b[:, :-1] + 1) + (a[:, -1:] - a[:, :-1])**2 / (b[:, -1:] - b[:, :-1] + 1)
+                 if a.shape[1] > 1 else a**2 / (b + 1) for a, b in halves]
+        total = gains[0].max(1) + gains[1].max(1)
+        k = int(total.argmax())
+        if total[k] > best:
+            best, table = float(total[k]), np.zeros(gs.shape)
+            for half, gain in zip((slice(0, k + 1), slice(k + 1, None)), gains):
+                c = int(gain[k].argmax()) + 1
+                for part in (slice(0, c), slice(c, None)):
+                    table[half, part] = -gs[half, part].sum() / (hs[half, part].sum() + 1)
+            out = table if axis == 0 else table.T
     return out, best
 
 
