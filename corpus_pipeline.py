@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, decontaminate, jaccard, lines, toxicity
 from tessera.llm.common import read_table, saved
 from tessera.llm.queries import tokenizer_file
 
@@ -19,14 +19,36 @@ from tessera.llm.queries import tokenizer_file
 ORACLE_SQL = None
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger, trained on the labelled ones, scores below 1/2."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many sites share."""
+    clean = lines.remove_boilerplate(docs).select(*docs.columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by word-shingle similarity of 3/4 or more."""
+    return jaccard.deduplicate(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no 10-word passage with the benchmark."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every kept document, with the text that they decode to."""
+    """Token ids of every kept document (little-endian unsigned 32-bit), and the text that they decode to."""
     coded = bpe.encode(docs, tokenizer_file())
     return coded.select(F.col("key").alias("doc_id"), F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                         "ids", "decoded")
 
 
-STAGES: list = [("encode", encode_bpe)]
+STAGES = [("toxicity", reject_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_near),
+          ("decontaminate", decontaminate_benchmark), ("encode", encode_bpe)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

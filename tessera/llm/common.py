@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -160,9 +160,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def row_key(*columns: str):
-    """A key that equal rows share: for joining back what is a function of the row."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def row_hash(key_col: str, text_col: str) -> Column:
+    """A hash that equal documents share, for joining back what follows from key and text."""
+    return F.xxhash64(F.col(key_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def training_sample(labels: DataFrame, label_col: str, key_col: str, per_class: int) -> DataFrame:

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, bit_table, byte_class, maybe_in, ngram_hashes, row_groups, saved, signed, text_buffer
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, ngram_hashes, row_groups, row_hash, saved,
+                     signed, text_buffer)
 
 WINDOW = 10
 K = 5
@@ -142,3 +143,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key_col: str = "do
             .select("key", "n_words", F.coalesce(covered("spans"), F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
                     F.coalesce("items", F.array().cast("array<long>")).alias("items")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without an occurrence of a benchmark window, with all their columns."""
+    hashed = docs.withColumn("row__", row_hash(key_col, text_col))
+    found = find_contamination(hashed.select("row__", text_col), benchmark, "row__", text_col, item_col, item_text_col,
+                               window)
+    return hashed.join(found.where("n_hit > 0").select(F.col("key").alias("row__")), "row__", "left_anti").select(
+        *docs.columns)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, mix, ngram_hashes, row_groups, saved, signed,
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
                      text_buffer)
 from .graph import components
 
@@ -77,11 +77,11 @@ def _sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarr
         yield lo, hi, list(shingle_sets(w, hi - lo, k))
 
 
-_POINT_SQL = "key long, n int, point long, slot int, docs long"
+_POINT_SQL = "key long, row long, n int, point long, slot int, docs long"
 
 
 def _points(k: int):
-    """Rows (key, text) -> one row per text, and the task's document counts by slot."""
+    """Rows (key, text, row) -> one row per text, and the task's document counts by slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -89,16 +89,17 @@ def _points(k: int):
                 for s in sets:
                     np.add.at(counts, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
+                     pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([_digest(s) for s in sets], pa.int64()), pa.nulls(hi - lo, pa.int32()),
-                     pa.nulls(hi - lo, pa.int64())], ["key", "n", "point", "slot", "docs"])
+                     pa.nulls(hi - lo, pa.int64())], ["key", "row", "n", "point", "slot", "docs"])
         full = np.flatnonzero(counts)
         for i in range(0, len(full), 1 << 16):
             part = full[i:i + (1 << 16)]
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, pa.nulls(len(part), pa.int32()), none, pa.array(part.astype(np.int32)), pa.array(counts[part])],
-                ["key", "n", "point", "slot", "docs"])
+                [none, none, pa.nulls(len(part), pa.int32()), none, pa.array(part.astype(np.int32)),
+                 pa.array(counts[part])], ["key", "row", "n", "point", "slot", "docs"])
     return run
 
 
@@ -211,16 +212,33 @@ def _open(cells: DataFrame) -> DataFrame:
     return saved(cells.join(live.select("pivot", "band"), ["pivot", "band"], "left_semi"), "open-cells")
 
 
+def _rooted(docs: DataFrame, key_col: str, text_col: str, k: int) -> DataFrame:
+    """One row per document row: ``key``, ``row`` (hash of key and text), ``n`` and
+    ``root`` (equal in a component; null for a text without shingles)."""
+    texts = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    first = saved(texts.withColumn("row", row_hash("key", "text")).mapInArrow(_points(k), _POINT_SQL), "points")
+    roots = components(links(texts, _pivot_order(first), k)).withColumnRenamed("id", "point")
+    rows = first.where("slot is null").join(roots, "point", "left")
+    return saved(rows.select("key", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "point")).alias("root")),
+                 "rooted")
+
+
 def group(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per document row: ``key``, ``n`` (size of its set), ``component``
     (least key reachable by links; its own without links)."""
-    texts = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    first = saved(texts.mapInArrow(_points(k), _POINT_SQL), "points")
-    rows = first.where("slot is null").select("key", "n", "point")
-    roots = components(links(texts, _pivot_order(first), k))
-    rows = rows.join(roots.withColumnRenamed("id", "point"), "point", "left").withColumn(
-        "root", F.when(F.col("n") > 0, F.coalesce("root", "point")))
-    rows = saved(rows.select("key", "n", "root"), "rooted")
+    rows = _rooted(docs, key_col, text_col, k)
     least = rows.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
     linked = rows.where("n > 0").join(least, "root").select("key", "n", F.col("least").alias("component"))
     return linked.unionByName(rows.where("n = 0").select("key", "n", F.col("key").alias("component")))
+
+
+def deduplicate(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """The rows of ``docs`` of which one of each component stays: that of the least key
+    (then the least row hash; a null key comes last).  Texts without shingles all stay."""
+    rows = _rooted(docs, key_col, text_col, k)
+    first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("m"))
+    keep = first.select(F.col("m.row").alias("row__"), F.lit(True).alias("one__")).unionByName(
+        rows.where("n = 0").select(F.col("row").alias("row__"), F.lit(False).alias("one__")).distinct())
+    kept = docs.withColumn("row__", row_hash(key_col, text_col)).join(keep, "row__")
+    once = kept.where("one__").dropDuplicates(["row__"]).unionByName(kept.where("not one__"))
+    return once.select(*docs.columns)
