@@ -27,6 +27,7 @@ there are none) and there are no spans.  Repeated rows each give a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, byte_class, row_groups, saved, signed, text_buffer, training_sample
+from .common import ASCII_LOWER, Words, byte_class, mix, row_groups, saved, signed, text_buffer, training_sample
 
-PER_CLASS = 8_000
-MAX_FEATURES = 20_000
+PER_CLASS = 3_000
+MAX_FEATURES = 4_000
 HEADS = (4, 5)
 IS_WORD = byte_class(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 SIDE = 4  # words beside a featured one whose marginals are computed one by one
-SEGMENT = 64
+SEGMENT = 24
+DEPTH = 3
 
 
 @dataclass
@@ -83,9 +85,9 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for lo, hi in row_groups(offsets, 8 << 20):
             a = int(offsets[lo])
             w = Words(ASCII_LOWER[data[a:int(offsets[hi])]], offsets[lo:hi + 1] - a, IS_WORD, HEADS)
-            pairs = [np.unique(np.rec.fromarrays([h, w.row])) for h in (w.hash, *w.heads)]
-            feature = np.concatenate([p.f0 for p in pairs])
-            toxic = y[lo:hi][np.concatenate([p.f1 for p in pairs])] == 1
+            hashes, row = np.concatenate([w.hash, *w.heads]), np.tile(w.row, 1 + len(w.heads))
+            once = np.unique(mix(hashes + mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+            feature, toxic = hashes[once], y[lo:hi][row[once]] == 1
             values, inverse = np.unique(feature, return_inverse=True)
             ones = np.bincount(inverse, weights=toxic, minlength=len(values)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -113,53 +115,88 @@ def _sequences(features: np.ndarray):
     return run
 
 
-def _pick_seeds(rows: list, n_features: int, ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """Greedy cover: features that explain toxic documents not yet explained."""
-    toxic = [np.unique(r["which"]) for r in rows if r["y"] == 1]
-    docs_of: dict[int, list[int]] = {}
-    for d, fs in enumerate(toxic):
-        for f in fs.tolist():
-            docs_of.setdefault(f, []).append(d)
-    precise = ones >= 0.8 * (ones + zeros)
-    gain = np.zeros(n_features, np.int64)
-    for f, ds in docs_of.items():
-        gain[f] = len(ds) if precise[f] else 0
-    open_docs, seeds = np.ones(len(toxic), bool), []
-    while gain.size and (best := int(gain.argmax())) >= 0 and gain[best] >= max(3, 0.002 * len(toxic)):
+@dataclass
+class _Found:
+    """Featured words of the sampled documents, flat: document, word and feature of each."""
+
+    y: np.ndarray
+    n: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    which: np.ndarray
+
+    def only(self, keep: np.ndarray) -> _Found:
+        """The features with ``keep``, renumbered."""
+        ok = keep[self.which]
+        return _Found(self.y, self.n, self.doc[ok], self.at[ok], (np.cumsum(keep) - 1)[self.which[ok]])
+
+
+def _pick_seeds(found: _Found, n_features: int) -> np.ndarray:
+    """Greedy cover: features that explain toxic documents not yet explained DEPTH times."""
+    toxic = found.y[found.doc] == 1
+    pair = np.unique(found.which[toxic].astype(np.int64) << 32 | found.doc[toxic])
+    feature, doc = pair >> 32, pair & 0xFFFFFFFF
+    starts = np.searchsorted(feature, np.arange(n_features + 1))
+    order = np.argsort(doc, kind="stable")
+    by_doc = np.searchsorted(doc[order], np.arange(len(found.y) + 1))
+    gain, left, seeds = np.diff(starts), np.full(len(found.y), DEPTH), []
+    least = max(3, 0.005 * (found.y == 1).sum())
+    while gain.size and gain[best := int(gain.argmax())] >= least:
         seeds.append(best)
-        for d in docs_of[best]:
-            if open_docs[d]:
-                open_docs[d] = False
-                gain[toxic[d][precise[toxic[d]]]] -= 1
+        for d in doc[starts[best]:starts[best + 1]]:
+            left[d] -= 1
+            if left[d] == 0:
+                gain[feature[order[by_doc[d]:by_doc[d + 1]]]] -= 1
         gain[best] = 0
-    return np.array(seeds, np.int64)
-
-
-def _segments(rows: list, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.isin(np.arange(n_features), seeds)
+
+
+def _labelled(found: _Found, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which featured words are offending, and the features that mostly stand on such words."""
+    token = np.unique(found.doc.astype(np.int64) << 32 | found.at, return_inverse=True)[1]
+    hot = np.zeros(token.max(initial=-1) + 1, bool)
+    np.logical_or.at(hot, token, seed[found.which] & (found.y[found.doc] == 1))
+    label = hot[token]
+    toxic = found.y[found.doc] == 1
+    on = np.bincount(found.which, label, len(seed))
+    return label, seed | (on > 0) & (2 * on >= np.bincount(found.which, toxic, len(seed)))
+
+
+def _spans_around(spots: list[int], n: int) -> Iterator[tuple[int, int]]:
+    """Word ranges that hold the featured words ``spots`` with SIDE words on both sides."""
+    lo = hi = -1
+    for p in spots:
+        if hi >= 0 and p - SIDE < hi and p - lo < SEGMENT - SIDE:
+            hi = min(n, p + SIDE + 1)
+            continue
+        if hi >= 0:
+            yield lo, hi
+        lo, hi = max(0, p - SIDE, hi), min(n, p + SIDE + 1)
+    if hi >= 0:
+        yield lo, hi
+
+
+def _segments(found: _Found, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Training sequences: feature indexes per token (padded), labels, lengths, weights.
 
     Words next to featured ones form segments; all other words are counted as
     background segments of one shape with that many repetitions.
     """
-    is_seed = set(seeds.tolist())
-    tokens, labels, background = [], [], 0
-    for r in rows:
+    tokens, labels, background = [], [], int(found.n.sum())
+    cut = np.searchsorted(found.doc, np.arange(len(found.y) + 1))
+    for d in np.unique(found.doc).tolist():
         by: dict[int, list[int]] = {}
-        for a, f in zip(r["at"], r["which"]):
-            by.setdefault(a, []).append(f)
-        spots, used, i = sorted(by), 0, 0
-        while i < len(spots):
-            lo = max(0, spots[i] - SIDE)
-            hi = lo
-            while i < len(spots) and spots[i] <= hi + 2 * SIDE and spots[i] + SIDE < lo + SEGMENT or hi == lo:
-                hi = min(r["n"], spots[i] + SIDE + 1)
-                i += 1
-                if i >= len(spots):
-                    break
+        hot = set()
+        for i in range(cut[d], cut[d + 1]):
+            by.setdefault(int(found.at[i]), []).append(int(found.which[i]))
+            if label[i]:
+                hot.add(int(found.at[i]))
+        stop = 0
+        for lo, hi in _spans_around(sorted(by), int(found.n[d])):
+            lo = max(lo, stop)
             tokens.append([by.get(p, []) for p in range(lo, hi)])
-            labels.append([int(r["y"] == 1 and any(f in is_seed for f in by.get(p, []))) for p in range(lo, hi)])
-            used += hi - lo
-        background += max(0, r["n"] - used)
+            labels.append([int(p in hot) for p in range(lo, hi)])
+            background, stop = background - (hi - lo), hi
     tokens.append([[]] * 16)
     labels.append([0] * 16)
     n, t = len(tokens), max(map(len, tokens))
@@ -238,9 +275,9 @@ def marginals(n_words: int, at: list[int], scores: list[float], bias: float, mov
         return [], []
     move = np.exp(np.clip(moves, -30, 30))
     plain = move * np.array([1.0, np.exp(bias)])[None, :]
-    runs: dict[int, np.ndarray] = {}
+    runs: dict[int, tuple] = {}
 
-    def run(k: int) -> np.ndarray:
+    def run(k: int) -> tuple:
         """Matrix of k plain words, scaled."""
         if k not in runs:
             out, base, left = np.eye(2), plain / plain.max(), k
@@ -251,15 +288,15 @@ def marginals(n_words: int, at: list[int], scores: list[float], bias: float, mov
                 base = base @ base
                 base /= base.max()
                 left >>= 1
-            runs[k] = out
+            runs[k] = tuple(out.ravel().tolist())
         return runs[k]
     (m00, m01), (m10, m11) = move.tolist()
-    emit = [float(np.exp(np.clip(bias + special.get(p, 0.0), -30, 30))) for p in listed]
+    emit = [math.exp(min(30.0, max(-30.0, bias + special.get(p, 0.0)))) for p in listed]
     fwd, a0, a1, last = [], 1.0, 0.0, -1
     for p, e in zip(listed, emit):
         if p - last > 1:
-            r = run(p - last - 1)
-            a0, a1 = a0 * r[0, 0] + a1 * r[1, 0], a0 * r[0, 1] + a1 * r[1, 1]
+            r00, r01, r10, r11 = run(p - last - 1)
+            a0, a1 = a0 * r00 + a1 * r10, a0 * r01 + a1 * r11
         a0, a1 = a0 * m00 + a1 * m10, (a0 * m01 + a1 * m11) * e
         s = a0 + a1
         a0, a1, last = a0 / s, a1 / s, p
@@ -267,15 +304,15 @@ def marginals(n_words: int, at: list[int], scores: list[float], bias: float, mov
     out = [0.0] * len(listed)
     b0, b1, nxt = m00, m10, n_words
     if n_words - 1 - listed[-1]:
-        r = run(n_words - 1 - listed[-1])
-        b0, b1 = r[0, 0] * m00 + r[0, 1] * m10, r[1, 0] * m00 + r[1, 1] * m10
+        r00, r01, r10, r11 = run(n_words - 1 - listed[-1])
+        b0, b1 = r00 * m00 + r01 * m10, r10 * m00 + r11 * m10
     for i in range(len(listed) - 1, -1, -1):
         if i < len(listed) - 1:
             e = emit[i + 1]
             b0, b1 = m00 * b0 + m01 * e * b1, m10 * b0 + m11 * e * b1
             if (k := nxt - listed[i] - 1) > 0:
-                r = run(k)
-                b0, b1 = r[0, 0] * b0 + r[0, 1] * b1, r[1, 0] * b0 + r[1, 1] * b1
+                r00, r01, r10, r11 = run(k)
+                b0, b1 = r00 * b0 + r01 * b1, r10 * b0 + r11 * b1
             s = b0 + b1
             b0, b1 = b0 / s, b1 / s
         nxt = listed[i]
@@ -286,7 +323,7 @@ def marginals(n_words: int, at: list[int], scores: list[float], bias: float, mov
 
 def _summary(p: list[float]) -> tuple[float, float]:
     top = min(max(max(p, default=0.0), 1e-9), 1 - 1e-9)
-    return float(np.log(top / (1 - top))), float(np.log1p(sum(p)))
+    return float(np.log(top / (1 - top))), float(np.log1p(sum(x for x in p if x >= 0.1)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text",
@@ -298,26 +335,26 @@ def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: s
     classes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if len(classes) < 2:
         return Model(prior=float(classes.get(1, 0) > 0))
-    least = max(3, classes[1] // 1000)
-    found = (texts.mapInArrow(_feature_counts, "feature long, ones long, zeros long")
-             .groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-             .where((F.col("ones") >= least) & (F.col("ones") >= F.col("zeros")))
-             .orderBy(F.desc("ones"), "zeros", "feature").limit(MAX_FEATURES).toPandas())
-    feature = found["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(feature)
-    feature, ones, zeros = feature[order], found["ones"].to_numpy()[order], found["zeros"].to_numpy()[order]
-    rows = texts.mapInArrow(_sequences(feature), "y int, n long, at array<int>, which array<int>").collect()
-    seeds = _pick_seeds(rows, len(feature), ones, zeros)
+    least = max(3, classes[1] // 300)
+    counted = (texts.mapInArrow(_feature_counts, "feature long, ones long, zeros long")
+               .groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+               .where((F.col("ones") >= least) & (F.col("ones") >= 4 * F.col("zeros")))
+               .orderBy(F.desc("ones"), "zeros", "feature").limit(MAX_FEATURES).toPandas())
+    feature = np.sort(counted["feature"].to_numpy(np.int64).view(np.uint64))
+    got = texts.mapInArrow(_sequences(feature), "y int, n long, at array<int>, which array<int>").toArrow()
+    at, which = got["at"].combine_chunks(), got["which"].combine_chunks()
+    found = _Found(got["y"].to_numpy(), got["n"].to_numpy(), np.repeat(np.arange(got.num_rows), np.diff(at.offsets)),
+                   at.flatten().to_numpy(), which.flatten().to_numpy())
+    label, keep = _labelled(found, _pick_seeds(found, len(feature)))
+    label, found, feature = label[keep[found.which]], found.only(keep), feature[keep]
     model = Model(prior=classes[1] / sum(classes.values()), features=feature)
-    model.weights, model.bias, model.moves = _train(*_segments(rows, seeds), len(feature))
-    used = np.abs(model.weights) > 1e-3
-    xs, ys = [], []
-    for r in rows:
-        at, scores = _sums(r["at"], model.weights[np.asarray(r["which"], np.int64)])
-        xs.append(_summary(marginals(r["n"], at, scores, model.bias, model.moves)[1]))
-        ys.append(r["y"])
-    model.features, model.weights = feature[used], model.weights[used]
-    model.head = _logistic(np.array(xs), np.array(ys, float))
+    model.weights, model.bias, model.moves = _train(*_segments(found, label), len(feature))
+    cut, xs = np.searchsorted(found.doc, np.arange(len(found.y) + 1)), []
+    for d in range(len(found.y)):
+        own = slice(cut[d], cut[d + 1])
+        spots, scores = _sums(found.at[own], model.weights[found.which[own]])
+        xs.append(_summary(marginals(int(found.n[d]), spots, scores, model.bias, model.moves)[1]))
+    model.head = _logistic(np.array(xs), found.y.astype(float))
     return model
 
 
@@ -396,3 +433,16 @@ def _spans(data: np.ndarray, w: Words, row: int, listed: list[int], p: list[floa
 def tag(docs: DataFrame, model: Model, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``key``, ``score``, ``n_words``, ``spans`` of toxic words."""
     return docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_tag(model), _TAGGED)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagged = _tag(model)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["key", "text"])
+            low = [s < threshold for part in tagged(iter([rows])) for s in part.column(1).to_pylist()]
+            yield batch.filter(pa.array(low, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
