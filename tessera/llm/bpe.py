@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,8 +37,14 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
 WORD_BATCH = 20_000
-#: The tokenizer's word pattern (fixed value).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PACK_LEVEL = 6
+#: Letters, and other characters (neither letters, numbers nor white space), of the texts for the quick splitter.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_OTHERS = "\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+_QUICK = re.compile(f"[\x00-\x7f{_LETTERS}{_OTHERS}]*")
+#: The tokenizer's word pattern (fixed value) with its classes spelled out for these characters.
+_QUICK_WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[0-9]+| ?[^S0-9L]+|[S]+(?![^S])|[S]+".replace("S", " \t-\r").replace("L", _LETTERS))
 
 
 def read_tokenizer(path: str) -> str:
@@ -55,13 +62,22 @@ def read_tokenizer(path: str) -> str:
 
 
 def word_splitter(tokenizer_json: str) -> Callable[[str], list[str]]:
-    """Text -> its words, whose concatenation is the text; added tokens stand alone."""
-    import regex
-    words = regex.compile(WORD_PATTERN).findall
+    """Text -> its words, whose concatenation is the text; added tokens stand alone.
+
+    Texts of common Latin characters go through a pattern; in all others the
+    tokenizer library cuts the words, by its own character classes.
+    """
+    library = loaded(tokenizer_json).pre_tokenizer
+    letters = byte_letters()
+
+    def words(text: str) -> list[str]:
+        if _QUICK.fullmatch(text):
+            return _QUICK_WORDS.findall(text)
+        return [bytes([letters[c] for c in w]).decode() for w, _ in library.pre_tokenize_str(text)]
     added = sorted((t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])), key=len, reverse=True)
     if not added:
         return words
-    special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")")
+    special = re.compile("(" + "|".join(map(re.escape, added)) + ")")
 
     def split(text: str) -> list[str]:
         parts = special.split(text)
@@ -104,7 +120,8 @@ def piece_batch(tokenizer_json: str) -> pa.RecordBatch:
 
 def _packed(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(
+            compression=pa.Codec("zstd", PACK_LEVEL))) as w:
         for b in batches:
             w.write_batch(b)
     return sink.getvalue().to_pybytes()
