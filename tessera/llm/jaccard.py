@@ -11,8 +11,10 @@ sets {s}: a text is nearer than 1 to the pivots of its own shingles alone, so
 these are the regions it can lie in.  All pivots stand in one order, rare
 shingles first (by document counts over the whole corpus, in ``SLOTS`` hashed
 slots; any order is right).  A point within 1/4 of A lacks at most |A|/4 of
-its shingles, so it shares one of A's first |A|/4 + 1 pivots: a text is
-replicated to these regions, its window, and to no others.
+its shingles, so of A's first |A|/4 + s pivots it shares s: a text is
+replicated to these regions, its window (s = |A|/16 + 1), and to no others.
+Both texts of a link meet in at least min(s, s') regions, so a text that meets
+others of fitting size in fewer regions than that has no link and leaves.
 
 *Windows inside a region.*  With respect to the empty set, the triangle
 inequality bounds the sizes of linked texts (3/4 to 4/3), so regions split
@@ -20,7 +22,9 @@ into cells of one size band, and a text is replicated to the next band's cell
 only if its size and its place in the pivot order (how many of its shingles
 come before the region's) leave enough in common.
 
-*Recursion.*  In each cell the first texts become document pivots.  Their
+*Recursion.*  Every text is first compared with the cells' pivot that it meets
+most often, which joins most groups at once.  Then in each cell that still has
+texts of different components the first texts become document pivots.  Their
 exact distances to the cell's other texts give links.  Texts whose distances
 to a pivot differ by more than 1/4 cannot link and are not compared again, nor
 are texts of one component.  Pivots leave, cells with two or more components
@@ -40,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
@@ -103,15 +107,20 @@ def _points(k: int):
     return run
 
 
+def _shared(n: int) -> int:
+    """Pivots beyond a quarter in the window of a set of ``n``."""
+    return n // 16 + 1
+
+
 def _windows(order: bytes, k: int):
-    """Rows (key, text) -> point, size and the first size/4 + 1 pivots in pivot order."""
+    """Rows (key, text) -> point, size and the pivots of its window in pivot order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(order, np.uint16).astype(np.uint64) << np.uint64(48)
         for batch in batches:
             for _, _, sets in _sets_of(batch.column(1), k):
                 sets = [s for s in sets if len(s)]
                 first = [signed(s[np.argsort(rank[(s & np.uint64(SLOTS - 1)).astype(np.int64)] | (s >> np.uint64(16)),
-                                             kind="stable")[:len(s) // 4 + 1]]) for s in sets]
+                                             kind="stable")[:len(s) // 4 + _shared(len(s))]]) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array(first, pa.list_(pa.int64()))], ["point", "n", "pivots"])
@@ -140,21 +149,42 @@ def _pivot_order(counted: DataFrame) -> bytes:
     return (np.log2(counts + 1) * 512).astype(np.uint16).tobytes()
 
 
-def _cells(texts: DataFrame, order: bytes, k: int) -> DataFrame:
-    """Rows (pivot, band, home, point, n, pos) of the cells that hold possible partners."""
+def _meetings(texts: DataFrame, order: bytes, k: int) -> DataFrame:
+    """Rows (pivot, point, n, pos): a text in a region with a text of fitting size, if it meets enough of them."""
     points = texts.mapInArrow(_windows(order, k), "point long, n int, pivots array<long>").groupBy("point").agg(
         F.first("n").alias("n"), F.first("pivots").alias("pivots"))
     members = points.select("point", "n", F.posexplode("pivots").alias("pos", "pivot"))
     by_size = Window.partitionBy("pivot").orderBy("n", "point")
-    near = (members.withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
-            .where((F.col("before") * 4 >= F.col("n") * 3) | (F.col("after") * 3 <= F.col("n") * 4))
-            .drop("before", "after"))
+    me = F.struct("n", "pos")
+    rows = members.select("*", *[f(me, i).over(by_size).alias(f"{f.__name__}{i}") for f in (F.lag, F.lead) for i in (1, 2)])
+    fits = (F.col("lag1.n") * 4 >= F.col("n") * 3) | (F.col("lead1.n") * 3 <= F.col("n") * 4)
+    other = F.coalesce("lag1", "lead1")  # of two texts, the other one
+    alone = F.col("lag2").isNull() & F.col("lead2").isNull() & (F.col("lag1").isNull() | F.col("lead1").isNull())
+    before = F.floor(F.least(F.col("n"), other["n"]) / 16)  # all but the last of the meetings that count
+    near = saved(rows.where(fits & (~alone | _enough(me, other, before))).select("pivot", "point", "n", "pos"), "meetings")
+    # The partner may be smaller by a quarter; its share counts then.
+    least = F.floor(F.col("n") * 3 / 64).cast("long") + 1
+    live = near.groupBy("point").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where(F.col("met") >= least)
+    return near.join(live.select("point"), "point", "left_semi")
+
+
+def _enough(x: Column, y: Column, before: Column | None = None) -> Column:
+    """Whether texts can have enough in common that meet at these places of their
+    orders, and at ``before`` places (none if not given) earlier."""
+    rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+    return F.lit(3) * (x["n"] + y["n"]) <= F.lit(7) * (rest if before is None else rest + before)
+
+
+def _cells(meetings: DataFrame) -> DataFrame:
+    """Rows (pivot, band, home, point, n, pos, root, d): regions split by size."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int")
     edge = F.pow(F.lit(4 / 3), F.col("band") + 1)
-    near = near.withColumn("band", band)
+    rows = meetings.withColumn("band", band)
     reach = F.lit(3) * (F.col("n") + F.floor(edge - 1e-6)) <= F.lit(7) * (F.col("n") - F.col("pos"))
-    return near.withColumn("up", F.explode(F.when(reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(
-        "pivot", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("home"), "point", "n", "pos")
+    up = F.explode(F.when(reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("up", up).select(
+        "pivot", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("home"), "point", "n", "pos",
+        F.col("point").alias("root"), F.lit(None).cast("double").alias("d"))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,41 +200,47 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
     """(a, b): links between points that connect every component of the link graph."""
-    spark = texts.sparkSession
-    cells = saved(_cells(texts, order, k).withColumn("root", F.col("point")).withColumn("d", F.lit(None).cast("double")),
-                  "cells")
-    cells = _open(cells)
-    wanted = bit_table(cells.select("point").distinct(), "point")
-    sets = saved(texts.mapInArrow(_full_sets(wanted, k), "point long, set array<long>").dropDuplicates(["point"]), "sets")
-    found = spark.createDataFrame([], "a long, b long")
+    cells = _open(_cells(_meetings(texts, order, k)))
+    wanted = bit_table(cells, "point")
+    sets = saved(texts.mapInArrow(_full_sets(wanted, k), "point long, set array<long>").dropDuplicates(["point"])
+                 .join(cells.select("point").distinct(), "point", "left_semi"), "sets")
+    x, p = F.struct("n", "pos"), F.struct(F.col("p.n").alias("n"), F.col("p.pos").alias("pos"))
+    # A first link for most texts: the pivot that they meet in most cells.
+    heads = cells.where("home").groupBy("pivot", "band").agg(F.min(F.struct("n", "point", "pos")).alias("p"))
+    often = (cells.join(heads, ["pivot", "band"]).where((F.col("point") != F.col("p.point")) & _enough(x, p))
+             .groupBy("point", "p.point").agg(F.count(F.lit(1)).alias("n")).toDF("b", "a", "n"))
+    pairs = often.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    seen = saved(_compare(pairs, sets), "distances")
+    found = seen.where("linked").select("a", "b")
+    cells = _open(_relabel(cells, components(found)))
     pivots = 1
     while not cells.isEmpty():
         ranked = cells.where("home").withColumn("at", F.row_number().over(
             Window.partitionBy("pivot", "band").orderBy("n", "point"))).where(F.col("at") <= pivots)
-        chosen = ranked.select("pivot", "band", "at", *[F.col(c).alias(f"p_{c}") for c in
-                                                        ("point", "n", "pos", "root", "d")])
-        met = cells.join(chosen, ["pivot", "band"])
-        later = ~F.col("home") | (F.struct("n", "point") > F.struct("p_n", "p_point"))
-        enough = F.lit(3) * (F.col("n") + F.col("p_n")) <= F.lit(7) * F.least(
-            F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
-        apart = F.coalesce(F.abs(F.col("d") - F.col("p_d")) > 0.25 + 1e-9, F.lit(False))
-        pairs = met.where(later & enough & ~apart & (F.col("root") != F.col("p_root"))).select(
-            F.col("p_point").alias("a"), F.col("point").alias("b")).distinct()
-        seen = saved(_compare(pairs, sets), "distances")
-        found = found.unionByName(seen.where("linked").select("a", "b"))
-        roots = components(found)
-        first = chosen.where("at = 1").select("pivot", "band", F.col("p_point").alias("a"))
-        gone = ranked.select("pivot", "band", "point", F.lit(True).alias("home"))
-        rest = (cells.drop("d", "root").join(gone, ["pivot", "band", "point", "home"], "left_anti")
+        chosen = ranked.select("pivot", "band", "at", F.struct("point", "n", "pos", "root", "d").alias("p"))
+        later = ~F.col("home") | (F.struct("n", "point") > F.struct("p.n", "p.point"))
+        apart = F.coalesce(F.abs(F.col("d") - F.col("p.d")) > 0.25 + 1e-9, F.lit(False))
+        pairs = cells.join(chosen, ["pivot", "band"]).where(
+            later & _enough(x, p) & ~apart & (F.col("root") != F.col("p.root"))).select(
+            F.col("p.point").alias("a"), F.col("point").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+        now = saved(_compare(pairs, sets), "distances")
+        seen = seen.unionByName(now)
+        found = found.unionByName(now.where("linked").select("a", "b"))
+        first = chosen.where("at = 1").select("pivot", "band", F.col("p.point").alias("a"))
+        gone = ranked.select("pivot", "band", "point", "home")
+        rest = (cells.drop("d").join(gone, ["pivot", "band", "point", "home"], "left_anti")
                 .join(first, ["pivot", "band"])
-                .join(seen.select("a", F.col("b").alias("point"), "d"), ["a", "point"], "left").drop("a")
-                .join(roots.withColumnRenamed("id", "point"), "point", "left")
-                .withColumn("root", F.coalesce("root", "point")))
-        cells = _open(saved(rest.select("pivot", "band", "home", "point", "n", "pos", "root", "d"), "cells"))
+                .join(seen.select("a", F.col("b").alias("point"), "d"), ["a", "point"], "left"))
+        cells = _open(_relabel(rest, components(found)))
         pivots *= 4
     return found
 
 
+def _relabel(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    return saved(cells.drop("root").join(roots.withColumnRenamed("id", "point"), "point", "left").select(
+        "pivot", "band", "home", "point", "n", "pos", F.coalesce("root", "point").alias("root"), "d"), "cells")
+
+
 def _open(cells: DataFrame) -> DataFrame:
     """Cells with a home text and two components or more."""
     live = cells.groupBy("pivot", "band").agg(F.max("home").alias("any"), F.min("root").alias("lo"),
