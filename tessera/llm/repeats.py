@@ -148,7 +148,7 @@ def _samples(length: int, k: int):
 
 
 def _triples(length: int, k: int, wanted: bytes):
-    """Rows -> one row per run whose sample may be shared: where it is, and its names."""
+    """Rows -> one row per row and triple whose sample may be shared: where its runs start, and its names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, at, data, bounds in pieces(batch.column(2), length):
@@ -158,12 +158,18 @@ def _triples(length: int, k: int, wanted: bytes):
                     continue
                 first, last, row, core = r.first[keep], r.last[keep], r.row[keep], r.core[keep]
                 one, two = _triple(r, first, last, r.sample[keep], length)
+                order = np.lexsort((first, two, one, core, row))
+                same = [c[order] for c in (row, core, one, two)]
+                new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in same], axis=0)]))
+                begin = (first - bounds[row] + at)[order]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array(begin))
+                row, core, one, two = (c[new] for c in same)
                 where = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where),
-                     pa.array((first - bounds[row] + at).astype(np.int64)), pa.array((last - first + 1).astype(np.int32)),
+                    [batch.column(0).take(where), batch.column(1).take(where), starts,
+                     pa.array((last - first + 1)[order][new].astype(np.int32)),
                      pa.array(signed(core)), pa.array(signed(one)), pa.array(signed(two))],
-                    ["r1", "r2", "start", "size", "core", "one", "two"])
+                    ["r1", "r2", "starts", "size", "core", "one", "two"])
     return run
 
 
@@ -246,14 +252,14 @@ def _windows(length: int, part: int, wanted: bytes):
 
 
 def repeated_windows(rows: DataFrame, length: int = L) -> DataFrame:
-    """(r1, r2, start, size): runs of repeated windows of rows (r1, r2, text)."""
+    """(r1, r2, starts, size): runs of ``size`` repeated windows of rows (r1, r2, text)."""
     k = length * 5 // 8
     part = max(1, (length - k + 1) // 8)
     shared = rows.mapInArrow(_samples(length, k), "core long, n long").groupBy("core").agg(
         F.sum("n").alias("n")).where("n > 1")
     runs = saved(rows.mapInArrow(_triples(length, k, bit_table(shared, "core")),
-                                 "r1 long, r2 long, start long, size int, core long, one long, two long"), "runs")
-    names = saved(runs.groupBy("core", "one", "two").agg(F.count(F.lit(1)).alias("n")), "triples")
+                                 "r1 long, r2 long, starts array<long>, size int, core long, one long, two long"), "runs")
+    names = saved(runs.groupBy("core", "one", "two").agg(F.sum(F.size("starts")).alias("n")), "triples")
     mixed = names.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where(
         "kinds > 1 and least = 1")
     texts = rows.mapInArrow(_texts(length, k, bit_table(mixed, "core")), "one long, two long, place int, text binary")
@@ -268,26 +274,37 @@ def repeated_windows(rows: DataFrame, length: int = L) -> DataFrame:
     single = (windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi")
               .groupBy("one", "two").agg(F.collect_set("window").alias("at")))
     whole = runs.join(names.where("n > 1").select("one", "two", "core"), ["core", "one", "two"], "left_semi")
-    some = runs.join(single, ["one", "two"])
-    return whole.select("r1", "r2", "start", "size").unionByName(
-        some.select("r1", "r2", "start", F.explode("at").alias("at")).select(
-            "r1", "r2", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("size")))
+    some = runs.join(single, ["one", "two"])  # such a triple has one run
+    return whole.select("r1", "r2", "starts", "size").unionByName(
+        some.select("r1", "r2", F.transform("at", lambda x: F.element_at("starts", 1) + x).alias("starts"),
+                    F.lit(1).alias("size")))
 
 
 def _row_hash(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("second"), *columns).alias("r2")]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compresses the texts for their way through the last join."""
+    import zstandard
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(3)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["r1", "r2", "key", "packed"])
+
+
 def _cut(length: int):
-    """Rows (key, text, starts, sizes) -> key, spans removed, bytes kept."""
+    """Rows (key, packed text, runs) -> key, spans removed, bytes kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             n_bytes, spans, kept = [], [], []
             for text, runs in zip(batch.column(1), batch.column(2)):
-                data = (text.as_py() or "").encode()
+                data = unpack(text.as_py())
                 out, rest, at = [], [], 0
-                for r in sorted((r["start"], r["start"] + r["size"] - 1 + length) for r in runs.as_py() or []):
+                for r in sorted((x, x + r["size"] - 1 + length) for r in runs.as_py() or [] for x in r["starts"]):
                     if out and r[0] <= out[-1][1]:
                         out[-1][1] = max(out[-1][1], r[1])
                     else:
@@ -310,6 +327,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(*_row_hash(F.col("key"), F.col("text")), "key", "text")
     runs = repeated_windows(rows.select("r1", "r2", "text"), length).groupBy("r1", "r2").agg(
-        F.collect_set(F.struct("start", "size")).alias("runs"))
-    return rows.join(runs, ["r1", "r2"], "left").select("key", "text", "runs").mapInArrow(
+        F.collect_list(F.struct("starts", "size")).alias("runs"))
+    packed = rows.mapInArrow(_pack, "r1 long, r2 long, key long, packed binary")
+    return packed.join(runs, ["r1", "r2"], "left").select("key", "packed", "runs").mapInArrow(
         _cut(length), "key long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
