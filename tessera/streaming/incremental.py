@@ -7,7 +7,7 @@
                      (state = one row per series), complete output per trigger
                      written by ``foreachBatch``.
 
-All take a checkpoint location; with ``trigger(availableNow=True)`` a run
+All take a checkpoint location and, if wanted, a bound on the files of a trigger; with ``trigger(availableNow=True)`` a run
 processes what has arrived and stops, so the same code serves backfills and
 schedules.
 """
@@ -43,8 +43,8 @@ def read_jsonl_stream(spark: SparkSession, path: str, schema: T.StructType | str
 
 def stream_split(spark: SparkSession, source: str, schema, key_cols, sink: str, checkpoint: str,
                  train_split: float = 0.8, seed: int = 42, text_field: str = "text",
-                 available_now: bool = True):
-    docs = read_jsonl_stream(spark, source, schema, max_files_per_trigger=2)
+                 available_now: bool = True, max_files_per_trigger: int | None = None):
+    docs = read_jsonl_stream(spark, source, schema, max_files_per_trigger)
     out = (docs.withColumn(text_field, F.coalesce(F.col(text_field),
                                                   F.raise_error(F.lit(f"record without '{text_field}'"))))
            .withColumn("split", hash_split(key_cols, train_split, seed)))
@@ -55,8 +55,9 @@ def stream_split(spark: SparkSession, source: str, schema, key_cols, sink: str,
 
 
 def stream_encode(spark: SparkSession, source: str, schema, model: SubwordModel, key_cols, sink: str,
-                  checkpoint: str, eos_id: int | None = None, available_now: bool = True):
-    docs = read_jsonl_stream(spark, source, schema, max_files_per_trigger=2)
+                  checkpoint: str, eos_id: int | None = None, available_now: bool = True,
+                  max_files_per_trigger: int | None = None):
+    docs = read_jsonl_stream(spark, source, schema, max_files_per_trigger)
     enc = encode_subword(docs, model, key_cols, eos_id=eos_id)
     w = (enc.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append"))
@@ -65,8 +66,8 @@ def stream_encode(spark: SparkSession, source: str, schema, model: SubwordModel,
 
 def stream_metrics(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                    series: str = "series", value: str = "loss", order=("ts", "event_id"),
-                   available_now: bool = True):
-    pts = read_jsonl_stream(spark, source, schema, max_files_per_trigger=2)
+                   available_now: bool = True, max_files_per_trigger: int | None = None):
+    pts = read_jsonl_stream(spark, source, schema, max_files_per_trigger)
     key = F.struct(*[F.col(o) for o in order])
     state = pts.groupBy(series).agg(F.min(value).alias("best"), F.max_by(value, key).alias("current"),
                                     F.count(value).alias("points"))
