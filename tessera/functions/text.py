@@ -17,18 +17,17 @@ from pyspark.sql import types as T
 from ..errors import ConfigError
 
 # --- fixed values: pre-tokeniser patterns -----------------------------------
-# "whitespace": runs of word characters, or runs of other non-space characters.
-# Word class spelled out with Unicode properties so Spark (Java) and DuckDB
-# (RE2) read it the same way.
-WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
-PATTERN_WHITESPACE = rf"[{WORD}]+|[^{WORD}\s]+"
+# "whitespace": runs of word characters, or runs of other non-space characters,
+# by the Unicode definitions of both classes.
+PATTERN_WHITESPACE = r"(?U)\w+|[^\w\s]+"
 # "digits": runs of digits, and runs of everything else (spaces kept).
 PATTERN_DIGITS = r"\p{N}+|[^\p{N}]+"
 # "whitespace_digits": as "whitespace", then every digit on its own.
-PATTERN_WHITESPACE_DIGITS = r"\p{N}|[\p{L}\p{M}\p{Pc}]+" + rf"|[^{WORD}\s]+"
-# "byte_level": the GPT-2 split rule, applied after a prefix space.
-PATTERN_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN_WHITESPACE_DIGITS = r"(?U)\p{N}|[\w&&[^\p{N}]]+|[^\w\s\p{N}]+"
+# "byte_level": the GPT-2 split rule, applied after a prefix space unless the text starts with one.
+PATTERN_BYTE_LEVEL = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Names of the options.
 PRE_TOKENIZERS = ("whitespace", "byte_level", "digits", "whitespace_digits")
 NORMALIZERS = ("nfc", "nfd", "nfkc", "nfkd", "lowercase", "nfc_lowercase", "none")
 
@@ -50,7 +49,8 @@ def pretokenize(c: str | Column, kind: str = "whitespace") -> Column:
     if kind == "whitespace_digits":
         return _extract(c, PATTERN_WHITESPACE_DIGITS)
     if kind == "byte_level":
-        pieces = _extract(F.concat(F.lit(" "), _col(c)), PATTERN_BYTE_LEVEL)
+        text = F.when(_col(c).startswith(" "), _col(c)).otherwise(F.concat(F.lit(" "), _col(c)))
+        pieces = _extract(text, PATTERN_BYTE_LEVEL)
         return F.transform(pieces, byte_level_chars)
     raise ConfigError(f"Unknown pre-tokenizer {kind!r}; choose one of {', '.join(PRE_TOKENIZERS)}")
 

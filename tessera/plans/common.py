@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PATTERN_WHITESPACE, pretoken_count
+from ..functions.text import pretoken_count
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -35,7 +35,16 @@ def docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- SQL fragments (DuckDB) ----------------------------------------------------------
-SQL_PRETOK = f"regexp_extract_all(text, '{PATTERN_WHITESPACE}')"
+# Classes of the pre-tokenisers for RE2, spelled out independently of the Java patterns: alphabetic characters are
+# letters, letter numbers and the circled or squared letters; word characters add marks, digits, connectors, joiners.
+_SQL_WORD = (r"\p{L}\p{Nl}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+             r"\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}")
+_SQL_SPACE = r"\t-\r\x{85}\p{Z}"
+SQL_WHITESPACE = f"[{_SQL_WORD}]+|[^{_SQL_WORD}{_SQL_SPACE}]+"
+SQL_DIGITS = r"[\p{Nd}\p{Nl}\p{No}]+|[^\p{Nd}\p{Nl}\p{No}]+"
+SQL_WHITESPACE_DIGITS = (r"\p{N}|[" + _SQL_WORD.replace(r"\p{Nl}", "").replace(r"\p{Nd}", "")
+                         + f"]+|[^{_SQL_WORD}{_SQL_SPACE}\\p{{N}}]+")
+SQL_PRETOK = f"regexp_extract_all(text, '{SQL_WHITESPACE}')"
 
 
 def sql_hash(seed, *cols: str) -> str:

@@ -7,15 +7,14 @@ import math
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (PATTERN_DIGITS, PATTERN_WHITESPACE, PATTERN_WHITESPACE_DIGITS, normalize,
-                              preview, pretokenize, short_name)
+from ..functions.text import normalize, preview, pretokenize, short_name
 from ..operators.order import with_pos
 from ..operators.slices import (merge_slices, slice_legacy, slice_random, slice_sequential, split_blocks,
                                 split_shuffled, split_stats)
 from ..session import scratch_path
 from ..sources.readers import (read_any, read_csv, read_json, read_jsonl, read_prompts, read_text,
                                require_text, text_fallback)
-from .common import SQL_PRETOK, sql_hash, table
+from .common import SQL_DIGITS, SQL_PRETOK, SQL_WHITESPACE, SQL_WHITESPACE_DIGITS, sql_hash, table
 from .registry import query
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -170,17 +169,17 @@ WITH d AS (SELECT 'docs' AS slice_key, doc_id, NULL::BIGINT AS conv_id, NULL::BI
            FROM conversations),
      b AS (SELECT 'bench' AS slice_key, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, item_id, text,
                   row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark),
-     u AS (SELECT *, 0 AS o FROM d WHERE p >= 10 AND p < 310
-           UNION ALL SELECT *, 1 FROM c WHERE p < 200
+     u AS (SELECT *, 0 AS o FROM d
+           UNION ALL SELECT *, 1 FROM c
            UNION ALL SELECT *, 2 FROM b)
 SELECT slice_key, doc_id, conv_id, turn, item_id, text,
-       CASE o WHEN 0 THEN p - 10 WHEN 1 THEN p + (SELECT count(*) FROM u WHERE o = 0)
+       CASE o WHEN 0 THEN p WHEN 1 THEN p + (SELECT count(*) FROM u WHERE o = 0)
             ELSE p + (SELECT count(*) FROM u WHERE o < 2) END AS pos
 FROM u""")
 def merge_slices_q(spark: SparkSession, sf: str):
-    d = slice_sequential(_docs(spark, sf).select("doc_id", "text"), ["doc_id"], offset=10, limit=300)
+    d = slice_sequential(_docs(spark, sf).select("doc_id", "text"), ["doc_id"])
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    c = slice_random(conv, ["conv_id", "turn"], offset=0, limit=200, seed=42)
+    c = slice_random(conv, ["conv_id", "turn"], seed=42)
     b = slice_sequential(table(spark, sf, "benchmark").select("item_id", "text"), ["item_id"])
     m = merge_slices([("docs", d), ("chat", c), ("bench", b)])
     return m.select("slice_key", "doc_id", "conv_id", "turn", "item_id", "text", "pos")
@@ -253,9 +252,9 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS t FROM documents)"
     return sql, fn
 
 
-for _name, _kind, _pat, _sep in (("pretok_whitespace", "whitespace", PATTERN_WHITESPACE, " "),
-                                 ("pretok_digits", "digits", PATTERN_DIGITS, "|"),
-                                 ("pretok_ws_digits", "whitespace_digits", PATTERN_WHITESPACE_DIGITS, " ")):
+for _name, _kind, _pat, _sep in (("pretok_whitespace", "whitespace", SQL_WHITESPACE, " "),
+                                 ("pretok_digits", "digits", SQL_DIGITS, "|"),
+                                 ("pretok_ws_digits", "whitespace_digits", SQL_WHITESPACE_DIGITS, " ")):
     _sql, _fn = _pretok_query(_kind, _pat, _sep)
     query(_name, _sql)(_fn)
 

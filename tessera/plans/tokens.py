@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PATTERN_WHITESPACE, preview
+from ..functions.text import preview
 from ..operators import encode as enc
 from ..operators import samples as smp
 from ..operators.pack import pack_stats, pack_windows
@@ -20,7 +20,7 @@ from ..operators.slices import split_shuffled
 from ..operators.vocab import (EOS_CANDIDATES, find_eos, rank_vocab, token_dtype, train_subword, vocab_stats,
                                word_counts)
 from ..session import scratch_path
-from .common import sql_hash, table
+from .common import SQL_PRETOK, sql_hash, table
 from .registry import query
 
 SPECIALS = ("<pad>", "<bos>", "</s>", "<|endoftext|>")
@@ -30,7 +30,7 @@ BATCH = 8
 CUT_ID = 4  # "cut at EOS" demonstrated with the most frequent word as the stop id
 
 # --- SQL building blocks ----------------------------------------------------------------
-_PRETOK = f"regexp_extract_all(text, '{PATTERN_WHITESPACE}')"
+_PRETOK = SQL_PRETOK
 _SQL_VOCAB = f"""
 wc AS (SELECT w AS token, count(*) AS c FROM (SELECT unnest({_PRETOK}) AS w FROM documents) GROUP BY w),
 vocab AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) - 1 + {len(SPECIALS)} AS id FROM wc
