@@ -9,10 +9,15 @@ that order through Spark at scale:
     key (Spark samples the bounds, so a hot key range is split like any other),
     sorted inside each partition, numbered locally, and the per-partition counts
     (one row per partition) give each partition its base.  The numbered frame
-    is persisted, so the count job and the final job read one execution of the
-    range exchange: its bounds are sampled once per exchange, and a lost cached
-    block is recomputed through that same shuffle dependency (same bounds, and
-    the same rows in the same sorted order, since the key is unique).
+    is written below the shared checkpoint folder, so the count job and the
+    final job read one execution of the range exchange, nothing stays cached,
+    and later reads of it are pruned to the columns they need.  Select the
+    columns that matter before the call: the exchange carries what it is given.
+
+``with_file_pos``
+    dense position in file order for a file scan, without moving any row: the
+    counts of the (file, split) pairs, one row per split, give each its base.
+    The position depends on paths and contents alone, not on the splits.
 
 ``running_sum``
     prefix sum in two levels: ``shard = pos div S`` bounds every window task to
@@ -25,11 +30,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 # Rows per shard of a two-level prefix sum: bounds one window task.
 DEFAULT_SHARD_ROWS = 1 << 20
@@ -46,10 +50,13 @@ def stable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep ``df`` for several jobs (memory, spilling to disk); lost blocks are
-    recomputed from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a fresh table below the shared checkpoint folder: computed once
+    for several jobs, safe against lost executors, and no cache outlives the call."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_pos(df: DataFrame, order: Sequence[str | Column], pos_col: str = "pos",
@@ -66,7 +73,7 @@ def with_pos(df: DataFrame, order: Sequence[str | Column], pos_col: str = "pos",
         .withColumn("_loc", F.monotonically_increasing_id()
                     - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS))
     )
-    numbered = reuse(numbered)
+    numbered = written(numbered, "numbered")
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window is bounded by the partition count
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,6 +132,20 @@ def file_order(df: DataFrame) -> DataFrame:
 FILE_ORDER = ("_file", "_block", "_row")
 
 
+def with_file_pos(scan: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """Dense 0-based position in file order of a scan with ``FILE_ORDER`` columns
+    (dropped).  Rows of one (file, split) pair are contiguous in their task, so
+    their least row number there is the pair's start."""
+    per = scan.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    # one row per split of the scan: a global window over them is bounded
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    at = F.col("_base") + F.col("_row") - F.col("_first")
+    checked = F.when(F.col("_base").isNull(), F.raise_error(F.lit("the scan changed while it was numbered"))).otherwise(at)
+    return (scan.join(bases, ["_file", "_block"], "left").withColumn(pos_col, checked.cast("long"))
+            .drop("_base", "_first", *FILE_ORDER))
+
+
 def with_group_pos(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                    pos_col: str = "gpos", global_col: str = "_gp") -> DataFrame:
     """Dense 0-based position inside each group (keeps the global position in

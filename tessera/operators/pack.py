@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from .order import reuse, running_sum, with_pos
+from .order import written, running_sum, with_pos
 
 # Upper bound of blocks per group: bounds the chain rows collected by the driver.
 DEFAULT_MAX_BLOCKS = 8192
@@ -144,7 +144,7 @@ def pack_windows(docs: DataFrame, context_length: int = 512, overhead: int = 0,
     # narrow (two longs per document), kept before filtering: the lengths are
     # computed once from the text (not again by the pushed-down filter, the
     # range sort's sampling pass and its shuffle)
-    lengths = reuse(docs.select(*groups, F.col("doc_pos").cast("long"), F.col("n_tokens").cast("long")))
+    lengths = written(docs.select(*groups, F.col("doc_pos").cast("long"), F.col("n_tokens").cast("long")))
     ne = (lengths.where(F.col("n_tokens") > 0)
           .withColumn("eff", F.col("n_tokens") + F.lit(int(overhead))))
     # dense document index per group: global dense position minus the group's first
@@ -160,7 +160,7 @@ def pack_windows(docs: DataFrame, context_length: int = 512, overhead: int = 0,
     ne = ne.withColumn("k", F.col("gpos") - F.col("_g0"))
     ne = running_sum(ne, "eff", "ce", pos_col="gpos", partition_by=groups)
     ne = ne.withColumn("cs", F.col("ce") - F.col("eff"))
-    ne = reuse(ne.select(*groups, "g_id", "gpos", "k", "doc_pos", "n_tokens", "eff", "cs", "ce"))
+    ne = written(ne.select(*groups, "g_id", "gpos", "k", "doc_pos", "n_tokens", "eff", "cs", "ce"))
 
     totals = ne.groupBy("g_id").agg(F.max("ce").alias("t"),
                                     F.count(F.lit(1)).alias("n")).collect()  # one row per group

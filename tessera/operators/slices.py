@@ -10,7 +10,7 @@ sequential by nature and is not reproduced.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ from .order import hash_key, with_pos
 
 SLICE_SEED = 42  # loaders' own seed: recipe seeds never reach slice shuffles
 BLOCK_SIZE = 10_000  # sequential split block
-SAMPLING = ("sequential", "random")
+BOUNDARY_ROWS = 100_000  # rows among which the cut of a split is looked up
+PREFIX = 3  # hex digits of the hash that locate a rank
 
 
 def _check_range(offset: int, limit: int | None) -> None:
@@ -46,10 +47,28 @@ def slice_sequential(df: DataFrame, order: Sequence[str | Column], offset: int =
 
 def slice_random(df: DataFrame, key: Sequence[str], offset: int = 0, limit: int | None = None,
                  seed: int = SLICE_SEED, pos_col: str = "pos") -> DataFrame:
-    """Shuffle everything (seeded md5 rank of ``key``), then offset and limit."""
+    """Shuffle everything (seeded md5 rank of ``key``), then offset and limit.
+
+    With a limit, counts of hash prefixes (at most 16**PREFIX rows at the
+    driver) say which prefixes the wanted ranks lie in; only their rows are
+    ordered."""
     _check_range(offset, limit)
     ranked = df.withColumn("_h", hash_key(seed, *key))
-    return _range(with_pos(ranked, ["_h", *key], pos_col), offset, limit, pos_col).drop("_h")
+    base = 0
+    if limit is not None:
+        prefix = F.substring("_h", 1, PREFIX)
+        counts = sorted(tuple(r) for r in ranked.groupBy(prefix).count().collect())
+        keep, seen = [], 0
+        for p, n in counts:
+            if seen + n <= offset:
+                base = seen + n
+            elif seen < offset + limit:
+                keep.append(p)
+            seen += n
+        if not keep:
+            return with_pos(ranked.where(F.lit(False)), ["_h", *key], pos_col).drop("_h")
+        ranked = ranked.where(prefix.between(keep[0], keep[-1]))
+    return _range(with_pos(ranked, ["_h", *key], pos_col), offset - base, limit, pos_col).drop("_h")
 
 
 def slice_legacy(df: DataFrame, order: Sequence[str | Column], key: Sequence[str], offset: int = 0,
@@ -60,18 +79,34 @@ def slice_legacy(df: DataFrame, order: Sequence[str | Column], key: Sequence[str
     return with_pos(shuffled, ["_h", *key], pos_col).drop("_h", "_seq")
 
 
+Strategy = Callable[..., DataFrame]
+_STRATEGIES: dict[str, Strategy] = {}
+
+
+def register_sampling(name: str, strategy: Strategy) -> None:
+    """A strategy is called as ``(df, order, key, offset, limit, seed)`` and returns the
+    kept rows with a dense ``pos``."""
+    _STRATEGIES[name.lower()] = strategy
+
+
+def sampling_names() -> list[str]:
+    return sorted(_STRATEGIES)
+
+
+register_sampling("sequential", lambda df, order, key, offset, limit, seed: slice_sequential(df, order, offset, limit))
+register_sampling("random", lambda df, order, key, offset, limit, seed: slice_random(df, key, offset, limit, seed))
+
+
 def apply_sampling(df: DataFrame, sampling: str, order: Sequence[str | Column], key: Sequence[str],
                    offset: int = 0, limit: int | None = None, seed: int = SLICE_SEED,
                    slice_first: bool = False) -> DataFrame:
     """Strategy choice by (lower-cased) name."""
     name = (sampling or "").lower()
-    if name == "sequential":
-        return slice_sequential(df, order, offset, limit)
-    if name == "random":
-        if slice_first:
-            return slice_legacy(df, order, key, offset, limit, seed)
-        return slice_random(df, key, offset, limit, seed)
-    raise SamplingError(f"Unknown sampling strategy {sampling!r}; available: {', '.join(SAMPLING)}")
+    if name not in _STRATEGIES:
+        raise SamplingError(f"Unknown sampling strategy {sampling!r}; available: {', '.join(sampling_names())}")
+    if name == "random" and slice_first:
+        return slice_legacy(df, order, key, offset, limit, seed)
+    return _STRATEGIES[name](df, order, key, offset, limit, seed)
 
 
 def merge_slices(slices: Sequence[tuple[str, DataFrame]], pos_col: str = "pos") -> DataFrame:
@@ -105,8 +140,9 @@ def split_shuffled(df: DataFrame, key: Sequence[str], train_split: float = 0.8,
 
     Bucketed rank selection, no global sort: rows are bucketed by the first hex
     digits of their md5 key (16^3 near-uniform buckets); one aggregate counts
-    the buckets, whole buckets fall on either side of the cut, and only the one
-    boundary bucket is ranked.
+    the buckets and whole buckets fall on either side of the cut.  The boundary
+    bucket is refined until it is small; its row at the cut makes the split a
+    plain comparison, without a shuffle of the rows.
     """
     h = df.withColumn("_h", hash_key(seed, *key))
     h = h.withColumn("_b", F.conv(F.substring("_h", 1, buckets_hex), 16, 10).cast("int"))
@@ -122,13 +158,24 @@ def split_shuffled(df: DataFrame, key: Sequence[str], train_split: float = 0.8,
         before += c
     if boundary is None:  # everything is train
         return h.withColumn(split_col, F.lit("train")).drop("_h", "_b")
-    inside = Window.partitionBy("_b").orderBy("_h", *key)
-    rank_in_b = F.row_number().over(inside) - 1
-    ranked = (h.where(F.col("_b") == boundary)
-              .withColumn(split_col, F.when(rank_in_b < need, "train").otherwise("validation")))
-    rest = (h.where(F.col("_b") != boundary)
-            .withColumn(split_col, F.when(F.col("_b") < boundary, "train").otherwise("validation")))
-    return rest.unionByName(ranked).drop("_h", "_b")
+    # Refine the boundary bucket by further hex digits until one step's rows are few, then name the cut row.
+    low = f"{boundary:0{buckets_hex}x}"
+    while need and len(low) < 32 - buckets_hex:
+        inner = h.where(F.col("_h").startswith(low))
+        step = sorted(tuple(r) for r in inner.groupBy(F.substring("_h", 1, len(low) + buckets_hex)).count().collect())
+        if sum(n for _, n in step) <= BOUNDARY_ROWS:
+            break
+        for p, n in step:
+            if n > need:
+                low = p
+                break
+            need -= n
+    cut = (h.where(F.col("_h").startswith(low)).select(F.struct("_h", *key).alias("k")).orderBy("k")
+           .limit(need + 1).collect())[-1]["k"]
+    me = F.struct("_h", *key)
+    first_out = F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name)
+                           for f in h.select(me.alias("k")).schema["k"].dataType.fields])
+    return h.withColumn(split_col, F.when(me < first_out, "train").otherwise("validation")).drop("_h", "_b")
 
 
 def split_blocks(df: DataFrame, train_split: float = 0.8, pos_col: str = "pos",

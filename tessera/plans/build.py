@@ -3,36 +3,51 @@ and pretokenize (corpus -> token store + metadata), plus their registered querie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import encode as enc
-from ..operators.order import FILE_ORDER, running_sum, with_pos
+from ..operators.order import FILE_ORDER, running_sum, with_file_pos, with_group_pos, written
 from ..operators.slices import SLICE_SEED, apply_sampling, merge_slices, split_blocks, split_shuffled
-from ..sources.readers import read_any, read_jsonl, read_parquet, resolve_hub_ref
-from ..sources.recipe import DatasetConfig, SliceConfig, dataset_config
+from ..sources.readers import read_any, read_jsonl, read_parquet, require_text, resolve_hub_ref
+from ..sources.recipe import Recipe, dataset_config, tokenizer_inputs
 from ..session import scratch_path
-from .common import table
+from ..errors import ValidationError
+from .common import SQL_WHITESPACE, sql_hash, table
 from .registry import query
 
-HELPERS = [*FILE_ORDER, "slice_ord", "pos"]
+#: Columns that the slices carry and the corpus does not; the corpus keeps its rows' place as CORPUS_POS.
+FILE_POS, CORPUS_POS = "_file_pos", "corpus_pos"
+HELPERS = ["slice_ord"]
 
 
-def load_slice(spark: SparkSession, sl: SliceConfig, mirror_root: str | None = None,
+def load_slice(spark: SparkSession, sl: Recipe, mirror_root: str | None = None,
                slice_first: bool = False, seed: int = SLICE_SEED) -> DataFrame:
     """One slice in file order, sampled; hub references resolve against a mirror root."""
     if sl.local:
-        df = read_any(spark, sl.local, with_file_order=True)
+        df = read_any(spark, sl.local, schema=sl.schema, with_file_order=True)
     else:
         if not mirror_root:
             raise ValueError("hub slices need a mirror_root (no network client)")
         path, _ = resolve_hub_ref(sl.huggingface, mirror_root)
-        df = read_parquet(spark, path, with_file_order=True)
-    return apply_sampling(df, sl.sampling, list(FILE_ORDER), list(FILE_ORDER), sl.offset or 0, sl.limit,
-                          seed, slice_first)
+        df = read_parquet(spark, path, schema=sl.schema, with_file_order=True)
+    placed = with_file_pos(df, FILE_POS)
+    if sl.sampling == "sequential":  # the file position is the order: no row moves
+        offset = sl.offset or 0
+        stop = F.lit(True) if sl.limit is None else F.col(FILE_POS) < offset + sl.limit
+        return placed.where((F.col(FILE_POS) >= offset) & stop).withColumn("pos", F.col(FILE_POS) - offset).drop(FILE_POS)
+    return apply_sampling(placed, sl.sampling, [FILE_POS], [FILE_POS], sl.offset or 0, sl.limit, seed,
+                          slice_first).drop(FILE_POS)
 
 
-def build_corpus(spark: SparkSession, cfg: DatasetConfig, out_dir: str, mirror_root: str | None = None,
+def describe_slice(sl: Recipe) -> str:
+    """One line for logs and reports: source, sampling, range."""
+    parts = [f"{sl.local or 'hub:' + sl.huggingface}", sl.sampling]
+    parts += [f"{name}={value}" for name, value in (("offset", sl.offset), ("limit", sl.limit)) if value]
+    return ", ".join(parts)
+
+
+def build_corpus(spark: SparkSession, cfg: Recipe, out_dir: str, mirror_root: str | None = None,
                  mode: str = "overwrite") -> DataFrame:
     """Write ``<out>/<name>/split=<train|validation>/*.json`` and ``stats``; returns the stats row.
 
@@ -49,7 +64,8 @@ def build_corpus(spark: SparkSession, cfg: DatasetConfig, out_dir: str, mirror_r
                              F.count(F.when(F.col("split") == "train", 1)).alias("train_records"),
                              F.count(F.when(F.col("split") == "validation", 1)).alias("validation_records"))
     target = f"{out_dir.rstrip('/')}/{cfg.name}"
-    observed.drop(*[c for c in observed.columns if c in HELPERS or c.startswith("_")]).write.mode(mode).partitionBy("split").json(target)
+    (observed.drop(*HELPERS).withColumnRenamed("pos", CORPUS_POS)
+     .write.mode(mode).partitionBy("split").json(target))
     counts = obs.get
     stats = {"dataset_name": cfg.name, "dataset_key": cfg.key, **{k: int(v) for k, v in counts.items()},
              "train_split": float(cfg.train_split), "validation_split": float(cfg.validation_split),
@@ -63,21 +79,34 @@ def build_corpus(spark: SparkSession, cfg: DatasetConfig, out_dir: str, mirror_r
 
 
 def pretokenize(spark: SparkSession, corpus_dir: str, out_dir: str, encode_fn, vocab_size: int,
-                tokenizer_name: str, eos_id: int | None, force: bool = False) -> DataFrame | None:
+                tokenizer_name: str, eos_id: int | None, force: bool = False, text_field: str = "text",
+                mode: str = "overwrite") -> DataFrame | None:
     """Encode both splits into a token store (Parquet, zstd) with offsets and a metadata row.
 
-    ``encode_fn(df) -> (doc_id, ids, n_tokens)``.  Exists guard: when the store
-    and its metadata are present and ``force`` is false nothing is done.
+    The corpus is one that ``build_corpus`` wrote; its rows are known by their
+    dense position, whatever other columns they have.  ``encode_fn(df, key)``
+    returns the ``key`` columns with ``ids`` and ``n_tokens``, one row per row.
+    Positions and offsets run per split.  As many rows must reach the store as
+    were read.  Exists guard: when the store and its metadata are present and
+    ``force`` is false nothing is done.
     """
     meta_path, store_path = f"{out_dir}/_metadata", f"{out_dir}/tokens"
     if not force and _exists(spark, f"{meta_path}/_SUCCESS") and _exists(spark, f"{store_path}/_SUCCESS"):
         return None
-    docs = read_jsonl(spark, corpus_dir, "doc_id long, text string, split string")
-    encoded = encode_fn(docs).join(docs.select("doc_id", "split"), "doc_id")
-    ordered = with_pos(encoded, ["split", "doc_id"], "doc_pos")
-    store = running_sum(ordered, "n_tokens", "end", pos_col="doc_pos", partition_by=["split"])
-    store = store.withColumn("start", F.col("end") - F.col("n_tokens"))
-    store.write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(store_path)
+    docs = require_text(read_jsonl(spark, corpus_dir, f"{CORPUS_POS} long, `{text_field}` string, split string"),
+                        text_field)
+    read = Observation("rows_read")
+    docs = docs.withColumnRenamed(text_field, "text").select(
+        "split", F.coalesce(CORPUS_POS, F.raise_error(F.lit(f"record without '{CORPUS_POS}'"))).alias(CORPUS_POS), "text")
+    encoded = written(encode_fn(docs.observe(read, F.count(F.lit(1)).alias("n")), ["split", CORPUS_POS]), "encoded")
+    sizes = with_group_pos(encoded.select("split", CORPUS_POS, "n_tokens"), ["split"], [CORPUS_POS], "doc_pos").drop("_gp")
+    sizes = running_sum(sizes, "n_tokens", "end", pos_col="doc_pos", partition_by=["split"])
+    placed = sizes.select("split", CORPUS_POS, "doc_pos", "end", (F.col("end") - F.col("n_tokens")).alias("start"))
+    store = encoded.join(placed, ["split", CORPUS_POS])
+    store.write.mode(mode).option("compression", "zstd").partitionBy("split").parquet(store_path)
+    kept, had = spark.read.parquet(store_path).count(), read.get["n"]
+    if kept != had:
+        raise ValidationError(f"{had} rows were read from {corpus_dir}, {kept} reached the token store")
     from .tokens import token_metadata
     meta = token_metadata(spark.read.parquet(store_path), vocab_size, tokenizer_name, eos_id, "corpus", "corpus")
     meta.coalesce(1).write.mode("overwrite").json(meta_path)
@@ -101,14 +130,15 @@ def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, sample
     from ..operators.vocab import train_subword, train_unigram, vocab_stats, word_counts
     from ..sources.readers import read_text, text_fallback
     frames = []
-    for path in cfg.inputs():
+    for path in tokenizer_inputs(cfg):
         name = path.rstrip("/").rsplit("/", 1)[-1].lower()
         if name.endswith((".jsonl", ".json")) or "." not in name:
-            df = read_any(spark, path) if "." in name else read_jsonl(spark, path)
+            df = read_any(spark, path, with_file_order=True) if "." in name else read_jsonl(
+                spark, path, with_file_order=True)
             df = text_fallback(df, (cfg.text_field, "content", "body"))
         else:
-            df = read_text(spark, path).withColumnRenamed("value", "text")
-        frames.append(df.select(F.col("text").alias("text")))
+            df = read_text(spark, path, with_file_order=True).withColumnRenamed("value", "text")
+        frames.append(df.select("text", F.lit(len(frames)).alias("_source"), *FILE_ORDER))
     texts = frames[0]
     for f in frames[1:]:
         texts = texts.unionByName(f)
@@ -119,10 +149,12 @@ def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, sample
     else:
         model = train_subword(counts, cfg.vocab_size, cfg.min_frequency, cfg.special_tokens, kind=cfg.type)
     if out_dir:
-        model.save(spark, f"{out_dir.rstrip('/')}/{cfg.name}", training_config=cfg.__dict__)
+        model.save(spark, f"{out_dir.rstrip('/')}/{cfg.name}", training_config=cfg.as_dict())
     stats = vocab_stats(model.vocab_df(spark), cfg.special_tokens)
-    first = texts.where(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") != "").limit(samples)
-    first = first.withColumn("row_id", F.monotonically_increasing_id())
+    # the first non-blank texts in file order, fixed in a written table
+    first = texts.where(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") != "").orderBy("_source", *FILE_ORDER).limit(samples)
+    first = written(first.select("text", F.row_number().over(
+        Window.orderBy("_source", *FILE_ORDER)).cast("long").alias("row_id")), "samples")
     enc_df = enc.encode_subword(first, model, ["row_id"], pre_tokenizer=cfg.pre_tokenizer)
     report = enc_df.join(first, "row_id").select(preview("text", 100).alias("text"), "n_tokens",
                                                  F.slice("ids", 1, 20).alias("first_ids"))
@@ -130,36 +162,65 @@ def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, sample
 
 
 # --- registered queries ---------------------------------------------------------------------
-DOCS_LIMIT, CONV_LIMIT = 600, 300
+_SQL_CORPUS = f"""
+WITH u AS (
+  SELECT 0 AS o, row_number() OVER (ORDER BY doc_id) - 1 AS p, text FROM documents
+  UNION ALL
+  SELECT 1, row_number() OVER (ORDER BY {sql_hash(42, "f")}, f) - 1, text
+  FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS f, text FROM conversations)
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY item_id) - 1, text FROM benchmark),
+m AS (
+  SELECT o, p, text, row_number() OVER (ORDER BY o, p) - 1 AS pos, count(*) OVER () AS n FROM u),
+corpus AS (
+  SELECT pos, text, CASE WHEN row_number() OVER (ORDER BY {sql_hash(42, "o", "pos")}, o, pos) - 1
+                              < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM m)"""
 
 
-@query("corpus_build", f"""
-WITH n AS (SELECT least((SELECT count(*) FROM documents), {DOCS_LIMIT})
-                + least((SELECT count(*) FROM conversations), {CONV_LIMIT})
-                + (SELECT count(*) FROM benchmark) AS total)
-SELECT 'mix' AS dataset_name, 'mix-v1' AS dataset_key, total AS total_records,
-       CAST(floor(total * 0.8::DOUBLE) AS BIGINT) AS train_records,
-       total - CAST(floor(total * 0.8::DOUBLE) AS BIGINT) AS validation_records,
-       0.8::DOUBLE AS train_split, 0.2::DOUBLE AS validation_split, 3 AS num_slices FROM n""")
-def corpus_build(spark: SparkSession, sf: str):
-    """A three-slice recipe (JSONL documents, Parquet conversations via a hub mirror,
-    JSON benchmark) built end to end; the statistics row is the result."""
+def _ordered_files(df: DataFrame, order: list[str], path: str, fmt: str) -> None:
+    """Files whose names and contents follow ``order``."""
+    getattr(df.repartitionByRange(4, *order).sortWithinPartitions(*order).write.mode("overwrite"), fmt)(path)
+
+
+def _mixed_corpus(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A three-slice recipe over whole tables (JSONL documents, Parquet conversations
+    from a hub mirror in random order, JSON-array benchmark), built end to end."""
     src = scratch_path(spark, "recipe-src")
-    table(spark, sf, "documents").select("doc_id", "text").write.mode("overwrite").json(f"{src}/docs.jsonl")
-    table(spark, sf, "conversations").select("conv_id", "turn", "text").write.mode("overwrite") \
-        .parquet(f"{src}/mirror/chat/train")
+    _ordered_files(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], f"{src}/docs.jsonl", "json")
+    _ordered_files(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"],
+                   f"{src}/mirror/chat/train", "parquet")
     b = table(spark, sf, "benchmark").select("item_id", "text")
-    n_files = max(1, -(-b.count() // 5000))  # JSON-array files of bounded size
-    (b.withColumn("_f", F.pmod(F.xxhash64("item_id"), F.lit(n_files))).groupBy("_f")
-     .agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("item_id", "text"))), ","),
-                   F.lit("]")).alias("value"))
-     .write.mode("overwrite").partitionBy("_f").text(f"{src}/bench.json"))
+    per_file = 5000  # JSON-array files of bounded size, in the order of the ids
+    part = F.lpad(F.floor(F.col("item_id") / per_file).cast("string"), 12, "0")
+    (b.groupBy(part.alias("part"))
+     .agg(F.concat(F.lit("["), F.array_join(F.transform(
+         F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: F.to_json(x)), ","), F.lit("]")).alias("value"))
+     .write.mode("overwrite").partitionBy("part").text(f"{src}/bench.json"))
     cfg = dataset_config({
         "key": "mix-v1", "name": "mix", "train_split": 0.8, "validation_split": 0.2,
-        "slices": [{"key": "docs", "local": f"{src}/docs.jsonl", "limit": DOCS_LIMIT},
-                   {"key": "chat", "huggingface": "chat", "limit": CONV_LIMIT, "sampling": "random"},
-                   {"key": "bench", "local": f"{src}/bench.json"}]})
-    return build_corpus(spark, cfg, scratch_path(spark, "corpus-out"), mirror_root=f"{src}/mirror")
+        "slices": [{"key": "docs", "local": f"{src}/docs.jsonl", "schema": "doc_id long, text string"},
+                   {"key": "chat", "huggingface": "chat", "sampling": "random"},
+                   {"key": "bench", "local": f"{src}/bench.json", "schema": "item_id long, text string"}]})
+    out = scratch_path(spark, "corpus-out")
+    stats = build_corpus(spark, cfg, out, mirror_root=f"{src}/mirror")
+    return f"{out}/mix", stats
+
+
+@query("corpus_build", _SQL_CORPUS + " SELECT pos, text, split FROM corpus")
+def corpus_build(spark: SparkSession, sf: str):
+    """The rows that the recipe's corpus holds: place, text and split."""
+    corpus, _ = _mixed_corpus(spark, sf)
+    return spark.read.schema(f"{CORPUS_POS} long, text string, split string").json(corpus).select(
+        F.col(CORPUS_POS).alias("pos"), "text", "split")
+
+
+@query("corpus_stats", _SQL_CORPUS + """
+SELECT 'mix' AS dataset_name, 'mix-v1' AS dataset_key, count(*) AS total_records,
+       count(*) FILTER (WHERE split = 'train') AS train_records,
+       count(*) FILTER (WHERE split = 'validation') AS validation_records,
+       0.8::DOUBLE AS train_split, 0.2::DOUBLE AS validation_split, 3 AS num_slices FROM corpus""")
+def corpus_stats(spark: SparkSession, sf: str):
+    """The statistics row that building the corpus returns."""
+    return _mixed_corpus(spark, sf)[1]
 
 
 @query("scan_hub_ref", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -181,20 +242,24 @@ def idempotent_write(spark: SparkSession, sf: str):
     return spark.read.parquet(path)
 
 
-@query("pretokenize_corpus")
+@query("pretokenize_corpus", _SQL_CORPUS + """
+, w AS (SELECT split, pos, len(regexp_extract_all(text, '""" + SQL_WHITESPACE + """')) + 1 AS n_tokens FROM corpus)
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY pos) - 1 AS doc_pos,
+       CAST(sum(n_tokens) OVER (PARTITION BY split ORDER BY pos) - n_tokens AS BIGINT) AS start,
+       CAST(sum(n_tokens) OVER (PARTITION BY split ORDER BY pos) AS BIGINT) AS "end" FROM w""")
 def pretokenize_corpus(spark: SparkSession, sf: str):
-    """Corpus (split JSONL) -> word-level token store + metadata; returns the metadata row."""
+    """Recipe -> corpus without ids of its own -> word-level token store; its offsets."""
     from ..operators.vocab import rank_vocab, word_counts
     from .tokens import EOS, SPECIALS
-    corpus = scratch_path(spark, "pretok-corpus")
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    split_shuffled(d, ["doc_id"], 0.8, 42).write.mode("overwrite").partitionBy("split").json(corpus)
-    vocab = rank_vocab(word_counts(d), SPECIALS)
-    n_vocab = vocab.count()
+    corpus, _ = _mixed_corpus(spark, sf)
+    vocab = rank_vocab(word_counts(spark.read.schema("text string").json(corpus)), SPECIALS)
+    vocab = written(vocab, "vocab")
     out = scratch_path(spark, "pretok-out")
-    meta = pretokenize(spark, corpus, out, lambda df: enc.encode_rank(df, vocab, eos_id=EOS), n_vocab, "words", EOS)
-    again = pretokenize(spark, corpus, out, lambda df: enc.encode_rank(df, vocab, eos_id=EOS), n_vocab, "words", EOS)
-    assert again is None  # guard: nothing redone
-    return meta
-
 
+    def encode(df: DataFrame, key: list[str]) -> DataFrame:
+        return enc.encode_rank(df, vocab, key, eos_id=EOS)
+    pretokenize(spark, corpus, out, encode, vocab.count(), "words", EOS)
+    again = pretokenize(spark, corpus, out, encode, 0, "words", EOS)
+    assert again is None  # guard: nothing redone
+    return spark.read.parquet(f"{out}/tokens").select("split", "doc_pos", F.col("start").cast("long"),
+                                                      F.col("end").cast("long"))

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eventlog as ev
-from ..operators.order import reuse, with_pos
+from ..operators.order import written, with_pos
 from ..session import scratch_path
 from ..sources.readers import latest_file, read_trace
 from .common import table
@@ -96,7 +96,7 @@ def _r(c, name):
 
 
 def _balance(spark, sf):
-    return reuse(ev.running_balance(ev.memory_deltas(events_trace(spark, sf))))
+    return written(ev.running_balance(ev.memory_deltas(events_trace(spark, sf))))
 
 
 @query("scan_trace", _w(_SQL_TRACE) + """
@@ -261,7 +261,7 @@ tl AS (SELECT b.seq, b.ts AS timestamp_us, b.ts / 1e6 AS timestamp_sec, b.total_
 
 
 def _timeline(spark, sf):
-    return reuse(ev.timeline(_balance(spark, sf), events_trace(spark, sf)))
+    return written(ev.timeline(_balance(spark, sf), events_trace(spark, sf)))
 
 
 @query("mem_timeline", _w(_SQL_TRACE, _SQL_BAL, _SQL_TL) + " SELECT * FROM tl")
