@@ -129,6 +129,20 @@ def normalize(c: str | Column, kind: str | None = "nfc") -> Column:
     return _norm(_col(c))
 
 
+def normalize_parts(c: Column, kind: str | None, keep: list[str]) -> Column:
+    """:func:`normalize` on each string of an array, except those in ``keep``."""
+    fn = _normalizer_fn(kind or "none")
+    if fn is None:
+        return c
+    fixed = frozenset(keep)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def _norm(s: pd.Series) -> pd.Series:
+        return s.map(lambda parts: None if parts is None else [p if p in fixed else fn(p) for p in parts])
+
+    return _norm(c)
+
+
 # --- previews and names --------------------------------------------------------
 def preview(c: str | Column, width: int = 100, keep: int | None = None) -> Column:
     """``text[:keep] + '...'`` when longer than ``width`` characters, else the text."""

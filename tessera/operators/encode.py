@@ -15,13 +15,16 @@ Two encoders:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_markers, pretokenize
+from ..errors import ValidationError
+from ..functions.text import clean_markers, normalize, normalize_parts, pretokenize
 from .order import running_sum, with_pos
 from .vocab import SubwordModel
 
@@ -71,24 +74,45 @@ def _unigram_encoder(model: SubwordModel):
     return encode_word
 
 
+def _wordpiece_encoder(model: SubwordModel):
+    """Longest piece first; a word with a place where no piece fits is the unknown token."""
+    ids = {t: i for i, t in enumerate(model.tokens) if t not in model.special_tokens}
+    longest = max(map(len, ids), default=0)
+    unknown = model.tokens.index(model.unk_token) if model.unk_token in model.tokens else None
+
+    def encode_word(word: str) -> list[int]:
+        out, at = [], 0
+        while at < len(word):
+            lead = model.prefix if at else ""
+            for end in range(min(len(word), at + longest), at, -1):
+                piece = ids.get(lead + word[at:end])
+                if piece is not None:
+                    break
+            else:
+                if unknown is None:
+                    raise ValueError(f"no piece for {word!r} at {at}, and the vocabulary has no unknown token")
+                return [unknown]
+            out.append(piece)
+            at = end
+        return out
+
+    return encode_word
+
+
 def _subword_encoder(model: SubwordModel):
     if model.kind == "unigram":
         return _unigram_encoder(model)
+    if model.kind == "wordpiece":
+        return _wordpiece_encoder(model)
     tokens = model.tokens
     ids = {t: i for i, t in enumerate(tokens)}
     ranks = {pair: r for r, pair in enumerate(model.merges)}
     merged_id = {}
     for a, b in model.merges:
-        t = tokens[a] + (tokens[b][len(model.prefix):] if model.prefix else tokens[b])
-        merged_id[(a, b)] = ids[t]
-    prefix = model.prefix
+        merged_id[(a, b)] = ids[tokens[a] + tokens[b]]
 
     def encode_word(word: str) -> list[int]:
-        syms = []
-        for j, ch in enumerate(word):
-            t = ch if (j == 0 or not prefix) else prefix + ch
-            if t in ids:  # characters outside the alphabet are dropped
-                syms.append(ids[t])
+        syms = [ids[ch] for ch in word if ch in ids]  # characters outside the alphabet are dropped
         while len(syms) > 1:
             best, best_r = None, None
             for p in zip(syms, syms[1:]):
@@ -120,15 +144,32 @@ def is_single_token(model: SubwordModel, text: str) -> bool:
     return len(_subword_encoder(model)(text)) == 1
 
 
+def _words(docs: DataFrame, keys: list[str], text_col: str, model: SubwordModel) -> DataFrame:
+    """Keys and ``_words``: the text's special tokens as they are, everything between
+    them normalised and pre-tokenised as the model was trained."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if not model.special_tokens:
+        return docs.select(*keys, pretokenize(normalize(text, model.normalizer), model.pre_tokenizer).alias("_words"))
+    names = sorted(model.special_tokens, key=len, reverse=True)
+    either = "|".join(re.sub(r"([^\w])", r"\\\1", t) for t in names)
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){either}|(?:(?!{either}).)+"), 0)
+    parts = normalize_parts(parts, model.normalizer, names)
+    rows = docs.select(*keys, parts.alias("_parts"))
+    special = lambda p: p.isin(names)
+    return rows.select(*keys, F.flatten(F.transform("_parts", lambda p: F.when(special(p), F.array(p)).otherwise(
+        pretokenize(p, model.pre_tokenizer)))).alias("_words"))
+
+
 def encode_subword(docs: DataFrame, model: SubwordModel, key: Sequence[str] = ("doc_id",),
-                   text_col: str = "text", pre_tokenizer: str = "whitespace",
-                   eos_id: int | None = None, cache_size: int = 200_000) -> DataFrame:
+                   text_col: str = "text", eos_id: int | None = None, cache_size: int = 200_000) -> DataFrame:
+    """``key + (ids, n_tokens)``; normaliser, pre-tokeniser and special tokens are the model's."""
     keys = list(key)
-    pre = docs.select(*keys, pretokenize(text_col, pre_tokenizer).alias("_words"))
+    pre = _words(docs, keys, text_col, model)
     key_fields = [f for f in pre.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                                         T.StructField("n_tokens", T.IntegerType())])
     encode_word = _subword_encoder(model)
+    special = {t: [i] for i, t in enumerate(model.tokens) if t in model.special_tokens}
 
     def run(batches):
         cache: dict[str, list[int]] = {}
@@ -137,7 +178,7 @@ def encode_subword(docs: DataFrame, model: SubwordModel, key: Sequence[str] = ("
             for words in pdf["_words"]:
                 doc: list[int] = []
                 for w in (words if words is not None else []):
-                    e = cache.get(w)
+                    e = special.get(w) or cache.get(w)
                     if e is None:
                         e = encode_word(w)
                         if len(cache) < cache_size:
@@ -154,6 +195,28 @@ def encode_subword(docs: DataFrame, model: SubwordModel, key: Sequence[str] = ("
     return pre.mapInPandas(run, schema)
 
 
+def document_tokens(store: DataFrame, doc_pos: int, pos_col: str = "doc_pos") -> DataFrame:
+    """The one document of a token store at ``doc_pos``; a place that it does not have is an error."""
+    found = store.where(F.col(pos_col) == int(doc_pos))
+    if doc_pos < 0 or found.isEmpty():
+        raise ValidationError(f"document {doc_pos} is outside the store of {store.count()} documents")
+    return found
+
+
+def reconcile(totals: DataFrame, stats_path: str) -> DataFrame:
+    """``split, documents, expected_documents, matches``: counts of a token store beside the
+    statistics stored with the corpus.  Without readable statistics nothing is expected."""
+    spark = totals.sparkSession
+    try:
+        row = spark.read.json(stats_path).select("train_records", "validation_records").first()
+    except AnalysisException:
+        row = None
+    pairs = [] if row is None else [("train", row[0]), ("validation", row[1])]
+    expected = spark.createDataFrame(pairs, "split string, expected_documents long")
+    return totals.select("split", "documents").join(F.broadcast(expected), "split", "left").withColumn(
+        "matches", F.col("documents") == F.col("expected_documents"))
+
+
 def token_offsets(encoded: DataFrame, order: Sequence[str] = ("doc_id",), pos_col: str = "doc_pos") -> DataFrame:
     """Dense document position and ``start``/``end`` offsets into the flat token stream."""
     ordered = with_pos(encoded, list(order), pos_col)

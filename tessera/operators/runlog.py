@@ -166,3 +166,28 @@ def weighted_draw(scored: DataFrame, group: str, item: str, score: str, temperat
     u = uniform01(seed, group, item)
     key = F.log(-F.log(u)) - F.col(score) / F.lit(float(temperature))
     return scored.groupBy(group).agg(F.min_by(item, key).alias(item))
+
+
+def recent_timing(durations: DataFrame, category: str, duration: str, order: Sequence[str],
+                  n: int = TIMING_WINDOW) -> DataFrame:
+    """``category, mean_ms``: mean of each category's last ``n`` positive durations (seconds), in milliseconds."""
+    kept = last_n(durations.where(F.col(duration) > 0), [category], order, n)
+    return kept.groupBy(category).agg((F.avg(duration) * 1000).alias("mean_ms"))
+
+
+def timing_breakdown(recent: DataFrame, category: str, total: str, compute: str, parts: Sequence[str],
+                     outside: Sequence[str]) -> DataFrame:
+    """One row from :func:`recent_timing`: ``total``, ``compute``, ``other`` (compute beyond its ``parts``) and
+    ``overhead`` (total beyond the parts and the ``outside`` categories); an absent category counts 0."""
+    def mean(names: Sequence[str]) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(category).isin(list(names)), F.col("mean_ms"))), F.lit(0.0))
+    zero = F.lit(0.0)
+    return recent.agg(mean([total]).alias("total"), mean([compute]).alias("compute"),
+                      F.greatest(zero, mean([compute]) - mean(parts)).alias("other"),
+                      F.greatest(zero, mean([total]) - mean([*parts, *outside])).alias("overhead"))
+
+
+def throughput(tokens: str | Column, time: str | Column, start_tokens: Column, start_time: Column) -> Column:
+    """Tokens a second since the session's start; 0 until time has passed."""
+    elapsed = _c(time) - start_time
+    return F.when(elapsed > 0, (_c(tokens) - start_tokens) / elapsed).otherwise(F.lit(0.0))

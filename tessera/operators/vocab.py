@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.text import normalize, pretokenize
-from .order import stable, with_pos
+from .order import stable, with_pos, written
 
 # --- fixed values: EOS names looked up at pretokenize time, in priority order --
 EOS_CANDIDATES = ("<|endoftext|>", "</s>", "<eos>", "[EOS]")
@@ -70,8 +70,29 @@ def token_dtype(vocab_size: int) -> str:
     return "uint16" if vocab_size < 2 ** 16 else "uint32"
 
 
-def offset_dtype(total_tokens: int) -> str:
-    return "uint32" if total_tokens < 2 ** 32 else "uint64"
+
+# The options as parts of the public library's tokenizer file.
+_NORMALIZER_PARTS: dict[str, dict | None] = {
+    "none": None, "nfc": {"type": "NFC"}, "nfd": {"type": "NFD"}, "nfkc": {"type": "NFKC"}, "nfkd": {"type": "NFKD"},
+    "lowercase": {"type": "Lowercase"},
+    "nfc_lowercase": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]},
+}
+_PRE_TOKENIZER_PARTS: dict[str, dict | None] = {
+    "whitespace": {"type": "Whitespace"},
+    "byte_level": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True},
+    "digits": {"type": "Digits", "individual_digits": False},
+    "whitespace_digits": {"type": "Sequence", "pretokenizers": [{"type": "Whitespace"},
+                                                                {"type": "Digits", "individual_digits": True}]},
+}
+
+
+def _option(part: dict | None, known: dict[str, dict | None], absent: str) -> str:
+    if part is None:
+        return absent
+    for name, p in known.items():
+        if p is not None and all(part.get(k) == v for k, v in p.items()):
+            return name
+    raise ConfigError(f"unsupported part of a tokenizer file: {part}")
 
 
 # --- subword training ------------------------------------------------------------------
@@ -86,6 +107,10 @@ class SubwordModel:
     prefix: str = ""
     scores: list[float] = field(default_factory=list)  # unigram log-probabilities
     max_piece_len: int = 16
+    # what training did to a text before counting words, and what encoding therefore does too
+    normalizer: str = "none"
+    pre_tokenizer: str = "whitespace"
+    unk_token: str | None = None
 
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(zip(self.tokens, range(len(self.tokens)))), "token string, id long")
@@ -96,18 +121,23 @@ class SubwordModel:
 
     @classmethod
     def from_json(cls, art: dict) -> "SubwordModel":
-        """Load an artefact written by ``to_json`` (the public library layout)."""
+        """Load an artefact in the public library's layout, with merges as pairs or
+        as "left right" strings."""
         m = art["model"]
-        specials = [a["content"] for a in sorted(art.get("added_tokens", []), key=lambda a: a["id"])]
+        common = {"special_tokens": [a["content"] for a in sorted(art.get("added_tokens", []), key=lambda a: a["id"])],
+                  "normalizer": _option(art.get("normalizer"), _NORMALIZER_PARTS, "none"),
+                  "pre_tokenizer": _option(art.get("pre_tokenizer"), _PRE_TOKENIZER_PARTS, "whitespace")}
         if m["type"] == "Unigram":
-            return cls("unigram", [t for t, _ in m["vocab"]], special_tokens=specials,
-                       scores=[float(x) for _, x in m["vocab"]])
-        vocab = sorted(m["vocab"].items(), key=lambda kv: kv[1])
-        tokens = [t for t, _ in vocab]
-        ids = {t: i for t, i in vocab}
-        merges = [(ids[a], ids[b]) for a, b in m.get("merges", [])]
-        kind = "bpe" if m["type"] == "BPE" else "wordpiece"
-        return cls(kind, tokens, merges, specials, m.get("continuing_subword_prefix") or "")
+            return cls("unigram", [t for t, _ in m["vocab"]], scores=[float(x) for _, x in m["vocab"]],
+                       max_piece_len=max((len(t) for t, _ in m["vocab"]), default=1), **common)
+        tokens = [t for t, _ in sorted(m["vocab"].items(), key=lambda kv: kv[1])]
+        for t in common["special_tokens"]:  # added tokens may stand beside the model's vocabulary
+            if t not in m["vocab"]:
+                tokens.append(t)
+        ids = {t: i for i, t in enumerate(tokens)}
+        pairs = [tuple(x.split(" ", 1)) if isinstance(x, str) else tuple(x) for x in m.get("merges", [])]
+        return cls("bpe" if m["type"] == "BPE" else "wordpiece", tokens, [(ids[a], ids[b]) for a, b in pairs],
+                   prefix=m.get("continuing_subword_prefix") or "", unk_token=m.get("unk_token"), **common)
 
     def save(self, spark: SparkSession, path: str, training_config: dict | None = None) -> None:
         """Vocabulary (+ merges) as Parquet, the JSON artefact and training metadata as one-row JSON."""
@@ -132,10 +162,12 @@ class SubwordModel:
         vocab = {t: i for i, t in enumerate(self.tokens)}
         added = [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False,
                   "normalized": False, "special": True} for i, t in enumerate(self.special_tokens)]
+        around = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": added,
+                  "normalizer": _NORMALIZER_PARTS[self.normalizer], "post_processor": None, "decoder": None,
+                  "pre_tokenizer": _PRE_TOKENIZER_PARTS[self.pre_tokenizer]}
         if self.kind == "unigram":
-            model = {"type": "Unigram", "unk_id": None, "byte_fallback": False,
-                     "vocab": [[t, s] for t, s in zip(self.tokens, self.scores)]}
-            return {"version": "1.0", "added_tokens": added, "model": model}
+            return around | {"model": {"type": "Unigram", "unk_id": None, "byte_fallback": False,
+                                       "vocab": [[t, s] for t, s in zip(self.tokens, self.scores)]}}
         model = {"type": "BPE" if self.kind == "bpe" else "WordPiece", "vocab": vocab}
         if self.kind == "bpe":
             model.update({"dropout": None, "unk_token": None, "continuing_subword_prefix": None,
@@ -143,9 +175,9 @@ class SubwordModel:
                           "ignore_merges": False,
                           "merges": [[self.tokens[a], self.tokens[b]] for a, b in self.merges]})
         else:
-            model.update({"unk_token": "[UNK]", "continuing_subword_prefix": self.prefix,
+            model.update({"unk_token": self.unk_token or "[UNK]", "continuing_subword_prefix": self.prefix,
                           "max_input_chars_per_word": 100})
-        return {"version": "1.0", "added_tokens": added, "model": model}
+        return around | {"model": model}
 
 
 # Symbols are encoded as single characters U+10000 + id: a word is a string, a
@@ -161,9 +193,12 @@ def _sym(i: int) -> str:
 
 def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
                   special_tokens: Sequence[str] = (), kind: str = "bpe",
-                  checkpoint_every: int = 50, batch_candidates: int = 64) -> SubwordModel:
+                  checkpoint_every: int = 50, batch_candidates: int = 64, normalizer: str = "none",
+                  pre_tokenizer: str = "whitespace") -> SubwordModel:
     """Train BPE (``kind='bpe'``) or a WordPiece vocabulary by BPE-style merges
-    with the ``##`` continuation prefix (``kind='wordpiece'``).
+    with the ``##`` continuation prefix (``kind='wordpiece'``; every character
+    also stands without the prefix).  ``normalizer`` and ``pre_tokenizer`` are
+    those that ``counts`` were made with; the model keeps them for encoding.
 
     Each round counts the pairs of adjacent symbols of every word (partial
     aggregation, so frequent pairs combine map-side) and merges the best by
@@ -186,17 +221,21 @@ def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
     chars = F.split(F.col("word"), "")
     if prefix:
         chars = F.transform(chars, lambda ch, i: F.when(i == 0, ch).otherwise(F.concat(F.lit(prefix), ch)))
+    counts = written(counts, "word-counts")
     # alphabet (bounded by the number of distinct characters), code point order
     alpha_rows = counts.select(F.explode(chars).alias("ch")).distinct().collect()
     alphabet = sorted({r["ch"] for r in alpha_rows}, key=lambda t: [ord(x) for x in t.removeprefix(prefix)]
                       + [1 if prefix and t.startswith(prefix) else 0])
+    if prefix:
+        alphabet = sorted({t.removeprefix(prefix) if len(t) > 1 else t for t in alphabet}) + [
+            t for t in alphabet if len(t) > 1 and t.startswith(prefix)]
     tokens = list(special_tokens) + [t for t in alphabet if t not in special_tokens]
     ids = {t: i for i, t in enumerate(tokens)}
     id_map = F.create_map(*[x for t in alphabet for x in (F.lit(t), F.lit(_sym(ids[t])))])
     words = counts.select(F.array_join(F.transform(chars, lambda ch: id_map[ch]), "").alias("s"),
                           F.col("count").cast("long").alias("count"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    words = stable(words.where(F.length("s") > 1).repartition(parts, "s"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    words = stable(words.where(F.length("s") > 1).repartition(partitions, "s"))
     merges: list[tuple[int, int]] = []
     floor = max(1, min_frequency)
     done = False
@@ -253,8 +292,9 @@ def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
         rounds += 1
         if rounds % checkpoint_every == 0:
             words = stable(words)  # cut lineage in the shared checkpoint directory
+    unknown = "[UNK]" if prefix and "[UNK]" in special_tokens else None
     return SubwordModel(kind=kind, tokens=tokens, merges=merges, special_tokens=list(special_tokens),
-                        prefix=prefix)
+                        prefix=prefix, normalizer=normalizer, pre_tokenizer=pre_tokenizer, unk_token=unknown)
 
 
 # --- unigram ---------------------------------------------------------------------------
@@ -281,7 +321,7 @@ def _viterbi(word: str, logp: dict, max_len: int):
 
 def train_unigram(counts: DataFrame, vocab_size: int, special_tokens: Sequence[str] = (),
                   max_piece_len: int = 16, seed_factor: int = 8, em_rounds: int = 2,
-                  shrink: float = 0.75) -> SubwordModel:
+                  shrink: float = 0.75, normalizer: str = "none", pre_tokenizer: str = "whitespace") -> SubwordModel:
     """Unigram vocabulary by hard EM (Viterbi) on the word table.
 
     Seeds: every single character plus the ``seed_factor * vocab_size`` most
@@ -297,6 +337,7 @@ def train_unigram(counts: DataFrame, vocab_size: int, special_tokens: Sequence[s
     import pandas as pd
 
     spark = counts.sparkSession
+    counts = written(counts, "word-counts")  # read by the seeds and by every round
     L = int(max_piece_len)
     subs = counts.select(F.expr(
         f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({L}, length(word) - i + 1)),"
@@ -357,4 +398,4 @@ def train_unigram(counts: DataFrame, vocab_size: int, special_tokens: Sequence[s
     tokens = list(special_tokens) + [p for p, _ in ordered if p not in special_tokens]
     scores = [0.0] * len(special_tokens) + [math.log(c / total) for p, c in ordered if p not in special_tokens]
     return SubwordModel(kind="unigram", tokens=tokens, special_tokens=list(special_tokens), scores=scores,
-                        max_piece_len=L)
+                        max_piece_len=L, normalizer=normalizer, pre_tokenizer=pre_tokenizer)

@@ -145,9 +145,11 @@ def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, sample
     counts = word_counts(texts.select(normalize("text", cfg.normalizer).alias("text")),
                          pre_tokenizer=cfg.pre_tokenizer)
     if cfg.type == "unigram":
-        model = train_unigram(counts, cfg.vocab_size, cfg.special_tokens)
+        model = train_unigram(counts, cfg.vocab_size, cfg.special_tokens, normalizer=cfg.normalizer,
+                              pre_tokenizer=cfg.pre_tokenizer)
     else:
-        model = train_subword(counts, cfg.vocab_size, cfg.min_frequency, cfg.special_tokens, kind=cfg.type)
+        model = train_subword(counts, cfg.vocab_size, cfg.min_frequency, cfg.special_tokens, kind=cfg.type,
+                              normalizer=cfg.normalizer, pre_tokenizer=cfg.pre_tokenizer)
     if out_dir:
         model.save(spark, f"{out_dir.rstrip('/')}/{cfg.name}", training_config=cfg.as_dict())
     stats = vocab_stats(model.vocab_df(spark), cfg.special_tokens)
@@ -155,9 +157,10 @@ def train_tokenizer(spark: SparkSession, cfg, out_dir: str | None = None, sample
     first = texts.where(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") != "").orderBy("_source", *FILE_ORDER).limit(samples)
     first = written(first.select("text", F.row_number().over(
         Window.orderBy("_source", *FILE_ORDER)).cast("long").alias("row_id")), "samples")
-    enc_df = enc.encode_subword(first, model, ["row_id"], pre_tokenizer=cfg.pre_tokenizer)
+    enc_df = enc.encode_subword(first, model, ["row_id"])
     report = enc_df.join(first, "row_id").select(preview("text", 100).alias("text"), "n_tokens",
-                                                 F.slice("ids", 1, 20).alias("first_ids"))
+                                                 F.slice("ids", 1, 20).alias("first_ids"),
+                                                 F.greatest(F.col("n_tokens") - 20, F.lit(0)).alias("more_ids"))
     return model, stats, report
 
 

@@ -152,9 +152,7 @@ _TIMING_EXCLUDED = ("view", "click", "purchase", "signup")
 @query("compute_only", f"""
 SELECT user_id AS step, round(sum(value), 6) AS total,
        round(sum(value) - coalesce(sum(value) FILTER (WHERE event_type IN
-             ({", ".join(f"'{c}'" for c in _TIMING_EXCLUDED)})), 0), 6) AS compute_only,
-       round(greatest(0, sum(value) - coalesce(sum(value) FILTER (WHERE event_type IN
-             ({", ".join(f"'{c}'" for c in _TIMING_EXCLUDED)})), 0)), 6) AS other
+             ({", ".join(f"'{c}'" for c in _TIMING_EXCLUDED)})), 0), 6) AS compute_only
 FROM events GROUP BY user_id""")
 def compute_only(spark: SparkSession, sf: str):
     e = table(spark, sf, "events")
@@ -162,8 +160,43 @@ def compute_only(spark: SparkSession, sf: str):
     agg = e.groupBy(F.col("user_id").alias("step")).agg(F.sum("value").alias("t"),
                                                         F.coalesce(F.sum(excl), F.lit(0.0)).alias("x"))
     co = F.col("t") - F.col("x")
-    return agg.select("step", _r("t", "total"), _r(co, "compute_only"),
-                      _r(F.greatest(F.lit(0.0), co), "other"))
+    return agg.select("step", _r("t", "total"), _r(co, "compute_only"))
+
+
+# Event types as timing categories (fixed mapping): view = whole step, click = compute, purchase and error = its
+# parts, signup = metrics, outside of compute.
+_TIMING = {"total": "view", "compute": "click", "parts": ["purchase", "error"], "outside": ["signup"]}
+
+
+@query("timing_breakdown", f"""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS i
+           FROM events WHERE value > 0),
+m AS (SELECT event_type AS c, 1000 * avg(value) AS ms FROM r WHERE i <= {rl.TIMING_WINDOW} GROUP BY 1),
+s AS (SELECT coalesce(sum(ms) FILTER (WHERE c = 'view'), 0) AS total, coalesce(sum(ms) FILTER (WHERE c = 'click'), 0)
+             AS compute, coalesce(sum(ms) FILTER (WHERE c IN ('purchase', 'error')), 0) AS parts,
+             coalesce(sum(ms) FILTER (WHERE c = 'signup'), 0) AS outside FROM m)
+SELECT round(total, 6) AS total, round(compute, 6) AS compute,
+       round(CASE WHEN compute > parts THEN compute - parts ELSE 0 END, 6) AS other,
+       round(CASE WHEN total > parts + outside THEN total - (parts + outside) ELSE 0 END, 6) AS overhead FROM s""")
+def timing_breakdown(spark: SparkSession, sf: str):
+    recent = rl.recent_timing(table(spark, sf, "events"), "event_type", "value", ORDER)
+    out = rl.timing_breakdown(recent, "event_type", **_TIMING)
+    return out.select(*[_r(c) for c in ("total", "compute", "other", "overhead")])
+
+
+@query("throughput", """
+WITH s AS (SELECT user_id, min(epoch_us(ts) / 1e6) AS t0 FROM events GROUP BY user_id),
+p AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t,
+             100 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tokens FROM events)
+SELECT event_id, round(CASE WHEN t > t0 THEN (tokens - 100) / (t - t0) ELSE 0 END, 6) AS tokens_per_sec
+FROM p JOIN s USING (user_id)""")
+def throughput(spark: SparkSession, sf: str):
+    """A session per user, 100 tokens per event: tokens a second since the session's first event."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    p = with_group_pos(e, ["user_id"], ORDER, "n").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    start = p.groupBy("user_id").agg(F.min("t").alias("t0"))
+    rate = rl.throughput((F.col("n") + 1) * 100, "t", F.lit(100), F.col("t0"))
+    return p.join(start, "user_id").select("event_id", _r(rate, "tokens_per_sec"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------

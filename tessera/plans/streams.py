@@ -10,6 +10,7 @@ from ..session import scratch_path
 from ..streaming import incremental as inc
 from .common import sql_hash, table
 from .registry import query
+from .tokens import EOS, SQL_DECODED, _bpe, decoded
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 FILES = 6
@@ -32,14 +33,13 @@ def stream_split(spark: SparkSession, sf: str):
     return spark.read.schema("doc_id long, text string, split string").json(sink).select("doc_id", "split")
 
 
-@query("stream_encode")
+@query("stream_encode", SQL_DECODED)
 def stream_encode(spark: SparkSession, sf: str):
-    from .tokens import EOS, _bpe
     model = _bpe(spark, sf)
     src = _as_files(table(spark, sf, "documents"), "stream-enc-docs", spark, "doc_id")
     sink, ckpt = scratch_path(spark, "stream-enc-out"), scratch_path(spark, "stream-enc-ckpt")
     inc.stream_encode(spark, src, DOC_SCHEMA, model, ["doc_id"], sink, ckpt, eos_id=EOS).awaitTermination()
-    return spark.read.parquet(sink).select("doc_id", "n_tokens")
+    return decoded(spark.read.parquet(sink), model, spark)
 
 
 @query("stream_metrics", """

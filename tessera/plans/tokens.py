@@ -17,10 +17,10 @@ from ..operators import encode as enc
 from ..operators import samples as smp
 from ..operators.pack import pack_stats, pack_windows
 from ..operators.slices import split_shuffled
-from ..operators.vocab import (EOS_CANDIDATES, find_eos, rank_vocab, token_dtype, train_subword, vocab_stats,
+from ..operators.vocab import (EOS_CANDIDATES, SubwordModel, find_eos, rank_vocab, token_dtype, train_subword, vocab_stats,
                                word_counts)
 from ..session import scratch_path
-from .common import SQL_PRETOK, sql_hash, table
+from .common import SQL_PRETOK, SQL_WHITESPACE, sql_hash, table
 from .registry import query
 
 SPECIALS = ("<pad>", "<bos>", "</s>", "<|endoftext|>")
@@ -451,17 +451,13 @@ def tokens_seen_q(spark: SparkSession, sf: str):
                                                F.col("real_tokens_seen").cast("long"))
 
 
-# --- subword training and encoding (no SQL oracle; checked against the library in tests) --
+# --- subword training and encoding (vocabularies are checked against the library in tests) --
 BPE_VOCAB = 256
-_MODELS: dict = {}  # trained artefacts reused by later queries of the same process
 
 
 def _bpe(spark: SparkSession, sf: str, kind: str = "bpe"):
-    key = (sf, kind, BPE_VOCAB)
-    if key not in _MODELS:
-        counts = word_counts(table(spark, sf, "documents"), normalizer="nfc")
-        _MODELS[key] = train_subword(counts, BPE_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind)
-    return _MODELS[key]
+    counts = word_counts(table(spark, sf, "documents"), normalizer="nfc")
+    return train_subword(counts, BPE_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind, normalizer="nfc")
 
 
 @query("train_bpe")
@@ -477,20 +473,30 @@ def train_wordpiece(spark: SparkSession, sf: str):
 @query("train_unigram")
 def train_unigram_q(spark: SparkSession, sf: str):
     from ..operators.vocab import train_unigram
-    key = (sf, "unigram", BPE_VOCAB)
-    if key not in _MODELS:
-        _MODELS[key] = train_unigram(word_counts(table(spark, sf, "documents"), normalizer="nfc"), BPE_VOCAB,
-                                     special_tokens=SPECIALS)
-    m = _MODELS[key]
+    m = train_unigram(word_counts(table(spark, sf, "documents"), normalizer="nfc"), BPE_VOCAB,
+                      special_tokens=SPECIALS, normalizer="nfc")
     return spark.createDataFrame(list(zip(m.tokens, range(len(m.tokens)), [float(x) for x in m.scores])),
                                  "token string, id long, score double")
 
 
-@query("encode_corpus")
+# The ids' tokens, joined, are the normalised pre-tokens, joined: every character is in the alphabet.
+SQL_DECODED = f"""SELECT doc_id, array_to_string(regexp_extract_all(nfc_normalize(text), '{SQL_WHITESPACE}'), '')
+       || '</s>' AS decoded FROM documents"""
+
+
+def decoded(encoded, model, spark: SparkSession):
+    rows = encoded.select(F.col("doc_id").alias("row_id"), "ids")
+    return enc.decode_ids(rows, model.vocab_df(spark), "ids", ["row_id"], clean=False).select(
+        F.col("row_id").alias("doc_id"), F.col("text").alias("decoded"))
+
+
+@query("encode_corpus", SQL_DECODED)
 def encode_corpus(spark: SparkSession, sf: str):
-    model = _bpe(spark, sf)
-    docs = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
-    return enc.encode_subword(docs, model, ["doc_id"], eos_id=EOS).select("doc_id", "n_tokens")
+    """Every document encoded with a saved and reloaded model, and decoded again."""
+    path = scratch_path(spark, "bpe-model")
+    _bpe(spark, sf).save(spark, path)
+    model = SubwordModel.load(spark, path)
+    return decoded(enc.encode_subword(table(spark, sf, "documents"), model, ["doc_id"], eos_id=EOS), model, spark)
 
 
 @query("token_samples")
