@@ -481,7 +481,7 @@ def train_unigram_q(spark: SparkSession, sf: str):
 
 # The ids' tokens, joined, are the normalised pre-tokens, joined: every character is in the alphabet.
 SQL_DECODED = f"""SELECT doc_id, array_to_string(regexp_extract_all(nfc_normalize(text), '{SQL_WHITESPACE}'), '')
-       || '</s>' AS decoded FROM documents"""
+       || '<|endoftext|>' AS decoded FROM documents"""
 
 
 def decoded(encoded, model, spark: SparkSession):
