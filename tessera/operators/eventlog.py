@@ -9,9 +9,8 @@ plus the memory fields ``addr``, ``bytes``, ``device`` (null when absent).
 * Free matching (as-of join): among memory events of one address in file
   order, a free matches exactly when the previous one is an allocation.
 * Running balances use the two-level prefix sum of ``order.running_sum``.
-* Active operations at an instant: interval join on time buckets (equi key) plus
-  a residual ``start <= t <= end``; operations spanning many buckets go
-  through a broadcast range join when their count is under a checked bound.
+* Active operations: a sweep in time order for counts, aligned blocks of ranks for
+  the earliest one; an interval join by levels of bucket widths where pairs are wanted.
 """
 
 from __future__ import annotations
@@ -19,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import prev_in_group, running_sum, with_pos
+from .order import prev_in_group, running_sum, with_pos, written
 
 TOP_N = 20
 MIB = 1024 * 1024
 # --- fixed values: labelled training sections looked up by name ---------------
 SECTION_NAMES = ("data_loading", "forward", "loss_computation", "backward",
                  "gradient_clipping", "optimizer_step")
-LONG_OP_BUCKETS = 64  # operations spanning more buckets go to the range join
-LONG_OP_BROADCAST_ROWS = 100_000
 
 
 def device_label(device: str | Column) -> Column:
@@ -35,11 +32,6 @@ def device_label(device: str | Column) -> Column:
     return F.when(d == -1, F.lit("CPU")).otherwise(F.concat(F.lit("GPU_"), d.cast("string")))
 
 
-def display_name(c: str | Column, width: int = 50, keep: int = 47) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.length(col) > width, F.concat(F.substring(col, 1, keep), F.lit("..."))).otherwise(col)
-
-
 def _complete(trace: DataFrame) -> DataFrame:
     return trace.where(F.col("ph") == "X")
 
@@ -208,34 +200,67 @@ def with_counters(trace: DataFrame) -> DataFrame:
 
 
 # --- interval join ------------------------------------------------------------------
-def active_ops(points: DataFrame, ops: DataFrame, min_dur: float, bucket: float | None = None) -> DataFrame:
+def active_ops(points: DataFrame, ops: DataFrame, min_dur: float, bucket: float = 1000.0) -> DataFrame:
     """Pairs (point, op) with ``start <= t <= end`` and ``end - start > min_dur``.
 
+    An operation is filed under the level whose bucket width (``bucket`` times a
+    power of two) is at least its length, so it touches two buckets at most; a
+    point looks into its bucket of every level in use.  The result has every
+    pair; :func:`activity` answers counts and the first operation without them.
     ``points``: ``pid, t``; ``ops``: ``op_index, start, end, op_name, op_cat``.
     """
-    ops = ops.where(F.col("end") - F.col("start") > F.lit(float(min_dur)))
-    if bucket is None:
-        q = ops.agg(F.percentile_approx(F.col("end") - F.col("start"), 0.5).alias("m")).first()
-        bucket = float(max(1.0, (q["m"] or 1.0)))
-    W = F.lit(float(bucket))
-    ops = ops.withColumn("_b0", F.floor(F.col("start") / W)).withColumn("_b1", F.floor(F.col("end") / W))
-    span = F.col("_b1") - F.col("_b0")
-    short = ops.where(span <= LONG_OP_BUCKETS)
-    long_ = ops.where(span > LONG_OP_BUCKETS)
-    pts = points.withColumn("_b", F.floor(F.col("t") / W))
-    ex = short.withColumn("_b", F.explode(F.sequence("_b0", "_b1")))
-    cond = (F.col("start") <= F.col("t")) & (F.col("t") <= F.col("end"))
-    j1 = pts.join(ex, "_b").where(cond)
-    n_long = long_.count()  # size check before broadcasting the long operations
-    if n_long == 0:
-        out = j1
-    elif n_long <= LONG_OP_BROADCAST_ROWS:
-        j2 = pts.join(F.broadcast(long_), cond)
-        out = j1.unionByName(j2.withColumn("_b", F.col("_b")), allowMissingColumns=True)
-    else:
-        ex2 = long_.withColumn("_b", F.explode(F.sequence("_b0", "_b1")))
-        out = j1.unionByName(pts.join(ex2, "_b").where(cond), allowMissingColumns=True)
-    return out.select("pid", "t", "op_index", "start", "end", "op_name", "op_cat")
+    length = F.col("end") - F.col("start")
+    level = F.ceil(F.log2(F.greatest(length / F.lit(float(bucket)), F.lit(1.0)))).cast("int")
+    filed = ops.where(length > F.lit(float(min_dur))).withColumn("_level", level)
+    levels = [r[0] for r in filed.select("_level").distinct().collect()]  # as many as bits of the longest length
+    width = F.lit(float(bucket)) * F.pow(F.lit(2.0), F.col("_level"))
+    filed = filed.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    asked = (points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+             .withColumn("_b", F.floor(F.col("t") / width)))
+    met = asked.join(filed, ["_level", "_b"]).where((F.col("start") <= F.col("t")) & (F.col("t") <= F.col("end")))
+    return met.select("pid", "t", "op_index", "start", "end", "op_name", "op_cat")
+
+
+def activity(points: DataFrame, ops: DataFrame, min_dur: float) -> DataFrame:
+    """``pid, n, first`` per point with an open operation longer than ``min_dur``: how many
+    are open, and the one (``op_name``, ``op_cat``) that started first.
+
+    One sweep in time order (starts, then points, then ends at equal times)
+    gives the counts as a running sum, and the points' ranks that an operation
+    spans.  A rank range splits into O(log n) aligned blocks; the earliest
+    operation of each block is an aggregate, and a point asks its block of every
+    size.  Nothing grows with the number of operations open at once.
+    """
+    long_ = ops.where(F.col("end") - F.col("start") > F.lit(float(min_dur)))
+    sweep = (long_.select(F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("op_index").alias("id"))
+             .unionByName(points.select("t", F.lit(1).alias("kind"), F.col("pid").alias("id")))
+             .unionByName(long_.select(F.col("end").alias("t"), F.lit(2).alias("kind"), F.col("op_index").alias("id"))))
+    sweep = with_pos(sweep, ["t", "kind", "id"], "_at").withColumn("_point", (F.col("kind") == 1).cast("long"))
+    sweep = running_sum(sweep.withColumn("_open", F.lit(1) - F.col("kind")), "_open", "n", pos_col="_at")
+    sweep = written(running_sum(sweep, "_point", "rank", pos_col="_at", inclusive=False).select(
+        "kind", "id", "rank", "n"), "sweep")
+    asked = sweep.where("kind = 1 and n > 0").select(F.col("id").alias("pid"), "rank", "n")
+    spans = (sweep.where("kind <> 1").groupBy(F.col("id").alias("op_index"))
+             .agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi"))
+    top = max(1, int(sweep.where("kind = 1").count()).bit_length())
+
+    def blocks(lv: Column) -> Column:
+        size, wider = F.call_function("shiftleft", F.lit(1).cast("long"), lv), F.call_function(
+            "shiftleft", F.lit(2).cast("long"), lv)
+        a, b = F.ceil(F.col("lo") / size).cast("long"), F.floor(F.col("hi") / size).cast("long")
+        wa, wb = F.ceil(F.col("lo") / wider).cast("long"), F.floor(F.col("hi") / wider).cast("long")
+        ends = F.array(F.when(a < 2 * wa, a), F.when(b > 2 * wb, b - 1))
+        inner = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
+        return F.transform(F.when(wa < wb, ends).otherwise(inner), lambda i: F.struct(lv.alias("level"), i.alias("block")))
+    cut = spans.select("op_index", F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(top)), blocks))).alias("p")).select("op_index", "p.level", "p.block").where(
+        F.col("block").isNotNull())
+    earliest = (cut.join(long_.select("op_index", "start", "op_name", "op_cat"), "op_index")
+                .groupBy("level", "block").agg(F.min(F.struct("start", "op_index", "op_name", "op_cat")).alias("first")))
+    looked = (asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+              .withColumn("block", F.call_function("shiftright", F.col("rank"), F.col("level"))))
+    return looked.join(earliest, ["level", "block"]).groupBy("pid").agg(
+        F.first("n").alias("n"), F.min("first").alias("first"))
 
 
 def operations(trace: DataFrame) -> DataFrame:
@@ -245,15 +270,12 @@ def operations(trace: DataFrame) -> DataFrame:
                       F.coalesce("name", F.lit("")).alias("op_name"), F.coalesce("cat", F.lit("")).alias("op_cat"))
 
 
-def timeline(balance: DataFrame, trace: DataFrame, max_ops: int = 10, min_dur: float = 1000.0,
-             bucket: float | None = None) -> DataFrame:
+def timeline(balance: DataFrame, trace: DataFrame, max_ops: int = 10, min_dur: float = 1000.0) -> DataFrame:
     """Timeline table (12 columns) with the operations active at each memory event
     (more than ``min_dur`` us long; count capped at ``max_ops``; top = earliest start)."""
     pts = balance.select(F.col("seq").alias("pid"), F.col("ts").alias("t"))
-    pairs = active_ops(pts, operations(trace), min_dur, bucket)
-    first = F.struct("start", "op_index")
-    act = pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"),
-                                   F.min_by("op_name", first).alias("_top"), F.min_by("op_cat", first).alias("_cat"))
+    act = activity(pts, operations(trace), min_dur).select(
+        "pid", F.col("n").alias("_n"), F.col("first.op_name").alias("_top"), F.col("first.op_cat").alias("_cat"))
     t = balance.join(act, balance.seq == act.pid, "left")
     return t.select(
         "seq", F.col("ts").alias("timestamp_us"), (F.col("ts") / 1e6).alias("timestamp_sec"),
@@ -272,10 +294,10 @@ def peak_context(balance: DataFrame, trace: DataFrame, min_dur: float = 10000.0,
     """Operations covering the first total peak: first ``first_n`` by start, then
     up to ``per_cat`` names per category."""
     peak = balance.where(F.col("total_balance") > 0).agg(
-        F.min_by(F.struct("seq", "ts"), F.struct(F.col("total_balance") * -1, "seq")).alias("p")).select("p.*")
-    pts = peak.select(F.col("seq").alias("pid"), F.col("ts").alias("t"))
-    pairs = active_ops(pts, operations(trace), min_dur)
-    firsts = pairs.orderBy("start", "op_index").limit(first_n)
+        F.min_by("ts", F.struct(F.col("total_balance") * -1, "seq")).alias("t")).first()["t"]
+    at = F.lit(peak).cast("double")  # null without a positive balance: no operations
+    open_ = (F.col("start") <= at) & (at <= F.col("end")) & (F.col("end") - F.col("start") > F.lit(float(min_dur)))
+    firsts = operations(trace).where(open_).orderBy("start", "op_index").limit(first_n)
     w = Window.partitionBy("op_cat").orderBy("start", "op_index")
     return (firsts.withColumn("rank_in_cat", F.row_number().over(w))
             .withColumn("ops_in_cat", F.count(F.lit(1)).over(Window.partitionBy("op_cat")))

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, preview, pretokenize, short_name
+from ..operators.hooks import map_rows
 from ..operators.order import with_pos
 from ..operators.slices import (merge_slices, slice_legacy, slice_random, slice_sequential, split_blocks,
                                 split_shuffled, split_stats)
@@ -113,6 +114,16 @@ def preprocess_hook(spark: SparkSession, sf: str):
     return _docs(spark, sf).transform(_keep_long_english).select("doc_id", "lang")
 
 
+@query("row_hook", """
+SELECT doc_id, upper(source) AS source, CAST(length(text) AS BIGINT) AS n FROM documents WHERE lang <> 'de'""")
+def row_hook(spark: SparkSession, sf: str):
+    """A Python function on every row; rows for which it returns None go."""
+    def fn(row):
+        return None if row["lang"] == "de" else {"doc_id": row["doc_id"], "source": row["source"].upper(),
+                                                 "n": len(row["text"])}
+    return map_rows(_docs(spark, sf).select("doc_id", "lang", "source", "text"), fn, "doc_id long, source string, n long")
+
+
 @query("sample_texts", """
 SELECT doc_id, text FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
 ORDER BY doc_id LIMIT 5""")

@@ -18,7 +18,8 @@ from ..functions.text import pretoken_count
 from ..operators import runlog as rl
 from ..operators.order import rolling, with_group_pos, with_pos
 from ..session import scratch_path
-from ..sources.readers import METRICS_SCHEMA, read_csv, read_metrics
+from ..sources.readers import read_csv, read_metrics
+from ..sources.sinks import write_inference, write_metrics
 from .common import SQL_PRETOK, table
 from .registry import query
 
@@ -111,15 +112,10 @@ def _metric_log(spark: SparkSession, sf: str):
                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"))
 
 
-def _write_metrics(df, path, mode="overwrite"):
-    (df.select(*[f.name for f in METRICS_SCHEMA.fields]).write.mode(mode).option("header", True)
-     .option("nullValue", "").csv(path))
-
-
 @query("scan_metrics", _SQL_METRICS)
 def scan_metrics(spark: SparkSession, sf: str):
     path = scratch_path(spark, "metrics")
-    _write_metrics(_metric_log(spark, sf), path)
+    write_metrics(_metric_log(spark, sf), path, "overwrite")
     return read_metrics(spark, path)
 
 
@@ -128,8 +124,8 @@ def metrics_append(spark: SparkSession, sf: str):
     """Metric log written in two sessions (the second appends on resume), read back whole."""
     log = _metric_log(spark, sf)
     path = scratch_path(spark, "metrics-append")
-    _write_metrics(log.where(F.col("batch") % 2 == 0), path)
-    _write_metrics(log.where(F.col("batch") % 2 == 1), path, mode="append")
+    write_metrics(log.where(F.col("batch") % 2 == 0), path)
+    write_metrics(log.where(F.col("batch") % 2 == 1), path)
     return read_metrics(spark, path)
 
 
@@ -336,8 +332,8 @@ def write_csv_roundtrip(spark: SparkSession, sf: str):
     """Inference results CSV (14 fixed columns; an empty result writes nothing), read back."""
     rows = inference_rows(spark, sf)
     path = scratch_path(spark, "inference-csv")
-    (rows.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    write_inference(rows, path)
+    write_inference(rows.limit(0), path)
     return read_csv(spark, path, _INF_SCHEMA)
 
 
@@ -359,7 +355,7 @@ c AS (SELECT *, sum(share) OVER (PARTITION BY user_id ORDER BY value DESC, event
                  ROWS UNBOUNDED PRECEDING) AS cum_share,
              row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM t)
 SELECT user_id, event_id, round(share, 6) AS share, round(cum_share, 6) AS cum_share FROM c
-WHERE rn = 1 OR cum_share <= {TOP_P}""")
+WHERE rn = 1 OR round(cum_share, 12) <= {TOP_P}""")
 def share_cut(spark: SparkSession, sf: str):
     e = table(spark, sf, "events").select("user_id", "event_id", "value")
     c = rl.share_cut(e, "user_id", "event_id", "value", TOP_P, TEMP)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import eventlog as ev
 from ..operators.order import written, with_pos
 from ..session import scratch_path
-from ..sources.readers import latest_file, read_trace
+from ..sources.readers import latest_file, read_csv, read_trace
+from ..sources.sinks import write_timeline
 from .common import table
 from .registry import query
 
@@ -269,6 +270,20 @@ def mem_timeline(spark: SparkSession, sf: str):
     return _timeline(spark, sf)
 
 
+@query("timeline_csv", _w(_SQL_TRACE, _SQL_BAL, _SQL_TL) + """
+SELECT seq, memory_bytes, device, operation, active_operations_count, top_active_op, top_active_cat FROM tl""")
+def timeline_csv(spark: SparkSession, sf: str):
+    """The timeline as a CSV report, read back."""
+    path = scratch_path(spark, "timeline-csv")
+    write_timeline(_timeline(spark, sf), path)
+    back = read_csv(spark, path, "seq long, timestamp_us double, timestamp_sec double, memory_bytes long, "
+                    "memory_mb double, memory_gb double, device string, device_memory_mb double, delta_mb double, "
+                    "operation string, active_operations_count int, top_active_op string, top_active_cat string")
+    return back.select("seq", "memory_bytes", "device", "operation", "active_operations_count",
+                       F.coalesce("top_active_op", F.lit("")).alias("top_active_op"),
+                       F.coalesce("top_active_cat", F.lit("")).alias("top_active_cat"))
+
+
 @query("active_ops", _w(_SQL_TRACE, _SQL_BAL, _SQL_TL) + """
 SELECT seq, active_operations_count, top_active_op, top_active_cat FROM tl""")
 def active_ops_q(spark: SparkSession, sf: str):
