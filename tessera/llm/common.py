@@ -8,6 +8,7 @@ memory of a task follows the batch and not the square of anything.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,6 +161,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def key_text(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(key, text) of documents, on their way to tasks in Arrow batches of at most BATCH_BYTES.
+
+    Spark's own bound on a batch is 64 MB; a task holds a batch on both sides
+    and what is made of it, so the session's bound is lowered to this one.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    now = re.fullmatch(r"([0-9]+)([km]?)b?", conf.get(bound, "64m").lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20}[now[2]] <= BATCH_BYTES:
+        conf.set(bound, f"{BATCH_BYTES}b")
+    return docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+
+
 def row_hash(key_col: str, text_col: str) -> Column:
     """A hash that equal documents share, for joining back what follows from key and text."""
     return F.xxhash64(F.col(key_col).cast("long"), F.col(text_col).cast("string"))

@@ -10,10 +10,12 @@ for every character it writes, the source range that the character stands for:
 1. characters: invisible characters vanish; look-alikes of ASCII (full-width
    and other compatibility forms, decimal digits of any script, Cyrillic and
    Greek homoglyphs; O, I, l between digits) become it;
-2. words: "at" and "dot" in brackets, or between blanks where an address
-   follows, become @ and a full stop; "plus" before a digit becomes +;
-3. digits: spelled digits in a row of at least three digits become digits, the
-   blanks, hyphens and commas between them vanish ("double"/"triple" repeat).
+2. digits: spelled digits in a row of at least three digits become digits, the
+   blanks, hyphens and commas between them vanish ("double"/"triple" repeat);
+3. words: "at" and "dot" in brackets, or between blanks where the rest of an
+   address in words follows, become @ and a full stop; "plus" before a digit
+   becomes +;
+   then step 2 once more.
 
 The plain detectors run on the rewritten text, and their spans map back to the
 source.  A span that neither equals nor lies in a plain span of its kind joins
@@ -32,7 +34,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import key_text
 
 #: Kinds in the order in which ties are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -100,6 +103,7 @@ _HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухѵԁԛ
 #: Letters that stand for a digit between two digits (fixed values).
 _BETWEEN_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1", "З": "3"}
 _BETWEEN = re.compile("(?<=[0-9])[OoIlЗ](?=-?[0-9])")
+_BETWEEN_HINT = re.compile("[0-9][OoIlЗ]")
 _INVISIBLE = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 
 
@@ -131,11 +135,15 @@ _SPELLED = re.compile(rf"\b(?:{_ANY})\b", re.I)
 _WORDS = re.compile(
     r"\s*[\[({<]\s*(?P<bat>at|@)\s*[\])}>]\s*"
     r"|\s*[\[({<]\s*(?P<bdot>dot|\.)\s*[\])}>]\s*"
-    r"|(?<=[A-Za-z0-9])\x20+(?P<at>at|@)\x20+(?=[A-Za-z0-9-]+(?:\.|\x20+dot\x20+|\s*[\[({<]\s*(?:dot|\.))[A-Za-z0-9])"
+    r"|(?<=[A-Za-z0-9])\x20+(?P<at>at|@)\x20+(?=[A-Za-z0-9-]+(?:\x20+dot\x20+|\s*[\[({<]\s*(?:dot|\.))[A-Za-z0-9])"
+    r"|(?<=[A-Za-z0-9])\x20+(?P<sign>@)\x20+(?=[A-Za-z0-9-]+\.[A-Za-z0-9])"
     r"|(?<=[A-Za-z0-9])\x20+(?P<dot>dot)\x20+(?=[A-Za-z0-9])"
     r"|\bplus\x20+(?=[0-9])",
     re.I)
-_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\x20(?:at|@)\x20|\x20dot\x20|\bplus\x20", re.I)
+# Searched in lower-cased texts: without a hit the step changes nothing.
+_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\x20@\x20|\x20dot\x20|\bplus\x20")
+_SPELLED_HINT = re.compile(rf"\b(?:{_ANY})[\x20,.-]{{1,2}}(?:{_ANY}|double|triple|[0-9])"
+                           rf"|[0-9][\x20,.-]{{1,2}}(?:{_ANY}|double|triple)\b")
 
 
 class Mapped:
@@ -163,30 +171,35 @@ class Deobfuscator:
 
     def __init__(self) -> None:
         self.map = _character_map()
-        self.odd = re.compile("[" + "".join(map(re.escape, self.map)) + "]")
+        self.odd = frozenset(self.map)
 
     def characters(self, t: Mapped) -> Mapped:
         if t.text.isascii():
             return t
-        edits = [(m.start(), m.end(), self.map[m.group()], [m.span()] if self.map[m.group()] else [])
-                 for m in self.odd.finditer(t.text)]
-        return t.rewrite(edits) if edits else t
+        odd = self.odd.intersection(t.text)
+        if not odd:
+            return t
+        found = re.finditer("[" + "".join(map(re.escape, sorted(odd))) + "]", t.text)
+        return t.rewrite([(m.start(), m.end(), self.map[m.group()], [m.span()] if self.map[m.group()] else [])
+                          for m in found])
 
     def between(self, t: Mapped) -> Mapped:
+        if not _BETWEEN_HINT.search(t.text):
+            return t
         edits = [(m.start(), m.end(), _BETWEEN_DIGITS[m.group()], [m.span()]) for m in _BETWEEN.finditer(t.text)]
         return t.rewrite(edits) if edits else t
 
     def words(self, t: Mapped) -> Mapped:
-        if not _HINT.search(t.text):
+        if not _HINT.search(t.text.lower()):
             return t
         edits = []
         for m in _WORDS.finditer(t.text):
-            new = "@" if m["bat"] or m["at"] else "." if m["bdot"] or m["dot"] else "+"
+            new = "@" if m["bat"] or m["at"] or m["sign"] else "." if m["bdot"] or m["dot"] else "+"
             edits.append((m.start(), m.end(), new, [m.span()]))
         return t.rewrite(edits) if edits else t
 
     def digits(self, t: Mapped) -> Mapped:
-        if not _SPELLED.search(t.text):
+        if not _SPELLED_HINT.search(t.text.lower()):
             return t
         edits = []
         for row in _ROW.finditer(t.text):
@@ -218,7 +231,7 @@ class Deobfuscator:
         source = Mapped(text)
         t = self.between(self.characters(source))
         t = self.words(self.digits(t))
-        if t is not source and _SPELLED.search(t.text):
+        if t is not source:
             t = self.digits(t)
         if t is source:
             return plain, plain
@@ -254,5 +267,5 @@ def find(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document row: ``key``, ``plain`` and ``spans`` (plain and
     disguised) as arrays of (start, stop, kind), code points, by start and kind."""
     kind = "array<struct<start:long,stop:long,kind:string>>"
-    return docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+    return key_text(docs, key_col, text_col).mapInArrow(
         _find, f"key long, plain {kind}, spans {kind}")
