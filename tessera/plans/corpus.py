@@ -152,7 +152,7 @@ SELECT doc_id, pos - 100 AS pos FROM (
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
 WHERE pos >= 100 AND pos < 600""")
 def slice_sequential_q(spark: SparkSession, sf: str):
-    return slice_sequential(_docs(spark, sf), ["doc_id"], offset=100, limit=500).select("doc_id", "pos")
+    return slice_sequential(_docs(spark, sf).select("doc_id"), ["doc_id"], offset=100, limit=500).select("doc_id", "pos")
 
 
 @query("slice_random", f"""
@@ -160,7 +160,7 @@ SELECT doc_id, pos - 100 AS pos FROM (
   SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(42, 'doc_id')}, doc_id) - 1 AS pos FROM documents)
 WHERE pos >= 100 AND pos < 600""")
 def slice_random_q(spark: SparkSession, sf: str):
-    return slice_random(_docs(spark, sf), ["doc_id"], offset=100, limit=500, seed=42).select("doc_id", "pos")
+    return slice_random(_docs(spark, sf).select("doc_id"), ["doc_id"], offset=100, limit=500, seed=42).select("doc_id", "pos")
 
 
 @query("slice_legacy", f"""
@@ -168,7 +168,7 @@ SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(42, 'doc_id')}, doc_id) - 1
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)
 WHERE p >= 100 AND p < 600""")
 def slice_legacy_q(spark: SparkSession, sf: str):
-    return slice_legacy(_docs(spark, sf), ["doc_id"], ["doc_id"], offset=100, limit=500, seed=42) \
+    return slice_legacy(_docs(spark, sf).select("doc_id"), ["doc_id"], ["doc_id"], offset=100, limit=500, seed=42) \
         .select("doc_id", "pos")
 
 

@@ -173,7 +173,7 @@ SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_pos, len(ids) + 1
 FROM enc""")
 def token_offsets_q(spark: SparkSession, sf: str):
     e = _encoded(spark, sf, eos=EOS)
-    o = enc.token_offsets(e, ["doc_id"], "doc_pos")
+    o = enc.token_offsets(e.select("doc_id", "n_tokens"), ["doc_id"], "doc_pos")
     return o.select("doc_id", "doc_pos", F.col("n_tokens").cast("long"), F.col("start").cast("long"),
                     F.col("end").cast("long"))
 
@@ -256,7 +256,7 @@ def write_tokens_roundtrip(spark: SparkSession, sf: str):
 SELECT o.doc_id, o.start, o.n_tokens FROM split JOIN o USING (doc_id) WHERE split.split = 'validation'""")
 def doc_lookup(spark: SparkSession, sf: str):
     """Random access: the validation documents looked up in the token store (equi join on the document)."""
-    store = enc.token_offsets(_encoded(spark, sf), ["doc_id"], "doc_pos")
+    store = enc.token_offsets(_encoded(spark, sf).select("doc_id", "n_tokens"), ["doc_id"], "doc_pos")
     s = split_shuffled(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 0.8, 42)
     want = s.where(F.col("split") == "validation").select("doc_id")
     return want.join(store, "doc_id").select("doc_id", F.col("start").cast("long"), F.col("n_tokens").cast("long"))

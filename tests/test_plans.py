@@ -34,3 +34,16 @@ def test_single_partition_only_on_bounded_tables(spark):
                 # the window above it ranges over partition ids, shards or slices only
                 above = "\n".join(lines[max(0, i - 3):i])
                 assert any(k in above for k in ("_pid", "_shard", "slice_ord", "_g")), (name, above)
+
+
+def test_ordered_queries_read_and_move_narrow_rows_and_leave_no_cache(spark):
+    import __spark_entry__ as entry
+    for name in ("slice_sequential", "slice_random", "slice_legacy", "split_shuffled", "token_offsets"):
+        df = entry.queries()[name](spark, SF)
+        df.collect()
+        plan = _plan(df)
+        assert "InMemoryRelation" not in plan and "InMemoryTableScan" not in plan, name
+        # what was written and read back on the way, and what is read now, holds no texts or ids
+        read = re.findall(r"ReadSchema: (struct<.*?>)\n", plan + "\n")
+        assert read and not any(re.search(r"\btext:|\bids:", x) for x in read), (name, read)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
