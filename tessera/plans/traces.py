@@ -1,12 +1,15 @@
 """Event-log queries (TRC, JON-3..5, SET-2, SRC-10, SRC-12) over ``events`` seen as a trace.
 
 Fixed test mapping: event order = ``(ts, event_id)`` -> ``event_index``; ``ts`` in
-microseconds; ``view`` / ``click`` are complete operations (``ph='X'``, cat =
-name = event type, ``dur = value * 1e6``); ``purchase`` / ``signup`` allocate
-(``[memory]``), ``error`` frees (``free``); address = ``user_id``, bytes =
-``round(value * 1024)``, device = ``user_id % 3 - 1``.  Every event also emits a
-memory counter reading (``ph='C'``, name ``memory <type>``, arg ``k`` =
-``props.k``), appended after the primary events.
+microseconds; ``view`` / ``click`` are complete operations (``ph='X'``,
+``dur = value * 1e6``; the name is a labelled section for six of forty user
+classes, else the type and the class; the category has the type, one of twelve
+classes, and ``gpu`` for every third user); ``purchase`` / ``signup`` allocate
+(``[memory]``), ``error`` frees (``cudaFree`` or ``free``); address =
+``user_id``, bytes = ``round(value * 1024)``, device = ``user_id % 3 - 1``.
+Every event also emits a memory counter reading (``ph='C'``, name
+``memory <type>``, arg ``k`` = ``props.k``, in MiB for purchases), appended
+after the primary events.
 """
 
 from __future__ import annotations
@@ -34,14 +37,19 @@ def events_trace(spark: SparkSession, sf: str):
     et = F.col("event_type")
     is_op, is_alloc = et.isin(list(_OPS)), et.isin(list(_ALLOC))
     ts = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    dev = (F.col("user_id") % 3 - 1)
+    user = F.col("user_id")
+    dev = user % 3 - 1
+    k = F.get_json_object("props", "$.k")
     nbytes = F.round(F.col("value") * 1024).cast("long")
     mem_args = F.create_map(F.lit("Addr"), F.col("user_id").cast("string"), F.lit("Bytes"), nbytes.cast("string"),
                             F.lit("Device Id"), dev.cast("string"))
     primary = e.select(
         "event_index", ts.alias("ts"), F.when(is_op, F.col("value") * 1e6).alias("dur"),
-        F.when(is_alloc, "[memory]").when(et == _FREE, "free").otherwise(et).alias("name"),
-        F.when(is_op, et).otherwise("memory").alias("cat"),
+        F.when(is_alloc, "[memory]").when(et == _FREE, F.when(user % 2 == 0, "cudaFree").otherwise("free"))
+        .when(user % 40 < 6, F.element_at(F.array(*[F.lit(x) for x in ev.SECTION_NAMES]), (user % 40 + 1).cast("int")))
+        .otherwise(F.concat_ws("_", et, (user % 40).cast("string"))).alias("name"),
+        F.when(is_op, F.concat(F.when(user % 3 == 0, "gpu_").otherwise("cpu_"), et, F.lit("_"),
+                               (user % 12).cast("string"))).otherwise("memory").alias("cat"),
         F.when(is_op, "X").otherwise("i").alias("ph"),
         F.when(is_op, F.create_map().cast("map<string,string>")).otherwise(mem_args).alias("args"),
         F.when(~is_op, F.col("user_id")).alias("addr"), F.when(~is_op, nbytes).alias("bytes"),
@@ -49,7 +57,8 @@ def events_trace(spark: SparkSession, sf: str):
     counters = e.select(
         (F.col("event_index") + F.lit(n)).alias("event_index"), ts.alias("ts"), F.lit(None).cast("double").alias("dur"),
         F.concat(F.lit("memory "), et).alias("name"), F.lit("counter").alias("cat"), F.lit("C").alias("ph"),
-        F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("args"),
+        F.create_map(F.lit("k"), F.when(et == "purchase", (k.cast("long") * ev.MIB).cast("string")).otherwise(k))
+        .alias("args"),
         F.lit(None).cast("long").alias("addr"), F.lit(None).cast("long").alias("bytes"),
         F.lit(None).cast("long").alias("device"))
     return primary.unionByName(counters)
@@ -59,9 +68,14 @@ _SQL_TRACE = """
 ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS event_index, CAST(epoch_us(ts) AS DOUBLE) AS ts,
               event_type, value, user_id, props FROM events),
 tr AS (SELECT event_index, ts, CASE WHEN event_type IN ('view', 'click') THEN value * 1e6 END AS dur,
-              CASE WHEN event_type IN ('purchase', 'signup') THEN '[memory]' WHEN event_type = 'error' THEN 'free'
-                   ELSE event_type END AS name,
-              CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'memory' END AS cat,
+              CASE WHEN event_type IN ('purchase', 'signup') THEN '[memory]'
+                   WHEN event_type = 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'cudaFree' ELSE 'free' END
+                   WHEN user_id % 40 < 6 THEN ['data_loading', 'forward', 'loss_computation', 'backward',
+                                               'gradient_clipping', 'optimizer_step'][user_id % 40 + 1]
+                   ELSE event_type || '_' || (user_id % 40) END AS name,
+              CASE WHEN event_type NOT IN ('view', 'click') THEN 'memory'
+                   ELSE CASE WHEN user_id % 3 = 0 THEN 'gpu_' ELSE 'cpu_' END || event_type || '_' || (user_id % 12) END
+                   AS cat,
               CASE WHEN event_type IN ('view', 'click') THEN 'X' ELSE 'i' END AS ph,
               CASE WHEN event_type NOT IN ('view', 'click') THEN user_id END AS addr,
               CASE WHEN event_type NOT IN ('view', 'click') THEN CAST(round(value * 1024) AS BIGINT) END AS bytes,
@@ -70,7 +84,9 @@ tr AS (SELECT event_index, ts, CASE WHEN event_type IN ('view', 'click') THEN va
        FROM ev
        UNION ALL
        SELECT event_index + (SELECT count(*) FROM ev), ts, NULL, 'memory ' || event_type, 'counter', 'C',
-              NULL, NULL, NULL, json_extract_string(props, '$.k') FROM ev)"""
+              NULL, NULL, NULL, CASE WHEN event_type = 'purchase'
+                  THEN CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1048576 AS VARCHAR)
+                  ELSE json_extract_string(props, '$.k') END FROM ev)"""
 
 _SQL_BAL = """
 mem AS (SELECT event_index, ts, name, addr, bytes, device,
@@ -192,9 +208,12 @@ def trace_alloc_total(spark: SparkSession, sf: str):
 
 
 @query("gauge_stats", _w(_SQL_TRACE) + """
-SELECT name, min(x) AS min, round(avg(x), 6) AS avg, max(x) AS max, count(*) AS samples, 'bytes' AS unit
-FROM (SELECT name, TRY_CAST(k AS DOUBLE) AS x FROM tr WHERE ph = 'C' AND contains(lower(name), 'memory'))
-WHERE x IS NOT NULL GROUP BY name""")
+SELECT name, lo / scale AS min, round(mid / scale, 6) AS avg, hi / scale AS max, samples,
+       CASE WHEN scale > 1 THEN 'MB' ELSE 'bytes' END AS unit
+FROM (SELECT name, min(x) AS lo, avg(x) AS mid, max(x) AS hi, count(*) AS samples,
+             CASE WHEN max(x) > 1048576 THEN 1048576.0::DOUBLE ELSE 1.0::DOUBLE END AS scale
+      FROM (SELECT name, TRY_CAST(k AS DOUBLE) AS x FROM tr WHERE ph = 'C' AND contains(lower(name), 'memory'))
+      WHERE x IS NOT NULL GROUP BY name)""")
 def gauge_stats(spark: SparkSession, sf: str):
     g = ev.gauge_stats(events_trace(spark, sf))
     return g.select("name", "min", _r("avg", "avg"), "max", "samples", "unit")
