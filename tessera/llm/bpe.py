@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_text
+
 BLOCK_BYTES = 16 << 20
 WORD_BATCH = 20_000
 PACK_LEVEL = 6
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_c
     spark = docs.sparkSession
     spec = read_tokenizer(tokenizer_path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    blocks = (key_text(docs, key_col, text_col)
               .mapInArrow(_pack, "block long, rows binary").repartition(parts, "block"))
     words = (blocks.mapInArrow(_distinct_words(spec, parts), "bucket int, block long, words binary")
              .groupBy("bucket").applyInArrow(_encode_bucket(spec), "block long, kind string, data binary"))

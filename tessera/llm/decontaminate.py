@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, ngram_hashes, row_groups, row_hash, saved,
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, key_text, maybe_in, ngram_hashes, row_groups, row_hash, saved,
                      signed, text_buffer)
 
 WINDOW = 10
@@ -133,7 +133,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key_col: str = "do
     items = saved(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     lengths = [r[0] for r in items.select("len").distinct().collect()]  # at most `window` values
     scan = _scan(sorted(lengths), bit_table(items, "fp"), window)
-    rows = saved(docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+    rows = saved(key_text(docs, key_col, text_col).mapInArrow(
         scan, _FOUND_SQL), "candidates")
     hits = (rows.where("fp is not null").join(items, ["fp", "win", "len"])
             .groupBy("uid").agg(

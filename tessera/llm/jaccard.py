@@ -47,12 +47,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (ASCII_LOWER, Words, bit_table, byte_class, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, key_text, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
                      text_buffer)
 from .graph import components
 
 K = 5
 SLOTS = 1 << 18
+FIRST_PIVOTS = 8  # document pivots of a cell in the first round; each round takes so many times more
 IS_WORD = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
@@ -213,7 +214,7 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
     seen = saved(_compare(pairs, sets), "distances")
     found = seen.where("linked").select("a", "b")
     cells = _open(_relabel(cells, components(found)))
-    pivots = 1
+    pivots = FIRST_PIVOTS
     while not cells.isEmpty():
         ranked = cells.where("home").withColumn("at", F.row_number().over(
             Window.partitionBy("pivot", "band").orderBy("n", "point"))).where(F.col("at") <= pivots)
@@ -232,7 +233,7 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
                 .join(first, ["pivot", "band"])
                 .join(seen.select("a", F.col("b").alias("point"), "d"), ["a", "point"], "left"))
         cells = _open(_relabel(rest, components(found)))
-        pivots *= 4
+        pivots *= FIRST_PIVOTS
     return found
 
 
@@ -251,7 +252,7 @@ def _open(cells: DataFrame) -> DataFrame:
 def _rooted(docs: DataFrame, key_col: str, text_col: str, k: int) -> DataFrame:
     """One row per document row: ``key``, ``row`` (hash of key and text), ``n`` and
     ``root`` (equal in a component; null for a text without shingles)."""
-    texts = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    texts = key_text(docs, key_col, text_col)
     first = saved(texts.withColumn("row", row_hash("key", "text")).mapInArrow(_points(k), _POINT_SQL), "points")
     roots = components(links(texts, _pivot_order(first), k)).withColumnRenamed("id", "point")
     rows = first.where("slot is null").join(roots, "point", "left")

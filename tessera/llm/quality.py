@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, byte_class, mix, ngram_hashes, row_groups, text_buffer, training_sample
+from .common import ASCII_LOWER, Words, byte_class, key_text, mix, ngram_hashes, row_groups, text_buffer, training_sample
 
 PER_CLASS = 20_000
 BINS = 64
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: s
         label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Train on at most about ``per_class`` labelled rows of each class (feature rows of fixed size reach the driver)."""
     sample = training_sample(labels, label_col, key_col, per_class)
-    texts = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).join(
+    texts = key_text(docs, key_col, text_col).join(
         F.broadcast(sample), "key").select("y", "text")
     got = texts.mapInArrow(_feature_rows, "y int, x array<double>").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
@@ -252,5 +252,5 @@ def _score(model: Model):
 
 def score(docs: DataFrame, model: Model, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``key``, ``score``."""
-    return docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+    return key_text(docs, key_col, text_col).mapInArrow(
         _score(model), "key long, score double")

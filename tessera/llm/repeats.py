@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, maybe_in, mix, row_groups, saved, signed, text_buffer
+from .common import bit_table, key_text, maybe_in, mix, row_groups, saved, signed, text_buffer
 
 L = 400
 PIECE = 4 << 20  # longer rows are read in pieces that overlap by L - 1 bytes
@@ -324,7 +324,7 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = L) -> DataFrame:
     """One row per document row: ``key``, ``n_bytes``, ``spans`` (maximal removed
     runs, byte offsets) and ``kept`` (the remaining bytes joined)."""
-    rows = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = key_text(docs, key_col, text_col)
     rows = rows.select(*_row_hash(F.col("key"), F.col("text")), "key", "text")
     runs = repeated_windows(rows.select("r1", "r2", "text"), length).groupBy("r1", "r2").agg(
         F.collect_list(F.struct("starts", "size")).alias("runs"))

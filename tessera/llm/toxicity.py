@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Words, byte_class, mix, row_groups, saved, signed, text_buffer, training_sample
+from .common import ASCII_LOWER, Words, byte_class, key_text, mix, row_groups, saved, signed, text_buffer, training_sample
 
 PER_CLASS = 3_000
 MAX_FEATURES = 4_000
@@ -330,8 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: s
         label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Train on at most about ``per_class`` labelled documents of each class."""
     sample = training_sample(labels, label_col, key_col, per_class)
-    texts = saved(docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-                  .join(F.broadcast(sample), "key").dropDuplicates(["key"]).select("y", "text"), "toxic-sample")
+    texts = saved(key_text(docs, key_col, text_col).join(F.broadcast(sample), "key").dropDuplicates(["key"]).select("y", "text"), "toxic-sample")
     classes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if len(classes) < 2:
         return Model(prior=float(classes.get(1, 0) > 0))
@@ -432,7 +431,7 @@ def _spans(data: np.ndarray, w: Words, row: int, listed: list[int], p: list[floa
 
 def tag(docs: DataFrame, model: Model, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``key``, ``score``, ``n_words``, ``spans`` of toxic words."""
-    return docs.select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_tag(model), _TAGGED)
+    return key_text(docs, key_col, text_col).mapInArrow(_tag(model), _TAGGED)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
