@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from .common import bit_table, key_text, maybe_in, mix, row_groups, saved, signed, text_buffer
 
 L = 400
+COMBINE = 500_000  # names that a task holds to combine equal ones before the shuffle
 PIECE = 4 << 20  # longer rows are read in pieces that overlap by L - 1 bytes
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -140,10 +141,18 @@ def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 def _samples(length: int, k: int):
     """Rows (r1, r2, text) -> names of the samples' K bytes, with the task's counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            (core,), count = _unique([np.concatenate(held)])
+            return pa.RecordBatch.from_arrays([pa.array(signed(core)), pa.array(count)], ["core", "n"])
         for batch in batches:
-            cores = [Runs(data, bounds, length, k).core for _, _, _, data, bounds in pieces(batch.column(2), length)]
-            (core,), count = _unique([np.concatenate(cores) if cores else np.zeros(0, _U)])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(core)), pa.array(count)], ["core", "n"])
+            held += [Runs(data, bounds, length, k).core for _, _, _, data, bounds in pieces(batch.column(2), length)]
+            if sum(map(len, held)) >= COMBINE:
+                yield out()
+                held = []
+        if held:
+            yield out()
     return run
 
 
@@ -181,10 +190,12 @@ def _triple(r: Runs, first: np.ndarray, last: np.ndarray, sample: np.ndarray, le
 
 
 def _texts(length: int, k: int, wanted: bytes):
-    """Rows -> bytes of the runs whose sample may be shared by different triples, once a batch."""
+    """Rows -> bytes of the runs whose sample may be shared by different triples, mostly once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
+            if len(seen) >= COMBINE:
+                seen.clear()
             for _, _, _, data, bounds in pieces(batch.column(2), length):
                 r = Runs(data, bounds, length, k)
                 keep = np.flatnonzero(maybe_in(wanted, r.core))
