@@ -13,8 +13,9 @@ for every character it writes, the source range that the character stands for:
 2. digits: spelled digits in a row of at least three digits become digits, the
    blanks, hyphens and commas between them vanish ("double"/"triple" repeat);
 3. words: "at" and "dot" in brackets, or between blanks where the rest of an
-   address in words follows, become @ and a full stop; "plus" before a digit
-   becomes +;
+   address in words follows, become @ and a full stop; so does "at" before a
+   plain domain if the word before it is no ordinary prose; "plus" before a
+   digit becomes +;
    then step 2 once more.
 
 The plain detectors run on the rewritten text, and their spans map back to the
@@ -135,13 +136,19 @@ _SPELLED = re.compile(rf"\b(?:{_ANY})\b", re.I)
 _WORDS = re.compile(
     r"\s*[\[({<]\s*(?P<bat>at|@)\s*[\])}>]\s*"
     r"|\s*[\[({<]\s*(?P<bdot>dot|\.)\s*[\])}>]\s*"
-    r"|(?<=[A-Za-z0-9])\x20+(?P<at>at|@)\x20+(?=[A-Za-z0-9-]+(?:\x20+dot\x20+|\s*[\[({<]\s*(?:dot|\.))[A-Za-z0-9])"
+    r"|(?<=[A-Za-z0-9])\x20+(?P<at>at|@)\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\x20+dot\x20+|\s*[\[({<]\s*(?:dot|\.))[A-Za-z0-9])"
     r"|(?<=[A-Za-z0-9])\x20+(?P<sign>@)\x20+(?=[A-Za-z0-9-]+\.[A-Za-z0-9])"
+    r"|(?<=[A-Za-z0-9])\x20+(?P<half>at)\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z])"
     r"|(?<=[A-Za-z0-9])\x20+(?P<dot>dot)\x20+(?=[A-Za-z0-9])"
     r"|\bplus\x20+(?=[0-9])",
     re.I)
 # Searched in lower-cased texts: without a hit the step changes nothing.
-_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\x20@\x20|\x20dot\x20|\bplus\x20")
+_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\x20@\x20|\x20dot\x20|\bplus\x20"
+                   r"|\x20at\x20+[a-z0-9-]+\.[a-z0-9]")
+# A name before "at example.com": one with a letter and a mark that prose has not, or any after these words.
+_MARKED = re.compile(r"(?=.*[A-Za-z]).*[0-9._+-]")
+_ASKED = re.compile(r"\b(?:e-?mail(?:\x20+to)?|mail(?:\x20+to)?|contact|write\x20+to)[\x20:]+$", re.I)
+_NO_NAMES = frozenset("me us him her them you it address addresses details form list page sent server".split())
 _SPELLED_HINT = re.compile(rf"\b(?:{_ANY})[\x20,.-]{{1,2}}(?:{_ANY}|double|triple|[0-9])"
                            rf"|[0-9][\x20,.-]{{1,2}}(?:{_ANY}|double|triple)\b")
 
@@ -194,7 +201,9 @@ class Deobfuscator:
             return t
         edits = []
         for m in _WORDS.finditer(t.text):
-            new = "@" if m["bat"] or m["at"] or m["sign"] else "." if m["bdot"] or m["dot"] else "+"
+            if m["half"] and not _named(t.text, m.start()):
+                continue
+            new = "@" if m["bat"] or m["at"] or m["sign"] or m["half"] else "." if m["bdot"] or m["dot"] else "+"
             edits.append((m.start(), m.end(), new, [m.span()]))
         return t.rewrite(edits) if edits else t
 
@@ -243,6 +252,17 @@ class Deobfuscator:
         return plain, sorted({*plain, *extra}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _named(text: str, end: int) -> bool:
+    """Whether the word that ends at ``end`` is the local part of an address, and not prose or a path."""
+    start = end
+    while start > 0 and text[start - 1] in _LOCAL_CHARS:
+        start -= 1
+    if text[start - 1:start] in ("@", "/"):
+        return False
+    word = text[start:end]
+    return bool(_MARKED.match(word)) or word.lower() not in _NO_NAMES and bool(_ASKED.search(text[max(0, start - 40):start]))
+
+
 def _beside_dot(text: str, a: int, b: int) -> bool:
     return text[b:b + 1] == "." and text[b + 1:b + 2].isalnum() or a > 0 and text[a - 1] == "." and text[a - 2:a - 1].isalnum()
 

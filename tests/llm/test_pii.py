@@ -67,6 +67,29 @@ def test_disguises_map_back_to_the_source():
         assert found(text) == want, text
 
 
+def test_at_before_a_plain_domain():
+    for text, want in [
+        ("write to jane.doe at example.com", "jane.doe at example.com"),
+        ("jane at mail.example dot com", "jane at mail.example dot com"),
+        ("ask j_smith7 AT lists.example.co.uk, or", "j_smith7 AT lists.example.co.uk"),
+        ("e-mail jane at example.com", "jane at example.com"),
+        ("Contact: sales at example.com", "sales at example.com"),
+        ("write to ann at mail.example [dot] org", "ann at mail.example [dot] org"),
+    ]:
+        assert found(text) == [("email", want)], text
+    for text in ("contact us at example.com", "mail me at example.com", "open at 5 p.m. at example.com", "in 2024 at example.com",
+                 "v1.2 at 3.5 percent", "see x.org/a-b at example.com", "the shop at example.com"):
+        assert found(text) == [], text
+
+
+def test_half_disguises_are_linear():
+    import time
+    start = time.time()
+    for unit in ("a.b at c.d ", "a at b.", "a.", "mail ", " at a.b"):
+        CHAIN.spans("a-b at " + unit * (200_000 // len(unit)))
+    assert time.time() - start < 60
+
+
 def test_clean_texts_stay_clean():
     for text in ("we met at noon. A dot com boom", "five dogs and three cats", "look at this dot", "x² and ½", "été à l'Œuvre",
                  "one two three", "at 5 dot", "plus one", "zero tolerance",
