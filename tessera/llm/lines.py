@@ -10,8 +10,8 @@ column (null: no site).
 2. Estimates farther than ``BAND`` relative errors (at least 1) from
    ``min_sites`` decide; lines nearer to it get an exact count of sites.
 3. Lines on ``min_sites`` sites or more go.  A document of which they make up
-   more than ``max_share`` of the characters is itself a copy, which is for
-   near-duplicate removal to judge, and stays as it is.
+   more than ``max_share`` of the characters stays as it is, with its own lines
+   and theirs; ``max_share=1.0`` cuts them everywhere.
 
 All of it is DataFrame code in the JVM.  The numbers of the lines to cut meet
 their document by a 128-bit hash of the row.
