@@ -193,7 +193,7 @@ def _sym(i: int) -> str:
 
 def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
                   special_tokens: Sequence[str] = (), kind: str = "bpe",
-                  checkpoint_every: int = 50, batch_candidates: int = 64, normalizer: str = "none",
+                  checkpoint_every: int = 5, batch_candidates: int = 64, normalizer: str = "none",
                   pre_tokenizer: str = "whitespace") -> SubwordModel:
     """Train BPE (``kind='bpe'``) or a WordPiece vocabulary by BPE-style merges
     with the ``##`` continuation prefix (``kind='wordpiece'``; every character
