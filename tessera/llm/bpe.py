@@ -6,8 +6,8 @@
    dealt by hash into buckets; a bucket meets the same word of all blocks and
    encodes each distinct word once.
 3. The words with their ids return to their blocks, where the ids go back to
-   the words' positions.  The id-to-piece table comes to each block the same
-   way, and the joined pieces of the ids are the decoded text.
+   the words' positions.  Each block also gets a copy of the whole id-to-piece
+   table; the pieces, looked up by id as index, are the decoded text.
 
 Only distinct words of blocks cross the network, not word occurrences, packed
 as compressed batches.  A task holds one block and its words, or one bucket.
