@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, jaccard, lines, pii, quality, repeats, toxicity
+from . import ann, bpe, chat, decontaminate, jaccard, lines, pii, quality, repair, repeats, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -118,3 +118,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
