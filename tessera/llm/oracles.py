@@ -81,3 +81,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (uid) LEFT JOIN names USING (uid)
 """
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS part
+        FROM documents)),
+s AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p),
+g AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g, CAST(count(*) AS HUGEINT) AS f
+  FROM s, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM g WHERE k > 1 AND f >= 10),
+x AS (
+  SELECT c.lang, c.g, c.a, cut, l.f AS l, r.f AS r, 1000000 * c.a * c.a // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, cut)
+  JOIN g r ON r.lang = c.lang AND r.g = list_slice(c.g, cut + 1, c.k)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM x) WHERE o = 1),
+inside AS (
+  SELECT lang, g, max(a) AS longer
+  FROM (SELECT lang, list_slice(g, 1, 2) AS g, a FROM c WHERE k = 3
+        UNION ALL SELECT lang, list_slice(g, 2, 3), a FROM c WHERE k = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score,
+         row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(array_to_string(b.g, ' '))) AS rank
+  FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

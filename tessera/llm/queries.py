@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, jaccard, lines, pii, quality, repair, repeats, toxicity
+from . import ann, bpe, byte_tokens, chat, decontaminate, jaccard, lines, phrases, pii, quality, repair, repeats, toxicity
 from .common import held_out, read_table
 from .oracles import ORACLES as ORACLES
 
@@ -123,3 +123,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(phrases.collocations(read_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_split`` counts the tokens that begin or end inside a character."""
+    import public_tokenizers
+    coded = byte_tokens.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                               public_tokenizers.PATTERN, offsets=False)
+    return coded.select(F.col("key").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
