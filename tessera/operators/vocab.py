@@ -4,13 +4,8 @@ Training is Spark-side counting on the word table (distinct pre-tokens with
 their counts), which is the only corpus-sized input; the vocabulary itself is
 bounded by ``vocab_size`` and is the only thing the driver holds.
 
-BPE (exact): the word table keeps each word as a string of symbol characters.
-Every round is one aggregate over adjacent pairs (partial aggregation first,
-so a hot pair is combined map-side) ordered by (count desc, left id, right id),
-the rule of the public tokenizer library; the merge is applied JVM-side with
-``replace`` on a one-character-per-symbol string (left to right,
-non-overlapping).  Lineage is cut by a checkpoint to the shared directory
-every ``checkpoint_every`` rounds.
+BPE and WordPiece merges are learned exactly, many a round, by
+:mod:`tessera.operators.merges`.
 """
 
 from __future__ import annotations
@@ -23,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.text import normalize, pretokenize
-from .order import stable, with_pos, written
+from .merges import MAX_SYMBOLS, Vocabulary, learn_merges
+from .order import with_pos, written
 
 # --- fixed values: EOS names looked up at pretokenize time, in priority order --
 EOS_CANDIDATES = ("<|endoftext|>", "</s>", "<eos>", "[EOS]")
@@ -180,120 +176,33 @@ class SubwordModel:
         return around | {"model": model}
 
 
-# Symbols are encoded as single characters U+10000 + id: a word is a string, a
-# merge is the built-in (codegen) ``replace``, which substitutes left to right
-# without overlap, and binary string order of a pair equals (left id, right id).
-_SYM_BASE = 0x10000
-MAX_SYMBOLS = 0x10FFFF - _SYM_BASE
-
-
-def _sym(i: int) -> str:
-    return chr(_SYM_BASE + i)
-
-
 def train_subword(counts: DataFrame, vocab_size: int, min_frequency: int = 0,
-                  special_tokens: Sequence[str] = (), kind: str = "bpe",
-                  checkpoint_every: int = 5, batch_candidates: int = 64, normalizer: str = "none",
-                  pre_tokenizer: str = "whitespace") -> SubwordModel:
+                  special_tokens: Sequence[str] = (), kind: str = "bpe", normalizer: str = "none",
+                  pre_tokenizer: str = "whitespace", log: list[dict] | None = None) -> SubwordModel:
     """Train BPE (``kind='bpe'``) or a WordPiece vocabulary by BPE-style merges
     with the ``##`` continuation prefix (``kind='wordpiece'``; every character
-    also stands without the prefix).  ``normalizer`` and ``pre_tokenizer`` are
-    those that ``counts`` were made with; the model keeps them for encoding.
-
-    Each round counts the pairs of adjacent symbols of every word (partial
-    aggregation, so frequent pairs combine map-side) and merges the best by
-    (count desc, left id, right id) into every word.  Exact batching: the
-    round also applies the following candidates while each shares no symbol
-    with the merges already taken and its count is strictly above every pair
-    those merges can create (a pair (x, ab) occurs at most min(count(a, b),
-    max count of a pair ending in a) times; (ab, y) likewise with pairs
-    starting in b).  Pairs that a taken merge can only lower rank above the
-    first conflicting candidate, where the batch stops, so the merge order is
-    the sequential one.
+    also stands without the prefix, and those that continue words follow in
+    code point order).  ``normalizer`` and ``pre_tokenizer`` are those that
+    ``counts`` were made with; the model keeps them for encoding.  The merges
+    are those of the sequential rule, see :mod:`tessera.operators.merges`,
+    whose rounds ``log`` lists.
     """
-    rounds = 0
     if kind not in ("bpe", "wordpiece"):
         raise ConfigError(f"Unknown trainer {kind!r}")
-    spark = counts.sparkSession
     if vocab_size > MAX_SYMBOLS:
         raise ConfigError(f"vocab_size above {MAX_SYMBOLS}")
     prefix = WORDPIECE_PREFIX if kind == "wordpiece" else ""
-    chars = F.split(F.col("word"), "")
-    if prefix:
-        chars = F.transform(chars, lambda ch, i: F.when(i == 0, ch).otherwise(F.concat(F.lit(prefix), ch)))
-    counts = written(counts, "word-counts")
-    # alphabet (bounded by the number of distinct characters), code point order
-    alpha_rows = counts.select(F.explode(chars).alias("ch")).distinct().collect()
-    alphabet = sorted({r["ch"] for r in alpha_rows}, key=lambda t: [ord(x) for x in t.removeprefix(prefix)]
-                      + [1 if prefix and t.startswith(prefix) else 0])
+    counts = written(counts.select("word", F.col("count").cast("long").alias("count")), "word-counts")
+    # the alphabet is bounded by the number of distinct characters
+    chars = F.transform(F.split("word", ""), lambda ch, i: F.struct(ch.alias("ch"), (i > 0).alias("later")))
+    seen = counts.select(F.explode(chars).alias("x")).select("x.ch", "x.later").distinct().where("ch != ''").collect()
+    alphabet = sorted({r["ch"] for r in seen}, key=ord)
     if prefix:
-        alphabet = sorted({t.removeprefix(prefix) if len(t) > 1 else t for t in alphabet}) + [
-            t for t in alphabet if len(t) > 1 and t.startswith(prefix)]
-    tokens = list(special_tokens) + [t for t in alphabet if t not in special_tokens]
-    ids = {t: i for i, t in enumerate(tokens)}
-    id_map = F.create_map(*[x for t in alphabet for x in (F.lit(t), F.lit(_sym(ids[t])))])
-    words = counts.select(F.array_join(F.transform(chars, lambda ch: id_map[ch]), "").alias("s"),
-                          F.col("count").cast("long").alias("count"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    words = stable(words.where(F.length("s") > 1).repartition(partitions, "s"))
-    merges: list[tuple[int, int]] = []
-    floor = max(1, min_frequency)
-    done = False
-    while len(tokens) < vocab_size and not done:
-        pos = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
-        pairs = (words.where(F.length("s") > 1).select("s", "count", pos)
-                 .select(F.expr("substring(s, i, 2)").alias("pair"), "count")
-                 .groupBy("pair").agg(F.sum("count").alias("c")))
-        # one action: the best candidates plus, per symbol, the largest count of a
-        # pair ending / starting with it (rows bounded by K + 2 x symbols)
-        top_df = (pairs.orderBy(F.col("c").desc(), "pair").limit(batch_candidates)
-                  .select(F.lit("t").alias("side"), F.col("pair").alias("key"), "c"))
-        parts = [top_df]
-        if batch_candidates > 1:
-            for side, pos_ in (("r", 2), ("l", 1)):
-                parts.append(pairs.groupBy(F.substring("pair", pos_, 1).alias("key"))
-                             .agg(F.max("c").alias("c")).select(F.lit(side).alias("side"), "key", "c"))
-        got = parts[0]
-        for extra in parts[1:]:
-            got = got.unionByName(extra)
-        rows = got.collect()
-        top = sorted(({"pair": r["key"], "c": r["c"]} for r in rows if r["side"] == "t"),
-                     key=lambda r: (-r["c"], r["pair"]))
-        bounds = {(r["side"], r["key"]): r["c"] for r in rows if r["side"] != "t"}
-        if not top or top[0]["c"] < floor:
-            break
-        # exact batch: a prefix of the candidates whose merges cannot interact
-        used: set[str] = set()
-        ub = None
-        accepted = []
-        for r in top:
-            pair, cnt = r["pair"], r["c"]
-            if cnt < floor or len(tokens) + len(accepted) >= vocab_size:
-                done = cnt < floor
-                break
-            if accepted and (pair[0] in used or pair[1] in used or not cnt > ub):
-                break
-            accepted.append(pair)
-            used.update(pair)
-            new_bound = min(cnt, max(bounds.get(("r", pair[0]), 0), bounds.get(("l", pair[1]), 0)))
-            ub = new_bound if ub is None else max(ub, new_bound)
-        for pair in accepted:
-            a, b = ord(pair[0]) - _SYM_BASE, ord(pair[1]) - _SYM_BASE
-            new_tok = tokens[a] + (tokens[b][len(prefix):] if prefix else tokens[b])
-            if new_tok in ids:  # the same string reached by another merge path: reuse its id
-                c = ids[new_tok]
-            else:
-                c = len(tokens)
-                tokens.append(new_tok)
-                ids[new_tok] = c
-            merges.append((a, b))
-            # a pure projection: no filter in the chain, so the plan grows linearly
-            words = words.withColumn("s", F.replace("s", F.lit(pair), F.lit(_sym(c))))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = stable(words)  # cut lineage in the shared checkpoint directory
+        alphabet += [prefix + c for c in sorted({r["ch"] for r in seen if r["later"]}, key=ord)]
+    vocab = Vocabulary([*special_tokens, *(t for t in alphabet if t not in special_tokens)], prefix)
+    learn_merges(counts, vocab, vocab_size, max(1, min_frequency), log=log)
     unknown = "[UNK]" if prefix and "[UNK]" in special_tokens else None
-    return SubwordModel(kind=kind, tokens=tokens, merges=merges, special_tokens=list(special_tokens),
+    return SubwordModel(kind=kind, tokens=vocab.tokens, merges=vocab.merges, special_tokens=list(special_tokens),
                         prefix=prefix, normalizer=normalizer, pre_tokenizer=pre_tokenizer, unk_token=unknown)
 
 

@@ -452,12 +452,12 @@ def tokens_seen_q(spark: SparkSession, sf: str):
 
 
 # --- subword training and encoding (vocabularies are checked against the library in tests) --
-BPE_VOCAB = 256
+SUBWORD_VOCAB = 32_768  # the size that tokenizer recipes ask for
 
 
 def _bpe(spark: SparkSession, sf: str, kind: str = "bpe"):
     counts = word_counts(table(spark, sf, "documents"), normalizer="nfc")
-    return train_subword(counts, BPE_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind, normalizer="nfc")
+    return train_subword(counts, SUBWORD_VOCAB, min_frequency=2, special_tokens=SPECIALS, kind=kind, normalizer="nfc")
 
 
 @query("train_bpe")

@@ -90,15 +90,6 @@ def test_bpe_equals_library(spark, texts, vocab, minf):
     assert [list(r.ids) for r in enc] == [lib.encode(t).ids for t in texts]
 
 
-def test_bpe_rounds_cut_their_lineage(spark, monkeypatch):
-    from tessera.operators import vocab
-    cuts, stable = [], vocab.stable
-    monkeypatch.setattr(vocab, "stable", lambda df: cuts.append(1) or stable(df))
-    df = spark.createDataFrame([("abcdefghijkl" * 2, 3)], "word string, count long")
-    train_subword(df, 60, min_frequency=1)
-    assert len(cuts) > 2
-
-
 def test_rank_vocab_find_eos_decode(spark):
     df = spark.createDataFrame([(0, "b a a c"), (1, "a b")], "doc_id long, text string")
     v = rank_vocab(word_counts(df), ["<pad>", "</s>", "<|endoftext|>"])
