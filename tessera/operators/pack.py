@@ -13,20 +13,22 @@ Parallel form.  With ``cs`` the exclusive prefix sum of effective lengths and
 
 and the windows are the orbit of the first document under ``next``.
 
-* Documents are cut into blocks of B tokens by ``cs``.  Every document ending
-  within C tokens of its block's start is copied into the previous block as
-  halo, so ``next`` is computable inside each block (B >= C).
-* Pass 1 (``applyInPandas`` per block, bounded by B tokens): a reverse sweep
-  gives ``exit(i)``, the first window start past the block, for the entry
-  candidates (the block's first document and those starting within its first C
-  tokens).  Only candidates leave the block: at most blocks x (C + 1) rows.
-* The driver follows the chain entry -> exit, one hop per block, and
-  broadcasts the true entries (at most one per block).
+* Documents are cut into blocks of B tokens by ``cs``, so of at most B documents
+  (each has a token).  Every document ending within C tokens of its block's
+  start is copied into the previous block as halo, so ``next`` is computable
+  inside each block (B >= C).
+* Pass 1 (``applyInPandas`` per block): for the entry candidates (the block's
+  first document and those starting within its first C tokens), the first
+  window start past the block and the number of windows until then, by pointer
+  doubling.  The block's map has at most C + 1 entries.
+* Maps of neighbouring blocks compose; a tree over the blocks of all groups at
+  once (:mod:`.compose`) gives each block the map of those before it, which from
+  the group's first document leads to the block's true entry and the number of
+  windows before it.
 * Pass 2 (per block): walk ``next`` from the true entry, emit one row per
-  document with its window and slot.  Window ids come from per-block window
-  counts and an exclusive prefix over blocks.
+  document with its window and slot.
 
-Nothing of corpus size reaches the driver; every task is bounded by B tokens.
+Nothing but the plan reaches the driver; a task is bounded by B tokens.
 """
 
 from __future__ import annotations
@@ -36,19 +38,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ConfigError
-from .order import written, running_sum, with_pos
+from .compose import scan
+from .order import running_sum, with_group_pos, with_pos, written
 
-# Upper bound of blocks per group: bounds the chain rows collected by the driver.
-DEFAULT_MAX_BLOCKS = 8192
-DEFAULT_WINDOWS_PER_BLOCK = 4096
-
-_P1_SCHEMA = "g_id long, entry long, exit long"
-_P2_SCHEMA = ("g_id long, block long, local_w long, start long, k long, slot int, "
-              "doc_pos long, n_tokens long, eff long")
+DEFAULT_BLOCK_TOKENS = 1 << 18
 
 
 def _next_array(k, cs, ce, own_n, C, max_docs):
@@ -64,41 +62,43 @@ def _next_array(k, cs, ce, own_n, C, max_docs):
 
 def _block_arrays(pdf: pd.DataFrame):
     pdf = pdf.sort_values("k", kind="stable")
-    own = pdf["own"].to_numpy()
-    own_n = int(own.sum())
+    own_n = int(pdf["own"].sum())
     return pdf, pdf["k"].to_numpy(np.int64), pdf["cs"].to_numpy(np.int64), pdf["ce"].to_numpy(np.int64), own_n
 
 
-def _pass1(C: int, B: int, max_docs):
+def _block_maps(C: int, max_docs, keys: list[str]):
+    """Rows of one block -> its map: entries, exits and numbers of windows, one after the other."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, k, cs, ce, own_n = _block_arrays(pdf)
         if own_n == 0:
-            return pd.DataFrame({"g_id": [], "entry": [], "exit": []})
-        block = int(pdf["block"].iloc[0])
+            return pdf.iloc[:0].assign(value=pd.Series([], dtype=object))[[*keys, "block", "value"]]
         nxt = _next_array(k, cs, ce, own_n, C, max_docs)
-        first, last_own = int(k[0]), int(k[own_n - 1])
-        exit_ = np.empty(own_n, dtype=np.int64)
-        for j in range(own_n - 1, -1, -1):
-            t = int(nxt[j])
-            exit_[j] = t if t > last_own else exit_[t - first]
-        cand = cs[:own_n] < block * B + C
-        cand[0] = True
-        return pd.DataFrame({"g_id": np.full(int(cand.sum()), int(pdf["g_id"].iloc[0]), dtype=np.int64),
-                             "entry": k[:own_n][cand], "exit": exit_[cand]})
+        inside = nxt <= k[own_n - 1]
+        last, steps = np.where(inside, nxt - k[0], np.arange(own_n)), inside.astype(np.int64)
+        for _ in range(int(own_n).bit_length()):
+            steps, last = steps + steps[last], last[last]
+        entries = np.flatnonzero(cs[:own_n] < cs[0] + C) if k[0] > 0 else np.zeros(1, np.int64)
+        value = np.concatenate([k[entries], nxt[last[entries]], steps[entries] + 1])
+        return pdf.iloc[:1].assign(value=[value])[[*keys, "block", "value"]]
     return fn
 
 
-def _pass2(C: int, max_docs):
+def compose_maps(a, b) -> np.ndarray:
+    """First ``a``, then ``b``; an exit of ``a`` that is no entry of ``b`` lies beyond it and stays."""
+    (ea, xa, wa), (eb, xb, wb) = np.reshape(a, (3, -1)), np.reshape(b, (3, -1))
+    at = np.minimum(np.searchsorted(eb, xa), len(eb) - 1)
+    hit = eb[at] == xa
+    return np.concatenate([ea, np.where(hit, xb[at], xa), wa + np.where(hit, wb[at], 0)])
+
+
+def _windows_of(C: int, max_docs, keys: list[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf["entry"].iloc[0]
-        if entry is None or pd.isna(entry):
-            return pd.DataFrame({c: [] for c in ["g_id", "block", "local_w", "start", "k", "slot",
-                                                 "doc_pos", "n_tokens", "eff"]})
+        entry, before = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])
         pdf, k, cs, ce, own_n = _block_arrays(pdf)
+        first, last_own = int(k[0]), int(k[own_n - 1]) if own_n else -1
         nxt = _next_array(k, cs, ce, own_n, C, max_docs)
-        first, last_own = int(k[0]), int(k[own_n - 1])
         starts, ends = [], []
-        s = int(entry)
+        s = entry
         while s <= last_own:
             e = int(nxt[s - first])
             starts.append(s)
@@ -106,40 +106,30 @@ def _pass2(C: int, max_docs):
             s = e
         starts_a = np.asarray(starts, dtype=np.int64)
         lens = np.asarray(ends, dtype=np.int64) - starts_a
-        total = int(lens.sum())
-        w = np.repeat(np.arange(len(starts_a), dtype=np.int64), lens)
-        win_start = np.repeat(starts_a, lens)
-        offsets = np.repeat(np.cumsum(lens) - lens, lens)
-        slot = np.arange(total, dtype=np.int64) - offsets
-        kk = win_start + slot
-        rows = kk - first
-        return pd.DataFrame({
-            "g_id": np.full(total, int(pdf["g_id"].iloc[0]), dtype=np.int64),
-            "block": np.full(total, int(pdf["block"].iloc[0]), dtype=np.int64),
-            "local_w": w, "start": win_start, "k": kk, "slot": slot.astype(np.int32),
-            "doc_pos": pdf["doc_pos"].to_numpy(np.int64)[rows],
-            "n_tokens": pdf["n_tokens"].to_numpy(np.int64)[rows],
-            "eff": pdf["eff"].to_numpy(np.int64)[rows],
-        })
+        w = before + np.repeat(np.arange(len(starts_a), dtype=np.int64), lens)
+        slot = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+        rows = pdf.iloc[np.repeat(starts_a, lens) + slot - first]
+        return rows.assign(window_id=w, slot=slot.astype(np.int32))[[*keys, "window_id", "slot", "doc_pos", "n_tokens", "eff"]]
     return fn
 
 
 def pack_windows(docs: DataFrame, context_length: int = 512, overhead: int = 0,
                  max_docs: int | None = None, group_cols: Sequence[str] = (),
-                 block_tokens: int | None = None, max_blocks: int = DEFAULT_MAX_BLOCKS) -> DataFrame:
+                 block_tokens: int = DEFAULT_BLOCK_TOKENS) -> DataFrame:
     """Assign every non-empty document to a window.
 
     ``docs`` needs ``doc_pos`` (unique, increasing = document order within the
     group) and ``n_tokens``.  Returns ``group_cols + (window_id, slot, doc_pos,
     n_tokens, eff_len, oversize)``; ``window_id`` is dense from 0 per group.
+    Rows whose group is null belong to no group and are left out.
     """
     C = int(context_length)
     if C < 1:
         raise ConfigError("context_length must be >= 1")
     if max_docs is not None and max_docs < 1:
         raise ConfigError("max_docs_per_window must be >= 1 (0 would emit an empty first window)")
-    spark = docs.sparkSession
     groups = list(group_cols)
+    B = C * math.ceil(max(C, int(block_tokens)) / C)
 
     # narrow (two longs per document), kept before filtering: the lengths are
     # computed once from the text (not again by the pushed-down filter, the
@@ -147,69 +137,35 @@ def pack_windows(docs: DataFrame, context_length: int = 512, overhead: int = 0,
     lengths = written(docs.select(*groups, F.col("doc_pos").cast("long"), F.col("n_tokens").cast("long")))
     ne = (lengths.where(F.col("n_tokens") > 0)
           .withColumn("eff", F.col("n_tokens") + F.lit(int(overhead))))
-    # dense document index per group: global dense position minus the group's first
-    ne = with_pos(ne, [*groups, "doc_pos"], "gpos")
+    # dense document index per group
     if groups:
-        firsts = ne.groupBy(*groups).agg(F.min("gpos").alias("_g0"),
-                                         F.count(F.lit(1)).alias("_gn"))
-        gid = Window.orderBy(*groups)  # one row per group: bounded
-        firsts = firsts.withColumn("g_id", F.row_number().over(gid) - 1)
-        ne = ne.join(F.broadcast(firsts), groups)
+        ne = with_group_pos(ne, groups, ["doc_pos"], "k", "gpos")
     else:
-        ne = ne.withColumn("_g0", F.lit(0).cast("long")).withColumn("g_id", F.lit(0).cast("long"))
-    ne = ne.withColumn("k", F.col("gpos") - F.col("_g0"))
+        ne = with_pos(ne, ["doc_pos"], "gpos").withColumn("k", F.col("gpos"))
     ne = running_sum(ne, "eff", "ce", pos_col="gpos", partition_by=groups)
-    ne = ne.withColumn("cs", F.col("ce") - F.col("eff"))
-    ne = written(ne.select(*groups, "g_id", "gpos", "k", "doc_pos", "n_tokens", "eff", "cs", "ce"))
-
-    totals = ne.groupBy("g_id").agg(F.max("ce").alias("t"),
-                                    F.count(F.lit(1)).alias("n")).collect()  # one row per group
-    if not totals:
-        return _empty(spark, groups)
-    max_total = max(int(r["t"]) for r in totals)
-    base_b = block_tokens or C * DEFAULT_WINDOWS_PER_BLOCK
-    B = max(C, int(base_b), math.ceil(max_total / max_blocks))
-    B = int(math.ceil(B / C) * C)
-
-    rows = ne.withColumn("block", F.floor(F.col("cs") / F.lit(B)).cast("long")).withColumn("own", F.lit(True))
+    ne = ne.withColumn("cs", F.col("ce") - F.col("eff")).withColumn("block", F.floor(F.col("cs") / F.lit(B)).cast("long"))
+    keys = groups or ["_all"]
+    ne = ne if groups else ne.withColumn("_all", F.lit(0))
+    rows = written(ne.select(*keys, "block", F.lit(True).alias("own"), "k", "doc_pos", "n_tokens", "eff", "cs", "ce"))
     halo = (rows.where((F.col("block") > 0) & (F.col("ce") - F.col("block") * F.lit(B) <= F.lit(C)))
             .withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False)))
-    parts = rows.unionByName(halo).select("g_id", "block", "own", "k", "cs", "ce", "doc_pos", "n_tokens", "eff")
-
-    cand = parts.groupBy("g_id", "block").applyInPandas(_pass1(C, B, max_docs), schema=_P1_SCHEMA)
-    # bounded: at most (C + 1) candidates per block and at most max_blocks blocks per group
-    chain: dict[tuple[int, int], int] = {(int(r[0]), int(r[1])): int(r[2]) for r in cand.collect()}
-    entries = []
-    for r in totals:
-        g, n, e = int(r["g_id"]), int(r["n"]), 0
-        while e < n:
-            if (g, e) not in chain:
-                raise RuntimeError(f"packing chain broken at group {g}, document {e}")
-            entries.append((g, e))
-            e = chain[(g, e)]
-    entry_df = spark.createDataFrame(entries or [(-1, -1)], "g_id long, entry long")
-    entry_blocks = (ne.join(F.broadcast(entry_df), (ne.g_id == entry_df.g_id) & (ne.k == entry_df.entry))
-                    .select(ne.g_id, F.floor(ne.cs / F.lit(B)).cast("long").alias("block"), entry_df.entry))
-    with_entry = parts.join(F.broadcast(entry_blocks), ["g_id", "block"], "left")
-    assigned = with_entry.groupBy("g_id", "block").applyInPandas(_pass2(C, max_docs), schema=_P2_SCHEMA)
-
-    per_block = assigned.groupBy("g_id", "block").agg(F.max("local_w").alias("_nw"))
-    wb = Window.partitionBy("g_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_block.select("g_id", "block", F.coalesce(F.sum(F.col("_nw") + 1).over(wb), F.lit(0)).alias("_wb"))
-    out = (assigned.join(bases, ["g_id", "block"])
-           .withColumn("window_id", (F.col("_wb") + F.col("local_w")).cast("long")))
-    if groups:
-        keys = ne.select("g_id", *groups).dropDuplicates(["g_id"])
-        out = out.join(F.broadcast(keys), "g_id")
-    return out.select(*groups, "window_id", "slot", "doc_pos", "n_tokens",
-                      F.col("eff").alias("eff_len"), (F.col("eff") > F.lit(C)).alias("oversize"))
-
-
-def _empty(spark, groups):
-    schema = ", ".join([f"{g} string" for g in groups] +
-                       ["window_id long", "slot int", "doc_pos long", "n_tokens long",
-                        "eff_len long", "oversize boolean"])
-    return spark.createDataFrame([], schema)
+    parts = rows.unionByName(halo)
+
+    key_fields = [f for f in parts.schema.fields if f.name in keys]
+    longs = T.StructType([*key_fields, T.StructField("block", T.LongType()), T.StructField("value", T.ArrayType(T.LongType()))])
+    # groups of one block begin at their first document
+    several = rows.where("block > 0").select(*keys).distinct()
+    maps = (parts.join(several, keys, "left_semi").groupBy(*keys, "block")
+            .applyInPandas(_block_maps(C, max_docs, keys), longs))
+    before, _ = scan(maps, keys, "block", "value", compose_maps)
+    entries = before.select(*keys, "block", F.coalesce(F.element_at("rest", 2), F.lit(0)).alias("entry"),
+                            F.coalesce(F.element_at("rest", 3), F.lit(0)).alias("before"))
+    out = T.StructType([*key_fields, *(T.StructField(c, T.IntegerType() if c == "slot" else T.LongType()) for c in (
+        "window_id", "slot", "doc_pos", "n_tokens", "eff"))])
+    assigned = (parts.join(entries, [*keys, "block"], "left").fillna(0, ["entry", "before"]).groupBy(*keys, "block")
+                .applyInPandas(_windows_of(C, max_docs, keys), out))
+    return assigned.select(*groups, "window_id", "slot", "doc_pos", "n_tokens",
+                           F.col("eff").alias("eff_len"), (F.col("eff") > F.lit(C)).alias("oversize"))
 
 
 def pack_stats(windows: DataFrame, docs: DataFrame, context_length: int = 512,

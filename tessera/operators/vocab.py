@@ -20,6 +20,7 @@ from ..errors import ConfigError
 from ..functions.text import normalize, pretokenize
 from .merges import MAX_SYMBOLS, Vocabulary, learn_merges
 from .order import with_pos, written
+from .unigram import LONGEST, learn_pieces
 
 # --- fixed values: EOS names looked up at pretokenize time, in priority order --
 EOS_CANDIDATES = ("<|endoftext|>", "</s>", "<eos>", "[EOS]")
@@ -229,82 +230,13 @@ def _viterbi(word: str, logp: dict, max_len: int):
 
 
 def train_unigram(counts: DataFrame, vocab_size: int, special_tokens: Sequence[str] = (),
-                  max_piece_len: int = 16, seed_factor: int = 8, em_rounds: int = 2,
-                  shrink: float = 0.75, normalizer: str = "none", pre_tokenizer: str = "whitespace") -> SubwordModel:
-    """Unigram vocabulary by hard EM (Viterbi) on the word table.
-
-    Seeds: every single character plus the ``seed_factor * vocab_size`` most
-    frequent substrings (frequency x length) of at most ``max_piece_len``
-    characters, counted in Spark.  Each EM round is one ``mapInPandas`` pass
-    (segment every distinct word, weight by its count) and one aggregate; the
-    driver holds only the pieces (bounded by the seed size).  Pieces are pruned
-    by expected count (characters always kept) until ``vocab_size`` is reached.
-    The min_frequency argument of the trainers does not apply here.
-    """
-    import math
-
-    import pandas as pd
-
-    spark = counts.sparkSession
-    counts = written(counts, "word-counts")  # read by the seeds and by every round
-    L = int(max_piece_len)
-    subs = counts.select(F.expr(
-        f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({L}, length(word) - i + 1)),"
-        f" l -> substring(word, i, l))))").alias("s"), "count")
-    freq = (subs.select(F.explode("s").alias("piece"), "count").groupBy("piece")
-            .agg(F.sum("count").alias("freq")))
-    chars = {r["piece"]: float(r["freq"]) for r in freq.where(F.length("piece") == 1).collect()}
-    target = max(len(chars), int(vocab_size) - len(special_tokens))
-    seeds = (freq.where(F.length("piece") > 1).orderBy((F.col("freq") * F.length("piece")).desc(), "piece")
-             .limit(seed_factor * int(vocab_size)).collect())  # bounded by the seed size
-    pieces = dict(chars)
-    pieces.update({r["piece"]: float(r["freq"]) for r in seeds})
-    words = counts.where(F.length("word") > 0).select("word", "count")
-    schema = "piece string, c double, ll double"
-
-    def em_round(piece_counts: dict) -> tuple[dict, float]:
-        total = sum(piece_counts.values())
-        logp = {p: math.log(c / total) for p, c in piece_counts.items() if c > 0}
-
-        def run(batches):
-            acc: dict[str, float] = {}
-            ll = 0.0
-            for pdf in batches:
-                for w, cnt in zip(pdf["word"], pdf["count"]):
-                    seg, score = _viterbi(w, logp, L)
-                    if seg is None:
-                        continue
-                    ll += score * cnt
-                    for p in seg:
-                        acc[p] = acc.get(p, 0.0) + cnt
-            out = pd.DataFrame({"piece": list(acc), "c": list(acc.values()), "ll": [0.0] * len(acc)})
-            yield pd.concat([out, pd.DataFrame({"piece": [None], "c": [0.0], "ll": [ll]})], ignore_index=True)
-
-        res = words.mapInPandas(run, schema).groupBy("piece").agg(F.sum("c").alias("c"), F.sum("ll").alias("ll"))
-        new, loglik = {}, 0.0
-        for r in res.collect():  # one row per piece in use: bounded by the seed size
-            if r["piece"] is None:
-                loglik = r["ll"]
-            else:
-                new[r["piece"]] = r["c"]
-        for ch in chars:  # characters stay, with a floor count
-            new.setdefault(ch, 0.5)
-        return new, loglik
-
-    current = pieces
-    for _ in range(em_rounds):
-        current, _ll = em_round(current)
-    while len(current) > target:
-        keep_n = max(target, int(len(current) * shrink))
-        multi = sorted(((c, p) for p, c in current.items() if len(p) > 1), key=lambda x: (-x[0], x[1]))
-        kept = dict((p, c) for c, p in multi[:max(0, keep_n - len(chars))])
-        kept.update({ch: current.get(ch, 0.5) for ch in chars})
-        current = kept
-        for _ in range(em_rounds):
-            current, _ll = em_round(current)
-    total = sum(current.values())
-    ordered = sorted(current.items(), key=lambda x: (-x[1], x[0]))
-    tokens = list(special_tokens) + [p for p, _ in ordered if p not in special_tokens]
-    scores = [0.0] * len(special_tokens) + [math.log(c / total) for p, c in ordered if p not in special_tokens]
-    return SubwordModel(kind="unigram", tokens=tokens, special_tokens=list(special_tokens), scores=scores,
-                        max_piece_len=L, normalizer=normalizer, pre_tokenizer=pre_tokenizer)
+                  max_piece_len: int = LONGEST, em_rounds: int = 2, shrink: float = 0.75, normalizer: str = "none",
+                  pre_tokenizer: str = "whitespace", log: list[dict] | None = None) -> SubwordModel:
+    """Unigram vocabulary by EM over lattices and pruning by loss, see :mod:`tessera.operators.unigram`.
+    The min_frequency argument of the other trainers does not apply here."""
+    found = learn_pieces(counts, int(vocab_size) - len(special_tokens), int(max_piece_len), em_rounds, shrink, log)
+    found = [(p, s) for p, s in found if p not in special_tokens]
+    return SubwordModel(kind="unigram", tokens=[*special_tokens, *(p for p, _ in found)], special_tokens=list(special_tokens),
+                        scores=[0.0] * len(special_tokens) + [s for _, s in found],
+                        max_piece_len=max((len(p) for p, _ in found), default=1), normalizer=normalizer,
+                        pre_tokenizer=pre_tokenizer)

@@ -92,6 +92,37 @@ def test_groups_pack_independently(spark):
         assert got == exp
 
 
+def test_one_token_documents_and_small_blocks(spark):
+    """Blocks hold at most as many documents as tokens; many blocks compose over several levels."""
+    lens = [(i, 1) for i in range(600)] + [(600 + i, 1 + i % 9) for i in range(400)]
+    df = spark.createDataFrame(lens, "doc_pos long, n_tokens long")
+    for M in (3,):
+        assert _windows(pack_windows(df, 8, max_docs=M, block_tokens=8).collect()) == sequential_pack(lens, 8, M)
+
+
+def test_many_groups(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    rows = [(g, i, rng.randrange(9)) for g in range(400) for i in range(3)] + [(-1, i, 1 + i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, doc_pos long, n_tokens long")
+    got = pack_windows(df, 10, group_cols=["g"], block_tokens=100).groupBy("g").agg(
+        F.sort_array(F.collect_list(F.struct("window_id", "slot", "doc_pos"))).alias("w")).collect()
+    want = {}
+    for g, i, n in rows:
+        want.setdefault(g, []).append((i, n))
+    want = {g: sequential_pack(lens, 10, None) for g, lens in want.items()}
+    assert {r.g: [(x.window_id, x.doc_pos) for x in r.w] for r in got} == {
+        g: [(w, d) for w, docs in enumerate(wins) for d in docs] for g, wins in want.items() if wins}
+
+
+def test_nothing_is_collected(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows reached the driver"))
+    df = spark.createDataFrame([(i, 1 + i % 5) for i in range(500)], "doc_pos long, n_tokens long")
+    assert pack_windows(df, 16, block_tokens=16).count() == 500
+
+
 def test_pack_stats_counts_empty_documents(spark):
     df = spark.createDataFrame([(0, 0), (1, 4), (2, 4), (3, 20)], "doc_pos long, n_tokens long")
     w = pack_windows(df, 10, overhead=0)
