@@ -3,7 +3,9 @@ and pretokenize (corpus -> token store + metadata), plus their registered querie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import encode as enc
@@ -16,22 +18,30 @@ from ..errors import ValidationError
 from .common import SQL_WHITESPACE, sql_hash, table
 from .registry import query
 
-#: Columns that the slices carry and the corpus does not; the corpus keeps its rows' place as CORPUS_POS.
-FILE_POS, CORPUS_POS = "_file_pos", "corpus_pos"
-HELPERS = ["slice_ord"]
+#: A record's place in its file and in the corpus.  Records travel as one column, RECORD, from the scan to the
+#: sink, so a field of any name comes out as it went in; only the sink's own names are refused.
+FILE_POS, CORPUS_POS, RECORD = "_file_pos", "corpus_pos", "record"
+
+
+def _field(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def load_slice(spark: SparkSession, sl: Recipe, mirror_root: str | None = None,
-               slice_first: bool = False, seed: int = SLICE_SEED) -> DataFrame:
-    """One slice in file order, sampled; hub references resolve against a mirror root."""
+def load_records(spark: SparkSession, sl: Recipe, mirror_root: str | None = None, slice_first: bool = False,
+                 seed: int = SLICE_SEED) -> DataFrame:
+    """``record`` (struct of the fields) and ``pos`` of one slice, in file order, sampled; hub references resolve
+    against a mirror root."""
     if sl.local:
-        df = read_any(spark, sl.local, schema=sl.schema, with_file_order=True)
+        df = read_any(spark, sl.local, schema=sl.schema)
     else:
         if not mirror_root:
             raise ValueError("hub slices need a mirror_root (no network client)")
         path, _ = resolve_hub_ref(sl.huggingface, mirror_root)
-        df = read_parquet(spark, path, schema=sl.schema, with_file_order=True)
-    placed = with_file_pos(df, FILE_POS)
+        df = read_parquet(spark, path, schema=sl.schema)
+    place = df.metadataColumn("_metadata")
+    rows = df.select(F.struct(*map(_field, df.columns)).alias(RECORD), place["file_path"].alias(FILE_ORDER[0]),
+                     place["file_block_start"].alias(FILE_ORDER[1]), F.monotonically_increasing_id().alias(FILE_ORDER[2]))
+    placed = with_file_pos(rows, FILE_POS)
     if sl.sampling == "sequential":  # the file position is the order: no row moves
         offset = sl.offset or 0
         stop = F.lit(True) if sl.limit is None else F.col(FILE_POS) < offset + sl.limit
@@ -40,6 +50,20 @@ def load_slice(spark: SparkSession, sl: Recipe, mirror_root: str | None = None,
                           slice_first).drop(FILE_POS)
 
 
+def _refuse(df: DataFrame, names: Sequence[str], why: str) -> None:
+    taken = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    if taken:
+        raise ValidationError(f"records have the field {', '.join(map(repr, taken))}, which {why}")
+
+
+def load_slice(spark: SparkSession, sl: Recipe, mirror_root: str | None = None, slice_first: bool = False,
+               seed: int = SLICE_SEED) -> DataFrame:
+    """As :func:`load_records`, the fields as columns beside ``pos``."""
+    rows = load_records(spark, sl, mirror_root, slice_first, seed)
+    _refuse(rows.select(f"{RECORD}.*"), ["pos"], "is the place in the slice; use load_records")
+    return rows.select(f"{RECORD}.*", "pos")
+
+
 def describe_slice(sl: Recipe) -> str:
     """One line for logs and reports: source, sampling, range."""
     parts = [f"{sl.local or 'hub:' + sl.huggingface}", sl.sampling]
@@ -51,10 +75,12 @@ def build_corpus(spark: SparkSession, cfg: Recipe, out_dir: str, mirror_root: st
                  mode: str = "overwrite") -> DataFrame:
     """Write ``<out>/<name>/split=<train|validation>/*.json`` and ``stats``; returns the stats row.
 
-    The split counts are observed while writing (no second scan).
+    Every field of a record is written as it was, whatever its name; fields named ``split`` or ``corpus_pos`` are
+    refused.  The split counts are observed while writing (no second scan).
     """
-    slices = [(s.key, load_slice(spark, s, mirror_root)) for s in cfg.slices]
+    slices = [(s.key, load_records(spark, s, mirror_root)) for s in cfg.slices]
     merged = merge_slices(slices)
+    _refuse(merged.select(f"{RECORD}.*"), ["split", CORPUS_POS], "the corpus adds itself")
     if cfg.split_strategy == "shuffle":
         split = split_shuffled(merged, ["slice_ord", "pos"], cfg.train_split, cfg.random_seed)
     else:
@@ -64,7 +90,7 @@ def build_corpus(spark: SparkSession, cfg: Recipe, out_dir: str, mirror_root: st
                              F.count(F.when(F.col("split") == "train", 1)).alias("train_records"),
                              F.count(F.when(F.col("split") == "validation", 1)).alias("validation_records"))
     target = f"{out_dir.rstrip('/')}/{cfg.name}"
-    (observed.drop(*HELPERS).withColumnRenamed("pos", CORPUS_POS)
+    (observed.select(f"{RECORD}.*", F.col("pos").alias(CORPUS_POS), "split")
      .write.mode(mode).partitionBy("split").json(target))
     counts = obs.get
     stats = {"dataset_name": cfg.name, "dataset_key": cfg.key, **{k: int(v) for k, v in counts.items()},
@@ -184,7 +210,7 @@ def _ordered_files(df: DataFrame, order: list[str], path: str, fmt: str) -> None
     getattr(df.repartitionByRange(4, *order).sortWithinPartitions(*order).write.mode("overwrite"), fmt)(path)
 
 
-def _mixed_corpus(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+def _mixed_corpus(spark: SparkSession, sf: str, strategy: str = "shuffle") -> tuple[str, DataFrame]:
     """A three-slice recipe over whole tables (JSONL documents, Parquet conversations
     from a hub mirror in random order, JSON-array benchmark), built end to end."""
     src = scratch_path(spark, "recipe-src")
@@ -199,7 +225,7 @@ def _mixed_corpus(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
          F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: F.to_json(x)), ","), F.lit("]")).alias("value"))
      .write.mode("overwrite").partitionBy("part").text(f"{src}/bench.json"))
     cfg = dataset_config({
-        "key": "mix-v1", "name": "mix", "train_split": 0.8, "validation_split": 0.2,
+        "key": "mix-v1", "name": "mix", "train_split": 0.8, "validation_split": 0.2, "split_strategy": strategy,
         "slices": [{"key": "docs", "local": f"{src}/docs.jsonl", "schema": "doc_id long, text string"},
                    {"key": "chat", "huggingface": "chat", "sampling": "random"},
                    {"key": "bench", "local": f"{src}/bench.json", "schema": "item_id long, text string"}]})
@@ -216,6 +242,15 @@ def corpus_build(spark: SparkSession, sf: str):
         F.col(CORPUS_POS).alias("pos"), "text", "split")
 
 
+@query("corpus_build_sequential", _SQL_CORPUS + """
+SELECT pos, text, CASE WHEN pos % 10000 < 8000 THEN 'train' ELSE 'validation' END AS split FROM corpus""")
+def corpus_build_sequential(spark: SparkSession, sf: str):
+    """The same corpus, split block by block in its order."""
+    corpus, _ = _mixed_corpus(spark, sf, "sequential")
+    return spark.read.schema(f"{CORPUS_POS} long, text string, split string").json(corpus).select(
+        F.col(CORPUS_POS).alias("pos"), "text", "split")
+
+
 @query("corpus_stats", _SQL_CORPUS + """
 SELECT 'mix' AS dataset_name, 'mix-v1' AS dataset_key, count(*) AS total_records,
        count(*) FILTER (WHERE split = 'train') AS train_records,

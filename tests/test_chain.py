@@ -104,6 +104,40 @@ def test_split_is_exact_at_every_share(spark):
         assert train == set(order[:int(500 * share)])
 
 
+#: Names that the build uses inside, as a corpus may have them.
+INSIDE = ["pos", "POS_", "slice_key", "slice_ord", "record", "_h", "_b", "_n", "_base", "_file", "_block", "_row", "_pid", "_loc",
+          "_first", "_file_pos", "_seq", "_metadata", "Record"]
+
+
+@pytest.mark.parametrize("sampling", ["sequential", "random"])
+@pytest.mark.parametrize("strategy", ["shuffle", "sequential"])
+def test_every_field_of_a_record_reaches_the_corpus(spark, tmpdir_path, sampling, strategy):
+    names = [n for n in INSIDE if n != "Record"]
+    rows = [{"text": f"t{i}"} | {n: f"{n}-{i}" for n in names} | {"nested": {"pos": i, "split": "x"}} for i in range(60)]
+    _jsonl(f"{tmpdir_path}/in", {"a.jsonl": rows[:40], "b.jsonl": [{k: v for k, v in r.items() if k != "_h"} | {"more": 1}
+                                                                 for r in rows[40:]]})
+    cfg = dataset_config({"key": "k", "name": "n", "split_strategy": strategy, "slices": [
+        {"key": "a", "local": f"{tmpdir_path}/in/a.jsonl", "sampling": sampling},
+        {"key": "b", "local": f"{tmpdir_path}/in/b.jsonl", "sampling": sampling}]})
+    build_corpus(spark, cfg, f"{tmpdir_path}/out")
+    got = []
+    for folder, _, files in os.walk(f"{tmpdir_path}/out/n"):
+        for name in (f for f in files if f.startswith("part-") and "split=" in folder):
+            with open(f"{folder}/{name}") as f:
+                got += [json.loads(x) for x in f]
+    assert sorted(r.pop("corpus_pos") for r in got) == list(range(60))
+    want = rows[:40] + [{k: v for k, v in r.items() if k != "_h"} | {"more": 1} for r in rows[40:]]
+    assert sorted(got, key=lambda r: r["text"]) == sorted(want, key=lambda r: r["text"])
+
+
+@pytest.mark.parametrize("name", ["split", "Corpus_Pos"])
+def test_fields_named_as_the_corpus_s_own_are_refused(spark, tmpdir_path, name):
+    path = _jsonl(f"{tmpdir_path}/in", {"a.jsonl": [{"text": "x", name: 1}]})
+    cfg = dataset_config({"key": "k", "name": "n", "slices": [{"key": "a", "local": f"{path}/a.jsonl"}]})
+    with pytest.raises(ValidationError, match=name):
+        build_corpus(spark, cfg, f"{tmpdir_path}/out")
+
+
 def test_corpus_without_ids_reaches_the_token_store(spark, tmpdir_path):
     rows = [{"body": f"alpha beta w{i % 7}" + " again" * (i % 3), "note": i} for i in range(200)]
     rows += rows[:10]  # repeated rows stay
