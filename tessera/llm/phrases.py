@@ -3,18 +3,21 @@
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends,
 and pieces into words at blanks and tabs.  Everything is counted per language.
 
-1. *Occurrences.*  R1 has a row (group, piece, position, word) for each word.
-   Documents are dealt evenly into as many groups as there are shuffle
-   partitions, whatever their contents; R1 is written bucketed by group and
-   sorted by piece and position, so later joins on them need no shuffle.
-2. *Longer phrases.*  R'k is the merge join of R(k-1) with itself on piece and
-   adjacent position: two phrases of k - 1 words that overlap in k - 2.
-3. *Counts.*  Occurrences of a phrase are first counted inside each group, where
-   they lie together; only one row per group and phrase is shuffled to add up
-   the corpus count, so a phrase in a third of all places is a few rows.
-4. *Frequent phrases.*  Those of ``min_count`` and more go back to the groups in
-   which they occur, and Rk is the semi-join of R'k with them, again written
-   bucketed and sorted for the next length.
+1. *Occurrences.*  The places of all words are numbered piece by piece, with a
+   gap after each piece, so neighbours in a piece are places that follow each
+   other.  Documents are dealt evenly into as many groups as there are shuffle
+   partitions, whatever their contents; relations are written bucketed by group
+   and sorted by place, so that later joins on them need no shuffle and one side
+   no sort.
+2. *Frequent groups.*  Occurrences of a phrase are first counted inside each
+   group, where they lie together; one row per group and phrase is shuffled to
+   add up the corpus count, so a phrase in a third of all places is a few rows.
+   Those of ``min_count`` and more go back to the groups in which they occur,
+   and Rk is the semi-join of the occurrences with them, written for the next
+   length.
+3. *Longer phrases.*  R'k is the merge join of R(k-1) with itself on adjacent
+   places: two phrases of k - 1 words that overlap in k - 2.  (R1 has all words:
+   a pair of which one is rare is rare itself.)
 
 Words are compared by a 64-bit hash of language and word.  The full list of
 counted words shows whether another word shares the hash of a frequent one;
@@ -35,6 +38,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +52,8 @@ CONTAINED_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
 UNKNOWN_LANG = "und"
-PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
+PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
+CHUNK = 1 << 21
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,53 +78,80 @@ class _Tables:
         return self.spark.table(table)
 
 
-#: Lets joins on more keys than the bucket's use the buckets as they are.
-_BY_BUCKET = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Lets joins on more keys than the bucket's use the buckets as they are, and the order in them (one file each).
+_BY_BUCKET = {"spark.sql.requireAllClusterKeysForCoPartition": "false",
+              "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 @contextmanager
 def _tables(spark: SparkSession, n: int) -> Iterator[_Tables]:
     """Tables for the time of the mining, which runs inside; the session is then as it was."""
-    tables, before = _Tables(spark, n), spark.conf.get(_BY_BUCKET)
-    spark.conf.set(_BY_BUCKET, "false")
+    tables, before = _Tables(spark, n), {k: spark.conf.get(k) for k in _BY_BUCKET}
+    for k, v in _BY_BUCKET.items():
+        spark.conf.set(k, v)
     try:
         yield tables
     finally:
-        spark.conf.set(_BY_BUCKET, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
         for name in tables.names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def occurrences(docs: DataFrame, groups: list[int], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``grp``, ``piece``, ``pos``, ``lang``, ``word`` of every word, dealt by group."""
+    """``grp``, ``place``, ``lang``, ``word`` of every word, dealt by group."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     n = len(groups)
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
-    dealt = docs.select(text.alias("text"), lang.alias("lang"), place.alias("i")).select(
+    at = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    dealt = docs.select(text.alias("text"), lang.alias("lang"), at.alias("i")).select(
         "text", "lang", F.element_at(F.array(*map(F.lit, groups)).cast("array<int>"), F.col("i") + 1).alias("grp"))
-    pieces = dealt.repartition(n, "grp").select("grp", "lang", F.explode(F.split("text", PIECE_ENDS, -1)).alias("part")).select(
-        "grp", "lang", F.monotonically_increasing_id().alias("piece"), "part")
-    words = F.filter(F.split("part", "[ \t]+", -1), lambda w: w != "")
-    return pieces.select("grp", "piece", "lang", F.posexplode(words).alias("pos", "word"))
-
-
-def _frequent(found: DataFrame, phrase: list[str], min_count: int) -> DataFrame:
-    """``grp``, the words of ``phrase`` and ``f`` of frequent phrases, for each group that has the phrase."""
-    local = found.groupBy("grp", *phrase).agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy(*phrase))
-    return saved(local.select("grp", *phrase, total.alias("f")).where(F.col("f") >= min_count), "frequent")
-
-
-def _counts(frequent: DataFrame, phrase: list[str]) -> DataFrame:
-    return frequent.groupBy(*phrase).agg(F.first("f").alias("f"))
-
-
-def _adjacent(left: DataFrame, right: DataFrame, words: list[str], new: str) -> DataFrame:
-    """Merge join on piece and adjacent position: the left phrase with the last word of the next."""
-    a = left.select("grp", "piece", (F.col("pos") + 1).alias("pos"), *words)
-    b = right.select("grp", "piece", "pos", F.col(words[-1]).alias(new))
-    return a.join(b.hint("merge"), ["grp", "piece", "pos"]).select("grp", "piece", (F.col("pos") - 1).alias("pos"), *words, new)
+    # Piece ends become words of their own: they take a place and go, as do the empty words around a text.
+    marked = F.replace(F.translate(F.concat("text", F.lit("\n")), PIECE_ENDS, "\n" * len(PIECE_ENDS)), F.lit("\n"), F.lit(" \n "))
+    words = dealt.repartition(n, "grp").select("grp", "lang", F.explode(F.split(marked, "[ \t]+", -1)).alias("word"))
+    placed = words.select("grp", F.monotonically_increasing_id().alias("place"), "lang", "word")
+    return placed.where(~F.col("word").isin("", "\n"))
+
+
+def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, words as numbers) -> the same with their count ``c``, added up over stretches of ``CHUNK`` rows."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        first = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(c[first] for c in cols), np.diff(first, append=len(order)))],
+                                          [*held[0].schema.names, "c"])
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield out()
+            held = []
+    if any(b.num_rows for b in held):
+        yield out()
+
+
+def _by_group(found: DataFrame, phrase: list[str]) -> DataFrame:
+    """``grp``, the columns of ``phrase``, the corpus count ``f`` and ``one`` (true in one group of each phrase)."""
+    if phrase == ["lang", "word"]:
+        local = found.groupBy("grp", *phrase).agg(F.count(F.lit(1)).alias("c"))
+    else:
+        numbers = ", ".join(f"{c} long" for c in phrase)
+        local = found.select("grp", *phrase).mapInArrow(_local_counts, f"grp int, {numbers}, c long")
+    same = Window.partitionBy(*phrase)
+    one = F.row_number().over(same.orderBy("grp")) == 1
+    return local.select("grp", *phrase, F.sum("c").over(same).alias("f"), one.alias("one"))
+
+
+def _adjacent(rows: DataFrame, words: list[str], new: str) -> DataFrame:
+    """Merge join on adjacent places: each phrase with the last word of the phrase that begins one word later."""
+    a = rows.select("grp", (F.col("place") + 1).alias("place"), *words)
+    b = rows.select("grp", "place", F.col(words[-1]).alias(new))
+    return a.join(b.hint("merge"), ["grp", "place"]).select("grp", (F.col("place") - 1).alias("place"), *words, new)
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT
@@ -128,24 +161,27 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = _even_groups(spark, n)
+    often = F.col("f") >= min_count
     with _tables(spark, n) as tables:
-        r1 = tables.write(occurrences(docs, groups, text_col, lang_col), "r1", "piece", "pos")
+        def kept(rows: DataFrame, frequent: DataFrame, phrase: list[str], name: str) -> DataFrame:
+            """Semi-join of occurrences with the frequent phrases of their own group."""
+            here = tables.write(frequent.select("grp", *phrase).repartition(n, "grp"), f"{name}_groups")
+            return tables.write(rows.join(here.hint("shuffle_hash"), ["grp", *phrase], "left_semi"), name, "place")
+        r0 = tables.write(occurrences(docs, groups, text_col, lang_col), "r0", "place")
+        counted = saved(_by_group(r0, ["lang", "word"]), "words-by-group")
         seed = 0
         while True:
-            w = F.xxhash64(F.lit(seed), "lang", "word").alias("w")
-            words = saved(r1.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).select("lang", "word", w, "f"), "words")
+            w = F.xxhash64(F.lit(seed), "lang", "word")
+            words = counted.where("one").select("lang", "word", w.alias("w"), "f")
             shared = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f"))
-            if shared.where((F.col("n") > 1) & (F.col("f") >= min_count)).isEmpty():
+            if shared.where((F.col("n") > 1) & often).isEmpty():
                 break
             seed += 1
-        one = r1.select("grp", "piece", "pos", w.alias("w1"))
-        pairs = _adjacent(one, one, ["w1"], "w2")
-        two = _frequent(pairs, ["w1", "w2"], min_count)
-        here = tables.write(two.drop("f").repartition(n, "grp"), "frequent2", "w1", "w2")
-        r2 = tables.write(pairs.join(here.hint("merge"), ["grp", "w1", "w2"], "left_semi"), "r2", "piece", "pos")
-        triples = _adjacent(r2, r2, ["w1", "w2"], "w3")
-        three = _frequent(triples, ["w1", "w2", "w3"], min_count)
-    return words, saved(_counts(two, ["w1", "w2"]), "pairs"), saved(_counts(three, ["w1", "w2", "w3"]), "triples")
+        pairs = _adjacent(r0.select("grp", "place", w.alias("w1")), ["w1"], "w2")
+        two = saved(_by_group(pairs, ["w1", "w2"]).where(often), "pairs-by-group")
+        r2 = kept(pairs, two, ["w1", "w2"], "r2")
+        three = saved(_by_group(_adjacent(r2, ["w1", "w2"], "w3"), ["w1", "w2", "w3"]).where(often & F.col("one")), "triples")
+    return words, two.where("one").select("w1", "w2", "f"), three.select("w1", "w2", "w3", "f")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

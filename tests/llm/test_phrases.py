@@ -101,8 +101,9 @@ def test_occurrence_joins_do_not_shuffle(spark):
     groups = phrases._even_groups(spark, n)
     assert len(groups) == n
     with phrases._tables(spark, n) as tables:
-        r1 = tables.write(phrases.occurrences(table(spark, corpus(5)), groups), "r1", "piece", "pos")
-        one = r1.select("grp", "piece", "pos", phrases.F.xxhash64("word").alias("w1"))
-        plan = phrases._adjacent(one, one, ["w1"], "w2").groupBy("grp", "w1", "w2").count()._jdf.queryExecution().toString()
+        r0 = tables.write(phrases.occurrences(table(spark, corpus(5)), groups), "r0", "place")
+        r1 = r0.select("grp", "place", phrases.F.xxhash64("word").alias("w1"))
+        plan = phrases._by_group(phrases._adjacent(r1, ["w1"], "w2"), ["w1", "w2"])._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
-    assert "SortMergeJoin" in physical and "Exchange" not in physical, physical
+    below = physical[physical.index("SortMergeJoin"):]
+    assert "Exchange" not in below and below.count("- Sort [") == 1, physical
