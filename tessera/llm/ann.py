@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cosine, on robust-pruned directed graphs.
 
-Equal vectors become one point that keeps its k + 1 least ids (no query needs
-more of a point).  Points are dealt by hash into shards of bounded size, and
+Equal vectors, and vectors that differ by a power of two (their cosines are the
+same to the last bit), become one point that keeps its k + 1 least ids (no query
+needs more of a point).  Points are dealt by hash into shards of bounded size, and
 every shard gets a graph: points join in batches, a greedy beam search in the
 graph so far proposes neighbours, and relaxed pruning keeps a neighbour only if
 no kept one is closer to it by the factor ``ALPHA``; edges back are added and
 pruned alike.  A query runs a beam search in each shard; the shards' best points
-are scored with the original vectors in double precision and ranked.
+are scored with the original vectors in double precision and ranked; of points
+that tie, those with the least ids count.
 
 Queries are dealt in blocks, and a task holds one shard and one block.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -153,6 +155,7 @@ def _search(k: int, beam: int):
             v = np.frombuffer(shard["vectors"][0].as_py(), float).reshape(-1, dim)
             edges = np.frombuffer(shard["edges"][0].as_py(), np.int32).reshape(len(v), -1).astype(np.int64)
             names = shard["ids"][0].as_py()
+            least = np.array([n[0] for n in names], np.int64)  # of points that tie, those with the least ids count
             q = np.asarray(queries["vec"].combine_chunks().flatten(), float).reshape(-1, dim)
             x, unit = _unit(v), _unit(q)
             for s in range(0, len(q), 512):
@@ -160,7 +163,7 @@ def _search(k: int, beam: int):
                 for i, row in enumerate(found):
                     row = row[row >= 0]
                     score = cosine(v[row], q[s + i])
-                    for j in np.lexsort((row, -score))[:k + 1]:
+                    for j in np.lexsort((least[row], -score))[:k + 1]:
                         out["query_id"].append(queries["query_id"][s + i].as_py())
                         out["ids"].append(names[row[j]])
                         out["score"].append(float(score[j]))
@@ -175,8 +178,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     return (vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).where(ok)
             .select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
-            .select("id", "vec", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"),
-                    F.xxhash64(F.lit("second"), F.col("vec")).alias("h2")))
+            .select("id", "vec", F.size("vec").alias("dim"), _direction(F.col("vec")).alias("way"))
+            .select("id", "vec", "dim", F.xxhash64("way").alias("h1"), F.xxhash64(F.lit("second"), F.col("way")).alias("h2")))
+
+
+def _direction(vec: Column) -> Column:
+    """The vector scaled by a power of two to a size near 1: exact, so vectors that differ by such a factor have the
+    same cosines to the last bit and are one point.  Very large and very small ones stay as they are."""
+    power = F.floor(F.log2(F.array_max(F.transform(vec, F.abs))))
+    scale = F.when(F.abs(power) < 200, F.pow(F.lit(2.0), power.cast("double"))).otherwise(F.lit(1.0))
+    return F.transform(vec, lambda x: x / scale)
 
 
 def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",

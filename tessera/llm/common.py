@@ -40,6 +40,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def refuse_columns(df: DataFrame, *names: str) -> None:
+    """Raise if ``df`` has a column that the result adds itself (in any case)."""
+    taken = sorted(set(c.lower() for c in df.columns) & set(names))
+    if taken:
+        raise ValueError(f"columns {', '.join(taken)} are added by the operator: rename yours")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> _U(30))

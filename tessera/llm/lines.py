@@ -9,16 +9,18 @@ column (null: no site).
    site with a third of all rows crosses the network as small sketches.
 2. Estimates farther than ``BAND`` relative errors (at least 1) from
    ``min_sites`` decide; lines nearer to it get an exact count of sites.
-3. Lines on ``min_sites`` sites or more go.  A document of which they make up
-   more than ``max_share`` of the characters stays as it is, with its own lines
-   and theirs; ``max_share=1.0`` cuts them everywhere.
+3. Lines on ``min_sites`` sites or more go, whatever their share of a document.
+   Only a document of which nothing else would be left stays as it is: all its
+   lines stand on many sites, so it is a copy as a whole.
 
 All of it is DataFrame code in the JVM.  The numbers of the lines to cut meet
 their document by a 128-bit hash of the row.
 
 Inputs: a null text stays null and has no lines; an empty text has one empty
-line.  Repeated rows are treated alike and all stay.  Extra columns pass
-through untouched; an empty table gives an empty result.
+line.  Repeated rows are treated alike and all stay.  Very long texts are split
+and joined whole.  Extra columns of any name pass through untouched, but for
+``n_lines`` and ``n_removed``, which are added and therefore refused.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import column, refuse_columns, saved
 
 MIN_SITES = 5
-MAX_SHARE = 0.5
 LOG_K = 10
 BAND = 6.0
 
@@ -65,24 +66,22 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+                       min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without the boilerplate lines, and with ``n_lines`` (before) and ``n_removed``."""
+    refuse_columns(docs, "n_lines", "n_removed")
     lines = saved(lines_of(docs, key_col, text_col, site_col), "lines")
     cuts = (lines.join(boilerplate(lines, min_sites), "line", "left_semi")
-            .groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("cut__")))
+            .groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("cut")))
     text = F.col(text_col).cast("string")
+    # The caller's other columns go as one, and the split lines take the place of the text.
     others = [c for c in docs.columns if c != text_col]
-    # The split lines take the place of the text on the way through the join.
-    joined = docs.select(*others, _hash128(F.col(key_col), text).alias("row__"),
-                         F.split(text, "\n", -1).alias("parts__")).join(
-        cuts.withColumnRenamed("row", "row__"), "row__", "left")
-    lost = F.aggregate("cut__", F.lit(0).cast("long"),
-                       lambda n, i: n + F.length(trimmed(F.element_at("parts__", i + 1))))
-    whole = F.aggregate("parts__", F.lit(0).cast("long"), lambda n, x: n + F.length(trimmed(x)))
-    joined = joined.withColumn("cut__", F.when(lost <= whole * F.lit(max_share), F.col("cut__")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("parts__") - 1), "cut__")
-    rest = F.array_join(F.transform(kept, lambda i: F.element_at("parts__", i + 1)), "\n")
-    clean = F.when(F.col("cut__").isNull(), F.array_join("parts__", "\n")).otherwise(rest)
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                         F.coalesce(F.size("parts__"), F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("cut__"), F.lit(0)).cast("long").alias("n_removed"))
+    joined = docs.select(F.struct(*[column(c) for c in others]).alias("others"), _hash128(F.col(key_col), text).alias("row"),
+                         F.split(text, "\n", -1).alias("parts")).join(cuts, "row", "left")
+    own = F.size(F.filter("parts", lambda x: trimmed(x) != "")) > F.size("cut")
+    joined = joined.withColumn("cut", F.when(own, F.col("cut")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "cut")
+    rest = F.array_join(F.transform(kept, lambda i: F.element_at("parts", i + 1)), "\n")
+    clean = F.when(F.col("cut").isNull(), F.array_join("parts", "\n")).otherwise(rest)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in docs.columns],
+                         F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"))

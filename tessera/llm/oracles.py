@@ -11,7 +11,7 @@ l AS (
   FROM (SELECT uid, source, parts, unnest(generate_series(1, len(parts))) AS pos FROM d)),
 bad AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
 m AS (SELECT uid, pos, l.line, bad.line IS NOT NULL AS cut FROM l LEFT JOIN bad ON l.line = bad.line),
-s AS (SELECT uid, coalesce(2 * sum(length(line)) FILTER (WHERE cut), 0) <= sum(length(line)) AS mild FROM m GROUP BY uid),
+s AS (SELECT uid, count(*) FILTER (WHERE line <> '' AND NOT cut) > 0 AS mild FROM m GROUP BY uid),
 k AS (
   SELECT uid, string_agg(parts[pos], chr(10) ORDER BY pos) FILTER (WHERE NOT (cut AND mild)) AS kept,
          count(*) FILTER (WHERE cut AND mild) AS n_removed

@@ -233,10 +233,11 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Train on at most about ``per_class`` labelled rows of each class (feature rows of fixed size reach the driver)."""
+    """Train on at most about ``per_class`` labelled documents of each class (feature rows of fixed size reach the
+    driver); a document counts once, however often its row occurs."""
     sample = training_sample(labels, label_col, key_col, per_class)
     texts = key_text(docs, key_col, text_col).join(
-        F.broadcast(sample), "key").select("y", "text")
+        F.broadcast(sample), "key").dropDuplicates(["key"]).select("y", "text")
     got = texts.mapInArrow(_feature_rows, "y int, x array<double>").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
     return train(x, got["y"].to_numpy().astype(float))

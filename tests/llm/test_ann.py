@@ -53,6 +53,25 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert ann.search(ann.build_index(frame(spark, rows), 5), empty, 5).count() == 0
 
 
+def test_ties_go_to_the_least_ids(spark):
+    """Scaled copies of a vector tie to the last bit, also when there are more of them than the beam holds."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(300)]
+    near = np.array(rows[7][1])
+    order = r.permutation(150)
+    rows += [(1001 + int(j), (near * 2.0 ** (int(j) % 39 - 20)).tolist()) for j in order]
+    turned = near + 0.01 * r.normal(size=16)
+    rows += [(5000 - j, (turned * (1 + j)).tolist()) for j in range(30)]
+    got = ann.search(ann.build_index(frame(spark, rows), 5), frame(spark, [rows[7]]), 5).orderBy("rank").collect()
+    assert [x.vec_id for x in got] == [1001, 1002, 1003, 1004, 1005]
+    x = np.array([v for _, v in rows], np.float32).astype(float)  # as the table holds them
+    score = [float(ann.cosine(x[i:i + 1], x[7])[0]) for i in range(len(rows))]
+    want = sorted((-s, i) for s, (i, _) in zip(score, rows) if not 1001 <= i <= 1150 and i != 7)[:5]
+    rest = [row for row in rows if not 1001 <= row[0] <= 1150]
+    got = ann.search(ann.build_index(frame(spark, rest), 5), frame(spark, [rows[7]]), 5).orderBy("rank").collect()
+    assert [(-x.score, x.vec_id) for x in got] == want
+
+
 def test_recall_of_one_graph():
     r = np.random.default_rng(2)
     x = r.normal(size=(1500, 32))

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import chat, lines
 from tessera.llm.queries import QUERIES
 
@@ -14,9 +17,8 @@ def brute(rows, min_sites):
     for key, text, _ in rows:
         parts = text.split("\n") if text is not None else []
         bad = [len(sites.get(x.strip(" \t\r"), ())) >= min_sites for x in parts]
-        whole = sum(len(x.strip(" \t\r")) for x in parts)
-        if 2 * sum(len(x.strip(" \t\r")) for x, b in zip(parts, bad) if b) > whole:
-            bad = [False] * len(parts)
+        if not any(x.strip(" \t\r") and not b for x, b in zip(parts, bad)):
+            bad = [False] * len(parts)  # a copy as a whole
         kept = None if text is None else "\n".join(x for x, b in zip(parts, bad) if not b)
         out.append((key, kept, len(parts), sum(bad)))
     return sorted(out, key=str)
@@ -56,6 +58,23 @@ def test_lines_empty_table_and_columns(spark):
     assert out.count() == 0 and out.columns == [*docs.columns, "n_lines", "n_removed"]
 
 
+def test_mostly_boilerplate_goes_and_whole_copies_stay(spark):
+    menu, foot = "Home News Contact and more " * 20, "All rights reserved"
+    rows = [(i, f"{menu}\n{foot}\nown {i}", f"s{i}") for i in range(6)] + [(10 + i, f"{menu}\n{foot}\n", f"s{i}") for i in range(6)]
+    got = {r[0]: r[1:] for r in run(spark, rows)}
+    assert got[3] == ("own 3", 3, 2) and got[12] == (f"{menu}\n{foot}\n", 3, 0)
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    rows = [(i, f"menu\nown {i}", f"s{i}", "a", "b", i, [i], "d", "e") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row__ string, `cut.x` string, cut__ int, "
+                                       "parts array<int>, others string, ROW string")
+    got = sorted(tuple(r) for r in lines.remove_boilerplate(docs).collect())
+    assert got == [(r[0], f"own {r[0]}", *r[2:], 2, 1) for r in rows]
+    with pytest.raises(ValueError, match="n_removed"):
+        lines.remove_boilerplate(docs.withColumn("N_removed", F.lit(1)))
+
+
 def conversation(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int, side int")
 
