@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ASCII_LOWER, Words, bit_table, byte_class, key_text, maybe_in, ngram_hashes, row_groups, row_hash, saved,
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, column, key_text, maybe_in, ngram_hashes, row_groups, row_hash, saved,
                      signed, text_buffer)
 
 WINDOW = 10
@@ -148,8 +148,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key_col: str = "do
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without an occurrence of a benchmark window, with all their columns."""
-    hashed = docs.withColumn("row__", row_hash(key_col, text_col))
-    found = find_contamination(hashed.select("row__", text_col), benchmark, "row__", text_col, item_col, item_text_col,
-                               window)
-    return hashed.join(found.where("n_hit > 0").select(F.col("key").alias("row__")), "row__", "left_anti").select(
-        *docs.columns)
+    key = row_hash(key_col, text_col).alias("row")
+    found = find_contamination(docs.select(key, column(text_col).alias("text")), benchmark, "row", "text", item_col,
+                               item_text_col, window)
+    bad = found.where("n_hit > 0").select(F.col("key").alias("row"))
+    clean = docs.select(key, F.struct(*map(column, docs.columns)).alias("d")).join(bad, "row", "left_anti")
+    return clean.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])

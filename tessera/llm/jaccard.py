@@ -22,13 +22,20 @@ into cells of one size band, and a text is replicated to the next band's cell
 only if its size and its place in the pivot order (how many of its shingles
 come before the region's) leave enough in common.
 
-*Recursion.*  Every text is first compared with the cells' pivot that it meets
-most often, which joins most groups at once.  Then in each cell that still has
-texts of different components the first texts become document pivots.  Their
-exact distances to the cell's other texts give links.  Texts whose distances
-to a pivot differ by more than 1/4 cannot link and are not compared again, nor
-are texts of one component.  Pivots leave, cells with two or more components
-left go on with more pivots, until none is left.
+*Document pivots.*  The first text of each cell becomes a document pivot, and
+every text is compared with the pivot that it meets most often: its hub, whose
+Voronoi region it stays in wherever it goes.  That joins most groups at once.
+A region is summed up in each cell by the range of its texts' distances to the
+hub, so whole regions are left aside by the triangle inequality before any of
+their texts is looked at.
+
+*Recursion.*  In each cell that still has texts of different components the
+texts of the smaller components become pivots, as only they can still link it.
+Each is first compared with the hubs of the cell's regions (a few rows, however
+many texts a region has), and then with the texts of those regions alone whose
+distances to the hub differ from its own by no more than 1/4.  Pivots leave,
+cells with two or more components left go on with more pivots, until none is
+left.
 
 Bounded per task: one text's set, or two at a comparison.  Sets are compared
 by 64-bit shingle hashes; equal sets by a 64-bit digest.
@@ -47,13 +54,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (ASCII_LOWER, Words, bit_table, byte_class, key_text, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
+from .common import (ASCII_LOWER, Words, bit_table, byte_class, column, key_text, maybe_in, mix, ngram_hashes, row_groups, row_hash, saved, signed,
                      text_buffer)
 from .graph import components
 
 K = 5
 SLOTS = 1 << 18
-FIRST_PIVOTS = 8  # document pivots of a cell in the first round; each round takes so many times more
+FIRST_PIVOTS = 8  # document pivots of a cell in the first round of the recursion; each round takes so many times more
+WINDOW = 0.25 + 1e-9  # distances to a pivot of linked texts differ by no more
 IS_WORD = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
@@ -177,7 +185,7 @@ def _enough(x: Column, y: Column, before: Column | None = None) -> Column:
 
 
 def _cells(meetings: DataFrame) -> DataFrame:
-    """Rows (pivot, band, home, point, n, pos, root, d): regions split by size."""
+    """Rows (pivot, band, home, point, n, pos, root, hub, to_hub): regions split by size."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int")
     edge = F.pow(F.lit(4 / 3), F.col("band") + 1)
     rows = meetings.withColumn("band", band)
@@ -185,7 +193,7 @@ def _cells(meetings: DataFrame) -> DataFrame:
     up = F.explode(F.when(reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     return rows.withColumn("up", up).select(
         "pivot", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("home"), "point", "n", "pos",
-        F.col("point").alias("root"), F.lit(None).cast("double").alias("d"))
+        F.col("point").alias("root"), F.col("point").alias("hub"), F.lit(0.0).alias("to_hub"))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,40 +214,67 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
     sets = saved(texts.mapInArrow(_full_sets(wanted, k), "point long, set array<long>").dropDuplicates(["point"])
                  .join(cells.select("point").distinct(), "point", "left_semi"), "sets")
     x, p = F.struct("n", "pos"), F.struct(F.col("p.n").alias("n"), F.col("p.pos").alias("pos"))
-    # A first link for most texts: the pivot that they meet in most cells.
+    # A hub for most texts: the pivot that they meet in most cells.  A first text without one is its own.
     heads = cells.where("home").groupBy("pivot", "band").agg(F.min(F.struct("n", "point", "pos")).alias("p"))
     often = (cells.join(heads, ["pivot", "band"]).where((F.col("point") != F.col("p.point")) & _enough(x, p))
              .groupBy("point", "p.point").agg(F.count(F.lit(1)).alias("n")).toDF("b", "a", "n"))
     pairs = often.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     seen = saved(_compare(pairs, sets), "distances")
     found = seen.where("linked").select("a", "b")
+    hubs = seen.select(F.col("b").alias("point"), F.col("a").alias("hub"), F.col("d").alias("to_hub"))
+    cells = cells.drop("hub", "to_hub").join(hubs, "point", "left").withColumn(
+        "to_hub", F.coalesce("to_hub", F.lit(0.0))).withColumn("hub", F.coalesce("hub", "point"))
     cells = _open(_relabel(cells, components(found)))
     pivots = FIRST_PIVOTS
     while not cells.isEmpty():
-        ranked = cells.where("home").withColumn("at", F.row_number().over(
-            Window.partitionBy("pivot", "band").orderBy("n", "point"))).where(F.col("at") <= pivots)
-        chosen = ranked.select("pivot", "band", "at", F.struct("point", "n", "pos", "root", "d").alias("p"))
-        later = ~F.col("home") | (F.struct("n", "point") > F.struct("p.n", "p.point"))
-        apart = F.coalesce(F.abs(F.col("d") - F.col("p.d")) > 0.25 + 1e-9, F.lit(False))
-        pairs = cells.join(chosen, ["pivot", "band"]).where(
-            later & _enough(x, p) & ~apart & (F.col("root") != F.col("p.root"))).select(
-            F.col("p.point").alias("a"), F.col("point").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        now = saved(_compare(pairs, sets), "distances")
-        seen = seen.unionByName(now)
-        found = found.unionByName(now.where("linked").select("a", "b"))
-        first = chosen.where("at = 1").select("pivot", "band", F.col("p.point").alias("a"))
-        gone = ranked.select("pivot", "band", "point", "home")
-        rest = (cells.drop("d").join(gone, ["pivot", "band", "point", "home"], "left_anti")
-                .join(first, ["pivot", "band"])
-                .join(seen.select("a", F.col("b").alias("point"), "d"), ["a", "point"], "left"))
+        chosen = _pivots(cells, pivots)
+        regions = cells.groupBy("pivot", "band", "hub").agg(
+            F.min("to_hub").alias("low"), F.max("to_hub").alias("high"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        other = (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("p.root"))  # the region has another component's text
+        visits = saved(regions.join(chosen, ["pivot", "band"]).where(other).select("pivot", "band", "hub", "low", "high", "p"),
+                       "visits")
+        # Distances to hubs: the pivot's own is known.
+        asked = visits.where("hub <> p.hub and hub <> p.point").select(F.col("hub").alias("a"), F.col("p.point").alias("b")).distinct()
+        asked = asked.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")),
+                                                               ["a", "b"], "left_anti")
+        seen = _with(seen, saved(_compare(asked, sets), "distances"))
+        known = seen.select("a", "b", "d").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        known = known.groupBy("a", "b").agg(F.first("d").alias("known"))
+        far = visits.withColumn("b", F.col("p.point")).join(known.withColumnRenamed("a", "hub"), ["hub", "b"], "left").withColumn(
+            "d", F.when(F.col("hub") == F.col("b"), F.lit(0.0)).when(F.col("hub") == F.col("p.hub"), F.col("p.to_hub"))
+            .otherwise(F.col("known")))
+        near = far.where((F.col("d") >= F.col("low") - WINDOW) & (F.col("d") <= F.col("high") + WINDOW)).select(
+            "pivot", "band", "hub", "p", "d")
+        later = ~F.col("home") | ~F.col("p.home") | (F.struct("n", "point") != F.struct("p.n", "p.point"))
+        pairs = cells.join(near, ["pivot", "band", "hub"]).where(
+            later & (F.col("home") | F.col("p.home")) & _enough(x, p) & (F.abs(F.col("to_hub") - F.col("d")) <= WINDOW)
+            & (F.col("root") != F.col("p.root"))).select(
+            F.least("p.point", "point").alias("a"), F.greatest("p.point", "point").alias("b")).distinct()
+        pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")),
+                                                               ["a", "b"], "left_anti")
+        seen = _with(seen, saved(_compare(pairs, sets), "distances"))
+        found = seen.where("linked").select("a", "b")
+        rest = cells.join(chosen.select("pivot", "band", F.col("p.point").alias("point")), ["pivot", "band", "point"], "left_anti")
         cells = _open(_relabel(rest, components(found)))
         pivots *= FIRST_PIVOTS
     return found
 
 
+def _with(seen: DataFrame, now: DataFrame) -> DataFrame:
+    return saved(seen.unionByName(now), "distances")
+
+
+def _pivots(cells: DataFrame, most: int) -> DataFrame:
+    """(pivot, band, p): up to ``most`` texts of each cell, those of its smallest components first."""
+    sizes = cells.groupBy("pivot", "band", "root").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = cells.join(sizes, ["pivot", "band", "root"]).withColumn("at", F.row_number().over(
+        Window.partitionBy("pivot", "band").orderBy("texts", "root", "n", "point"))).where(F.col("at") <= most)
+    return saved(ranked.select("pivot", "band", F.struct("point", "n", "pos", "root", "hub", "to_hub", "home").alias("p")), "pivots")
+
+
 def _relabel(cells: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(cells.drop("root").join(roots.withColumnRenamed("id", "point"), "point", "left").select(
-        "pivot", "band", "home", "point", "n", "pos", F.coalesce("root", "point").alias("root"), "d"), "cells")
+        "pivot", "band", "home", "point", "n", "pos", F.coalesce("root", "point").alias("root"), "hub", "to_hub"), "cells")
 
 
 def _open(cells: DataFrame) -> DataFrame:
@@ -274,8 +309,11 @@ def deduplicate(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     (then the least row hash; a null key comes last).  Texts without shingles all stay."""
     rows = _rooted(docs, key_col, text_col, k)
     first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("m"))
-    keep = first.select(F.col("m.row").alias("row__"), F.lit(True).alias("one__")).unionByName(
-        rows.where("n = 0").select(F.col("row").alias("row__"), F.lit(False).alias("one__")).distinct())
-    kept = docs.withColumn("row__", row_hash(key_col, text_col)).join(keep, "row__")
-    once = kept.where("one__").dropDuplicates(["row__"]).unionByName(kept.where("not one__"))
-    return once.select(*docs.columns)
+    keep = first.select(F.col("m.row").alias("row"), F.lit(True).alias("one")).unionByName(
+        rows.where("n = 0").select("row", F.lit(False).alias("one")).distinct())
+    kept = docs.select(row_hash(key_col, text_col).alias("row"), F.struct(*map(column, docs.columns)).alias("d")).join(keep, "row")
+    # Rows equal in key and text: the one with the least hash of its columns.
+    hashed = [F.col("d").getField(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    ranked = kept.where("one").select("row", "d", F.xxhash64(*hashed).alias("h"))
+    once = ranked.groupBy("row").agg(F.min_by("d", "h").alias("d")).select("d").unionByName(kept.where("not one").select("d"))
+    return once.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])

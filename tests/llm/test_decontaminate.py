@@ -48,6 +48,14 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, items()) == brute(rows, items())
 
 
+def test_columns_of_any_name_stay(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    rows = [(1, "x a b c d e f g h i j y", "p", 1), (2, "clean text", "q", 2), (None, None, "r", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ROW__ string, `d.e` int")
+    got = decontaminate.drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[1:], key=str)
+
+
 def test_drop_and_empty_tables(spark):
     rows, none = nasty(), spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark, rows)

@@ -48,6 +48,20 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(want, key=str)
 
 
+def test_columns_of_any_name_stay(spark):
+    text = prose(1, 60)
+    rows = [(1, text, "a", "b", 1, {"k": 1}, "x"), (2, text + " more", "c", "d", 2, {}, "y"), (3, None, "e", "f", 3, None, "z"),
+            (1, text, "a", "b", 0, {"k": 1}, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row__ string, one__ string, d int, m map<string,int>, "
+                                       "`a.b` string")
+    for table in (docs, spark.createDataFrame(rows[::-1], docs.schema)):
+        got = jaccard.deduplicate(table)
+        assert got.columns == docs.columns
+        out = sorted(tuple(r) for r in got.collect())
+        assert len(out) == 2 and out[1] == rows[2] and out[0][0] == 1 and out[0][2:4] == ("a", "b")
+        assert out[0] == (found := locals().get("found", out[0]))  # the same row in any order
+
+
 def test_empty_table(spark):
     assert jaccard.group(documents(spark, [])).count() == 0
     assert jaccard.deduplicate(documents(spark, [(4, None), (5, "")])).count() == 2
