@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..errors import SourceNotFoundError, UnsupportedFormatError, ValidationError
 from ..functions.text import strip_text
-from ..operators.order import file_order
+from ..operators.order import FILE_ORDER, file_order
+from .ranges import csv_records, json_elements, parse_csv
 
 Reader = Callable[..., DataFrame]
 
@@ -53,13 +54,28 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return _finish(_load(r.json, path), with_file_order)
 
 
+def read_json_elements(spark: SparkSession, path: str, schema: T.StructType | str, field: str | None = None,
+                       with_file_order: bool = False) -> DataFrame:
+    """As :func:`read_json` with a schema, or with ``field`` the objects of that array of the file's one object,
+    but a large file splits over tasks (see :mod:`.ranges`)."""
+    rows = _load(lambda p: json_elements(spark, p, field), path)
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    rows = rows.select(F.from_json("text", kind, {"mode": "FAILFAST"}).alias("e"), *FILE_ORDER).select("e.*", *FILE_ORDER)
+    return rows if with_file_order else rows.drop(*FILE_ORDER)
+
+
+_CSV = {"escape": '"', "nullValue": ""}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              with_file_order: bool = False) -> DataFrame:
-    """CSV with header; quoted commas and newlines kept; empty cell -> null."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("escape", '"').option("nullValue", ""))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return _finish(_load(r.csv, path), with_file_order)
+    """CSV with header; quoted commas and newlines kept; empty cell -> null.  With a schema, files split over
+    tasks wherever their quotes stand (see :mod:`.ranges`); without one Spark infers it, file by file."""
+    if schema is None:
+        r = spark.read.options(header=True, multiLine=True, inferSchema=True, **_CSV)
+        return _finish(_load(r.csv, path), with_file_order)
+    rows = parse_csv(_load(lambda p: csv_records(spark, p), path), schema, _CSV)
+    return rows if with_file_order else rows.drop(*FILE_ORDER)
 
 
 def read_parquet(spark: SparkSession, path: str, schema=None, with_file_order: bool = False) -> DataFrame:
@@ -105,25 +121,22 @@ TRACE_EVENT = T.StructType([
     T.StructField("tid", T.StringType()),
     T.StructField("args", T.MapType(T.StringType(), T.StringType())),
 ])
-TRACE_FILE = T.StructType([T.StructField("traceEvents", T.ArrayType(TRACE_EVENT))])
 
 
 def read_trace(spark: SparkSession, path: str, one_event_per_line: bool = False) -> DataFrame:
     """Profiler trace events with ``event_index`` in file order.
 
     ``one_event_per_line=False``: one JSON object with a ``traceEvents`` array
-    (missing array -> no events; the file is one task).  ``True``: JSON Lines of
-    events, which split across tasks.
+    (missing array -> no events).  ``True``: JSON Lines of events.  Both split
+    across tasks.
     """
     if one_event_per_line:
         ev = read_jsonl(spark, path, TRACE_EVENT, with_file_order=True)
-        from ..operators.order import FILE_ORDER, with_pos
+        from ..operators.order import with_pos
         return with_pos(ev, list(FILE_ORDER), "event_index").drop(*FILE_ORDER)
-    doc = read_json(spark, path, TRACE_FILE, with_file_order=True)
-    ev = doc.select("_file", F.posexplode(F.coalesce("traceEvents", F.array())).alias("i", "e"))
+    ev = read_json_elements(spark, path, TRACE_EVENT, "traceEvents", with_file_order=True)
     from ..operators.order import with_pos
-    ev = with_pos(ev, ["_file", "i"], "event_index")
-    return ev.select("event_index", "e.*")
+    return with_pos(ev, list(FILE_ORDER), "event_index").drop(*FILE_ORDER)
 
 
 def latest_file(spark: SparkSession, pattern: str, exclude: str = "_with_memory") -> DataFrame:
