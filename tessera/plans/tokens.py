@@ -473,7 +473,7 @@ def train_wordpiece(spark: SparkSession, sf: str):
 @query("train_unigram")
 def train_unigram_q(spark: SparkSession, sf: str):
     from ..operators.vocab import train_unigram
-    m = train_unigram(word_counts(table(spark, sf, "documents"), normalizer="nfc"), BPE_VOCAB,
+    m = train_unigram(word_counts(table(spark, sf, "documents"), normalizer="nfc"), SUBWORD_VOCAB,
                       special_tokens=SPECIALS, normalizer="nfc")
     return spark.createDataFrame(list(zip(m.tokens, range(len(m.tokens)), [float(x) for x in m.scores])),
                                  "token string, id long, score double")
