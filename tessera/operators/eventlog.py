@@ -8,13 +8,17 @@ plus the memory fields ``addr``, ``bytes``, ``device`` (null when absent).
   planned as ``TakeOrderedAndProject`` (per-partition top-k, then merge).
 * Free matching (as-of join): among memory events of one address in file
   order, a free matches exactly when the previous one is an allocation.
-* Running balances use the two-level prefix sum of ``order.running_sum``.
+* Running balances use the two-level prefix sum of ``order.running_sum``; their
+  peaks and ends compose from sums of stretches, without the running rows.
 * Active operations: a sweep in time order for counts, aligned blocks of ranks for
   the earliest one; an interval join by levels of bucket widths where pairs are wanted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,23 +153,47 @@ def running_balance(deltas: DataFrame) -> DataFrame:
     return running_sum(dev, "delta", "total_balance", pos_col="seq")
 
 
-def peaks(balance: DataFrame) -> DataFrame:
-    """First time each running balance reaches its maximum (only maxima above 0)."""
-    seq = F.struct("seq")
-    per_dev = (balance.groupBy(F.col("device").cast("string").alias("scope"))
-               .agg(F.max("device_balance").alias("peak_bytes"),
-                    F.min_by("ts", F.struct(F.col("device_balance") * -1, "seq")).alias("peak_ts")))
-    total = balance.agg(F.lit("total").alias("scope"), F.max("total_balance").alias("peak_bytes"),
-                        F.min_by("ts", F.struct(F.col("total_balance") * -1, "seq")).alias("peak_ts"))
-    del seq
-    return per_dev.unionByName(total).where(F.col("peak_bytes") > 0)
-
-
-def end_balance(balance: DataFrame) -> DataFrame:
-    per_dev = balance.groupBy(F.col("device").cast("string").alias("scope")).agg(
-        F.max_by("device_balance", "seq").alias("end_bytes"))
-    total = balance.agg(F.lit("total").alias("scope"), F.max_by("total_balance", "seq").alias("end_bytes"))
-    return per_dev.unionByName(total).withColumn("leak", F.col("end_bytes") > 0)
+def balance_sums(deltas: DataFrame) -> DataFrame:
+    """(part, scope, total, peak, peak_ts): what each stretch of the events adds up to, per device and for ``total``.
+
+    A running balance is a sum with its highest prefix and that prefix's first time; stretches compose.  Events are
+    sorted inside ranges of (ts, file) order, and a range leaves one row per scope: no running row is ever written."""
+    n = int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = deltas.select("ts", "event_index", F.col("device").cast("string").alias("scope"), "delta").repartitionByRange(
+        n, "ts", "event_index").sortWithinPartitions("ts", "event_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, sums = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for ts, scope, delta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name in ((0, scope), (1, "total")):
+                    s = sums.setdefault(name, [0, None, None])
+                    s[0] += delta
+                    if s[1] is None or s[0] > s[1]:
+                        s[1:] = s[0], ts
+        yield pa.RecordBatch.from_pylist(
+            [{"part": part, "whole": bool(k), "scope": scope, "total": t, "peak": p, "peak_ts": ts}
+             for (k, scope), (t, p, ts) in sums.items()], schema=pa.schema([
+                 ("part", pa.int32()), ("whole", pa.bool_()), ("scope", pa.string()), ("total", pa.int64()),
+                 ("peak", pa.int64()), ("peak_ts", pa.float64())]))
+    return ordered.select(F.col("ts").cast("double"), "scope", F.col("delta").cast("long")).mapInArrow(
+        run, "part int, whole boolean, scope string, total long, peak long, peak_ts double")
+
+
+def peaks(sums: DataFrame) -> DataFrame:
+    """First time each running balance reaches its maximum (only maxima above 0), from :func:`balance_sums`."""
+    before = Window.partitionBy("whole", "scope").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    high = F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("peak")  # one row per range and scope
+    return (sums.withColumn("high", high).groupBy("whole", "scope").agg(
+        F.max("high").alias("peak_bytes"), F.min_by("peak_ts", F.struct(-F.col("high"), "part")).alias("peak_ts"))
+        .where(F.col("peak_bytes") > 0).drop("whole"))
+
+
+def end_balance(sums: DataFrame) -> DataFrame:
+    """Balance of each scope after its last event, from :func:`balance_sums`."""
+    return (sums.groupBy("whole", "scope").agg(F.sum("total").alias("end_bytes")).drop("whole")
+            .withColumn("leak", F.col("end_bytes") > 0))
 
 
 def counter_rows(trace: DataFrame) -> DataFrame:

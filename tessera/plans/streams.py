@@ -52,4 +52,21 @@ def stream_metrics(spark: SparkSession, sf: str):
     sink, ckpt = scratch_path(spark, "stream-metrics-out"), scratch_path(spark, "stream-metrics-ckpt")
     inc.stream_metrics(spark, src, "series string, ts timestamp_ntz, event_id long, loss double",
                        sink, ckpt).awaitTermination()
-    return spark.read.parquet(sink).select("series", "best", "current", "points")
+    return inc.metric_states(spark, sink).select("series", "best", "current", "points")
+
+
+@query("stream_last_points", """
+SELECT event_type AS series, round(avg(value / 100), 6) AS recent_avg, count(*) AS kept
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r <= 1000 GROUP BY 1""")
+def stream_last_points(spark: SparkSession, sf: str):
+    """The last 1,000 points of each series after a stream in several triggers and a restart."""
+    ev = table(spark, sf, "events").select(F.col("event_type").alias("series"), "ts", "event_id",
+                                            (F.col("value") / 100).alias("loss"))
+    src = _as_files(ev, "stream-points-src", spark, "event_id")
+    sink, ckpt = scratch_path(spark, "stream-points-out"), scratch_path(spark, "stream-points-ckpt")
+    for _ in range(2):  # the second run finds nothing new and leaves the state as it is
+        inc.stream_metrics(spark, src, "series string, ts timestamp_ntz, event_id long, loss double",
+                           sink, ckpt, max_files_per_trigger=2).awaitTermination()
+    return inc.metric_states(spark, sink).select("series", F.round("recent_avg", 6).alias("recent_avg"),
+                                                 F.size("recent").cast("long").alias("kept"))

@@ -238,7 +238,7 @@ SELECT CAST(device AS VARCHAR) AS scope, max(device_balance) AS peak_bytes,
 UNION ALL
 SELECT 'total', max(total_balance), arg_min(ts, (-total_balance, seq)) FROM bal2 HAVING max(total_balance) > 0""")
 def peak_balance(spark: SparkSession, sf: str):
-    return ev.peaks(_balance(spark, sf))
+    return ev.peaks(ev.balance_sums(ev.memory_deltas(events_trace(spark, sf))))
 
 
 @query("end_balance", _w(_SQL_TRACE, _SQL_BAL) + """
@@ -247,7 +247,7 @@ SELECT CAST(device AS VARCHAR) AS scope, arg_max(device_balance, seq) AS end_byt
 UNION ALL
 SELECT 'total', arg_max(total_balance, seq), arg_max(total_balance, seq) > 0 FROM bal2""")
 def end_balance(spark: SparkSession, sf: str):
-    return ev.end_balance(_balance(spark, sf))
+    return ev.end_balance(ev.balance_sums(ev.memory_deltas(events_trace(spark, sf))))
 
 
 @query("mem_counters", _w(_SQL_TRACE) + """
@@ -352,11 +352,14 @@ def trace_with_counters(spark: SparkSession, sf: str):
     return t.groupBy("ph").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("latest_file")
+@query("latest_file", "SELECT 'run_b.json' AS file, count(*) AS events FROM events")
 def latest_file_q(spark: SparkSession, sf: str):
-    """Newest trace among several written ones (derived ``_with_memory`` names excluded)."""
+    """Newest trace among several written ones (derived ``_with_memory`` names excluded), and its events."""
     base = scratch_path(spark, "traces")
     t = events_trace(spark, sf).select("event_index", "name", "ts")
     for name in ("run_a.json", "run_b.json", "run_b_with_memory.json"):
-        t.write.mode("overwrite").json(f"{base}/{name}")
-    return latest_file(spark, f"{base}/*/*.json")
+        t.where(F.lit(name != "run_a.json") | (F.col("event_index") % 2 == 0)).write.mode("overwrite").json(f"{base}/{name}")
+    folder = F.element_at(F.split("path", "/"), -2)
+    newest = latest_file(spark, f"{base}/*/*.json").select(folder.alias("file")).first()["file"]
+    rows = spark.read.schema("event_index long").json(f"{base}/{newest}")
+    return rows.agg(F.count(F.lit(1)).alias("events")).select(F.lit(newest).alias("file"), "events")

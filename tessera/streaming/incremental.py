@@ -3,9 +3,8 @@
 * ``stream_split``   new JSONL files -> text check -> stateless hash split ->
                      file sink (exactly once via the checkpoint location).
 * ``stream_encode``  new files -> subword encoding in ``mapInPandas`` (stateless).
-* ``stream_metrics`` metric points -> running best / current / count per series
-                     (state = one row per series), complete output per trigger
-                     written by ``foreachBatch``.
+* ``stream_metrics`` metric points -> best / current / count / last points per
+                     series as keyed state; a trigger writes what it changed.
 
 All take a checkpoint location and, if wanted, a bound on the files of a trigger; with ``trigger(availableNow=True)`` a run
 processes what has arrived and stops, so the same code serves backfills and
@@ -14,9 +13,13 @@ schedules.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.encode import encode_subword
 from ..operators.order import hash_key
@@ -64,18 +67,60 @@ def stream_encode(spark: SparkSession, source: str, schema, model: SubwordModel,
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def _order_number(col: str, kind: T.DataType) -> Column:
+    """A whole number in the order of a time or integer column."""
+    return F.unix_micros(F.col(col).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else (
+        F.col(col).cast("long"))
+
+
+def _metric_state(n_order: int, window: int):
+    """Points of one series and its state -> the new state: best value, number of points, and the last ``window``
+    points in order, whatever the order in which they arrive."""
+    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        best, points, *kept = state.get if state.exists else (float("inf"), 0, *([] for _ in range(n_order + 1)))
+        last = list(zip(*kept, strict=True))
+        for pdf in batches:
+            rows = list(zip(*(pdf[f"k{i}"].tolist() for i in range(n_order)), pdf["value"].tolist(), strict=True))
+            points += len(rows)
+            best = min([best, *(r[-1] for r in rows)])
+            last = sorted([*last, *rows])[-window:]
+        columns = [list(c) for c in zip(*last, strict=True)] or [[] for _ in range(n_order + 1)]
+        state.update((float(best), int(points), *columns))
+        values = columns[-1]
+        yield pd.DataFrame({"series": [key[0]], "best": [best], "current": [values[-1]], "points": [points],
+                            "recent": [values], "recent_avg": [sum(values) / len(values)]})
+    return update
+
+
+METRIC_STATE = "series string, best double, current double, points long, recent array<double>, recent_avg double"
+
+
 def stream_metrics(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                   series: str = "series", value: str = "loss", order=("ts", "event_id"),
+                   series: str = "series", value: str = "loss", order=("ts", "event_id"), window: int = 1000,
                    available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Running best, current, count and last ``window`` points of each series, as keyed state in the checkpoint.
+
+    Points without a value do not count.  A trigger writes only the series that it changed, into a folder of its own
+    number, so a repeated trigger replaces what it wrote before; :func:`metric_states` reads the newest rows."""
     pts = read_jsonl_stream(spark, source, schema, max_files_per_trigger)
-    key = F.struct(*[F.col(o) for o in order])
-    state = pts.groupBy(series).agg(F.min(value).alias("best"), F.max_by(value, key).alias("current"),
-                                    F.count(value).alias("points"))
+    kinds = [pts.schema[o].dataType for o in order]
+    rows = pts.where(F.col(value).isNotNull()).select(
+        F.col(series).cast("string").alias("series"), F.col(value).cast("double").alias("value"),
+        *[_order_number(o, k).alias(f"k{i}") for i, (o, k) in enumerate(zip(order, kinds, strict=True))])
+    kept = ", ".join(f"k{i} array<long>" for i in range(len(order)))
+    state = rows.groupBy("series").applyInPandasWithState(
+        _metric_state(len(order), window), METRIC_STATE, f"best double, points long, {kept}, recent array<double>", "update",
+        GroupStateTimeout.NoTimeout)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # complete mode: each trigger carries the whole (small) state table
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
 
-    w = (state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(write_batch))
+    w = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def metric_states(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest state of each series that :func:`stream_metrics` wrote."""
+    rows = spark.read.schema(f"{METRIC_STATE}, epoch long").parquet(sink)
+    return rows.groupBy("series").agg(F.max_by(F.struct(*[f for f in rows.columns if f not in ("series", "epoch")]), "epoch")
+                                      .alias("s")).select("series", "s.*")

@@ -56,10 +56,34 @@ def test_free_matching_edge_cases(spark):
     assert (d[3].delta, d[3].device) == (-50, 1)
     bal = ev.running_balance(ev.memory_deltas(_trace(spark, rows))).orderBy("seq").collect()
     assert [r.total_balance for r in bal] == [100, 150, 100, 70]
-    pk = {r.scope: r for r in ev.peaks(ev.running_balance(ev.memory_deltas(_trace(spark, rows)))).collect()}
+    pk = {r.scope: r for r in ev.peaks(ev.balance_sums(ev.memory_deltas(_trace(spark, rows)))).collect()}
     assert pk["total"].peak_bytes == 150 and pk["total"].peak_ts == 30.0
 
 
+def test_peaks_and_ends_compose_like_the_running_balance(spark):
+    import random
+    r = random.Random(4)
+    rows = [(i, float(r.randrange(200)), r.choice([None, 0, 1, 2]), r.randrange(-50, 51)) for i in range(800)]
+    rows += [(900, 999.0, 7, -5)]  # a scope that never rises
+    deltas = spark.createDataFrame(rows, "event_index long, ts double, device int, delta long")
+    want, ends = {}, {}
+    for scope in {None if d is None else str(d) for _, _, d, _ in rows} | {"total"}:
+        at = 0
+        for i, ts, d, x in sorted(rows, key=lambda t: (t[1], t[0])):
+            if scope == "total" or (None if d is None else str(d)) == scope:
+                at += x
+                if at > 0 and at > want.get(scope, (0, 0))[0]:
+                    want[scope] = (at, ts)
+        ends[scope] = at
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        sums = ev.balance_sums(deltas)
+        assert {x.scope: (x.peak_bytes, x.peak_ts) for x in ev.peaks(sums).collect()} == want
+        assert {x.scope: x.end_bytes for x in ev.end_balance(sums).collect()} == ends
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_interval_join_long_and_short_ops(spark):
     pts = spark.createDataFrame([(0, 5.0), (1, 500.0), (2, 5000.0)], "pid long, t double")
     ops = spark.createDataFrame([(10, 0.0, 10.0, "a", "x"), (11, 0.0, 1e6, "long", "y"), (12, 400.0, 600.0, "b", "x")],
