@@ -128,17 +128,58 @@ def pretokenize(spark: SparkSession, corpus_dir: str, out_dir: str, encode_fn, v
     sizes = with_group_pos(encoded.select("split", CORPUS_POS, "n_tokens"), ["split"], [CORPUS_POS], "doc_pos").drop("_gp")
     sizes = running_sum(sizes, "n_tokens", "end", pos_col="doc_pos", partition_by=["split"])
     placed = sizes.select("split", CORPUS_POS, "doc_pos", "end", (F.col("end") - F.col("n_tokens")).alias("start"))
-    store = encoded.join(placed, ["split", CORPUS_POS])
+    # clustered by position: a document or a stretch of tokens lies in few files
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = (encoded.join(placed, ["split", CORPUS_POS]).repartitionByRange(parts, "split", "doc_pos")
+             .sortWithinPartitions("split", "doc_pos"))
     store.write.mode(mode).option("compression", "zstd").partitionBy("split").parquet(store_path)
     kept, had = spark.read.parquet(store_path).count(), read.get["n"]
     if kept != had:
         raise ValidationError(f"{had} rows were read from {corpus_dir}, {kept} reached the token store")
     from .tokens import token_metadata
     meta = token_metadata(spark.read.parquet(store_path), vocab_size, tokenizer_name, eos_id, "corpus", "corpus")
+    token_manifest(spark, store_path).write.mode("overwrite").parquet(f"{out_dir}/_manifest")
     meta.coalesce(1).write.mode("overwrite").json(meta_path)
     return meta
 
 
+def token_manifest(spark: SparkSession, store_path: str) -> DataFrame:
+    """One row per file of a token store: ``split``, ``file``, and the first and last position and token in it."""
+    rows = spark.read.parquet(store_path)
+    return rows.groupBy("split", F.col("_metadata.file_path").alias("file")).agg(
+        F.min("doc_pos").alias("first_doc"), F.max("doc_pos").alias("last_doc"),
+        F.min("start").alias("first_token"), F.max("end").alias("end_token"))
+
+
+def _stored(spark: SparkSession, out_dir: str, split: str, wanted: Column) -> DataFrame | None:
+    files = [r["file"] for r in spark.read.parquet(f"{out_dir}/_manifest").where(
+        (F.col("split") == split) & wanted).select("file").collect()]  # those that overlap what is asked for
+    return spark.read.option("basePath", f"{out_dir}/tokens").parquet(*files) if files else None
+
+
+def stored_document(spark: SparkSession, out_dir: str, split: str, doc_pos: int) -> DataFrame:
+    """The one document at a position of a split, from the one file that has it; an unknown place is an error."""
+    pos = F.lit(int(doc_pos))
+    rows = _stored(spark, out_dir, split, (F.col("first_doc") <= pos) & (pos <= F.col("last_doc")))
+    if rows is None:
+        raise ValidationError(f"document {doc_pos} is outside the split {split!r} of the store")
+    return rows.where(F.col("doc_pos") == pos)
+
+
+def stored_tokens(spark: SparkSession, out_dir: str, split: str, start: int, end: int) -> DataFrame:
+    """The tokens ``start`` to ``end`` (exclusive) of a split as ``doc_pos``, ``first`` (offset) and ``ids``, one row
+    per document in the range, from the files that overlap it."""
+    a, b = F.lit(int(start)), F.lit(int(end))
+    if start < 0 or end < start:
+        raise ValidationError(f"tokens {start} to {end} are no range")
+    rows = _stored(spark, out_dir, split, (F.col("first_token") < b) & (a < F.col("end_token")))
+    if rows is None:
+        return spark.createDataFrame([], "doc_pos long, first long, ids array<int>")
+    first, last = F.greatest("start", a), F.least("end", b)
+    ids = F.slice("ids", (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+    return rows.where((F.col("start") < b) & (a < F.col("end"))).select("doc_pos", first.alias("first"), ids.alias("ids"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

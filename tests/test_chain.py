@@ -138,6 +138,34 @@ def test_fields_named_as_the_corpus_s_own_are_refused(spark, tmpdir_path, name):
         build_corpus(spark, cfg, f"{tmpdir_path}/out")
 
 
+def test_documents_and_token_ranges_open_few_files(spark, tmpdir_path):
+    from tessera.plans.build import stored_document, stored_tokens
+    rows = [{"text": " ".join(f"w{(i * j) % 11}" for j in range(i % 9 + 1))} for i in range(300)]
+    path = _jsonl(f"{tmpdir_path}/c", {"a.jsonl": rows})
+    cfg = dataset_config({"key": "k", "name": "n", "slices": [{"key": "a", "local": f"{path}/a.jsonl"}]})
+    build_corpus(spark, cfg, f"{tmpdir_path}/out")
+    out = f"{tmpdir_path}/tok"
+
+    def encode(df, key):
+        words = F.split("text", " ")
+        ids = F.transform(words, lambda w: F.substring(w, 2, 9).cast("int"))
+        return df.select(*key, ids.alias("ids"), F.size(words).alias("n_tokens"))
+    pretokenize(spark, f"{tmpdir_path}/out/n", out, encode, 11, "w", None)
+    whole = spark.read.parquet(f"{out}/tokens").where("split = 'train'").orderBy("doc_pos").collect()
+    flat = [x for r in whole for x in r.ids]
+    assert len({r.doc_pos for r in whole}) == 240
+    for at in (0, 77, 239):
+        found = stored_document(spark, out, "train", at)
+        assert len(found.inputFiles()) == 1 and [list(r.ids) for r in found.collect()] == [list(whole[at].ids)]
+    for a, b in ((0, 5), (100, 101), (37, 400), (len(flat) - 3, len(flat) + 50), (10, 10), (len(flat), len(flat) + 1)):
+        got = stored_tokens(spark, out, "train", a, b).orderBy("doc_pos").collect()
+        assert [x for r in got for x in r.ids] == flat[a:b] and (not got or got[0]["first"] == a)
+    assert len(stored_tokens(spark, out, "train", 100, 104).inputFiles()) <= 2
+    for place in (240, -1):
+        with pytest.raises(ValidationError):
+            stored_document(spark, out, "train", place)
+
+
 def test_corpus_without_ids_reaches_the_token_store(spark, tmpdir_path):
     rows = [{"body": f"alpha beta w{i % 7}" + " again" * (i % 3), "note": i} for i in range(200)]
     rows += rows[:10]  # repeated rows stay
