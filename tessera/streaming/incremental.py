@@ -2,6 +2,8 @@
 
 * ``stream_split``   new JSONL files -> text check -> stateless hash split ->
                      file sink (exactly once via the checkpoint location).
+* ``stream_blocks``  the same with the exact block split, by running positions
+                     in the state store.
 * ``stream_encode``  new files -> subword encoding in ``mapInPandas`` (stateless).
 * ``stream_metrics`` metric points -> best / current / count / last points per
                      series as keyed state; a trigger writes what it changed.
@@ -23,6 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.encode import encode_subword
 from ..operators.order import hash_key
+from ..operators.slices import BLOCK_SIZE, train_count
 from ..operators.vocab import SubwordModel
 
 TWO_32 = float(2 ** 32)
@@ -57,6 +60,41 @@ def stream_split(spark: SparkSession, source: str, schema, key_cols, sink: str,
     return q
 
 
+def _next_positions(block_size: int, target: int):
+    """Rows of one source and how many came before -> their position and split, in the given order."""
+    def number(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        rows = sorted((tuple(k), r) for pdf in batches for k, r in zip(pdf["place"].tolist(), pdf["record"].tolist(), strict=True))
+        pos = range(before, before + len(rows))
+        state.update((before + len(rows),))
+        yield pd.DataFrame({"record": [r for _, r in rows], "pos": list(pos),
+                            "split": ["train" if p % block_size < target else "validation" for p in pos]})
+    return number
+
+
+def stream_blocks(spark: SparkSession, source: str, schema: T.StructType | str, sink: str, checkpoint: str, order,
+                  source_col: str | None = None, train_split: float = 0.8, block_size: int = BLOCK_SIZE,
+                  available_now: bool = True, max_files_per_trigger: int | None = None):
+    """The block split on unbounded input: of every ``block_size`` rows of a source, in order of arrival and within a
+    trigger of ``order`` (whole numbers), the first ``int(block_size * train_split)`` go to train.
+
+    How many rows a source had is keyed state in the checkpoint, so blocks go on over triggers and restarts.  One
+    task numbers a source's rows of one trigger, which the files per trigger bound.  Without ``source_col`` all rows
+    are one source."""
+    docs = read_jsonl_stream(spark, source, schema, max_files_per_trigger)
+    kind = docs.schema
+    key = F.col(source_col).cast("string") if source_col else F.lit("")
+    rows = docs.select(key.alias("source"), F.array(*[F.col(o).cast("long") for o in order]).alias("place"),
+                       F.to_json(F.struct(*docs.columns)).alias("record"))
+    numbered = rows.groupBy("source").applyInPandasWithState(
+        _next_positions(block_size, train_count(block_size, train_split)), "record string, pos long, split string", "n long",
+        "append", GroupStateTimeout.NoTimeout)
+    out = numbered.select(F.from_json("record", kind).alias("r"), "pos", "split").select("r.*", "pos", "split")
+    w = (out.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint)
+         .partitionBy("split").outputMode("append"))
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def stream_encode(spark: SparkSession, source: str, schema, model: SubwordModel, key_cols, sink: str,
                   checkpoint: str, eos_id: int | None = None, available_now: bool = True,
                   max_files_per_trigger: int | None = None):

@@ -4,7 +4,8 @@ import json
 import os
 import random
 
-from tessera.streaming.incremental import metric_states, stream_metrics
+from tessera.operators.slices import split_blocks
+from tessera.streaming.incremental import metric_states, stream_blocks, stream_metrics
 
 SCHEMA = "series string, ts long, event_id long, loss double"
 
@@ -32,3 +33,24 @@ def test_state_survives_restarts_and_late_points(spark, tmpdir_path):
     folders = sorted(x for x in os.listdir(sink) if x.startswith("epoch="))
     assert spark.read.parquet(f"{sink}/{folders[-1]}").count() == 1  # only what changed is written
     assert metric_states(spark, sink).count() == 4
+
+
+def test_blocks_go_on_over_triggers_and_restarts(spark, tmpdir_path):
+    src, sink, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "sink", "ckpt"))
+    os.makedirs(src)
+    arrived, n = {"a": [], "b": []}, 0
+    for run in range(3):
+        for part in range(2):
+            rows = [{"id": n + i, "src": "ab"[(n + i) % 3 == 0], "text": f"t\n{i}" if i % 5 else None} for i in range(37)]
+            n += 37
+            with open(f"{src}/{run}-{part}.json", "w") as f:
+                f.write("".join(json.dumps(r) + "\n" for r in reversed(rows)))
+            for r in rows:
+                arrived[r["src"]].append(r["id"])
+        stream_blocks(spark, src, "id long, src string, text string", sink, ckpt, ["id"], "src", 0.7, 10).awaitTermination()
+    got = spark.read.schema("id long, src string, text string, pos long, split string").json(sink)
+    for name, ids in arrived.items():
+        want = split_blocks(spark.createDataFrame(list(enumerate(ids)), "pos long, id long"), 0.7, block_size=10)
+        rows = sorted((r.pos, r.id, r.split) for r in got.where(f"src = '{name}'").collect())
+        assert rows == sorted((r.pos, r.id, r.split) for r in want.collect())
+    assert got.where("text is null").count() == sum(i % 5 == 0 for i in range(37)) * 6
