@@ -7,6 +7,8 @@ stored: ``doc_ids`` determines them, and ``block_runs`` gives the compact form.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,36 +137,62 @@ def pad_last_batch(batched: DataFrame, context_length: int, batch_size: int = 8,
     return batched.withColumn("is_padding", F.lit(False)).unionByName(pads, allowMissingColumns=True)
 
 
+HALF_ROUNDS = 6
+_MOST_STEPS = 64
+
+
+def permuted(index: Column, n: int, seed: int | str, epoch: Column) -> Column:
+    """Place of ``index`` (0 <= index < n) in an order of 0..n-1 that ``seed`` and ``epoch`` choose: a formula, no sort.
+
+    A Feistel network on the pairs (l, r) with l < a, r < b, where a * b is n or up to a - 1 more: l gains a hash of
+    r modulo a, r gains a hash of l modulo b, in turn.  That is one-to-one on the a * b pairs; an index that lands
+    beyond n goes through again until it does not, which stays one-to-one on 0..n-1."""
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = max(1, -(-n // a))
+
+    def half(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), i.cast("string"),
+                           F.when(even, s["r"]).otherwise(s["l"]).cast("string"))
+        h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        return F.struct(F.when(even, (s["l"] + h) % a).otherwise(s["l"]).alias("l"),
+                        F.when(even, s["r"]).otherwise((s["r"] + h) % b).alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(HALF_ROUNDS - 1)), start, half, lambda s: s["l"] * b + s["r"])
+    # At most a * b - n indices lie beyond n, so no walk is longer; on many indices longer ones than this never occur.
+    steps = F.sequence(F.lit(1), F.lit(min(_MOST_STEPS, a * b - n + 1)))
+    end = F.aggregate(steps, index.cast("long") + F.lit(a * b), lambda x, _: F.when(x < n, x).otherwise(
+        once(F.when(x >= a * b, x - a * b).otherwise(x))))
+    return F.when(end < n, end).otherwise(F.raise_error(F.lit("no place found")))
+
+
 def token_budget(ordered_batches: DataFrame, context_length: int, batch_size: int,
                  max_tokens: int | None = None, max_batches: int | None = None,
                  epochs: int = 1, seed: int = 0) -> DataFrame:
     """Batches consumed by a token / batch budget over reshuffled epochs.
 
-    ``ordered_batches``: one row per window with ``window_id``.  Every batch
-    counts ``batch_size * C`` tokens (padding included); batches are taken
-    while the tokens before them are under ``max_tokens`` (or their number is
-    under ``max_batches``).
+    ``ordered_batches``: one row per window with ``window_id`` (0, 1, 2, ... as packing numbers them; others are
+    numbered first).  Every batch counts ``batch_size * C`` tokens (padding included); batches are taken while the
+    tokens before them are under ``max_tokens`` (or their number is under ``max_batches``).  An epoch's order is
+    :func:`permuted` of the window's number: nothing is sorted or written for it, and epochs past the budget are
+    never looked at.
     """
-    spark = ordered_batches.sparkSession
-    ep = spark.range(epochs).select(F.col("id").alias("epoch"))
-    per_epoch = []
-    for e in range(epochs):  # epochs is a small loop parameter, not data
-        sh = shuffle_windows(ordered_batches.select("window_id"), seed=seed, epoch=e)
-        per_epoch.append(sh.withColumn("epoch", F.lit(e)))
-    allw = per_epoch[0]
-    for p in per_epoch[1:]:
-        allw = allw.unionByName(p)
-    n = ordered_batches.count()
-    nb = -(-n // batch_size)
-    allw = allw.withColumn("batch_global", F.col("epoch") * nb + F.floor(F.col("order") / batch_size))
-    tok = batch_size * int(context_length)
-    cond = F.lit(True)
-    if max_tokens is not None:
-        cond = cond & (F.col("batch_global") * tok < F.lit(int(max_tokens)))
-    if max_batches is not None:
-        cond = cond & (F.col("batch_global") < F.lit(int(max_batches)))
-    del ep
-    return allw.where(cond).withColumn("tokens_before", F.col("batch_global") * tok)
+    ids = ordered_batches.select("window_id")
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("window_id"), F.max("window_id")).first()
+    if n and (low, high) == (0, n - 1):
+        rows = ids.withColumn("_at", F.col("window_id"))
+    else:
+        rows = with_pos(ids, ["window_id"], "_at")
+    nb, tok = -(-n // batch_size), batch_size * int(context_length)
+    last = min([epochs * nb, *([-(-int(max_tokens) // tok)] if max_tokens is not None else []),
+                *([int(max_batches)] if max_batches is not None else [])])  # batches within the budget
+    used = -(-last // nb) if nb else 0
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(used - 1)) if used else F.array().cast("array<int>")))
+    rows = rows.withColumn("order", permuted(F.col("_at"), n, seed, F.col("epoch"))).drop("_at")
+    rows = rows.withColumn("batch_global", F.col("epoch") * nb + F.floor(F.col("order") / batch_size))
+    return rows.where(F.col("batch_global") < last).withColumn("tokens_before", F.col("batch_global") * tok)
 
 
 def tokens_seen(batches: DataFrame, context_length: int, batch_size: int) -> DataFrame:

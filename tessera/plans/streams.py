@@ -56,7 +56,7 @@ def stream_metrics(spark: SparkSession, sf: str):
 
 
 @query("stream_last_points", """
-SELECT event_type AS series, round(avg(value / 100), 6) AS recent_avg, count(*) AS kept
+SELECT event_type AS series, round(sum(value / 100), 4) AS recent_sum, count(*) AS kept
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
 WHERE r <= 1000 GROUP BY 1""")
 def stream_last_points(spark: SparkSession, sf: str):
@@ -68,5 +68,5 @@ def stream_last_points(spark: SparkSession, sf: str):
     for _ in range(2):  # the second run finds nothing new and leaves the state as it is
         inc.stream_metrics(spark, src, "series string, ts timestamp_ntz, event_id long, loss double",
                            sink, ckpt, max_files_per_trigger=2).awaitTermination()
-    return inc.metric_states(spark, sink).select("series", F.round("recent_avg", 6).alias("recent_avg"),
+    return inc.metric_states(spark, sink).select("series", F.round(F.aggregate("recent", F.lit(0.0), lambda a, x: a + x), 4).alias("recent_sum"),
                                                  F.size("recent").cast("long").alias("kept"))

@@ -424,14 +424,21 @@ def pad_last_batch_q(spark: SparkSession, sf: str):
 
 @query("token_budget", _with(_sql_pack(_SQL_DOCN)) + f"""
 , ids AS (SELECT DISTINCT window_id FROM pw),
-nb AS (SELECT (count(*) + {BATCH} - 1) // {BATCH} AS nb FROM ids),
-e AS (SELECT i.window_id, ep.epoch,
-             row_number() OVER (PARTITION BY ep.epoch ORDER BY
-                md5(concat_ws(':', '0', CAST(ep.epoch AS VARCHAR), CAST(i.window_id AS VARCHAR))), i.window_id) - 1 AS o
-      FROM ids i, (SELECT unnest(range(2)) AS epoch) ep)
+p AS (SELECT n, a, (n + a - 1) // a AS b, (n + {BATCH} - 1) // {BATCH} AS nb
+      FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM ids)),
+walk AS (
+  SELECT epoch, window_id, window_id // b AS l, window_id % b AS r, 0 AS i
+  FROM ids, p, (SELECT unnest(range(2)) AS epoch) ep
+  UNION ALL
+  SELECT epoch, window_id,
+         CASE WHEN i < 6 AND i % 2 = 0 THEN (l + h) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + h) % b ELSE r END,
+         CASE WHEN i < 6 THEN i + 1 ELSE 0 END
+  FROM (SELECT w.*, p.*, CAST('0x' || substr(md5(concat_ws(':', '0', epoch, i, CASE WHEN i % 2 = 0 THEN r ELSE l END)), 1, 8)
+                              AS BIGINT) AS h FROM walk w, p) WHERE NOT (i = 6 AND l * b + r < n)),
+e AS (SELECT epoch, window_id, l * b + r AS o FROM walk, p WHERE i = 6 AND l * b + r < n)
 SELECT epoch, window_id, epoch * nb + o // {BATCH} AS batch_global,
        (epoch * nb + o // {BATCH}) * {BATCH * C} AS tokens_before
-FROM e, nb WHERE (epoch * nb + o // {BATCH}) * {BATCH * C} < 1000000""")
+FROM e, p WHERE (epoch * nb + o // {BATCH}) * {BATCH * C} < 1000000""")
 def token_budget_q(spark: SparkSession, sf: str):
     ids = _windows(spark, sf).select("window_id").distinct()
     out = smp.token_budget(ids, C, BATCH, max_tokens=1_000_000, epochs=2, seed=0)

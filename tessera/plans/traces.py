@@ -352,7 +352,7 @@ def trace_with_counters(spark: SparkSession, sf: str):
     return t.groupBy("ph").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("latest_file", "SELECT 'run_b.json' AS file, count(*) AS events FROM events")
+@query("latest_file", _w(_SQL_TRACE) + " SELECT 'run_b.json' AS file, count(*) AS events FROM tr")
 def latest_file_q(spark: SparkSession, sf: str):
     """Newest trace among several written ones (derived ``_with_memory`` names excluded), and its events."""
     base = scratch_path(spark, "traces")
