@@ -237,7 +237,7 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
         asked = visits.where("hub <> p.hub and hub <> p.point").select(F.col("hub").alias("a"), F.col("p.point").alias("b")).distinct()
         asked = asked.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")),
                                                                ["a", "b"], "left_anti")
-        seen = _with(seen, saved(_compare(asked, sets), "distances"))
+        seen = seen.unionByName(saved(_compare(asked, sets), "distances"))
         known = seen.select("a", "b", "d").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         known = known.groupBy("a", "b").agg(F.first("d").alias("known"))
         far = visits.withColumn("b", F.col("p.point")).join(known.withColumnRenamed("a", "hub"), ["hub", "b"], "left").withColumn(
@@ -252,7 +252,7 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
             F.least("p.point", "point").alias("a"), F.greatest("p.point", "point").alias("b")).distinct()
         pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")),
                                                                ["a", "b"], "left_anti")
-        seen = _with(seen, saved(_compare(pairs, sets), "distances"))
+        seen = seen.unionByName(saved(_compare(pairs, sets), "distances"))
         found = seen.where("linked").select("a", "b")
         rest = cells.join(chosen.select("pivot", "band", F.col("p.point").alias("point")), ["pivot", "band", "point"], "left_anti")
         cells = _open(_relabel(rest, components(found)))
@@ -260,16 +260,12 @@ def links(texts: DataFrame, order: bytes, k: int = K) -> DataFrame:
     return found
 
 
-def _with(seen: DataFrame, now: DataFrame) -> DataFrame:
-    return saved(seen.unionByName(now), "distances")
-
-
 def _pivots(cells: DataFrame, most: int) -> DataFrame:
     """(pivot, band, p): up to ``most`` texts of each cell, those of its smallest components first."""
     sizes = cells.groupBy("pivot", "band", "root").agg(F.count(F.lit(1)).alias("texts"))
     ranked = cells.join(sizes, ["pivot", "band", "root"]).withColumn("at", F.row_number().over(
         Window.partitionBy("pivot", "band").orderBy("texts", "root", "n", "point"))).where(F.col("at") <= most)
-    return saved(ranked.select("pivot", "band", F.struct("point", "n", "pos", "root", "hub", "to_hub", "home").alias("p")), "pivots")
+    return ranked.select("pivot", "band", F.struct("point", "n", "pos", "root", "hub", "to_hub", "home").alias("p"))
 
 
 def _relabel(cells: DataFrame, roots: DataFrame) -> DataFrame:
