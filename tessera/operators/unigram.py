@@ -297,4 +297,5 @@ def learn_pieces(counts: DataFrame, size: int, longest: int = LONGEST, em_steps:
     one = F.length("piece") == 1
     rest = pieces.where(~one).orderBy(F.col("score").desc(), "piece").limit(size - letters)
     rows = pieces.where(one).unionByName(rest).collect()  # the vocabulary
-    return sorted(((r["piece"], r["score"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    shift = math.log(sum(math.exp(r["score"]) for r in rows))  # probabilities of the vocabulary add up to one
+    return sorted(((r["piece"], r["score"] - shift) for r in rows), key=lambda x: (-x[1], x[0]))
