@@ -19,7 +19,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,10 +138,12 @@ def _subword_encoder(model: SubwordModel):
 
 
 def is_single_token(model: SubwordModel, text: str) -> bool:
-    """Special-token probe: ``text`` counts as a token only if it encodes to exactly one id."""
+    """Special-token probe: ``text`` counts as a token only if it encodes to exactly one id, normalised
+    and cut into words as any text of the model is."""
     if text in model.special_tokens:
         return True
-    return len(_subword_encoder(model)(text)) == 1
+    one = SparkSession.active().createDataFrame([(0, text)], "doc_id int, text string")
+    return encode_subword(one, model).first()["n_tokens"] == 1
 
 
 def _words(docs: DataFrame, keys: list[str], text_col: str, model: SubwordModel) -> DataFrame:

@@ -94,18 +94,25 @@ def memory_classes(trace: DataFrame) -> DataFrame:
                      F.count(F.when(counter, 1)).alias("snapshots"))
 
 
-def large_allocations(trace: DataFrame, top: int = TOP_N) -> tuple[DataFrame, DataFrame]:
-    """(20 largest allocations, total of positive sizes)."""
+def _sized_allocations(trace: DataFrame) -> DataFrame:
+    """Allocations of a positive ``size``."""
     name = F.coalesce("name", F.lit(""))
     has_key = F.array_contains(F.map_keys("args"), "Addr") | F.array_contains(F.map_keys("args"), "Device Id")
     size = F.coalesce(_arg("Bytes").try_cast("double"), _arg("bytes").try_cast("double"), F.lit(0.0))
-    allocs = (trace.where(_is_alloc_named(name) & F.coalesce(has_key, F.lit(False)))
-              .select("event_index", "name", size.alias("size"),
-                      F.coalesce(_arg("Device Id"), _arg("device"), F.lit("N/A")).alias("device"))
-              .where(F.col("size") > 0))
-    top_df = allocs.orderBy(F.col("size").desc(), "event_index").limit(top)
-    total = allocs.agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("allocations"))
-    return top_df, total
+    return (trace.where(_is_alloc_named(name) & F.coalesce(has_key, F.lit(False))).withColumn("size", size)
+            .where(F.col("size") > 0))
+
+
+def largest_allocations(trace: DataFrame, top: int = TOP_N) -> DataFrame:
+    """The largest allocations, ties in file order."""
+    device = F.coalesce(_arg("Device Id"), _arg("device"), F.lit("N/A")).alias("device")
+    return _sized_allocations(trace).select("event_index", "name", "size", device).orderBy(
+        F.col("size").desc(), "event_index").limit(top)
+
+
+def allocation_total(trace: DataFrame) -> DataFrame:
+    """Total and number of the allocations of a positive size."""
+    return _sized_allocations(trace).agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("allocations"))
 
 
 def gauge_stats(trace: DataFrame) -> DataFrame:
@@ -249,15 +256,18 @@ def active_ops(points: DataFrame, ops: DataFrame, min_dur: float, bucket: float
     return met.select("pid", "t", "op_index", "start", "end", "op_name", "op_cat")
 
 
-def activity(points: DataFrame, ops: DataFrame, min_dur: float) -> DataFrame:
+def activity(points: DataFrame, ops: DataFrame, min_dur: float, wide_bits: int = 16) -> DataFrame:
     """``pid, n, first`` per point with an open operation longer than ``min_dur``: how many
     are open, and the one (``op_name``, ``op_cat``) that started first.
 
     One sweep in time order (starts, then points, then ends at equal times)
     gives the counts as a running sum, and the points' ranks that an operation
-    spans.  A rank range splits into O(log n) aligned blocks; the earliest
-    operation of each block is an aggregate, and a point asks its block of every
-    size.  Nothing grows with the number of operations open at once.
+    spans.  A rank range splits into O(log n) aligned blocks, and the earliest
+    operation of each block is an aggregate.  What the widest blocks say is pushed
+    down to blocks of one size, ``2 ** wide_bits`` of them at most: their table
+    (block, start, number of the operation) is broadcast.  A point asks its blocks
+    of the sizes below through a shuffle join, whose keys hold a ``2 ** wide_bits``-th
+    of the points at most.  Nothing grows with the number of operations open at once.
     """
     long_ = ops.where(F.col("end") - F.col("start") > F.lit(float(min_dur)))
     sweep = (long_.select(F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("op_index").alias("id"))
@@ -266,10 +276,10 @@ def activity(points: DataFrame, ops: DataFrame, min_dur: float) -> DataFrame:
     sweep = with_pos(sweep, ["t", "kind", "id"], "_at").withColumn("_point", (F.col("kind") == 1).cast("long"))
     sweep = running_sum(sweep.withColumn("_open", F.lit(1) - F.col("kind")), "_open", "n", pos_col="_at")
     sweep = written(running_sum(sweep, "_point", "rank", pos_col="_at", inclusive=False).select(
-        "kind", "id", "rank", "n"), "sweep")
+        "t", "kind", "id", "rank", "n"), "sweep")
     asked = sweep.where("kind = 1 and n > 0").select(F.col("id").alias("pid"), "rank", "n")
     spans = (sweep.where("kind <> 1").groupBy(F.col("id").alias("op_index"))
-             .agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi"))
+             .agg(F.min("t").alias("start"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi"))
     top = max(1, int(sweep.where("kind = 1").count()).bit_length())
 
     def blocks(lv: Column) -> Column:
@@ -280,15 +290,26 @@ def activity(points: DataFrame, ops: DataFrame, min_dur: float) -> DataFrame:
         ends = F.array(F.when(a < 2 * wa, a), F.when(b > 2 * wb, b - 1))
         inner = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
         return F.transform(F.when(wa < wb, ends).otherwise(inner), lambda i: F.struct(lv.alias("level"), i.alias("block")))
-    cut = spans.select("op_index", F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(top)), blocks))).alias("p")).select("op_index", "p.level", "p.block").where(
+    cut = spans.select("op_index", "start", F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(top)), blocks))).alias("p")).select("op_index", "start", "p.level", "p.block").where(
         F.col("block").isNotNull())
-    earliest = (cut.join(long_.select("op_index", "start", "op_name", "op_cat"), "op_index")
-                .groupBy("level", "block").agg(F.min(F.struct("start", "op_index", "op_name", "op_cat")).alias("first")))
-    looked = (asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-              .withColumn("block", F.call_function("shiftright", F.col("rank"), F.col("level"))))
-    return looked.join(earliest, ["level", "block"]).groupBy("pid").agg(
-        F.first("n").alias("n"), F.min("first").alias("first"))
+    earliest = cut.groupBy("level", "block").agg(F.min(F.struct("start", "op_index")).alias("first"))
+    base = max(0, top - wide_bits)
+    if base:
+        earliest = written(earliest, "earliest")
+    parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level") - F.lit(base))
+    wide = (earliest.where(F.col("level") >= base)
+            .select("first", F.explode(F.sequence(F.col("block") * parts, F.col("block") * parts + parts - 1)).alias("block"))
+            .groupBy("block").agg(F.min("first").alias("first")))
+    found = asked.withColumn("block", F.shiftright("rank", base)).join(F.broadcast(wide), "block", "left").select(
+        "pid", "n", "first")
+    if base:
+        looked = (asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(base - 1))))
+                  .withColumn("block", F.call_function("shiftright", F.col("rank"), F.col("level"))))
+        near = looked.join(earliest.where(F.col("level") < base), ["level", "block"]).select("pid", "n", "first")
+        found = found.unionByName(near).groupBy("pid").agg(F.first("n").alias("n"), F.min("first").alias("first"))
+    return (found.select("pid", "n", "first.op_index").join(long_, "op_index")
+            .select("pid", "n", F.struct("start", "op_index", "op_name", "op_cat").alias("first")))
 
 
 def operations(trace: DataFrame) -> DataFrame:

@@ -247,9 +247,8 @@ SELECT user_id, recorded, current, round(difference, 6) AS difference, round(pct
 def loss_compare(spark: SparkSession, sf: str):
     p = _points(spark, sf)
     key = F.struct(*ORDER)
-    rec = p.groupBy(F.col("tokens_seen").alias("user_id")).agg(F.min_by("loss", key).alias("recorded"))
-    cur = p.groupBy(F.col("tokens_seen").alias("user_id")).agg(F.max_by("loss", key).alias("current"))
-    j = rec.join(cur, "user_id")  # equi join on the checkpoint key
+    j = p.groupBy(F.col("tokens_seen").alias("user_id")).agg(  # both sides of a key in one aggregate
+        F.min_by("loss", key).alias("recorded"), F.max_by("loss", key).alias("current"))
     diff, pct, verdict = rl.compare_loss("recorded", "current")
     return j.select("user_id", "recorded", "current", _r(diff, "difference"), _r(pct, "percent_change"), verdict)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview
 from ..operators import encode as enc
 from ..operators import samples as smp
+from ..operators.order import written
 from ..operators.pack import pack_stats, pack_windows
 from ..operators.slices import split_shuffled
 from ..operators.vocab import (EOS_CANDIDATES, SubwordModel, find_eos, rank_vocab, token_dtype, train_subword, vocab_stats,
@@ -105,9 +106,15 @@ def _windows(spark: SparkSession, sf: str, max_docs: int | None = None):
     return pack_windows(docs_with_counts(spark, sf), C, overhead=2, max_docs=max_docs)
 
 
-def _samples(spark: SparkSession, sf: str, oversize: str = "pad"):
-    toks = _encoded(spark, sf).withColumnRenamed("doc_id", "doc_pos")
-    return smp.build_samples(_windows(spark, sf), toks, C, PAD, BOS, EOS, oversize)
+def _tokens_and_windows(spark: SparkSession, sf: str):
+    """One written token table, and the windows of its lengths: a document is read and encoded once."""
+    toks = written(_encoded(spark, sf).withColumnRenamed("doc_id", "doc_pos"), "tokens")
+    return toks, pack_windows(toks, C, overhead=2)
+
+
+def _samples(spark: SparkSession, sf: str):
+    toks, windows = _tokens_and_windows(spark, sf)
+    return smp.build_samples(windows, toks, C, PAD, BOS, EOS)
 
 
 # --- vocabulary ---------------------------------------------------------------------------
@@ -279,10 +286,13 @@ def pack_windows_max2(spark: SparkSession, sf: str):
 SELECT doc_id, window_id, n_tokens, 0 AS real_pad, CAST(least(eff_len, {C}) AS INTEGER) AS real_truncate
 FROM pw WHERE oversize""")
 def pack_oversize(spark: SparkSession, sf: str):
-    pad = _samples(spark, sf, "pad").select("window_id", F.col("n_real").alias("real_pad"))
-    trunc = _samples(spark, sf, "truncate").select("window_id", F.col("n_real").alias("real_truncate"))
-    w = _windows(spark, sf).where("oversize").select(F.col("doc_pos").alias("doc_id"), "window_id", "n_tokens")
-    return w.join(pad, "window_id").join(trunc, "window_id")
+    """Documents that fit no window, under both rules: each has a window of its own, so only those are built."""
+    toks, windows = _tokens_and_windows(spark, sf)
+    w = written(windows.where("oversize"), "oversize")
+    real = [smp.build_samples(w, toks, C, PAD, BOS, EOS, mode).select("window_id", F.col("n_real").alias(f"real_{mode}"))
+            for mode in ("pad", "truncate")]
+    return (w.select(F.col("doc_pos").alias("doc_id"), "window_id", "n_tokens")
+            .join(real[0], "window_id").join(real[1], "window_id"))
 
 
 _SQL_STATS_TAIL = f"""

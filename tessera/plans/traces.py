@@ -30,10 +30,13 @@ _ALLOC = ("purchase", "signup")
 _FREE = "error"
 
 
-def events_trace(spark: SparkSession, sf: str):
+def events_trace(spark: SparkSession, sf: str, indexed: bool = True):
+    """The events as a trace; reports that never use ``event_index`` do without it, and without its sort."""
     e = table(spark, sf, "events")
-    e = with_pos(e, ["ts", "event_id"], "event_index")
-    n = e.count()
+    first = second = []
+    if indexed:
+        e = with_pos(e, ["ts", "event_id"], "event_index")
+        first, second = ["event_index"], [(F.col("event_index") + F.lit(e.count())).alias("event_index")]
     et = F.col("event_type")
     is_op, is_alloc = et.isin(list(_OPS)), et.isin(list(_ALLOC))
     ts = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
@@ -44,7 +47,7 @@ def events_trace(spark: SparkSession, sf: str):
     mem_args = F.create_map(F.lit("Addr"), F.col("user_id").cast("string"), F.lit("Bytes"), nbytes.cast("string"),
                             F.lit("Device Id"), dev.cast("string"))
     primary = e.select(
-        "event_index", ts.alias("ts"), F.when(is_op, F.col("value") * 1e6).alias("dur"),
+        *first, ts.alias("ts"), F.when(is_op, F.col("value") * 1e6).alias("dur"),
         F.when(is_alloc, "[memory]").when(et == _FREE, F.when(user % 2 == 0, "cudaFree").otherwise("free"))
         .when(user % 40 < 6, F.element_at(F.array(*[F.lit(x) for x in ev.SECTION_NAMES]), (user % 40 + 1).cast("int")))
         .otherwise(F.concat_ws("_", et, (user % 40).cast("string"))).alias("name"),
@@ -55,7 +58,7 @@ def events_trace(spark: SparkSession, sf: str):
         F.when(~is_op, F.col("user_id")).alias("addr"), F.when(~is_op, nbytes).alias("bytes"),
         F.when(~is_op, dev).alias("device"))
     counters = e.select(
-        (F.col("event_index") + F.lit(n)).alias("event_index"), ts.alias("ts"), F.lit(None).cast("double").alias("dur"),
+        *second, ts.alias("ts"), F.lit(None).cast("double").alias("dur"),
         F.concat(F.lit("memory "), et).alias("name"), F.lit("counter").alias("cat"), F.lit("C").alias("ph"),
         F.create_map(F.lit("k"), F.when(et == "purchase", (k.cast("long") * ev.MIB).cast("string")).otherwise(k))
         .alias("args"),
@@ -112,8 +115,8 @@ def _r(c, name):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
 
 
-def _balance(spark, sf):
-    return written(ev.running_balance(ev.memory_deltas(events_trace(spark, sf))))
+def _balance(trace):
+    return written(ev.running_balance(ev.memory_deltas(trace)))
 
 
 @query("scan_trace", _w(_SQL_TRACE) + """
@@ -136,7 +139,7 @@ SELECT cat, count(*) AS count, round(sum(coalesce(dur, 0)), 6) AS total_dur,
        round(sum(coalesce(dur, 0)) / count(*), 6) AS avg_dur
 FROM tr WHERE ph = 'X' GROUP BY cat ORDER BY sum(coalesce(dur, 0)) DESC, cat LIMIT 20""")
 def trace_categories(spark: SparkSession, sf: str):
-    c = ev.category_summary(events_trace(spark, sf))
+    c = ev.category_summary(events_trace(spark, sf, indexed=False))
     return c.select("cat", "count", _r("total_dur", "total_dur"), _r("avg_dur", "avg_dur"))
 
 
@@ -149,7 +152,7 @@ ops AS (SELECT name, count(*) AS count, sum(dur) AS total_dur, sum(dur) / count(
 SELECT name, count, round(total_dur, 6) AS total_dur, round(avg_dur, 6) AS avg_dur FROM ops
 ORDER BY total_dur DESC, name LIMIT 20""")
 def trace_top_total(spark: SparkSession, sf: str):
-    t = ev.top_total(events_trace(spark, sf))
+    t = ev.top_total(events_trace(spark, sf, indexed=False))
     return t.select("name", "count", _r("total_dur", "total_dur"), _r("avg_dur", "avg_dur"))
 
 
@@ -157,7 +160,7 @@ def trace_top_total(spark: SparkSession, sf: str):
 SELECT name, count, round(total_dur, 6) AS total_dur, round(avg_dur, 6) AS avg_dur FROM ops
 ORDER BY avg_dur DESC, name LIMIT 20""")
 def trace_top_avg(spark: SparkSession, sf: str):
-    t = ev.top_avg(events_trace(spark, sf))
+    t = ev.top_avg(events_trace(spark, sf, indexed=False))
     return t.select("name", "count", _r("total_dur", "total_dur"), _r("avg_dur", "avg_dur"))
 
 
@@ -165,7 +168,7 @@ def trace_top_avg(spark: SparkSession, sf: str):
 SELECT name, count, round(total_dur, 6) AS total_dur, round(avg_dur, 6) AS avg_dur FROM ops
 WHERE name IN ({", ".join(f"'{s}'" for s in ev.SECTION_NAMES)})""")
 def trace_sections(spark: SparkSession, sf: str):
-    t = ev.sections(events_trace(spark, sf))
+    t = ev.sections(events_trace(spark, sf, indexed=False))
     return t.select("name", "count", _r("total_dur", "total_dur"), _r("avg_dur", "avg_dur"))
 
 
@@ -174,7 +177,7 @@ SELECT CASE WHEN contains(lower(cat), 'cuda') OR contains(lower(cat), 'gpu') THE
        AS device_class, count(*) AS count, round(sum(dur), 6) AS total_dur
 FROM tr WHERE ph = 'X' AND dur > 0 GROUP BY 1""")
 def trace_device_class(spark: SparkSession, sf: str):
-    d = ev.device_class(events_trace(spark, sf))
+    d = ev.device_class(events_trace(spark, sf, indexed=False))
     return d.select("device_class", "count", _r("total_dur", "total_dur"))
 
 
@@ -184,7 +187,7 @@ SELECT count(*) FILTER (WHERE (contains(name, '[memory]') OR contains(name, 'cud
        count(*) FILTER (WHERE contains(name, 'cudaFree') OR contains(name, 'Freed')) AS frees,
        count(*) FILTER (WHERE ph = 'C' AND contains(lower(name), 'memory')) AS snapshots FROM tr""")
 def trace_mem_classes(spark: SparkSession, sf: str):
-    return ev.memory_classes(events_trace(spark, sf))
+    return ev.memory_classes(events_trace(spark, sf, indexed=False))
 
 
 _SQL_ALLOCS = """
@@ -196,15 +199,13 @@ allocs AS (SELECT event_index, name, CAST(bytes AS DOUBLE) AS size, CAST(device
 @query("trace_large_allocs", _w(_SQL_TRACE, _SQL_ALLOCS) + """
 SELECT event_index, name, size, device FROM allocs ORDER BY size DESC, event_index LIMIT 20""")
 def trace_large_allocs(spark: SparkSession, sf: str):
-    top, _ = ev.large_allocations(events_trace(spark, sf))
-    return top
+    return ev.largest_allocations(events_trace(spark, sf))
 
 
 @query("trace_alloc_total", _w(_SQL_TRACE, _SQL_ALLOCS) + """
 SELECT sum(size) AS total_bytes, count(*) AS allocations FROM allocs""")
 def trace_alloc_total(spark: SparkSession, sf: str):
-    _, total = ev.large_allocations(events_trace(spark, sf))
-    return total
+    return ev.allocation_total(events_trace(spark, sf, indexed=False))
 
 
 @query("gauge_stats", _w(_SQL_TRACE) + """
@@ -215,7 +216,7 @@ FROM (SELECT name, min(x) AS lo, avg(x) AS mid, max(x) AS hi, count(*) AS sample
       FROM (SELECT name, TRY_CAST(k AS DOUBLE) AS x FROM tr WHERE ph = 'C' AND contains(lower(name), 'memory'))
       WHERE x IS NOT NULL GROUP BY name)""")
 def gauge_stats(spark: SparkSession, sf: str):
-    g = ev.gauge_stats(events_trace(spark, sf))
+    g = ev.gauge_stats(events_trace(spark, sf, indexed=False))
     return g.select("name", "min", _r("avg", "avg"), "max", "samples", "unit")
 
 
@@ -229,7 +230,7 @@ def match_frees(spark: SparkSession, sf: str):
 @query("running_balance", _w(_SQL_TRACE, _SQL_BAL) + """
 SELECT seq, event_index, device, delta, device_balance, total_balance FROM bal2""")
 def running_balance(spark: SparkSession, sf: str):
-    return _balance(spark, sf).select("seq", "event_index", "device", "delta", "device_balance", "total_balance")
+    return _balance(events_trace(spark, sf)).select("seq", "event_index", "device", "delta", "device_balance", "total_balance")
 
 
 @query("peak_balance", _w(_SQL_TRACE, _SQL_BAL) + """
@@ -281,7 +282,8 @@ tl AS (SELECT b.seq, b.ts AS timestamp_us, b.ts / 1e6 AS timestamp_sec, b.total_
 
 
 def _timeline(spark, sf):
-    return written(ev.timeline(_balance(spark, sf), events_trace(spark, sf)))
+    trace = events_trace(spark, sf)  # numbered once for both sides
+    return written(ev.timeline(_balance(trace), trace))
 
 
 @query("mem_timeline", _w(_SQL_TRACE, _SQL_BAL, _SQL_TL) + " SELECT * FROM tl")
@@ -319,7 +321,8 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY op_cat ORDER BY start, op_i
              count(*) OVER (PARTITION BY op_cat) AS ops_in_cat FROM f)
 SELECT op_cat, rank_in_cat, op_name, start, "end", ops_in_cat FROM r WHERE rank_in_cat <= 5""")
 def active_ops_at_peak(spark: SparkSession, sf: str):
-    return ev.peak_context(_balance(spark, sf), events_trace(spark, sf))
+    trace = events_trace(spark, sf)
+    return ev.peak_context(_balance(trace), trace)
 
 
 @query("max_growth", _w(_SQL_TRACE, _SQL_BAL, _SQL_TL) + """

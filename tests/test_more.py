@@ -44,6 +44,7 @@ def test_artefact_roundtrip_and_probe(spark, tmpdir_path):
     assert back.tokens == m.tokens and back.merges == m.merges
     assert is_single_token(back, "<|eos|>") and is_single_token(back, "lowest")
     assert not is_single_token(back, "zebra")
+    assert not is_single_token(back, "lowest lowest") and not is_single_token(back, "")
     a = [list(r.ids) for r in encode_subword(df, m).orderBy("doc_id").collect()]
     b = [list(r.ids) for r in encode_subword(df, back).orderBy("doc_id").collect()]
     assert a == b

@@ -47,3 +47,17 @@ def test_ordered_queries_read_and_move_narrow_rows_and_leave_no_cache(spark):
         read = re.findall(r"ReadSchema: (struct<.*?>)\n", plan + "\n")
         assert read and not any(re.search(r"\btext:|\bids:", x) for x in read), (name, read)
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_reports_without_event_numbers_sort_and_write_nothing(spark):
+    import __spark_entry__ as entry
+    for name in ("trace_categories", "trace_top_total", "trace_sections", "trace_device_class", "trace_mem_classes",
+                 "trace_alloc_total", "gauge_stats"):
+        plan = _plan(entry.queries()[name](spark, SF))
+        assert "rangepartitioning" not in plan and set(re.findall(r"Location: .*?/(\w+)\.parquet", plan)) == {"events"}, name
+
+
+def test_loss_comparison_is_one_aggregate(spark):
+    import __spark_entry__ as entry
+    plan = _plan(entry.queries()["loss_compare"](spark, SF))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2

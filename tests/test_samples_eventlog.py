@@ -90,3 +90,22 @@ def test_interval_join_long_and_short_ops(spark):
                                 "op_index long, start double, end double, op_name string, op_cat string")
     got = sorted((r.pid, r.op_index) for r in ev.active_ops(pts, ops, min_dur=0.0, bucket=10.0).collect())
     assert got == [(0, 10), (0, 11), (1, 11), (1, 12), (2, 11)]
+
+
+def test_activity_equals_all_pairs_with_narrow_and_wide_blocks(spark):
+    import random
+    r = random.Random(8)
+    pts = [(i, float(r.randrange(300))) for i in range(150)]
+    ops = [(1000 + i, float(s), float(s + r.choice([0, 1, 2, 30, 280])), f"n{i}", "x")
+           for i, s in enumerate(r.randrange(320) for _ in range(60))]
+    want = {}
+    for pid, t in pts:
+        met = [o for o in ops if o[1] <= t <= o[2] and o[2] - o[1] > 1.0]
+        if met:
+            want[pid] = (len(met), min(met, key=lambda o: (o[1], o[0]))[3])
+    p = spark.createDataFrame(pts, "pid long, t double")
+    o = spark.createDataFrame(ops, "op_index long, start double, end double, op_name string, op_cat string")
+    for wide_bits in (0, 3, 16):
+        got = {x.pid: (x.n, x["first"].op_name) for x in ev.activity(p, o, 1.0, wide_bits=wide_bits).collect()}
+        assert got == want
+    assert ev.activity(p, o.where("false"), 1.0).count() == 0 and ev.activity(p.where("false"), o, 1.0).count() == 0
