@@ -66,3 +66,23 @@ def test_drop_and_empty_tables(spark):
     clean = [k for k, _, n_hit, _ in brute(rows, items()) if not n_hit]
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(clean, key=str) and kept.columns == docs.columns
     assert run(spark, [], items()) == []
+
+
+def test_windows_that_choose_one_position_are_one_row(spark):
+    text = prose(3, 400)
+    n = len(words(text))
+    rows = spark.createDataFrame([(1, text)], "key long, text string").mapInArrow(
+        decontaminate._scan([], None, 10), decontaminate._FOUND_SQL).where("fp is not null")
+    got = decontaminate._each_window(rows).select("start", "win").collect()
+    w = [x.decode() for x in words(text)]
+    assert sorted(map(tuple, got)) == [(i, " ".join(w[i:i + 10])) for i in range(n - 9)]
+    assert rows.count() < (n - 9) / 2
+
+
+def test_items_of_common_windows(spark):
+    passage = prose(3, 40)
+    bench = [(i, passage) for i in range(30)] + [(100, passage + " " + prose(5, 12)), (101, passage)]
+    rows = [(i, f"{prose(200 + i, 5)} {passage} {prose(300 + i, 5)}") for i in range(40)] + [(99, prose(999, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted([(r.key, r.n_words, r.n_hit, sorted(r["items"])) for r in got.collect()], key=str) == brute(rows, bench)
