@@ -3,9 +3,8 @@
 Two encoders:
 
 ``encode_rank``     word-level ids from a rank vocabulary (``vocab.rank_vocab``),
-                    a join of exploded pre-tokens with the vocabulary: broadcast
-                    only when the vocabulary row count is under a checked bound,
-                    a shuffle join (AQE may still pick broadcast) otherwise.
+                    a join of the distinct pre-tokens of blocks of documents with
+                    the vocabulary, see :mod:`tessera.operators.lookup`.
 ``encode_subword``  BPE / WordPiece ids with a trained ``SubwordModel``: pre-tokens
                     are cut in the JVM, and one ``mapInPandas`` pass applies the
                     merges per distinct word (a per-task cache), with the model
@@ -25,31 +24,19 @@ from pyspark.sql import types as T
 
 from ..errors import ValidationError
 from ..functions.text import clean_markers, normalize, normalize_parts, pretokenize
+from .lookup import looked_up
 from .order import running_sum, with_pos
 from .vocab import SubwordModel
 
-# Largest vocabulary (rows) joined by broadcast; above it the join shuffles.
-BROADCAST_VOCAB_ROWS = 2_000_000
-
-
-def _bounded_broadcast(vocab: DataFrame, limit: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
-    n = vocab.count()  # the size check: one count over the vocabulary
-    return F.broadcast(vocab) if n <= limit else vocab
-
-
 def encode_rank(docs: DataFrame, vocab: DataFrame, key: Sequence[str] = ("doc_id",),
                 text_col: str = "text", pre_tokenizer: str = "whitespace",
                 eos_id: int | None = None) -> DataFrame:
     """``key + (ids ARRAY<INT>, n_tokens INT)``; pre-tokens missing from the vocabulary are dropped."""
     keys = list(key)
-    toks = docs.select(*keys, F.posexplode(pretokenize(text_col, pre_tokenizer)).alias("i", "token"))
-    joined = toks.join(_bounded_broadcast(vocab), "token")
-    grouped = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.col("id").cast("int")
-                                                                               .alias("id")))).alias("p"))
-    ids = F.transform(F.col("p"), lambda s: s["id"])
-    # documents without any known pre-token keep an empty array
-    out = docs.select(*keys).join(grouped.select(*keys, ids.alias("ids")), keys, "left")
-    out = out.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    toks = docs.select(*keys, pretokenize(text_col, pre_tokenizer).alias("_tokens"))
+    known = vocab.select("token", F.col("id").cast("int").alias("id"))
+    # documents without any known pre-token have an empty array
+    out = looked_up(toks, keys, "_tokens", known, "token", "id").withColumnRenamed("_values", "ids")
     if eos_id is not None:
         out = out.withColumn("ids", append_eos("ids", eos_id))
     return out.withColumn("n_tokens", F.size("ids"))
@@ -238,12 +225,8 @@ def decode_ids(rows: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: Seq
     """Ids -> text: each id decoded alone, pieces concatenated without spaces,
     byte-level markers cleaned.  Unknown ids decode to nothing."""
     keys = list(key)
-    ex = rows.select(*keys, F.posexplode(ids_col).alias("i", "id"))
-    named = ex.join(_bounded_broadcast(vocab.select(F.col("id").cast("int").alias("id"), "token")), "id")
-    text = (named.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("p"))
-            .select(*keys, F.array_join(F.transform("p", lambda s: s["token"]), "").alias("text")))
-    out = rows.select(*keys).join(text, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    named = vocab.select(F.col("id").cast("int").alias("id"), "token")
+    out = looked_up(rows, keys, ids_col, named, "id", "token").select(*keys, F.array_join("_values", "").alias("text"))
     return out.withColumn("text", clean_markers("text")) if clean else out
 
 
