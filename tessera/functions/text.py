@@ -87,13 +87,14 @@ def byte_alphabet() -> str:
 _BYTE_ALPHABET = byte_alphabet()
 
 
+# Bytes whose stand-in is another character than Latin-1 has for them, and their stand-ins.
+_MOVED = "".join(chr(b) for b, ch in enumerate(_BYTE_ALPHABET) if ch != chr(b))
+_MOVED_TO = "".join(ch for b, ch in enumerate(_BYTE_ALPHABET) if ch != chr(b))
+
+
 def byte_level_chars(piece: Column) -> Column:
-    """Map each UTF-8 byte of ``piece`` to its printable stand-in, JVM-side."""
-    raw = F.encode(piece, "UTF-8")
-    idx = F.sequence(F.lit(1), F.greatest(F.octet_length(raw), F.lit(1)))
-    byte_at = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int")
-    chars = F.transform(idx, lambda i: F.substring(F.lit(_BYTE_ALPHABET), byte_at(i) + 1, 1))
-    return F.when(F.octet_length(raw) == 0, F.lit("")).otherwise(F.array_join(chars, ""))
+    """Map each UTF-8 byte of ``piece`` to its printable stand-in, JVM-side: read as Latin-1, then translated."""
+    return F.translate(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), _MOVED, _MOVED_TO)
 
 
 # --- normalisation -------------------------------------------------------------

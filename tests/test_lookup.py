@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from tessera.functions.text import byte_alphabet, byte_level_chars
 from tessera.operators.encode import decode_ids, encode_rank
 from tessera.operators.lookup import looked_up
 
@@ -65,3 +68,12 @@ def test_tokens_do_not_meet_the_vocabulary_one_by_one(spark):
     finally:
         lookup.written = joined
     assert seen == [2]
+
+
+def test_byte_level_chars_have_no_array_per_byte(spark):
+    letters = byte_alphabet()
+    texts = ["", "plain text\n", "".join(map(chr, range(256))), "\u00e9\u0416\u4e2d\U0001f600", "\x00\x7f\xad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i long, t string")
+    out = df.select("i", byte_level_chars(F.col("t")).alias("t"))
+    assert {r.i: r.t for r in out.collect()} == {i: "".join(letters[b] for b in t.encode()) for i, t in enumerate(texts)} | {9: None}
+    assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
