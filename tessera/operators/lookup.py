@@ -83,6 +83,33 @@ def _place(keys: int, places: bool, kind: pa.DataType):
     return run
 
 
+def cut_blocks(rows: DataFrame, elements: str, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """``rows`` with ``_at``, ``_block`` and ``_distinct`` in place of the array column ``elements``, written."""
+    other = [c for c in rows.columns if c != elements]
+    chosen = rows.select(*other, F.col(elements).alias("_elements"))
+    schema = T.StructType([*(chosen.schema[c] for c in other), T.StructField("_at", T.ArrayType(T.IntegerType())),
+                           T.StructField("_block", T.LongType()),
+                           T.StructField("_distinct", T.ArrayType(chosen.schema["_elements"].dataType.elementType))])
+    return written(chosen.mapInArrow(_cut(block_elements), schema), "blocks")
+
+
+def found_in(blocks: DataFrame, table: DataFrame, element: str) -> DataFrame:
+    """The rows of ``table`` whose ``element`` a block has, with the block (``_of``) and the index there (``_i``)."""
+    return (blocks.where("_distinct is not null").select(
+        F.col("_block").alias("_of"), F.posexplode("_distinct").alias("_i", element)).join(table, element))
+
+
+def placed(blocks: DataFrame, key: Sequence[str], found: DataFrame, places: bool = False) -> DataFrame:
+    """``key + _values`` (and ``_places``, counted from 0): what ``found`` has as ``_value`` for the elements of each row."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    to = found.schema["_value"].dataType
+    schema = T.StructType([*(blocks.schema[k] for k in key), T.StructField("_values", T.ArrayType(to)),
+                           *[T.StructField("_places", T.ArrayType(T.IntegerType()))][:places]])
+    return (blocks.select(*key, "_block", "_at").groupBy("_block")
+            .cogroup(found.select("_of", "_i", "_value").groupBy("_of"))
+            .applyInArrow(_place(len(key), places, to_arrow_type(to)), schema))
+
+
 def looked_up(rows: DataFrame, key: Sequence[str], elements: str, table: DataFrame, element: str, value: str,
               block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """``key + _values``: for each element of the array column ``elements``, in order, the ``value`` of the rows of
@@ -91,36 +118,21 @@ def looked_up(rows: DataFrame, key: Sequence[str], elements: str, table: DataFra
     Rows with the same key share their arrays, added up by place and then by value; a row with a null in its key
     gets an empty array.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
     keys = list(key)
-    chosen = rows.select(*keys, F.col(elements).alias("_elements"))
-    of, to = chosen.schema["_elements"].dataType.elementType, table.schema[value].dataType
-    fields = [chosen.schema[k] for k in keys]
-    cut = T.StructType([*fields, T.StructField("_at", T.ArrayType(T.IntegerType())), T.StructField("_block", T.LongType()),
-                        T.StructField("_distinct", T.ArrayType(of))])
-    blocks = written(chosen.mapInArrow(_cut(block_elements), cut), "blocks")
-    found = (blocks.where("_distinct is not null").select(
-        F.col("_block").alias("_of"), F.posexplode("_distinct").alias("_i", element))
-             .join(table.select(element, F.col(value).alias("_value")), element).select("_of", "_i", "_value"))
-
-    def placed(part: DataFrame, places: bool = False) -> DataFrame:
-        schema = T.StructType([*fields, T.StructField("_values", T.ArrayType(to)),
-                               *[T.StructField("_places", T.ArrayType(T.IntegerType()))][:places]])
-        return (part.select(*keys, "_block", "_at").groupBy("_block").cogroup(found.groupBy("_of"))
-                .applyInArrow(_place(len(keys), places, to_arrow_type(to)), schema))
-
+    blocks = cut_blocks(rows.select(*keys, elements), elements, block_elements)
+    found = found_in(blocks, table.select(element, F.col(value).alias("_value")), element)
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     again = blocks.where(whole).groupBy(*keys).count().where("count > 1").select(*keys)
-    nothing = F.array().cast(T.ArrayType(to))
+    nothing = F.array().cast(T.ArrayType(table.schema[value].dataType))
     if again.isEmpty():  # as ids are
-        return placed(blocks).withColumn("_values", F.when(whole, F.col("_values")).otherwise(nothing))
+        return placed(blocks, keys, found).withColumn("_values", F.when(whole, F.col("_values")).otherwise(nothing))
     again = written(again, "repeated")
-    single = placed(blocks.join(again, keys, "left_anti"))
+    single = placed(blocks.join(again, keys, "left_anti"), keys, found)
     single = single.withColumn("_values", F.when(whole, F.col("_values")).otherwise(nothing))
     several = blocks.join(again, keys, "left_semi")
-    each = placed(several, places=True).select(*keys, F.explode(F.arrays_zip("_places", "_values")).alias("x"))
+    each = placed(several, keys, found, places=True).select(*keys, F.explode(F.arrays_zip("_places", "_values")).alias("x"))
     joint = each.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x")).select(
         *keys, F.col("x._values").alias("_values"))
     shared = several.select(*keys).join(joint, keys, "left").withColumn("_values", F.coalesce("_values", nothing))
