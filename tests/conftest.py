@@ -22,3 +22,13 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="tessera-test-")
+
+
+@pytest.fixture(autouse=True)
+def readers_as_before():
+    """Readers that a test registers are gone after it."""
+    from tessera.sources import readers
+    before = dict(readers._READERS)
+    yield
+    readers._READERS.clear()
+    readers._READERS.update(before)
