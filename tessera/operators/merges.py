@@ -29,6 +29,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ MAX_SYMBOLS = 0x10FFFF - SYMBOL_BASE
 MAX_PAIRS = 1 << 16
 MAX_SEGMENTS = 1 << 16
 FIRST_PAIRS = 64  # pairs above the floor of the first round
+CHUNK_BYTES = 1 << 22  # of words that a task handles at once
 
 
 def symbol(i: int) -> str:
@@ -80,49 +82,133 @@ def as_symbols(counts: DataFrame, ids: dict[str, int], prefix: str = "") -> Data
     return counts.select("word", F.col("count").cast("long")).mapInArrow(run, _STATE)
 
 
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols (each four bytes of UTF-8) of all words, one after the other, and where the words begin and end."""
+    words = words.cast(pa.string())
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    b = np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, 4).astype(np.int64)
+    return (((b[:, 0] & 7) << 18) | ((b[:, 1] & 63) << 12) | ((b[:, 2] & 63) << 6) | (b[:, 3] & 63)) - SYMBOL_BASE, (at - at[0]) // 4
+
+
+def _strings(symbols: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The inverse of :func:`_flat`."""
+    c = symbols + SYMBOL_BASE
+    b = np.stack([0xF0 | (c >> 18), 0x80 | (c >> 12 & 63), 0x80 | (c >> 6 & 63), 0x80 | (c & 63)], axis=1).astype(np.uint8)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(b))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols, bounds and counts of stretches of words, none of which is empty."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return *_flat(t.column(0).combine_chunks()), t.column(1).to_numpy()
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(0).nbytes
+        if size >= CHUNK_BYTES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _codes(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At each place the symbol there and the next one as a number; -1 at a word's last place."""
+    codes = np.full(len(symbols), -1, np.int64)
+    codes[:-1] = (symbols[:-1] << 21) | symbols[1:]
+    codes[at[1:] - 1] = -1
+    return codes
+
+
+def _code(pair: str) -> int:
+    return (symbol_id(pair[0]) << 21) | symbol_id(pair[1])
+
+
+def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def pair_counts(state: DataFrame) -> DataFrame:
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
-    return (state.where(F.length("s") > 1).select("s", "count", at).select(F.expr("substring(s, i, 2)").alias("pair"), "count")
-            .groupBy("pair").agg(F.sum("count").alias("c")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            both = np.stack([codes >> 21, codes & 0x1FFFFF], axis=1).reshape(-1)
+            return pa.RecordBatch.from_arrays([_strings(both, np.arange(0, len(both) + 1, 2)), pa.array(sums)], ["pair", "c"])
+        for symbols, at, counts in _chunks(batches):
+            here = _codes(symbols, at)
+            weight, inside = np.repeat(counts, np.diff(at)), here >= 0
+            codes, sums = _sums(np.concatenate([codes, here[inside]]), np.concatenate([sums, weight[inside]]))
+            if len(codes) > 1 << 20:
+                yield out()
+                codes, sums = codes[:0], sums[:0]
+        yield out()
+    return state.mapInArrow(run, "pair string, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
 def cut_segments(state: DataFrame, pairs: frozenset[str]) -> DataFrame:
     """Longest stretches of the words in which every pair of neighbours is one of ``pairs``, with their counts."""
+    hot = np.sort(np.array([_code(p) for p in pairs], np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = defaultdict(int)
-        for s, n in _rows(batches):
-            start = 0
-            for i in range(1, len(s)):
-                if s[i - 1:i + 1] not in pairs:
-                    if i - start > 1:
-                        held[s[start:i]] += n
-                    start = i
-            if len(s) - start > 1:
-                held[s[start:]] += n
-            if len(held) > 200_000:
-                yield from _batches(iter(held.items()))
-                held.clear()
-        yield from _batches(iter(held.items()))
+        for symbols, at, counts in _chunks(batches):
+            here = _codes(symbols, at)
+            ends = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, here), len(hot) - 1)] != here) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+            long = ends - starts > 1
+            segments = _strings(symbols, np.concatenate([[0], ends])).filter(pa.array(long))
+            weight = np.repeat(counts, np.diff(at))[starts[long]]
+            found = pa.table([segments, pa.array(weight)], ["s", "count"]).group_by("s").aggregate([("count", "sum")])
+            yield from found.select(["s", "count_sum"]).rename_columns(["s", "count"]).to_batches()
     return state.mapInArrow(run, _STATE).groupBy("s").agg(F.sum("count").alias("count"))
 
 
 def put_in(state: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """The words after ``merges`` (pair, new symbol), in order."""
-    rank = {pair: i for i, (pair, _) in enumerate(merges)}
-    news, last = [new for _, new in merges], len(merges) - 1
-
-    def merged(s: str) -> str:
-        while len(s) > 1:
-            best = min((rank[p] for p in map("".join, zip(s, s[1:])) if p in rank), default=None)
-            if best is None:
-                break
-            s = s.replace(merges[best][0], news[best])
-            if best == last:
-                break
-        return s
+    """The words after ``merges`` (pair, new symbol), in order; words of one symbol go.
+
+    Every word takes the earliest merge that it has a pair of, all words at once, until none has any.
+    """
+    codes = np.array([_code(pair) for pair, _ in merges], np.int64)
+    rank_of = np.argsort(codes)
+    keys, news, none = codes[rank_of], np.array([symbol_id(new) for _, new in merges], np.int64), len(merges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches((t, n) for s, n in _rows(batches) if len(t := merged(s)) > 1)
+        for symbols, at, counts in _chunks(batches):
+            ended = np.zeros(len(counts), bool)
+            while len(counts):
+                here = _codes(symbols, at)
+                i = np.minimum(np.searchsorted(keys, here), none - 1)
+                rank = np.where(keys[i] == here, rank_of[i], none)
+                best = np.minimum.reduceat(rank, at[:-1])
+                size = np.diff(at)
+                ended |= best == none
+                each = np.repeat(ended, size)
+                if ended.any():
+                    kept = ended & (size > 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [_strings(symbols[np.repeat(kept, size)], np.concatenate([[0], np.cumsum(size[kept])])),
+                         pa.array(counts[kept])], ["s", "count"])
+                    symbols, rank = symbols[~each], rank[~each]
+                    best, size, counts = best[~ended], size[~ended], counts[~ended]
+                # of places that overlap (a symbol met by itself) every other one, from the left
+                hits = np.flatnonzero(rank == np.repeat(best, size))
+                fresh = np.diff(hits, prepend=-2) != 1
+                run_start = hits[np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))] if len(hits) else hits
+                hits = hits[(hits - run_start) % 2 == 0]
+                symbols = symbols.copy()
+                symbols[hits] = news[rank[hits]]
+                stay = np.ones(len(symbols), bool)
+                stay[hits + 1] = False
+                word = np.repeat(np.arange(len(size)), size)[stay]
+                symbols, at = symbols[stay], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(size)))])
+                ended = best == none - 1  # nothing follows the last merge, even if its symbol is an old one
     return state.mapInArrow(run, _STATE)
 
 

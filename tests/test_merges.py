@@ -127,3 +127,49 @@ def test_nothing_to_merge(spark):
     assert train_subword(empty, 10, special_tokens=["<pad>"]).tokens == ["<pad>"]
     single = spark.createDataFrame([("a", 5), ("b", 2), ("", 7)], "word string, count long")
     assert train_subword(single, 10).tokens == ["a", "b"]
+
+
+def test_passes_over_words_equal_those_of_single_words(spark):
+    """Pair counts, segments and merges on whole stretches of words, as on one word at a time."""
+    r = random.Random(11)
+    words = ["".join(mg.symbol(r.randrange(4)) for _ in range(r.randrange(2, 12))) for _ in range(300)] + [mg.symbol(0) * 7]
+    rows = [(w, r.choice([1, 5, 1 << 60])) for w in words]
+    rows = [(w, n if i else 1 << 60) for i, (w, n) in enumerate(rows)][:40] + [(w, n % 7 + 1) for w, n in rows[40:]]
+    state = spark.createDataFrame([(w, n if n < 1 << 59 else (1 << 55) + 1) for w, n in rows], "s string, count long")
+    rows = [tuple(x) for x in state.collect()]
+    pairs, cut = Counter(), Counter()
+    hot = frozenset(mg.symbol(a) + mg.symbol(b) for a, b in [(0, 0), (0, 1), (2, 1), (3, 3)])
+    for w, n in rows:
+        part = w[0]
+        for p in map("".join, zip(w, w[1:])):
+            pairs[p] += n
+            if p in hot:
+                part += p[1]
+                continue
+            if len(part) > 1:
+                cut[part] += n
+            part = p[1]
+        if len(part) > 1:
+            cut[part] += n
+    assert {x["pair"]: x["c"] for x in mg.pair_counts(state).collect()} == pairs
+    assert {x["s"]: x["count"] for x in mg.cut_segments(state, hot).collect()} == cut
+    merges = [(mg.symbol(0) * 2, mg.symbol(4)), (mg.symbol(4) + mg.symbol(1), mg.symbol(5)),
+              (mg.symbol(2) + mg.symbol(3), mg.symbol(6)), (mg.symbol(6) * 2, mg.symbol(7)), (mg.symbol(1) * 2, mg.symbol(4))]
+    want = Counter()
+    for w, n in rows:
+        for pair, new in merges:
+            w = w.replace(pair, new)
+        if len(w) > 1:
+            want[w] += n
+    got = Counter()
+    for x in mg.put_in(state, merges).collect():
+        got[x["s"]] += x["count"]
+    assert got == want
+    assert mg.pair_counts(state.limit(0)).count() == mg.cut_segments(state.limit(0), hot).count() == 0
+
+
+def test_a_pass_hands_on_few_rows(spark):
+    """A task adds its pairs up before any row of them leaves it: one row per pair and task, not per place."""
+    state = spark.createDataFrame([(mg.symbol(0) + mg.symbol(1) * 50, 1)] * 400, "s string, count long").coalesce(1)
+    plan = mg.pair_counts(state)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
