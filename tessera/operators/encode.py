@@ -6,17 +6,24 @@ Two encoders:
                     a join of the distinct pre-tokens of blocks of documents with
                     the vocabulary, see :mod:`tessera.operators.lookup`.
 ``encode_subword``  BPE / WordPiece ids with a trained ``SubwordModel``: pre-tokens
-                    are cut in the JVM, and one ``mapInPandas`` pass applies the
-                    merges per distinct word (a per-task cache), with the model
-                    (bounded by ``vocab_size``) shipped in the closure.  No
+                    are cut in the JVM, and one ``mapInArrow`` pass applies the
+                    merges per distinct word of ``BLOCK_WORDS`` words (and a
+                    per-task cache), with the model (bounded by ``vocab_size``)
+                    shipped in the closure.  No
                     shuffle: document order inside a partition is kept.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import chain
+from operator import or_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +35,9 @@ from .lookup import looked_up
 from .order import running_sum, with_pos
 from .vocab import SubwordModel
 
+BLOCK_WORDS = 1 << 20
+
+
 def encode_rank(docs: DataFrame, vocab: DataFrame, key: Sequence[str] = ("doc_id",),
                 text_col: str = "text", pre_tokenizer: str = "whitespace",
                 eos_id: int | None = None) -> DataFrame:
@@ -141,7 +151,9 @@ def _words(docs: DataFrame, keys: list[str], text_col: str, model: SubwordModel)
         return docs.select(*keys, pretokenize(normalize(text, model.normalizer), model.pre_tokenizer).alias("_words"))
     names = sorted(model.special_tokens, key=len, reverse=True)
     either = "|".join(re.sub(r"([^\w])", r"\\\1", t) for t in names)
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s){either}|(?:(?!{either}).)+"), 0)
+    # a text without any of them is one part, without a look ahead at each of its places
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s){either}|(?:(?!{either}).)+"), 0)
+    parts = F.when((text == "") | reduce(or_, [text.contains(t) for t in names]), cut).otherwise(F.array(text))
     parts = normalize_parts(parts, model.normalizer, names)
     rows = docs.select(*keys, parts.alias("_parts"))
     special = lambda p: p.isin(names)
@@ -155,33 +167,53 @@ def encode_subword(docs: DataFrame, model: SubwordModel, key: Sequence[str] = ("
     keys = list(key)
     pre = _words(docs, keys, text_col, model)
     key_fields = [f for f in pre.schema.fields if f.name in keys]
+    key_fields = [next(f for f in key_fields if f.name == k) for k in keys]
     schema = T.StructType(key_fields + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                                         T.StructField("n_tokens", T.IntegerType())])
     encode_word = _subword_encoder(model)
     special = {t: [i] for i, t in enumerate(model.tokens) if t in model.special_tokens}
 
-    def run(batches):
+    ids_type = pa.list_(pa.field("element", pa.int32(), nullable=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        for pdf in batches:
-            out = []
-            for words in pdf["_words"]:
-                doc: list[int] = []
-                for w in (words if words is not None else []):
-                    e = special.get(w) or cache.get(w)
-                    if e is None:
-                        e = encode_word(w)
-                        if len(cache) < cache_size:
-                            cache[w] = e
-                    doc.extend(e)
-                if eos_id is not None:
-                    doc.append(int(eos_id))
-                out.append(doc)
-            res = pdf[keys].copy()
-            res["ids"] = out
-            res["n_tokens"] = [len(x) for x in out]
-            yield res
-
-    return pre.mapInPandas(run, schema)
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = t.column("_words").combine_chunks()
+            words, pieces = lists.flatten().dictionary_encode(), []
+            for w in words.dictionary.to_pylist():
+                e = special.get(w) or cache.get(w)
+                if e is None:
+                    e = encode_word(w)
+                    if len(cache) < cache_size:
+                        cache[w] = e
+                pieces.append(e)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum()))
+            at, start = words.indices.to_numpy(), np.cumsum(sizes) - sizes
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])
+            ids = flat[np.repeat(start[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            bounds = ends[rows]
+            if eos_id is not None:
+                ids, bounds = np.insert(ids, bounds[1:], int(eos_id)), bounds + np.arange(len(bounds))
+            return pa.RecordBatch.from_arrays(
+                [*(t.column(k).combine_chunks() for k in keys),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), type=ids_type),
+                 pa.array(np.diff(bounds), pa.int32())], [*keys, "ids", "n_tokens"])
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column("_words").flatten())
+            if n >= BLOCK_WORDS:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return pre.mapInArrow(run, schema)
 
 
 def document_tokens(store: DataFrame, doc_pos: int, pos_col: str = "doc_pos") -> DataFrame:

@@ -80,3 +80,29 @@ def test_loads_library_files(spark):
     assert _ids(spark, SubwordModel.from_json(art), asked) == want
     art["model"]["merges"] = [m if isinstance(m, str) else " ".join(m) for m in art["model"]["merges"]]
     assert _ids(spark, SubwordModel.from_json(art), asked) == want
+
+
+def test_a_block_encodes_each_word_once(spark, monkeypatch):
+    """Repeated words meet the encoder once, without a cache too; nulls, empty texts, keys and order stay."""
+    from tessera.operators import encode as enc
+
+    def once(model):
+        seen = set()
+
+        def encode_word(word):
+            if word in seen:
+                raise ValueError(f"{word} again")
+            seen.add(word)
+            return [ord(c) for c in word if c != "z"]
+        return encode_word
+    monkeypatch.setattr(enc, "_subword_encoder", once)
+    model = SubwordModel("bpe", ["<s>", "a"], special_tokens=["<s>"])
+    rows = [(1, "x", "ab ab zz b"), (2, None, None), (None, "y", ""), (2, "x", "b <s>ab<s>"), (2, "x", "zz")]
+    df = spark.createDataFrame(rows, "n long, k string, text string").coalesce(1)
+    got = [(r.k, r.n, r.ids, r.n_tokens) for r in enc.encode_subword(df, model, ["k", "n"], eos_id=7, cache_size=0).collect()]
+    ab, b = [97, 98], [98]
+    want = [[*ab, *ab, *b], [], [], [*b, 0, *ab, 0], []]
+    assert got == [(k, n, [*w, 7], len(w) + 1) for (n, k, _), w in zip(rows, want)]
+    byte_level = SubwordModel("bpe", ["<s>", "a"], special_tokens=["<s>"], pre_tokenizer="byte_level")
+    text = spark.createDataFrame([(1, ""), (2, "a")], "doc_id long, text string")
+    assert [r.n_tokens for r in enc.encode_subword(text, byte_level).orderBy("doc_id").collect()] == [0, 2]
