@@ -5,12 +5,14 @@
 2. Every block is split into the tokenizer's words, and its distinct words are
    dealt by hash into buckets; a bucket meets the same word of all blocks and
    encodes each distinct word once.
-3. The words with their ids return to their blocks, where the ids go back to
-   the words' positions.  Each block also gets a copy of the whole id-to-piece
-   table; the pieces, looked up by id as index, are the decoded text.
+3. The ids return to their blocks in the order of the bucket's words, which a
+   block knows from its own texts, and go back to the words' positions.  Each
+   block also gets a copy of the whole id-to-piece table; the pieces, looked up
+   by id as index, are the decoded text.
 
 Only distinct words of blocks cross the network, not word occurrences, packed
-as compressed batches.  A task holds one block and its words, or one bucket.
+as compressed batches, and only their ids return.  A task holds one block with
+its words as numbers, or one bucket, and gives its rows out in small batches.
 BPE never merges across words, so this equals encoding whole texts.
 
 The tokenizer file is a parameter; its JSON travels with the tasks (its size
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import key_text
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Words of a batch of rows that a block gives out (whole rows; a longer row stands alone).
+OUT_WORDS = 1 << 18
 WORD_BATCH = 20_000
 PACK_LEVEL = 6
 #: Letters, and other characters (neither letters, numbers nor white space), of the texts for the quick splitter.
@@ -63,20 +67,30 @@ def read_tokenizer(path: str) -> str:
     return text
 
 
+def added_tokens(tokenizer_json: str) -> list[str]:
+    """The added tokens, longest first."""
+    return sorted((t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])), key=len, reverse=True)
+
+
 def word_splitter(tokenizer_json: str) -> Callable[[str], list[str]]:
+    return _splitter(added_tokens(tokenizer_json))
+
+
+def _splitter(added: list[str]) -> Callable[[str], list[str]]:
     """Text -> its words, whose concatenation is the text; added tokens stand alone.
 
     Texts of common Latin characters go through a pattern; in all others the
-    tokenizer library cuts the words, by its own character classes.
+    tokenizer library cuts the words, by its own character classes.  That part
+    of the library has no vocabulary, so none is loaded.
     """
-    library = loaded(tokenizer_json).pre_tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+    library = ByteLevel(add_prefix_space=False, use_regex=True)
     letters = byte_letters()
 
     def words(text: str) -> list[str]:
         if _QUICK.fullmatch(text):
             return _QUICK_WORDS.findall(text)
         return [bytes([letters[c] for c in w]).decode() for w, _ in library.pre_tokenize_str(text)]
-    added = sorted((t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])), key=len, reverse=True)
     if not added:
         return words
     special = re.compile("(" + "|".join(map(re.escape, added)) + ")")
@@ -157,10 +171,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _distinct_words(tokenizer_json: str, buckets: int):
-    """Blocks -> (bucket, block, distinct words of the block that fall into the bucket)."""
+def _bucket(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode()) % buckets
+
+
+def _distinct_words(added: list[str], buckets: int):
+    """Blocks -> (bucket, block, distinct words of the block that fall into the bucket, sorted)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = word_splitter(tokenizer_json)
+        split = _splitter(added)
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen: set[str] = set()
@@ -169,7 +187,7 @@ def _distinct_words(tokenizer_json: str, buckets: int):
                         seen.update(split(text.as_py() or ""))
                 dealt: list[list[str]] = [[] for _ in range(buckets)]
                 for word in sorted(seen):
-                    dealt[zlib.crc32(word.encode()) % buckets].append(word)
+                    dealt[_bucket(word, buckets)].append(word)
                 del seen
                 full = [i for i in range(buckets) if dealt[i]]
                 for i in range(0, len(full), 64):
@@ -183,7 +201,7 @@ def _distinct_words(tokenizer_json: str, buckets: int):
 
 
 def _encode_bucket(tokenizer_json: str):
-    """All words of a bucket -> per block, its words with their ids; a word is encoded once."""
+    """All words of a bucket -> per block, the ids of its words, in their order; a word is encoded once."""
     def run(group: pa.Table) -> pa.Table:
         tok = loaded(tokenizer_json)
         index: dict[str, int] = {}
@@ -198,11 +216,8 @@ def _encode_bucket(tokenizer_json: str):
                 sizes.append(len(e.ids))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-        texts = pa.array(words, pa.string())
-        data = [_packed([pa.RecordBatch.from_arrays([texts.take(pa.array(u)), ids.take(pa.array(u))], ["word", "ids"])])
-                for u in uses]
-        return pa.table({"block": group["block"], "kind": pa.array(["words"] * len(data)),
-                         "data": pa.array(data, pa.binary())})
+        data = [_packed([pa.RecordBatch.from_arrays([ids.take(pa.array(u))], ["ids"])]) for u in uses]
+        return pa.table({"block": group["block"], "bucket": group["bucket"], "data": pa.array(data, pa.binary())})
     return run
 
 
@@ -214,37 +229,55 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndar
     return flat[np.arange(total) + np.repeat(offsets[which] - (ends - size), size)]
 
 
-def _place(tokenizer_json: str, decode: bool):
-    """Block + its words and the pieces -> key, ids (little-endian unsigned 32-bit), decoded."""
+def _place(added: list[str], buckets: int, decode: bool):
+    """Block + the ids of its words by bucket, and the pieces (no bucket) -> key, ids (little-endian unsigned 32-bit),
+    decoded."""
+    def numbered(rows: pa.ChunkedArray) -> tuple[list[str], list[tuple[pa.Array, np.ndarray, np.ndarray]]]:
+        """The block's distinct words, and stretches of its rows: keys, their words as numbers, words of each row."""
+        split, index, stretches = _splitter(added), {}, []
+        for blob in rows:
+            for b in _unpacked(blob):
+                at, sizes, n, first = [], [], 0, 0
+                for i, text in enumerate(b.column(1)):
+                    words = split(text.as_py() or "")
+                    at.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+                    sizes.append(len(words))
+                    n += len(words)
+                    if n >= OUT_WORDS or i + 1 == b.num_rows:
+                        stretches.append((b.column(0).slice(first, i + 1 - first), np.concatenate(at), np.array(sizes)))
+                        at, sizes, n, first = [], [], 0, i + 1
+        return list(index), stretches
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = word_splitter(tokenizer_json)
-        index: dict[str, int] = {}
         flats, sizes, piece_flat, piece_off = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], None, None
-        for kind, data in zip(right["kind"].to_pylist(), right["data"], strict=True):
+        for bucket, data in sorted(zip(right["bucket"].to_pylist(), right["data"], strict=True),
+                                   key=lambda x: (x[0] is None, x[0] or 0)):
             for b in _unpacked(data):
-                if kind == "words":
-                    for w in b.column(0).to_pylist():
-                        index[w] = len(index)
-                    flats.append(b.column(1).flatten().to_numpy())
-                    sizes.append(np.diff(b.column(1).offsets.to_numpy()))
+                if bucket is not None:
+                    flats.append(b.column(0).flatten().to_numpy())
+                    sizes.append(np.diff(b.column(0).offsets.to_numpy()))
                 else:
                     piece_flat = np.frombuffer(b.column(1).buffers()[2], np.uint8)
                     piece_off = np.frombuffer(b.column(1).buffers()[1], np.int32)[:b.num_rows + 1].astype(np.int64)
                     if (b.column(0).to_numpy() != np.arange(b.num_rows)).any():
                         raise ValueError("ids of the vocabulary are not 0, 1, 2, ...")
         flat, offsets = np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        keys, out, back = [], [], []
-        for rows in left["rows"]:
-            for b in _unpacked(rows):
-                keys.append(b.column(0))
-                for text in b.column(1):
-                    words = split(text.as_py() or "")
-                    ids = _gather(flat, offsets, np.array([index[w] for w in words], np.int64))
-                    out.append(ids.astype("<u4").tobytes())
-                    back.append(_gather(piece_flat, piece_off, ids.astype(np.int64)).tobytes().decode("utf-8", "replace")
-                                if decode else None)
-        key = pa.chunked_array(keys, keys[0].type) if keys else pa.chunked_array([], pa.int64())
-        return pa.table({"key": key, "ids": pa.array(out, pa.binary()), "decoded": pa.array(back, pa.string())})
+        words, stretches = numbered(left["rows"])
+        if len(words) != len(offsets) - 1:
+            raise ValueError(f"{len(words)} words of a block met the ids of {len(offsets) - 1}")
+        rank = np.empty(len(words), np.int64)
+        rank[sorted(range(len(words)), key=lambda i: (_bucket(words[i], buckets), words[i]))] = np.arange(len(words))
+        del words
+        out = []
+        for keys, at, count in stretches:
+            ids = _gather(flat, offsets, rank[at])
+            ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[rank[at]])])[np.concatenate([[0], np.cumsum(count)])]
+            coded = pa.Array.from_buffers(pa.binary(), len(keys), [
+                None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            back = [_gather(piece_flat, piece_off, ids[i:j].astype(np.int64)).tobytes().decode("utf-8", "replace")
+                    if decode else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            out.append(pa.RecordBatch.from_arrays([keys, coded, pa.array(back, pa.string())], ["key", "ids", "decoded"]))
+        return pa.Table.from_batches(out, pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
     return run
 
 
@@ -254,16 +287,16 @@ def encode(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_c
     32-bit), and ``decoded``, the text that the ids' pieces give (null if not asked for)."""
     spark = docs.sparkSession
     spec = read_tokenizer(tokenizer_path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    added, parts = added_tokens(spec), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = (key_text(docs, key_col, text_col)
               .mapInArrow(_pack, "block long, rows binary").repartition(parts, "block"))
-    words = (blocks.mapInArrow(_distinct_words(spec, parts), "bucket int, block long, words binary")
-             .groupBy("bucket").applyInArrow(_encode_bucket(spec), "block long, kind string, data binary"))
+    words = (blocks.mapInArrow(_distinct_words(added, parts), "bucket int, block long, words binary")
+             .groupBy("bucket").applyInArrow(_encode_bucket(spec), "block long, bucket int, data binary"))
     if decode:
-        words = words.unionByName(blocks.select("block", F.lit("pieces").alias("kind"),
+        words = words.unionByName(blocks.select("block", F.lit(None).cast("int").alias("bucket"),
                                                 F.lit(_packed([piece_batch(spec)])).alias("data")))
     return (blocks.groupBy("block").cogroup(words.groupBy("block"))
-            .applyInArrow(_place(spec, decode), "key long, ids binary, decoded string"))
+            .applyInArrow(_place(added, parts, decode), "key long, ids binary, decoded string"))
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, key_col: str = "key", ids_col: str = "ids") -> DataFrame:

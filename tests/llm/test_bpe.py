@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import bpe
@@ -69,3 +70,26 @@ def test_blocks_and_empty_table(spark, path, monkeypatch):
     assert keys == list(range(50)) * 2 and len({b.column(0)[0].as_py() for b in blocks}) == len(blocks) > 5
     monkeypatch.undo()
     assert bpe.encode(documents(spark, []), path).count() == 0
+
+
+def test_a_block_gives_its_rows_out_in_small_batches(path, monkeypatch):
+    spec = bpe.read_tokenizer(path)
+    tok, added = bpe.loaded(spec), bpe.added_tokens(spec)
+    monkeypatch.setattr(bpe, "OUT_WORDS", 50)
+    rows = [(i, f"word{i % 7} and {i} é" * (i % 5)) for i in range(200)] + [(200, None), (201, "long " * 300)]
+    block = bpe._packed([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
+                                                    ["key", "text"])])
+    one = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([block], pa.binary())], ["block", "rows"])
+    groups = []
+    for b in bpe._distinct_words(added, 4)(iter([one])):
+        groups += [bpe._encode_bucket(spec)(pa.Table.from_batches([b.slice(i, 1)])) for i in range(b.num_rows)]
+    pieces = pa.table({"block": [7], "bucket": pa.array([None], pa.int32()),
+                       "data": pa.array([bpe._packed([bpe.piece_batch(spec)])], pa.binary())})
+    monkeypatch.setattr(bpe, "loaded", None)  # a block needs no vocabulary of the library
+    out = bpe._place(added, 4, True)(pa.table({"block": [7], "rows": pa.array([block], pa.binary())}),
+                                     pa.concat_tables([*groups, pieces]))
+    assert [(r["key"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in out.to_pylist()] == [
+        (k, tok.encode(t or "", add_special_tokens=False).ids, t or "") for k, t in rows]
+    split = bpe.word_splitter(spec)
+    for b in out.to_batches():
+        assert sum(len(split(t)) for t in b.column("decoded").to_pylist()[:-1]) < 50
