@@ -137,12 +137,12 @@ def with_file_pos(scan: DataFrame, pos_col: str = "pos") -> DataFrame:
     (dropped).  Rows of one (file, split) pair are contiguous in their task, so
     their least row number there is the pair's start."""
     per = scan.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    # one row per split of the scan: a global window over them is bounded
+    # one row per split of the scan: a global window over them is bounded, and they go to the rows, not the rows to them
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = per.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     at = F.col("_base") + F.col("_row") - F.col("_first")
     checked = F.when(F.col("_base").isNull(), F.raise_error(F.lit("the scan changed while it was numbered"))).otherwise(at)
-    return (scan.join(bases, ["_file", "_block"], "left").withColumn(pos_col, checked.cast("long"))
+    return (scan.join(F.broadcast(bases), ["_file", "_block"], "left").withColumn(pos_col, checked.cast("long"))
             .drop("_base", "_first", *FILE_ORDER))
 
 

@@ -21,6 +21,8 @@ from .registry import query
 #: A record's place in its file and in the corpus.  Records travel as one column, RECORD, from the scan to the
 #: sink, so a field of any name comes out as it went in; only the sink's own names are refused.
 FILE_POS, CORPUS_POS, RECORD = "_file_pos", "corpus_pos", "record"
+#: Places of the corpus that travel together into the token store.
+STRETCH = 1024
 
 
 def _field(name: str) -> Column:
@@ -127,11 +129,23 @@ def pretokenize(spark: SparkSession, corpus_dir: str, out_dir: str, encode_fn, v
     encoded = written(encode_fn(docs.observe(read, F.count(F.lit(1)).alias("n")), ["split", CORPUS_POS]), "encoded")
     sizes = with_group_pos(encoded.select("split", CORPUS_POS, "n_tokens"), ["split"], [CORPUS_POS], "doc_pos").drop("_gp")
     sizes = running_sum(sizes, "n_tokens", "end", pos_col="doc_pos", partition_by=["split"])
-    placed = sizes.select("split", CORPUS_POS, "doc_pos", "end", (F.col("end") - F.col("n_tokens")).alias("start"))
-    # clustered by position: a document or a stretch of tokens lies in few files
+    # Positions follow the places of the corpus, so each stretch of places needs only where it starts.
+    stretch = F.floor(F.col(CORPUS_POS) / STRETCH).alias("_stretch")
+    starts = written(sizes.groupBy("split", stretch).agg(
+        F.min("doc_pos").alias("_doc"), F.min(F.col("end") - F.col("n_tokens")).alias("_token"),
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(CORPUS_POS).alias("_places")), "starts")
+    twice = starts.agg(F.sum(F.col("_n") - F.col("_places"))).first()[0]
+    if twice:
+        raise ValidationError(f"{twice} of the rows read from {corpus_dir} have the place of another")
+    # clustered by position: a document or a stretch of tokens lies in few files, and ids are shuffled once
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store = (encoded.join(placed, ["split", CORPUS_POS]).repartitionByRange(parts, "split", "doc_pos")
-             .sortWithinPartitions("split", "doc_pos"))
+    before = Window.partitionBy("split", "_stretch").orderBy(CORPUS_POS)
+    ranged = (encoded.withColumn("_stretch", stretch).join(F.broadcast(starts.drop("_n", "_places")), ["split", "_stretch"])
+              .repartitionByRange(parts, "split", "_stretch"))
+    end = F.col("_token") + F.sum("n_tokens").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    store = ranged.select("split", CORPUS_POS, "ids", "n_tokens",
+                          (F.col("_doc") + F.row_number().over(before) - 1).alias("doc_pos"), end.alias("end")
+                          ).withColumn("start", F.col("end") - F.col("n_tokens"))
     store.write.mode(mode).option("compression", "zstd").partitionBy("split").parquet(store_path)
     kept, had = spark.read.parquet(store_path).count(), read.get["n"]
     if kept != had:
@@ -248,7 +262,7 @@ corpus AS (
 
 def _ordered_files(df: DataFrame, order: list[str], path: str, fmt: str) -> None:
     """Files whose names and contents follow ``order``."""
-    getattr(df.repartitionByRange(4, *order).sortWithinPartitions(*order).write.mode("overwrite"), fmt)(path)
+    getattr(df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite"), fmt)(path)
 
 
 def _mixed_corpus(spark: SparkSession, sf: str, strategy: str = "shuffle") -> tuple[str, DataFrame]:

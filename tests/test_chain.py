@@ -229,3 +229,35 @@ def test_report_sinks(spark, tmpdir_path):
     assert spark.read.option("header", True).csv(f"{tmpdir_path}/m").count() == 2
     write_timeline(spark.createDataFrame([(1.0, [1, 2])], "ts double, ops array<int>"), f"{tmpdir_path}/t")
     assert spark.read.option("header", True).option("escape", '"').csv(f"{tmpdir_path}/t").first().ops == "[1,2]"
+
+
+def test_rows_are_numbered_and_stored_without_a_shuffle_by_file_or_a_second_one_of_ids(spark, tmpdir_path, monkeypatch):
+    from tessera.operators import order
+    from tessera.plans import build
+    src = _jsonl(f"{tmpdir_path}/c/mix/split=train", {f"{k}.json": [
+        {"corpus_pos": i, "text": f"{i} " * (i % 4)} for i in range(k, 30, 3)] for k in range(3)}).rsplit("/", 1)[0]
+    _jsonl(f"{src}/split=validation", {"0.json": [{"corpus_pos": i, "text": f"v{i}"} for i in range(30, 40)]})
+    monkeypatch.setattr(build, "STRETCH", 4)
+
+    def encode(df, key):
+        return df.select(*key, F.transform(F.split("text", " "), lambda x: F.length(x)).alias("ids")).withColumn(
+            "n_tokens", F.size("ids"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scan = order.with_file_pos(order.file_order(spark.read.schema("corpus_pos long, text string").json(src)))
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert pretokenize(spark, src, f"{tmpdir_path}/o", encode, 9, "w", None) is not None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = spark.read.parquet(f"{tmpdir_path}/o/tokens").collect()
+    for split, places in (("train", range(30)), ("validation", range(30, 40))):
+        rows = sorted((r for r in got if r["split"] == split), key=lambda r: r["doc_pos"])
+        sizes = [r["n_tokens"] for r in rows]
+        assert [(r["corpus_pos"], r["doc_pos"]) for r in rows] == [(p, i) for i, p in enumerate(places)]
+        assert [r["start"] for r in rows] == [sum(sizes[:i]) for i in range(len(sizes))]
+        assert all(r["end"] - r["start"] == len(r["ids"]) == r["n_tokens"] for r in rows)
+    _jsonl(f"{src}/split=train", {"3.json": [{"corpus_pos": 5, "text": "again"}]})
+    with pytest.raises(ValidationError, match="place of another"):
+        pretokenize(spark, src, f"{tmpdir_path}/o2", encode, 9, "w", None)
