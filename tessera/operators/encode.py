@@ -31,22 +31,29 @@ from pyspark.sql import types as T
 
 from ..errors import ValidationError
 from ..functions.text import clean_markers, normalize, normalize_parts, pretokenize
-from .lookup import looked_up
+from .lookup import cut_blocks, is_cut, looked_up, looked_up_blocks
 from .order import running_sum, with_pos
 from .vocab import SubwordModel
 
 BLOCK_WORDS = 1 << 20
 
 
+def token_blocks(docs: DataFrame, key: Sequence[str] = ("doc_id",), text_col: str = "text",
+                 pre_tokenizer: str = "whitespace") -> DataFrame:
+    """``key`` and the pre-tokens of each document as blocks, written: ``vocab.word_counts`` and
+    ``encode_rank`` take them in place of the documents, which are then cut into words once."""
+    return cut_blocks(docs.select(*key, pretokenize(text_col, pre_tokenizer).alias("_tokens")), "_tokens")
+
+
 def encode_rank(docs: DataFrame, vocab: DataFrame, key: Sequence[str] = ("doc_id",),
                 text_col: str = "text", pre_tokenizer: str = "whitespace",
                 eos_id: int | None = None) -> DataFrame:
     """``key + (ids ARRAY<INT>, n_tokens INT)``; pre-tokens missing from the vocabulary are dropped."""
     keys = list(key)
-    toks = docs.select(*keys, pretokenize(text_col, pre_tokenizer).alias("_tokens"))
+    blocks = docs if is_cut(docs) else token_blocks(docs, keys, text_col, pre_tokenizer)
     known = vocab.select("token", F.col("id").cast("int").alias("id"))
     # documents without any known pre-token have an empty array
-    out = looked_up(toks, keys, "_tokens", known, "token", "id").withColumnRenamed("_values", "ids")
+    out = looked_up_blocks(blocks, keys, known, "token", "id").withColumnRenamed("_values", "ids")
     if eos_id is not None:
         out = out.withColumn("ids", append_eos("ids", eos_id))
     return out.withColumn("n_tokens", F.size("ids"))

@@ -28,8 +28,16 @@ from .order import written
 BLOCK_ELEMENTS = 1 << 21
 
 
+_ADDED = ("_at", "_block", "_distinct", "_counts")
+
+
+def is_cut(rows: DataFrame) -> bool:
+    """Whether ``rows`` come from :func:`cut_blocks`."""
+    return rows.columns[-len(_ADDED):] == list(_ADDED)
+
+
 def _cut(size: int):
-    """(..., elements) -> (..., indices, block, distinct elements: in the block's first row)."""
+    """(..., elements) -> (..., indices, block, distinct elements and how often each occurs: in the block's first row)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, n = TaskContext.get().partitionId() << 32, [], 0
 
@@ -39,11 +47,14 @@ def _cut(size: int):
             coded = lists.flatten().dictionary_encode()
             offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
             at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), coded.indices.fill_null(len(coded.dictionary)))
-            found = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            one = pa.array([0, len(coded.dictionary)], pa.int32())
+            found = pa.ListArray.from_arrays(one, coded.dictionary)
+            often = np.bincount(coded.indices.drop_null().to_numpy(), minlength=len(coded.dictionary))
+            often = pa.ListArray.from_arrays(one, pa.array(often, pa.int64()))
             first = pa.array(np.zeros(1, np.int32)).take(pa.array(np.arange(t.num_rows), mask=np.arange(t.num_rows) > 0))
             cols = [c.combine_chunks() for c in t.columns[:-1]]
-            return pa.RecordBatch.from_arrays([*cols, at, pa.array(np.full(t.num_rows, block)), found.take(first)],
-                                              [*t.column_names[:-1], "_at", "_block", "_distinct"])
+            return pa.RecordBatch.from_arrays([*cols, at, pa.array(np.full(t.num_rows, block)), found.take(first),
+                                               often.take(first)], [*t.column_names[:-1], *_ADDED])
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
             start = 0
@@ -84,12 +95,13 @@ def _place(keys: int, places: bool, kind: pa.DataType):
 
 
 def cut_blocks(rows: DataFrame, elements: str, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """``rows`` with ``_at``, ``_block`` and ``_distinct`` in place of the array column ``elements``, written."""
+    """``rows`` with ``_at``, ``_block``, ``_distinct`` and ``_counts`` in place of the array column ``elements``, written."""
     other = [c for c in rows.columns if c != elements]
     chosen = rows.select(*other, F.col(elements).alias("_elements"))
     schema = T.StructType([*(chosen.schema[c] for c in other), T.StructField("_at", T.ArrayType(T.IntegerType())),
                            T.StructField("_block", T.LongType()),
-                           T.StructField("_distinct", T.ArrayType(chosen.schema["_elements"].dataType.elementType))])
+                           T.StructField("_distinct", T.ArrayType(chosen.schema["_elements"].dataType.elementType)),
+                           T.StructField("_counts", T.ArrayType(T.LongType()))])
     return written(chosen.mapInArrow(_cut(block_elements), schema), "blocks")
 
 
@@ -118,8 +130,12 @@ def looked_up(rows: DataFrame, key: Sequence[str], elements: str, table: DataFra
     Rows with the same key share their arrays, added up by place and then by value; a row with a null in its key
     gets an empty array.
     """
+    return looked_up_blocks(cut_blocks(rows.select(*key, elements), elements, block_elements), key, table, element, value)
+
+
+def looked_up_blocks(blocks: DataFrame, key: Sequence[str], table: DataFrame, element: str, value: str) -> DataFrame:
+    """:func:`looked_up` for rows that :func:`cut_blocks` has cut."""
     keys = list(key)
-    blocks = cut_blocks(rows.select(*keys, elements), elements, block_elements)
     found = found_in(blocks, table.select(element, F.col(value).alias("_value")), element)
     whole = F.lit(True)
     for k in keys:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.text import normalize, pretokenize
+from .lookup import is_cut
 from .merges import MAX_SYMBOLS, Vocabulary, learn_merges
 from .order import with_pos, written
 from .unigram import LONGEST, learn_pieces
@@ -29,7 +30,11 @@ WORDPIECE_PREFIX = "##"
 
 def word_counts(docs: DataFrame, text_col: str = "text", pre_tokenizer: str = "whitespace",
                 normalizer: str | None = None) -> DataFrame:
-    """``(word, count)`` over the corpus: explode pre-tokens, partial + final count."""
+    """``(word, count)`` over the corpus: explode pre-tokens, partial + final count.  Of documents that
+    ``encode.token_blocks`` has cut already, the counts inside the blocks add up."""
+    if is_cut(docs):
+        each = docs.where("_distinct is not null").select(F.explode(F.arrays_zip("_distinct", "_counts")).alias("x"))
+        return each.groupBy(F.col("x._distinct").alias("word")).agg(F.sum("x._counts").alias("count"))
     text = normalize(text_col, normalizer) if normalizer not in (None, "none") else F.col(text_col)
     words = docs.select(F.explode(pretokenize(text, pre_tokenizer)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))

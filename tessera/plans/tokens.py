@@ -94,7 +94,9 @@ def _vocab(spark: SparkSession, sf: str):
 
 
 def _encoded(spark: SparkSession, sf: str, eos: int | None = None):
-    return enc.encode_rank(table(spark, sf, "documents"), _vocab(spark, sf), eos_id=eos)
+    """Documents cut into words once: the vocabulary counts the words of the blocks that are then encoded."""
+    blocks = enc.token_blocks(table(spark, sf, "documents"))
+    return enc.encode_rank(blocks, rank_vocab(word_counts(blocks), SPECIALS), eos_id=eos)
 
 
 def _ids_str(c: str):
@@ -396,8 +398,8 @@ shuf AS (SELECT window_id, row_number() OVER (ORDER BY {sql_hash(0, "'0'", 'wind
          FROM (SELECT DISTINCT window_id FROM pw))"""
 
 
-def _shuffled(spark, sf, epoch: int = 0):
-    ids = _windows(spark, sf).select("window_id").distinct()
+def _shuffled(spark, sf, epoch: int = 0, windows=None):
+    ids = (_windows(spark, sf) if windows is None else windows).select("window_id").distinct()
     return smp.shuffle_windows(ids, seed=0, epoch=epoch)
 
 
@@ -462,8 +464,10 @@ def token_budget_q(spark: SparkSession, sf: str):
 SELECT batch_id, CAST(sum({BATCH * C}) OVER (ORDER BY batch_id) AS BIGINT) AS tokens_seen,
        CAST(sum(real) OVER (ORDER BY batch_id) AS BIGINT) AS real_tokens_seen FROM pb""")
 def tokens_seen_q(spark: SparkSession, sf: str):
-    s = _samples(spark, sf).select("window_id", "n_real")
-    b = smp.assign_batches(_shuffled(spark, sf), BATCH).join(s, "window_id")
+    toks, windows = _tokens_and_windows(spark, sf)
+    windows = written(windows, "windows")  # the samples and their order read one packing
+    s = smp.build_samples(windows, toks, C, PAD, BOS, EOS).select("window_id", "n_real")
+    b = smp.assign_batches(_shuffled(spark, sf, windows=windows), BATCH).join(s, "window_id")
     return smp.tokens_seen(b, C, BATCH).select("batch_id", F.col("tokens_seen").cast("long"),
                                                F.col("real_tokens_seen").cast("long"))
 

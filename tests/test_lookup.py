@@ -77,3 +77,22 @@ def test_byte_level_chars_have_no_array_per_byte(spark):
     out = df.select("i", byte_level_chars(F.col("t")).alias("t"))
     assert {r.i: r.t for r in out.collect()} == {i: "".join(letters[b] for b in t.encode()) for i, t in enumerate(texts)} | {9: None}
     assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_cut_once_are_counted_and_encoded_from_their_blocks(spark, monkeypatch):
+    from tessera.operators import encode, lookup, vocab
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.choice([0, 1, 30])))) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(90, None), (7, "w1 again, w2"), (None, "w3")], "doc_id long, text string").repartition(3)
+    v = vocab.rank_vocab(vocab.word_counts(docs), ["<pad>"])
+    plain = [sorted(map(str, f.collect())) for f in (vocab.word_counts(docs), encode_rank(docs, v))]
+    cut = encode.cut_blocks
+    monkeypatch.setattr(encode, "cut_blocks", lambda rows, elements: cut(rows, elements, 50))
+    blocks = encode.token_blocks(docs)
+    assert lookup.is_cut(blocks) and not lookup.is_cut(docs) and blocks.select("_block").distinct().count() > 3
+
+    def refuse(*args):
+        raise AssertionError("cut again")
+    monkeypatch.setattr(encode, "pretokenize", refuse)
+    monkeypatch.setattr(vocab, "pretokenize", refuse)
+    assert [sorted(map(str, f.collect())) for f in (vocab.word_counts(blocks), encode_rank(blocks, v))] == plain
