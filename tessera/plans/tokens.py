@@ -182,7 +182,7 @@ SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_pos, len(ids) + 1
 FROM enc""")
 def token_offsets_q(spark: SparkSession, sf: str):
     e = _encoded(spark, sf, eos=EOS)
-    o = enc.token_offsets(e.select("doc_id", "n_tokens"), ["doc_id"], "doc_pos")
+    o = enc.token_offsets(written(e.select("doc_id", "n_tokens"), "sizes"), ["doc_id"], "doc_pos")
     return o.select("doc_id", "doc_pos", F.col("n_tokens").cast("long"), F.col("start").cast("long"),
                     F.col("end").cast("long"))
 
@@ -265,7 +265,8 @@ def write_tokens_roundtrip(spark: SparkSession, sf: str):
 SELECT o.doc_id, o.start, o.n_tokens FROM split JOIN o USING (doc_id) WHERE split.split = 'validation'""")
 def doc_lookup(spark: SparkSession, sf: str):
     """Random access: the validation documents looked up in the token store (equi join on the document)."""
-    store = enc.token_offsets(_encoded(spark, sf).select("doc_id", "n_tokens"), ["doc_id"], "doc_pos")
+    sizes = written(_encoded(spark, sf).select("doc_id", "n_tokens"), "sizes")  # ordering reads its rows twice
+    store = enc.token_offsets(sizes, ["doc_id"], "doc_pos")
     s = split_shuffled(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 0.8, 42)
     want = s.where(F.col("split") == "validation").select("doc_id")
     return want.join(store, "doc_id").select("doc_id", F.col("start").cast("long"), F.col("n_tokens").cast("long"))
@@ -398,8 +399,8 @@ shuf AS (SELECT window_id, row_number() OVER (ORDER BY {sql_hash(0, "'0'", 'wind
          FROM (SELECT DISTINCT window_id FROM pw))"""
 
 
-def _shuffled(spark, sf, epoch: int = 0, windows=None):
-    ids = (_windows(spark, sf) if windows is None else windows).select("window_id").distinct()
+def _shuffled(spark, sf, epoch: int = 0):
+    ids = _windows(spark, sf).select("window_id").distinct()
     return smp.shuffle_windows(ids, seed=0, epoch=epoch)
 
 
@@ -464,10 +465,8 @@ def token_budget_q(spark: SparkSession, sf: str):
 SELECT batch_id, CAST(sum({BATCH * C}) OVER (ORDER BY batch_id) AS BIGINT) AS tokens_seen,
        CAST(sum(real) OVER (ORDER BY batch_id) AS BIGINT) AS real_tokens_seen FROM pb""")
 def tokens_seen_q(spark: SparkSession, sf: str):
-    toks, windows = _tokens_and_windows(spark, sf)
-    windows = written(windows, "windows")  # the samples and their order read one packing
-    s = smp.build_samples(windows, toks, C, PAD, BOS, EOS).select("window_id", "n_real")
-    b = smp.assign_batches(_shuffled(spark, sf, windows=windows), BATCH).join(s, "window_id")
+    s = _samples(spark, sf).select("window_id", "n_real")
+    b = smp.assign_batches(_shuffled(spark, sf), BATCH).join(s, "window_id")
     return smp.tokens_seen(b, C, BATCH).select("batch_id", F.col("tokens_seen").cast("long"),
                                                F.col("real_tokens_seen").cast("long"))
 
