@@ -7,7 +7,8 @@ line ends (CSV), so the ranges split like any text scan.  A first pass sums up
 each range for both cases, beginning inside a string or not: how it ends, and
 how much deeper.  The sums of a file's ranges, one row each, compose in order
 to the true state at each range's start.  A second pass cuts the elements or
-records out; those that cross ranges are put together from their parts.
+records out; those that cross ranges are put together from their parts.  JSON
+elements are written then, for all that reads them later.
 
 Bounded: a task holds one element or record; the driver one row per range.
 Elements of a JSON array must be objects.  A file that ends inside a string or
@@ -19,15 +20,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
-from ..operators.order import FILE_ORDER
+from ..operators.order import FILE_ORDER, written
 
 _TOKEN = re.compile(r'\\.|["{\[\]]', re.S)
+_ESCAPED = re.compile(r"\\.", re.S)
 _KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*$', re.S)
 
 Range = tuple[str, int]
@@ -41,19 +45,55 @@ def fragments(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Range, str]]:
     for b in batches:
-        for file, block, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            yield (file, block), value
+        if not b.num_rows:
+            continue
+        files, blocks, values = b.columns
+        new = np.diff(blocks.to_numpy()) != 0
+        new |= pc.not_equal(files.slice(1), files.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        at = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for start, end in zip(at, at[1:]):
+            key = files[start].as_py(), blocks[start].as_py()
+            for value in values.slice(start, end - start).to_pylist():
+                yield key, value
+
+
+def _sides(value: str, quoted: bool) -> tuple[str, str, bool]:
+    """What of a fragment is outside strings and what inside, and whether it ends inside one."""
+    parts = (_ESCAPED.sub("", value) if "\\" in value else value).split('"')
+    even, odd = "".join(parts[::2]), "".join(parts[1::2])
+    return (odd, even, len(parts) % 2 == 1) if quoted else (even, odd, len(parts) % 2 == 0)
 
 
 class _Json:
-    """Where a walk through a JSON file stands."""
+    """Where a walk through a JSON file stands; ``other``: how deep the walk would be that began on the other side of
+    a quote; ``arrays``: by depth, what stands before the array open there, None once it is closed."""
 
-    def __init__(self, quoted: bool = False, depth: int = 0, active: bool = False, field: str | None = None):
-        self.quoted, self.depth, self.active, self.field = quoted, depth, active, field
-        self.least, self.root = depth, ""
+    def __init__(self, quoted: bool = False, depth: int = 0, active: bool = False, field: str | None = None, base: int = 0):
+        self.quoted, self.depth, self.active, self.field, self.base = quoted, depth, active, field, base
+        self.other, self.root = 0, ""
+        self.arrays: dict[int, str | None] = {}
 
     def walk(self, value: str, opened: Callable[[int], None] | None = None) -> None:
         """Through one fragment and the ``}`` after it."""
+        outside, inside, ends = _sides(value, self.quoted)
+        self.other += inside.count("{") + inside.count("[") - inside.count("]") - ends
+        n = outside.count("{")
+        if "[" in outside or "]" in outside or (n and opened and not self._first(value, opened)):
+            self._step(value, opened)
+        else:
+            if n:
+                self.root = self.root or "{"
+            self.depth, self.quoted = self.depth + n - (not ends), ends
+
+    def _first(self, value: str, opened: Callable[[int], None]) -> bool:
+        """``opened`` for the first bracket, if it is plain that it is the only one of interest."""
+        at = value.index("{")
+        if self.quoted or self.depth < self.base or '"' in value[:at] or "\\" in value[:at]:
+            return False
+        opened(at)
+        return True
+
+    def _step(self, value: str, opened: Callable[[int], None] | None) -> None:
         for m in _TOKEN.finditer(value):
             c = m.group()
             if c == '"':
@@ -62,37 +102,53 @@ class _Json:
                 continue
             elif c == "]":
                 self.depth -= 1
+                self.arrays[self.depth] = None
                 if self.depth == 1 and self.field is not None:
                     self.active = False
             else:
                 self.root = self.root or c
                 if opened and c == "{":
                     opened(m.start())
-                if c == "[" and self.depth == 1 and self.field is not None:
-                    key = _KEY.search(value[:m.start()])
-                    self.active = key is not None and key.group(1) == self.field
+                if c == "[":
+                    self.arrays[self.depth] = value[:m.start()]
+                    if self.depth == 1 and self.field is not None:
+                        self.active = _named(value[:m.start()], self.field)
                 self.depth += 1
         if not self.quoted:
             self.depth -= 1
 
 
-def _json_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges -> how they end and how much deeper, if they begin outside or inside a string; the first bracket."""
-    now, walks = None, []
+def _named(before: str | None, field: str) -> bool:
+    """Whether an array is open and what stands before it is the name ``field``."""
+    key = before is not None and _KEY.search(before)
+    return bool(key) and key.group(1) == field
 
-    def out() -> pa.RecordBatch:
-        a, b = walks
-        return pa.RecordBatch.from_pylist([{"file": now[0], "block": now[1], "end0": a.quoted, "by0": a.depth, "end1": b.quoted,
-                                            "by1": b.depth, "root": a.root}])
-    for key, value in _ranges(batches):
-        if key != now:
-            if now is not None:
-                yield out()
-            now, walks = key, [_Json(), _Json(quoted=True)]
-        for w in walks:
-            w.walk(value)
-    if now is not None:
-        yield out()
+
+_SUMS = "file string, block long, ends boolean, by0 long, by1 long, root string, depths array<long>, active array<boolean>"
+
+
+def _json_sums(field: str | None):
+    """Ranges -> how they end if they begin outside a string, and how much deeper, beginning outside or inside one; the
+    first bracket; whether the last array at each depth is the open one of ``field``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walk = None, _Json()
+
+        def out() -> pa.RecordBatch:
+            arrays = {d: _named(before, field) for d, before in walk.arrays.items()} if field is not None else {}
+            row = {"file": now[0], "block": now[1], "ends": walk.quoted, "by0": walk.depth, "by1": walk.other,
+                   "root": walk.root, "depths": list(arrays), "active": list(arrays.values())}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([
+                ("file", pa.string()), ("block", pa.int64()), ("ends", pa.bool_()), ("by0", pa.int64()), ("by1", pa.int64()),
+                ("root", pa.string()), ("depths", pa.list_(pa.int64())), ("active", pa.list_(pa.bool_()))]))
+        for key, value in _ranges(batches):
+            if key != now:
+                if now is not None:
+                    yield out()
+                now, walk = key, _Json()
+            walk.walk(value)
+        if now is not None:
+            yield out()
+    return run
 
 
 def _active_sums(starts: dict[Range, tuple[bool, int]], field: str):
@@ -152,7 +208,7 @@ def _json_parts(starts: dict[Range, tuple[bool, int, bool, int]], field: str | N
                     close(False)
                 now, row = key, 0
                 quoted, depth, active, base = starts[key]
-                walk = _Json(quoted, depth, active, field)
+                walk = _Json(quoted, depth, active, field, base)
                 held, begins = ([], False) if active and depth > base else (None, True)
             at: list[int] = []
             before = held is not None
@@ -194,13 +250,13 @@ def json_elements(spark: SparkSession, path: str, field: str | None = None) -> D
     """``text`` of each object in the array that a JSON file holds, or of the one object that it is; with ``field``,
     of each object in that array of the file's object.  With ``FILE_ORDER`` columns."""
     pieces = fragments(spark, path, "}")
-    sums = pieces.mapInArrow(_json_sums, "file string, block long, end0 boolean, by0 long, end1 boolean, by1 long, root string")
+    sums = sorted(pieces.mapInArrow(_json_sums(field), _SUMS).collect(), key=lambda r: (r["file"], r["block"]))  # one row per range
     starts: dict[Range, tuple[bool, int]] = {}
     roots, state = {}, {}
-    for r in sorted(sums.collect(), key=lambda r: (r["file"], r["block"])):  # one row per range
+    for r in sums:
         quoted, depth = state.get(r["file"], (False, 0))
         starts[r["file"], r["block"]] = (quoted, depth)
-        state[r["file"]] = (r["end1"], depth + r["by1"]) if quoted else (r["end0"], depth + r["by0"])
+        state[r["file"]] = (quoted != r["ends"], depth + (r["by1"] if quoted else r["by0"]))
         if not roots.get(r["file"]):
             roots[r["file"]] = r["root"]
     for file, (quoted, depth) in state.items():
@@ -209,13 +265,17 @@ def json_elements(spark: SparkSession, path: str, field: str | None = None) -> D
     if field is None:
         full = {k: (*s, True, 1 if roots[k[0]] == "[" else 0) for k, s in starts.items()}
     else:
+        ends = {(r["file"], r["block"]): dict(zip(r["depths"], r["active"])).get(1 - starts[r["file"], r["block"]][1])
+                for r in sums}
+        if any(quoted for quoted, _ in starts.values()):  # a range begins inside a string: its arrays are other ones
+            again = pieces.mapInArrow(_active_sums(starts, field), "file string, block long, active boolean").collect()
+            ends = {(r["file"], r["block"]): r["active"] for r in again}
         active, full = {}, {}
-        ends = pieces.mapInArrow(_active_sums(starts, field), "file string, block long, active boolean").collect()
-        for r in sorted(ends, key=lambda r: (r["file"], r["block"])):
-            full[r["file"], r["block"]] = (*starts[r["file"], r["block"]], active.get(r["file"], False), 2)
-            if r["active"] is not None:
-                active[r["file"]] = r["active"]
-    return _joined(pieces.mapInArrow(_json_parts(full, field), _PARTS))
+        for k in sorted(ends):
+            full[k] = (*starts[k], active.get(k[0], False), 2)
+            if ends[k] is not None:
+                active[k[0]] = ends[k]
+    return _joined(written(pieces.mapInArrow(_json_parts(full, field), _PARTS), "parts"))
 
 
 def _quote_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,9 +134,8 @@ def read_trace(spark: SparkSession, path: str, one_event_per_line: bool = False)
         ev = read_jsonl(spark, path, TRACE_EVENT, with_file_order=True)
         from ..operators.order import with_pos
         return with_pos(ev, list(FILE_ORDER), "event_index").drop(*FILE_ORDER)
-    ev = read_json_elements(spark, path, TRACE_EVENT, "traceEvents", with_file_order=True)
-    from ..operators.order import with_pos
-    return with_pos(ev, list(FILE_ORDER), "event_index").drop(*FILE_ORDER)
+    from ..operators.order import with_file_pos
+    return with_file_pos(read_json_elements(spark, path, TRACE_EVENT, "traceEvents", with_file_order=True), "event_index")
 
 
 def latest_file(spark: SparkSession, pattern: str, exclude: str = "_with_memory") -> DataFrame:

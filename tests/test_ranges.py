@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import ValidationError
+from tessera.sources import ranges as ranges_of
 from tessera.sources.ranges import csv_records, json_elements
 from tessera.sources.readers import read_csv, read_json, read_json_elements, read_trace
 
@@ -107,3 +108,32 @@ def test_large_trace_is_read_by_several_tasks(spark, tmpdir_path):
     assert found.count() == 200_000 and found.select("_block").distinct().count() > 1
     ts = found.select(F.get_json_object("text", "$.ts").cast("double").alias("ts")).agg(F.sum("ts"), F.max("ts")).first()
     assert tuple(ts) == (199_999 * 200_000 / 2, 199_999.0)
+
+
+def test_plain_events_are_not_walked_bracket_by_bracket(monkeypatch):
+    """Strings of a fragment are skipped as wholes; the sums are those of the walk, from either side of a quote."""
+    lines = json.dumps({"traceEvents": [dict(e, name='[m] {"}', args={"a": "}{"}) for e in events(4, 60)]}).split("}")[:-1]
+    steps, real = [], ranges_of._Json._step
+    monkeypatch.setattr(ranges_of._Json, "_step", lambda self, v, opened: (steps.append(v), real(self, v, opened)))
+    a, slow = ranges_of._Json(), [ranges_of._Json(), ranges_of._Json(quoted=True)]
+    for v in lines:
+        a.walk(v)
+    plain = len(steps)
+    for v in lines:
+        for s in slow:
+            real(s, v, None)
+    assert plain < 5 and len(lines) > 150
+    assert (a.depth, a.quoted, a.other) == (slow[0].depth, slow[0].quoted, slow[1].depth) and slow[1].quoted is not a.quoted
+
+
+def test_traces_are_scanned_twice(spark, tmpdir_path):
+    """One scan for where the ranges begin, one that writes the elements, which alone are numbered: no sort, no third scan."""
+    with open(f"{tmpdir_path}/t.json", "w") as f:
+        json.dump({"traceEvents": events(5, 50)}, f)
+    sc = spark.sparkContext
+    sc.setJobGroup("scans of a trace", "")
+    rows = read_trace(spark, f"{tmpdir_path}/t.json")
+    jobs = len(sc.statusTracker().getJobIdsForGroup("scans of a trace"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert rows.count() == 50 and jobs <= 2
+    assert "rangepartitioning" not in rows._jdf.queryExecution().toString()
