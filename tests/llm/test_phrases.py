@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -107,3 +108,14 @@ def test_occurrence_joins_do_not_shuffle(spark):
     physical = plan[plan.index("== Physical Plan =="):]
     below = physical[physical.index("SortMergeJoin"):]
     assert "Exchange" not in below and below.count("- Sort [") == 1, physical
+
+
+def test_places_are_stored_compactly(spark):
+    """A place takes a fraction of its eight bytes: the words' numbers are most of the file."""
+    r, n = random.Random(6), 2
+    rows = [("en", " ".join(f"w{r.randrange(1000)}" for _ in range(4_000))) for _ in range(100)]
+    groups = phrases._even_groups(spark, n)
+    with phrases._tables(spark, n) as tables:
+        r0 = tables.write(phrases.occurrences(table(spark, rows), groups), "r0", "place")
+        size = sum(os.path.getsize(f.removeprefix("file:")) for f in r0.inputFiles())
+        assert r0.count() == 400_000 and size < 400_000 * 2.5, size
