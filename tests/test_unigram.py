@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from tessera.operators import unigram as ug
 from tessera.operators.encode import encode_subword
 from tessera.operators.vocab import train_unigram, word_counts
+from tessera.session import ensure_checkpoint_dir
 
 tokenizers = pytest.importorskip("tokenizers")
 from tokenizers import Tokenizer, models, pre_tokenizers, trainers  # noqa: E402
@@ -115,3 +117,46 @@ def test_characters_stay_and_empty_tables(spark):
     few = spark.createDataFrame([("ab", 3), ("q", 1), ("", 5), ("日", 2)], "word string, count long")
     got = ug.learn_pieces(few, 2)
     assert {p for p, _ in got} == {"a", "b", "q", "日"}
+
+
+def test_lattices_and_what_they_are_made_of_take_a_few_bytes_a_character(spark):
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def on_disk():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files if f.endswith(".parquet"))
+    words = sorted(set(words_of(3, 6000, "abcdefgh", 24)))
+    strings = spark.createDataFrame([(i, w, 1.0) for i, w in enumerate(words)], "id long, word string, weight double")
+    pieces = ug.seeds(strings).select("piece").unionByName(spark.createDataFrame([(c,) for c in "abcdefgh"], "piece string"))
+    pieces = ug.written(pieces.withColumn("id", ug.F.xxhash64("piece")), "test-pieces")
+    before = on_disk()
+    assert ug.edges(strings, pieces, 16).count() > 0
+    assert on_disk() - before < 40 * sum(map(len, words))
+
+
+def test_strings_too_unlikely_for_floats(spark):
+    scores = {"a": -1.0, "b": -40.0, "ab": -38.0, "ba": -37.5}
+    words = ["ab" * 30, "ba" * 400 + "a", "abab", "aab" * 200]
+    strings = spark.createDataFrame([(i, w, 2.0 + i) for i, w in enumerate(words)], "id long, word string, weight double")
+    pieces = spark.createDataFrame(list(scores.items()), "piece string, score double")
+    want, likelihood_of = Counter(), 0.0
+    for k, w in enumerate(words):
+        places = [(i, w[i:i + n]) for i in range(len(w)) for n in (1, 2) if w[i:i + n] in scores and i + n <= len(w)]
+        whole, e = ug.marginals(len(w), [i for i, _ in places], [p for _, p in places], [scores[p] for _, p in places])
+        likelihood_of += (2.0 + k) * whole
+        for (_, p), x in zip(places, e):
+            want[p] += (2.0 + k) * x
+    got = {r.piece: r.e for r in ug.corpus_counts(ug.edges(strings, pieces, 2), pieces).collect()}
+    assert got.pop(None) == pytest.approx(likelihood_of)
+    assert got == pytest.approx(dict(want))
+
+
+def test_scores_that_no_task_holds_whole(spark, monkeypatch):
+    words = words_of(4, 400, "abc", 12) + ["日本語日本", "é"]
+    counts = spark.createDataFrame(list(Counter(words).items()), "word string, count long")
+    log, joined = [], []
+    want = ug.learn_pieces(counts, 40, log=log)
+    monkeypatch.setattr(ug, "WHOLE", 0)
+    got = ug.learn_pieces(counts, 40, log=joined)
+    assert len(log) > 2 and [x["after"] for x in log] == [x["after"] for x in joined]
+    assert [p for p, _ in got] == [p for p, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want])
