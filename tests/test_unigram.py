@@ -154,6 +154,7 @@ def test_scores_that_no_task_holds_whole(spark, monkeypatch):
     words = words_of(4, 400, "abc", 12) + ["日本語日本", "é"]
     counts = spark.createDataFrame(list(Counter(words).items()), "word string, count long")
     log, joined = [], []
+    monkeypatch.setattr(ug, "COLLECTED", 300)
     want = ug.learn_pieces(counts, 40, log=log)
     monkeypatch.setattr(ug, "WHOLE", 0)
     got = ug.learn_pieces(counts, 40, log=joined)
